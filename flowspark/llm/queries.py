@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .language_id import op7_language_mixture
+from .packing import op3_hierarchical_packing
 from .sharding import op9_interleaved_shards
 from .url_filter import op8_url_filter
+from .webp import op10_lossless_webp
 
 
 def queries() -> dict:
     return {
+        "op3_hierarchical_packing": op3_hierarchical_packing,
         "op7_language_mixture": op7_language_mixture,
         "op8_url_filter": op8_url_filter,
         "op9_interleaved_shards": op9_interleaved_shards,
+        "op10_lossless_webp": op10_lossless_webp,
     }
 
 

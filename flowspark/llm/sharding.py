@@ -16,7 +16,7 @@ def shuffle_key(seed: str, column):
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
-def interleave_shards(docs: DataFrame, n_shards: int = 8, seed: str = "mix-1", carry: tuple[str, ...] = (), rows_per_bucket: int = 20_000) -> DataFrame:
+def interleave_shards(docs: DataFrame, n_shards: int = 8, seed: str = "mix-1", carry: tuple[str, ...] = (), rows_per_bucket: int = 2_000) -> DataFrame:
     """Give each row a shard and a slot so that every shard has the mixture of all sources.
 
     Rows of a source are ranked in a seeded shuffle; (rank - 0.5) / rows of the source orders
