@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .language_id import op7_language_mixture
 from .packing import op3_hierarchical_packing
+from .quality import op2_distribution_divergence
 from .sharding import op9_interleaved_shards
 from .url_filter import op8_url_filter
 from .webp import op10_lossless_webp
@@ -11,6 +12,7 @@ from .webp import op10_lossless_webp
 
 def queries() -> dict:
     return {
+        "op2_distribution_divergence": op2_distribution_divergence,
         "op3_hierarchical_packing": op3_hierarchical_packing,
         "op7_language_mixture": op7_language_mixture,
         "op8_url_filter": op8_url_filter,
