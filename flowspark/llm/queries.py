@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op7_language_mixture
+from .near_duplicates import op4_near_duplicates
 from .packing import op3_hierarchical_packing
 from .quality import op2_distribution_divergence
 from .sharding import op9_interleaved_shards
@@ -14,6 +15,7 @@ def queries() -> dict:
     return {
         "op2_distribution_divergence": op2_distribution_divergence,
         "op3_hierarchical_packing": op3_hierarchical_packing,
+        "op4_near_duplicates": op4_near_duplicates,
         "op7_language_mixture": op7_language_mixture,
         "op8_url_filter": op8_url_filter,
         "op9_interleaved_shards": op9_interleaved_shards,
