@@ -6,6 +6,7 @@ from .language_id import op7_language_mixture
 from .near_duplicates import op4_near_duplicates
 from .packing import op3_hierarchical_packing
 from .quality import op2_distribution_divergence
+from .sanitise import op5_disclosure_sanitisation
 from .sharding import op9_interleaved_shards
 from .url_filter import op8_url_filter
 from .webp import op10_lossless_webp
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op2_distribution_divergence": op2_distribution_divergence,
         "op3_hierarchical_packing": op3_hierarchical_packing,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_disclosure_sanitisation": op5_disclosure_sanitisation,
         "op7_language_mixture": op7_language_mixture,
         "op8_url_filter": op8_url_filter,
         "op9_interleaved_shards": op9_interleaved_shards,
