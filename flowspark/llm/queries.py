@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op7_language_mixture
+from .mixing import op6_soft_mixing
 from .near_duplicates import op4_near_duplicates
 from .packing import op3_hierarchical_packing
 from .quality import op2_distribution_divergence
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_hierarchical_packing": op3_hierarchical_packing,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_disclosure_sanitisation": op5_disclosure_sanitisation,
+        "op6_soft_mixing": op6_soft_mixing,
         "op7_language_mixture": op7_language_mixture,
         "op8_url_filter": op8_url_filter,
         "op9_interleaved_shards": op9_interleaved_shards,
