@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op7_language_mixture
+from .licenses import op1_license_scan
 from .mixing import op6_soft_mixing
 from .near_duplicates import op4_near_duplicates
 from .packing import op3_hierarchical_packing
@@ -15,6 +16,7 @@ from .webp import op10_lossless_webp
 
 def queries() -> dict:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_distribution_divergence": op2_distribution_divergence,
         "op3_hierarchical_packing": op3_hierarchical_packing,
         "op4_near_duplicates": op4_near_duplicates,
