@@ -127,7 +127,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_b"))
     both = pairs.select("a", "b").join(two, "b").join(one, "a")
     common = F.size(F.array_intersect("_a", "_b"))
-    return both.where(100 * common >= percent * (F.size("_a") + F.size("_b") - common)).select("a", "b")
+    return both.where((100 + percent) * common >= percent * (F.size("_a") + F.size("_b"))).select("a", "b")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
