@@ -1,4 +1,5 @@
 """Registered queries over packets and flows, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans.catalog import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
