@@ -6,6 +6,7 @@ from .language_id import op7_language_mixture
 from .licenses import op1_license_scan
 from .mixing import op6_soft_mixing
 from .near_duplicates import op4_near_duplicates
+from .oracles import oracle_sql
 from .packing import op3_hierarchical_packing
 from .quality import op2_distribution_divergence
 from .sanitise import op5_disclosure_sanitisation
@@ -13,6 +14,8 @@ from .sharding import op9_interleaved_shards
 from .url_filter import op8_url_filter
 from .webp import op10_lossless_webp
 
+__all__ = ["oracle_sql", "queries"]
+
 
 def queries() -> dict:
     return {
@@ -27,7 +30,3 @@ def queries() -> dict:
         "op9_interleaved_shards": op9_interleaved_shards,
         "op10_lossless_webp": op10_lossless_webp,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, long_array
+from .common import UPPER, ascii_lower, long_array
 
 #: (verdict, host, path prefix); a rule holds for its host and all subdomains.
 RULES = [
@@ -23,12 +26,13 @@ BLOCKED_NAMES = """casino casino-win win-casino online-casino free-bets bets-now
 ALLOWED_NAMES = """news wiki library science history garden weather recipes museum school university docs forum journal archive maps
  music travel theatre chess kitchen physics poetry biology health football research tionthe therin andhere ouning stander
  tionble thering mentour unglich schkeit ciones heiten leaux ienda""".split()
+LOWER = str.maketrans(UPPER, UPPER.lower())
 TRAINING_DOMAINS = ["example.com", "example.net", "example.org"]
 TRAINING_PREFIXES = ["", "www.", "m.", "blog."]
 TRAINING_PATHS = ["/en/1204", "/de/3391.html", "/fr/577/", "/es/8810"]
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
+def labelled_urls() -> list[tuple[str, int]]:
     """The small labelled table (url, label); both labels are spread evenly over domains, prefixes and paths."""
     rows = []
     for names, label in ((BLOCKED_NAMES, 1), (ALLOWED_NAMES, 0)):
@@ -36,7 +40,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
             for j in range(4):
                 host = f"{TRAINING_PREFIXES[(i + j) % 4]}{name}.{TRAINING_DOMAINS[(i + j) % 3]}"
                 rows.append((f"https://{host}{TRAINING_PATHS[j]}", label))
-    return spark.createDataFrame(rows, "url string, label int")
+    return rows
 
 
 def url_host(url: Column) -> Column:
@@ -59,17 +63,30 @@ def ngram_buckets(host: Column, path: Column, n: int = 4) -> Column:
     return F.concat(grams("h", host), grams("p", path))
 
 
-def fit_url_model(labelled: DataFrame, buckets: int = 4096, max_rows: int = 20_000, steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> tuple[list[int], int]:
-    """Weights and bias, in millionths, of a logistic regression fitted to at most ``max_rows`` labelled URLs.
+def url_buckets(url: str, n: int = 4) -> list[int]:
+    """``ngram_buckets`` of one URL, for the labelled table."""
+    found = re.search("://([^/?#]*)([^?#]*)", url)
+    out = []
+    for mark, part in zip("hp", found.groups() if found else ("", ""), strict=True):
+        padded = f"^{part.translate(LOWER) if mark == 'h' else part}$"
+        grams = [padded[i : i + n] for i in range(max(1, len(padded) - n + 1))]
+        out += [int(hashlib.md5(f"{mark}{g}".encode("utf-8", "surrogatepass")).hexdigest()[:3], 16) for g in grams]
+    return out
+
+
+def fit_url_model(labelled, buckets: int = 4096, max_rows: int = 20_000, steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> tuple[list[int], int]:
+    """Weights and bias, in millionths, of a logistic regression fitted to (url, label) rows.
 
-    The labelled table is small by contract; only its bucket numbers come to the driver.
+    ``labelled`` is a list or a DataFrame, of which at most ``max_rows`` rows are taken; the
+    labelled table is small by contract, and the fit is done once, before any page is read.
     """
-    parsed = labelled.where("url is not null and label is not null").select(url_host(F.col("url")).alias("h"), url_path(F.col("url")).alias("p"), F.col("label").cast("int").alias("y"))
-    rows = parsed.select("y", ngram_buckets(F.col("h"), F.col("p")).alias("x")).limit(max_rows).collect()
+    if isinstance(labelled, DataFrame):
+        labelled = [tuple(r) for r in labelled.where("url is not null and label is not null").select("url", "label").limit(max_rows).collect()]
+    rows = list(labelled)[:max_rows]
     x = np.zeros((len(rows), buckets))
-    for i, row in enumerate(rows):
-        np.add.at(x[i], row.x, 1.0)
-    y = np.array([row.y for row in rows], float)
+    for i, (url, _) in enumerate(rows):
+        np.add.at(x[i], url_buckets(url), 1.0)
+    y = np.array([label for _, label in rows], float)
     w, b = np.zeros(buckets), 0.0
     for _ in range(steps if rows else 0):
         error = 1 / (1 + np.exp(-(x @ w + b))) - y
@@ -109,4 +126,4 @@ def filter_urls(pages: DataFrame, model: tuple[list[int], int], rules=None) -> D
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
-    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), fit_url_model(labelled_urls(spark)))
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), fit_url_model(labelled_urls()))

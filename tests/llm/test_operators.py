@@ -224,7 +224,7 @@ def test_held_out_languages(spark):
 def test_url_parts_rules_and_model(spark):
     urls = ["https://A.Example.com/en/7?x#y", "http://example.com/en/8", "x://a.net/de/8", "http://b.example.net/de/81", "http://org/es/", "http://xorg/es/", None, "no scheme", "http://free-casino-bets.example.org/fr/1", "http://river-museum.example.org/fr/1", "://?a", "a://b://c/d"]
     table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    found = url_filter.filter_urls(table, url_filter.fit_url_model(url_filter.labelled_urls(spark))).orderBy("page_id").collect()
+    found = url_filter.filter_urls(table, url_filter.fit_url_model(url_filter.labelled_urls())).orderBy("page_id").collect()
     assert [(r.host, r.path) for r in found[:1] + found[6:8] + found[10:]] == [("a.example.com", "/en/7"), ("", ""), ("", ""), ("", ""), ("b:", "//c/d")]
     assert [r.rule for r in found[:6]] == ["example.com/en/7", "com/en/", "net/de/", "example.net/de/8", "org/es/", None]
     assert [r.verdict for r in found[:5]] == ["allow", "block", "allow", "block", "block"]
