@@ -10,7 +10,7 @@ from .streams import http_service, text_hint
 # EtherTypes, IP protocol numbers and limits.
 VLAN_TYPES = (0x8100, 0x88A8, 0x9100)
 MPLS_TYPES = (0x8847, 0x8848)
-IPV4, IPV6, ARP = 0x0800, 0x86DD, 0x0806
+IPV4, IPV6, ARP, ETHERNET = 0x0800, 0x86DD, 0x0806, 0x6558
 MAX_TAGS, MAX_LABELS, MAX_EXTENSIONS = 4, 4, 4
 EXTENSIONS = (0, 43, 60, 44)
 LAYERS = {1: "ICMP", 2: "IGMP", 6: "TCP", 17: "UDP", 50: "ESP", 58: "ICMPv6", 132: "SCTP"}
@@ -61,26 +61,28 @@ def link_layer(raw: DataFrame) -> DataFrame:
     return found
 
 
-def network_layer(found: DataFrame) -> DataFrame:
-    """Addresses, protocol, fragment mark, start of the transport header and declared end of the packet."""
-    at = F.col("_at")
+def network_layer(found: DataFrame, inner: bool = False) -> DataFrame:
+    """Addresses, protocol, fragment mark, start of the transport header and declared end of the packet.
+
+    With ``inner`` only rows marked _tunnel are read again, and what they held before is replaced.
+    """
+    at, chosen = F.col("_at"), F.col("_tunnel") if inner else F.lit(True)
     v4 = (F.col("_type") == IPV4) & (F.shiftright(number(at, 1), 4) == 4) & (number(at, 1).bitwiseAND(15) >= 5)
     v6 = (F.col("_type") == IPV6) & (F.shiftright(number(at, 1), 4) == 6)
     arp = (F.col("_type") == ARP) & (number(at + 2, 2) == IPV4)
     declared = number(at + 2, 2)
-    found = found.withColumns(
-        {
-            "_kind": F.when(v4, "IPv4").when(v6, "IPv6").when(arp, "ARP"),
-            "src_addr": F.when(v4, slice_of(at + 12, 4)).when(v6, slice_of(at + 8, 16)).when(arp, slice_of(at + 14, 4)),
-            "dst_addr": F.when(v4, slice_of(at + 16, 4)).when(v6, slice_of(at + 24, 16)).when(arp, slice_of(at + 24, 4)),
-            "protocol": F.when(v4, number(at + 9, 1)).when(v6, number(at + 6, 1)).when(arp, 253).cast("int"),
-            "is_ip_fragmented": F.coalesce(v4 & (number(at + 6, 2).bitwiseAND(0x3FFF) != 0), F.lit(False)),
-            "_end": F.when(v4, F.when(declared == 0, F.octet_length("bytes")).otherwise(at + declared)).when(v6, at + 40 + number(at + 4, 2)),
-            "_at": F.when(v4, at + number(at, 1).bitwiseAND(15) * 4).when(v6, at + 40).otherwise(at),
-        }
-    )
+    columns = {
+        "_kind": F.when(v4, "IPv4").when(v6, "IPv6").when(arp, "ARP"),
+        "src_addr": F.when(v4, slice_of(at + 12, 4)).when(v6, slice_of(at + 8, 16)).when(arp, slice_of(at + 14, 4)),
+        "dst_addr": F.when(v4, slice_of(at + 16, 4)).when(v6, slice_of(at + 24, 16)).when(arp, slice_of(at + 24, 4)),
+        "protocol": F.when(v4, number(at + 9, 1)).when(v6, number(at + 6, 1)).when(arp, 253).cast("int"),
+        "is_ip_fragmented": F.coalesce(v4 & (number(at + 6, 2).bitwiseAND(0x3FFF) != 0), F.lit(False)),
+        "_end": F.when(v4, F.when(declared == 0, F.octet_length("bytes")).otherwise(at + declared)).when(v6, at + 40 + number(at + 4, 2)),
+        "_at": F.when(v4, at + number(at, 1).bitwiseAND(15) * 4).when(v6, at + 40).otherwise(at),
+    }
+    found = found.withColumns({c: F.when(chosen, v).otherwise(F.col(c)) if inner else v for c, v in columns.items()})
     for _ in range(MAX_EXTENSIONS):
-        at, more = F.col("_at"), (F.col("_kind") == "IPv6") & F.col("protocol").isin(*EXTENSIONS)
+        at, more = F.col("_at"), chosen & (F.col("_kind") == "IPv6") & F.col("protocol").isin(*EXTENSIONS)
         fragment = F.col("protocol") == 44
         found = found.withColumns(
             {
@@ -92,13 +94,60 @@ def network_layer(found: DataFrame) -> DataFrame:
     return found
 
 
+def hexed(value: Column, digits: int = 8) -> Column:
+    return F.lower(F.lpad(F.hex(value), digits, "0"))
+
+
+def tunnel_layer(found: DataFrame) -> DataFrame:
+    """Marks VXLAN, Geneve, GTP-U, GRE and IP in IP as _tunnel and moves _type, _at and _path to what they carry."""
+    at, protocol, whole = F.col("_at"), F.col("protocol"), ~F.col("is_ip_fragmented")
+    port = F.when((protocol == 17) & whole, number(at + 2, 2))
+    body = at + 8
+    first = number(body, 1)
+    gre_flags = F.when((protocol == 47) & whole, number(at, 2))
+    plain_gre = gre_flags.bitwiseAND(7) == 0
+    has = lambda bit: F.when(gre_flags.bitwiseAND(bit) != 0, 4).otherwise(0)
+    found = found.withColumn(
+        "_by",
+        F.when((port == 4789) & (first.bitwiseAND(8) != 0), "VXLAN")
+        .when((port == 6081) & (F.shiftright(first, 6) == 0), "Geneve")
+        .when((port == 2152) & (F.shiftright(first, 5) == 1) & (number(body + 1, 1) == 255) & (first.bitwiseAND(4) == 0), "GTP-U")
+        .when(plain_gre, "GRE")
+        .when(protocol.isin(4, 41) & whole, "IP"),
+    )
+    by = F.col("_by")
+    start = (
+        F.when(by == "VXLAN", body + 8)
+        .when(by == "Geneve", body + 8 + first.bitwiseAND(0x3F) * 4)
+        .when(by == "GTP-U", body + 8 + F.when(first.bitwiseAND(3) != 0, 4).otherwise(0))
+        .when(by == "GRE", at + 4 + has(0x8000) + has(0x2000) + has(0x1000))
+        .otherwise(at)
+    )
+    kind = F.when(by == "VXLAN", ETHERNET).when(by == "Geneve", number(body + 2, 2)).when(by == "GRE", number(at + 2, 2)).when(protocol == 4, IPV4).when(protocol == 41, IPV6)
+    key = F.when(gre_flags.bitwiseAND(0x2000) != 0, F.concat(F.lit("GRE(key=0x"), hexed(number(at + 4 + has(0x8000), 4)), F.lit(")"))).otherwise("GRE")
+    name = (
+        F.when(by.isin("VXLAN", "Geneve"), F.concat(by, F.lit("(vni="), number(body + 4, 3).cast("string"), F.lit(")")))
+        .when(by == "GTP-U", F.concat(F.lit("GTP-U(teid=0x"), hexed(number(body + 4, 4)), F.lit(")")))
+        .when(by == "GRE", key)
+    )
+    outer = F.array_compact(F.array(F.col("_kind"), F.when(protocol == 17, "UDP"), name))
+    found = found.withColumns({"_tunnel": by.isNotNull(), "_start": start, "_carries": kind, "_outer": outer})
+    frame = F.col("_carries") == ETHERNET
+    version = F.shiftright(number(F.col("_start"), 1), 4)
+    carried = F.when(frame, number(F.col("_start") + 12, 2)).when(by == "GTP-U", F.when(version == 4, IPV4).when(version == 6, IPV6)).otherwise(F.col("_carries"))
+    path = F.concat("_path", "_outer", F.when(frame, F.array(F.lit("EthernetII"))).otherwise(F.array().cast("array<string>")))
+    moved = {"_type": carried, "_at": F.col("_start") + F.when(frame, 14).otherwise(0), "_path": path}
+    return found.withColumns({c: F.when(F.col("_tunnel"), v).otherwise(F.col(c)) for c, v in moved.items()}).drop("_by", "_start", "_carries", "_outer")
+
+
 def dissect(raw: DataFrame) -> DataFrame:
     """Packet rows of ``read_captures`` with addresses, ports, path, flags, payload, hint, service and reason.
 
     reason is null for packets that belong to a flow and says what was missing for the others.
-    Tunnels are not followed: the outer addresses count.
+    One tunnel is followed, and the addresses inside it count; a tunnel inside a tunnel is
+    unrecognized or a flow of the inner tunnel's packets.
     """
-    found = network_layer(link_layer(raw.where("bytes is not null")))
+    found = network_layer(tunnel_layer(network_layer(link_layer(raw.where("bytes is not null")))), inner=True)
     at, protocol = F.col("_at"), F.col("protocol")
     ported = protocol.isin(6, 17, 132) & ~F.col("is_ip_fragmented")
     header = F.when(protocol == 6, F.shiftright(number(at + 12, 1), 4) * 4).when(protocol == 17, 8).when(protocol == 132, 12)
@@ -133,7 +182,7 @@ def dissect(raw: DataFrame) -> DataFrame:
         }
     )
     payload = F.when(F.col("payload_length") > 0, F.substring(F.col("bytes"), (F.col("_payload") + 1).cast("int"), F.col("payload_length").cast("int")))
-    found = found.withColumn("payload", F.coalesce(payload, F.lit(b""))).drop("_type", "_at", "_path", "_kind", "_end", "_payload")
+    found = found.withColumn("payload", F.coalesce(payload, F.lit(b""))).drop("_type", "_at", "_path", "_kind", "_end", "_payload", "_tunnel")
     return with_hints(found)
 
 

@@ -74,6 +74,23 @@ def test_flows_of_a_capture(capture):
     assert stats.unrecognized_statistics(dissect.unrecognized(capture)).first().packet_count == 3
 
 
+def test_tunnels(spark):
+    inner = ipv4(6, tcp(1, 2), "192.168.0.1", "192.168.0.2")
+    frame = ether(0x0800, inner)
+    wrapped = [
+        (ipv4(17, udp(9, 4789, b"\x08\0\0\0" + (100 << 8).to_bytes(4, "big") + frame)), "EthernetII -> IPv4 -> UDP -> VXLAN(vni=100) -> EthernetII -> IPv4 -> TCP"),
+        (ipv4(17, udp(9, 6081, b"\x01\0\x65\x58" + (7 << 8).to_bytes(4, "big") + b"\0" * 4 + frame)), "EthernetII -> IPv4 -> UDP -> Geneve(vni=7) -> EthernetII -> IPv4 -> TCP"),
+        (ipv4(17, udp(9, 2152, b"\x30\xff\0\0\0\0\x12\x34" + inner)), "EthernetII -> IPv4 -> UDP -> GTP-U(teid=0x00001234) -> IPv4 -> TCP"),
+        (ipv4(47, struct.pack(">HHI", 0x2000, 0x0800, 0xAB) + inner), "EthernetII -> IPv4 -> GRE(key=0x000000ab) -> IPv4 -> TCP"),
+        (ipv4(4, inner), "EthernetII -> IPv4 -> IPv4 -> TCP"),
+        (ipv4(17, udp(9, 4789, b"\0" * 8)), "EthernetII -> IPv4 -> UDP"),
+    ]
+    rows = [(i, bytes(ether(0x0800, w)), 1) for i, (w, _) in enumerate(wrapped)]
+    found = dissect.dissect(spark.createDataFrame(rows, "packet_index long, bytes binary, data_link_type int")).orderBy("packet_index").collect()
+    assert [" -> ".join(r.path) for r in found] == [p for _, p in wrapped]
+    assert {(bytes(r.src_addr), r.src_port, r.reason) for r in found[:-1]} == {(bytes([192, 168, 0, 1]), 1, None)}
+
+
 def test_cut_capture_keeps_what_was_read(spark, tmp_path):
     whole = pcap.pcap_bytes([(1, 60, PACKETS[0]), (2, 60, PACKETS[1])])
     (tmp_path / "cut.pcap").write_bytes(whole[:-5])
