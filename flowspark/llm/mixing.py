@@ -122,8 +122,9 @@ def rate_after(steps: list[list[float]], max_rate: float) -> Column:
 def fit_rates(posteriors: DataFrame, targets: dict[str, float], max_rate: float = 1.0, most_steps: int = 30, tolerance: float = 1e-3) -> list[list[float]]:
     """Steps of projected-gradient least squares for rates r with sum of r x tokens x posterior = target, by domain.
 
-    Totals T are the target weights times the most tokens that no domain must be repeated for (with
-    ``max_rate`` 1) or times all tokens. With c the totals at rate 1, the objective is
+    With ``max_rate`` above 1, totals T are the target weights times all tokens. With 1 at most, the
+    domain of the largest weight keeps all its tokens, the others get their weight relative to it,
+    or all they have if that is less. With c the totals at rate 1, the objective is
     sum (A r - T)^2 / c; in the norm that weighs documents by tokens its gradient at a document is
     sum of posterior x (A r - T) / c, so the rate is a function of the posterior and a step of 1
     always descends. Each step is one aggregation that brings one number a domain to the driver.
@@ -133,7 +134,8 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float], max_rate: float
     totals = lambda rate: np.array([float(x or 0.0) for x in posteriors.agg(*[F.sum(F.col("tokens") * F.col(f"p_{d}") * rate) for d in DOMAINS]).first()])
     now = totals(F.lit(1.0))
     current = np.maximum(now, 1e-9)
-    aim = weights * (min(now[i] / w for i, w in enumerate(weights) if w > 0) if max_rate <= 1 else now.sum())
+    main = int(weights.argmax())
+    aim = np.minimum(weights * (now[main] / weights[main]), now) if max_rate <= 1 else weights * now.sum()
     steps: list[list[float]] = []
     for _ in range(most_steps):
         error = (now - aim) / current

@@ -196,6 +196,8 @@ def test_mixing_meets_its_targets(spark, empty):
     sums = [(found.tokens * found[f"p_{d}"] * found.rate).sum() for d in mixing.DOMAINS]
     assert np.array(sums) / sum(sums) == pytest.approx([0.7, 0.2, 0.1], abs=0.01)
     assert ((found.rate >= 0) & (found.rate <= 1)).all() and len(found) == len(rows)
+    scarce = mixing.mix(docs.where("doc_id % 3 <> 1"), labels, {"clean": 0.7, "low": 0.2, "toxic": 0.1}).toPandas()
+    assert (scarce[scarce.doc_id % 3 == 0].copies == 1).mean() > 0.95  # a domain that is missing does not shrink the others
     assert mixing.mix(empty, labels).count() == 0
     assert mixing.mix(docs, labels.where("false")).count() == len(rows)
 
