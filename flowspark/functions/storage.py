@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
+@functools.cache
+def own_folder() -> str:
+    """A folder for sessions that name none, as in tests on one machine."""
+    return tempfile.mkdtemp(prefix="spark-scratch-")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under ``spark.checkpoint.dir`` and read it back, so later steps do not compute it again."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or own_folder()
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
