@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -14,11 +15,12 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of its own only where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    return spark.conf.get("spark.checkpoint.dir", None) or own_scratch_dir()
+
+
+@functools.cache
+def own_scratch_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-scratch-")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
