@@ -385,3 +385,37 @@ def lineitem_flows(spark, folder):
 def stored_index_totals(spark, folder):
     """Packets written as an index and read back."""
     return stored(packets(spark, folder), "index").groupBy("protocol").agg(F.count("*").alias("packet_count"), F.sum("original_length").alias("total_bytes"))
+
+
+@register("path_intern", f"WITH {PACKETS_SQL}, s AS (SELECT path AS protocol_path, min(packet_index) AS first_packet_index FROM packets GROUP BY 1) SELECT protocol_path, row_number() OVER (ORDER BY first_packet_index) AS path_id FROM s", flows)
+def path_intern(f):
+    """Paths with a dense number in the order of their first packet."""
+    found = f.where("protocol_path <> ''").groupBy("protocol_path").agg(F.min("first_packet_index").alias("first_packet_index"))
+    return flow_ops.numbered(found, ["first_packet_index"], "path_id").select("protocol_path", "path_id")
+
+
+FRAGMENT_SQL = " OR ".join(f"contains(lower({f}), 'frag')" for f in query.FILTER_FIELDS[1:])
+register(
+    "flow_fragment_filter",
+    f"WITH {ROWS_SQL} SELECT flow_index, fragmented_packet_count FROM flow_rows WHERE {FRAGMENT_SQL} OR fragmented_packet_count > 0",
+    rows,
+)(lambda r: r.where(query.matches("frag", with_fragments=True)).select("flow_index", "fragmented_packet_count"))
+register(
+    "packet_numbering",
+    f"WITH {OWNED_SQL} SELECT flow_index, packet_index, CAST(row_number() OVER (PARTITION BY flow_index ORDER BY packet_index) AS INTEGER) AS number FROM owned",
+    owned,
+)(lambda o: Retention().apply(o).select("flow_index", "packet_index", "number"))
+
+
+@register(
+    "export_manifest",
+    f"WITH {OWNED_SQL}, n AS (SELECT *, {NUMBER_SQL} FROM owned), e AS (SELECT flow_index, count(*) AS exported_packets, CAST(sum(original_length) AS BIGINT) AS exported_bytes FROM n WHERE number <= 5 GROUP BY 1) SELECT f.flow_index, 'flow-' || lpad(CAST(f.flow_index AS VARCHAR), 8, '0') || '.pcap' AS file_name, packet_count, total_bytes, exported_packets, exported_bytes, CAST(first_ts_us // 1000000 AS VARCHAR) || '.' || lpad(CAST(first_ts_us % 1000000 AS VARCHAR), 6, '0') AS first_time FROM flows f JOIN e USING (flow_index)",
+)
+def export_manifest(spark, folder):
+    """What a sampled export holds of each flow: file, whole and exported packets and bytes, first time in seconds."""
+    found = listed(spark, folder)
+    kept = Retention(first_packets=5).apply(flow_ops.with_flow(packets(spark, folder), found, "flow_index"))
+    exported = kept.groupBy("flow_index").agg(F.count("*").alias("exported_packets"), F.sum("original_length").alias("exported_bytes"))
+    time = F.concat(F.expr("first_ts_us div 1000000").cast("string"), F.lit("."), F.lpad((F.col("first_ts_us") % 1_000_000).cast("string"), 6, "0"))
+    name = F.concat(F.lit("flow-"), F.lpad(F.col("flow_index").cast("string"), 8, "0"), F.lit(".pcap"))
+    return found.join(exported, "flow_index").select("flow_index", name.alias("file_name"), "packet_count", "total_bytes", "exported_packets", "exported_bytes", time.alias("first_time"))
