@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,12 @@ SHINGLE_WORDS = 5
 #: 50 bands of 5 rows: two sets of similarity 0.75 share no band with probability 1.4e-6.
 BANDS, ROWS = 50, 5
 SKETCH_BITS = 1024
-#: Six standard errors of the sketch's estimate below 0.75, so that a true link is never turned away.
-SKETCH_FLOOR = 0.52
-MEMBERS_PER_BLOCK = 256
+#: Bits of the parity bitmap of a whole set, see ``set_parity``.
+PARITY_BITS = 2048
+#: Almost five standard errors (0.036) of the sketch's estimate below 0.75: a true link is turned away with probability 1.2e-6, as by the bands.
+SKETCH_FLOOR = 0.58
+BEST_ROUNDS = 1
+MEMBERS_PER_BLOCK = 2048
 
 _random = np.random.default_rng(20240229)
 MULTIPLY = (_random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -79,6 +83,15 @@ def odd_sketch(least: np.ndarray) -> bytes:
     return np.packbits(np.bincount(places, minlength=SKETCH_BITS) & 1).tobytes()
 
 
+def set_parity(shingles: np.ndarray) -> bytes:
+    """Parity of how many shingles of the whole set fall on each bit.
+
+    Every bit in which two such bitmaps differ takes at least one shingle that one set has alone,
+    so more differing bits than the threshold allows single shingles rule a link out for certain.
+    """
+    return np.packbits(np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
 def sketch_similarity(odd_bits):
     """Estimated similarity from the number of bits in which two odd sketches differ (numpy array or number)."""
     inside = np.maximum(1 - 2 * np.asarray(odd_bits) / SKETCH_BITS, 1e-9)
@@ -90,7 +103,7 @@ MOST_ODD_BITS = int(np.flatnonzero(sketch_similarity(np.arange(SKETCH_BITS // 2)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits), bands and sketch of each row; null bands and sketch for an empty set."""
+    """doc_id, n_shingles, set_key (128 bits), bands, sketch and parity of each row; the last four are null for an empty set."""
 
     def sign(batches):
         words = WordKeys()
@@ -99,14 +112,14 @@ def signatures(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 found = words.shingles(text)
                 if not len(found):
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((doc_id, 0, None, None, None, None))
                     continue
                 least = minhashes(found)
-                rows.append((doc_id, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), band_keys(least), odd_sketch(least)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+                rows.append((doc_id, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), band_keys(least), odd_sketch(least), set_parity(found)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "bands", "sketch", "parity"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(sign, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInPandas(sign, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, sketch binary, parity binary")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -153,36 +166,71 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
+def cross_pairs(members: DataFrame, best_only: bool, percent: int) -> DataFrame:
     """Pairs (a, b) of one band but different components whose odd sketches agree well enough.
 
-    members: band, doc_id, root, n_shingles, sketch. A band's members are dealt into blocks of about 256 and
-    every two blocks are compared as one group, so no group holds more than two blocks; only
-    pairs that pass the length and sketch tests leave it.
+    members: band, doc_id, root, n_shingles, sketch, parity and bands, all bands of the table that
+    the document is in. A band's members are dealt into blocks of about 2048 and every two blocks
+    are compared as one group, so no group holds more than two blocks; only pairs that pass the
+    tests of length, sketch and parity leave it, and of those only the closest of each two
+    components (``best_only``) or each pair in the first band that it has in common. Groups lie
+    one after another in their partitions, most with two or three rows, and are compared as they pass.
     """
     sizes = members.groupBy("band").agg(F.ceil(F.count("*") / MEMBERS_PER_BLOCK).cast("int").alias("_blocks"))
     dealt = members.join(sizes, "band").withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, F.col("_block")).alias("i"), F.greatest(o, F.col("_block")).alias("j")))
-    dealt = dealt.withColumn("_two", F.explode(others)).select("band", "_two.i", "_two.j", "_block", "doc_id", "root", "n_shingles", "sketch")
+    dealt = dealt.withColumn("_two", F.explode(others)).select("band", "_two.i", "_two.j", "_block", "doc_id", "root", "n_shingles", "sketch", "parity", "bands")
+    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     kind = dict(members.dtypes)["doc_id"]
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
+    def pairs_of(group: pd.DataFrame) -> list[tuple]:
         ids, roots, n = group["doc_id"].to_numpy(), group["root"].to_numpy(), group["n_shingles"].to_numpy()
-        bits = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group), -1)
-        first = group["_block"].to_numpy() == group["i"].to_numpy()
+        bits, parity = (np.frombuffer(b"".join(group[c]), np.uint64).reshape(len(group), -1) for c in ("sketch", "parity"))
+        band, first = int(group["band"].iat[0]), group["_block"].to_numpy() == group["i"].iat[0]
+        same = group["i"].iat[0] == group["j"].iat[0]
         rows = np.flatnonzero(first)
-        columns = rows if (group["i"].iat[0] == group["j"].iat[0]) else np.flatnonzero(~first)
-        a, b = [], []
+        columns = rows if same else np.flatnonzero(~first)
+        shared: dict[int, set] = {}
+        best: dict[tuple, tuple] = {}
+        found = []
         for x in rows:
-            near = columns[(roots[columns] != roots[x]) & (4 * np.minimum(n[columns], n[x]) >= 3 * np.maximum(n[columns], n[x]))]
-            if len(near):
-                near = near[np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1) <= MOST_ODD_BITS]
-                a += [ids[x]] * len(near)
-                b += ids[near].tolist()
-        found = pd.DataFrame({"a": np.array(a, ids.dtype), "b": np.array(b, ids.dtype)})
-        return found[found["a"] < found["b"]] if columns is rows else found
-
-    found = dealt.groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+            near = columns[columns > x] if same else columns
+            near = near[(roots[near] != roots[x]) & (100 * np.minimum(n[near], n[x]) >= percent * np.maximum(n[near], n[x]))]
+            if not len(near):
+                continue
+            near = near[np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1) <= MOST_ODD_BITS]
+            odd = np.bitwise_count(parity[near] ^ parity[x]).sum(axis=1, dtype=np.int64)
+            possible = (100 + percent) * odd <= (100 - percent) * (n[near] + n[x])
+            for y, o in zip(near[possible].tolist(), odd[possible].tolist(), strict=True):
+                if best_only:
+                    key = (min(roots[x], roots[y]), max(roots[x], roots[y]))
+                    best[key] = min(best.get(key, (1 << 30, 0, 0)), (o, int(x), y))
+                    continue
+                for z in (x, y):
+                    if z not in shared:
+                        shared[z] = set(group["bands"].iat[z])
+                if min(shared[x] & shared[y]) == band:
+                    found.append((x, y))
+        return [(ids[x], ids[y]) for x, y in ([v[1:] for v in best.values()] if best_only else found)]
+
+    def compare(batches):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            keys = rows[["band", "i", "j"]].to_numpy()
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            ends = [*edges.tolist(), *([len(rows)] if batch is None else [])]
+            found, at = [], 0
+            for end in ends:
+                if end - at > 1:
+                    found += pairs_of(rows.iloc[at:end])
+                at = end
+            held = rows.iloc[at:]
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    found = dealt.mapInPandas(compare, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -193,8 +241,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     2. Each class compares itself with the least member of the band that it shares most bands
        with; the full sets confirm the link. This joins a group of copies of any size with one
        comparison each.
-    3. Bands whose members are not yet all in one component have all pairs between components
-       compared by odd sketch, in blocks, and those that pass by their full sets.
+    3. In bands whose members are not yet all in one component, members of different components
+       are compared by odd sketch and set parity, in blocks: first only the closest pair of each two components
+       goes on to its full sets, which joins most of what belongs together; then every pair that
+       passes does.
     4. Components are merged; component_id is the least doc_id that can be reached.
 
     Null or empty text, or text without words: an empty set, linked with nothing. A null doc_id
@@ -207,7 +257,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     reps = usable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = materialize(reps.select("doc_id", "n_shingles", "bands", "sketch"), "representatives")
+    reps = materialize(reps.select("doc_id", "n_shingles", "bands", "sketch", "parity"), "representatives")
 
     rows = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("doc_id").alias("center"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
@@ -221,11 +271,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = materialize(confirmed(stars, sets, percent), "links")
     roots = connected_components(links)
 
-    rooted = members.join(roots, members["doc_id"] == roots["node"], "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed_bands = rooted.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("band")
-    open_rows = rooted.join(mixed_bands, "band", "left_semi").join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    more = materialize(confirmed(materialize(cross_pairs(open_rows), "cross"), sets, percent), "links")
-    roots = connected_components(links.unionAll(more))
+    told = reps.select("doc_id", "n_shingles", "sketch", "parity")
+    for best_only in [True] * BEST_ROUNDS + [False]:
+        rooted = members.join(roots, members["doc_id"] == roots["node"], "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        # Of bands with the same members, by two 64-bit sums and the count, one is enough.
+        by_band = rooted.groupBy("band").agg(
+            F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n"), *[F.sum(F.xxhash64("doc_id", F.lit(seed)).cast("decimal(38,0)")).alias(f"_s{seed}") for seed in (1, 2)]
+        )
+        split = by_band.where("_lo <> _hi").groupBy("_n", "_s1", "_s2").agg(F.min("band").alias("band")).select("band")
+        apart = materialize(rooted.join(split, "band", "left_semi"), "apart")
+        mine = apart.groupBy("doc_id").agg(F.collect_list("band").alias("bands"))
+        apart = apart.join(told.join(mine, "doc_id"), "doc_id")
+        more = materialize(confirmed(materialize(cross_pairs(apart, best_only, percent), "pairs"), sets, percent), "links")
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            roots = connected_components(links)
 
     grouped = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     grouped = grouped.join(roots, grouped["rep"] == roots["node"], "left")
