@@ -16,19 +16,34 @@ END_ID = 1
 class WordIds(dict):
     """Token ids of a run without blanks as little-endian uint32 bytes, remembered for up to ``limit`` runs.
 
-    The vocabulary's pre-tokenizer never joins across a blank, so a text's ids are those of its runs in turn.
+    Words that differ in capitals or in one stop behind them are looked up once. The vocabulary's pre-tokenizer never joins across a blank, so a text's ids are those of its runs in turn.
     """
 
+    stops = frozenset(".,;:!?")
+
     def __init__(self, tokenizer, limit: int = 500_000):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
+        self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        found = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        core, last = word[:-1], word[-1:]
+        if word.isascii() and word.isalpha():
+            # The normalizer only lower-cases such a run, and it is one piece to the pre-tokenizer.
+            low = word.lower()
+            found = self[low] if low != word else self.ids_of(t.id for t in self.model.tokenize(word))
+        elif last in self.stops and core.isascii() and core.isalpha():
+            found = self[core] + self[last]
+        else:
+            found = self.ids_of(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self[word] = found
         return found
 
+    @staticmethod
+    def ids_of(numbers) -> bytes:
+        return np.fromiter(numbers, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
