@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, words_of
+from .common import broadcast_if_small, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base kinds, with what a text must hold for the pattern to be tried at all.
@@ -19,6 +20,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NAME_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 DIGITS_ONLY = re.compile(r"[^0-9]+")
 
 CONTEXT_WORDS = 5
@@ -98,6 +100,57 @@ def entity_contexts(docs: DataFrame) -> DataFrame:
     return holding.mapInPandas(contexts, f"doc_id {kind}, entity string, term string, context string")
 
 
+class Listed(dict):
+    """The listed term that a word stands for, or None; remembered for up to ``limit`` words."""
+
+    def __init__(self, terms: set[str], limit: int = 300_000):
+        super().__init__()
+        self.terms, self.limit = terms, limit
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) >= self.limit:
+            self.clear()
+        term = term_of(word)
+        found = self[word] = term if term in self.terms else None
+        return found
+
+
+def term_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int) -> DataFrame:
+    """(term, n_term): how many documents hold each listed term.
+
+    Up to ``broadcast_terms`` terms are sent to all tasks, and each task counts before it hands
+    anything on. More terms are joined with the documents' distinct words instead.
+    """
+    few = terms.limit(broadcast_terms + 1).collect()
+    if len(few) > broadcast_terms:
+        each = document_terms(docs).join(terms, "term", "left_semi")
+        return each.groupBy("term").agg(F.count("*").alias("n_term"))
+    shared = docs.sparkSession.sparkContext.broadcast({r["term"] for r in few})
+
+    def count(batches):
+        listed, totals = Listed(shared.value), Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                if isinstance(text, str) and shared.value:
+                    totals.update({listed[w] for w in SPLIT.split(text)} - {None})
+        yield pd.DataFrame({"term": list(totals.keys()), "n": list(totals.values())})
+
+    counted = docs.select("text").mapInPandas(count, "term string, n long")
+    return counted.groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def document_terms(docs: DataFrame) -> DataFrame:
+    """The distinct terms of each document, one a row."""
+
+    def split(batches):
+        for batch in batches:
+            for text in batch["text"]:
+                if isinstance(text, str):
+                    yield pd.DataFrame({"term": sorted({term_of(w) for w in SPLIT.split(text)})})
+
+    return docs.select("text").mapInPandas(split, "term string")
+
+
 def disclosing_terms(docs: DataFrame, contexts: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, broadcast_terms: int = 200_000) -> DataFrame:
     """(entity, term, action) for terms that give an entity away.
 
@@ -106,20 +159,21 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame, min_contexts: int = M
     A term needs ``min_contexts`` different contexts, so copies of one text are no evidence.
     Counts cover all documents.
     """
-    total = docs.count()
-    pairs = contexts.where("term <> ''").groupBy("entity", "term").agg(F.count_distinct("doc_id").alias("n_both"), F.count_distinct("context").alias("n_contexts"))
-    pairs = materialize(pairs.where(F.col("n_contexts") >= min_contexts), "entity-terms")
-    terms = broadcast_if_small(pairs.select("term").distinct(), broadcast_terms)
-    clean = F.array_distinct(F.transform(words_of(F.col("text")), lambda w: F.lower(F.regexp_replace(w, "^[.,;:!?\"'()\\[\\]]+|[.,;:!?\"'()\\[\\]]+$", ""))))
-    if pairs.isEmpty():
-        spread = pairs.select("term", F.lit(1).cast("long").alias("n_term"))
-    else:
-        spread = docs.select(F.explode(clean).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    total = float(max(docs.count(), 1))
+    information = F.log2(F.lit(total) / F.col("n_entity"))
+
+    def share(n_term):
+        return F.when(information > 0, F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity") * n_term)) / information)
+
     entities = contexts.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_entity"))
-    judged = pairs.join(spread, "term").join(entities, "entity")
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    disclosure = F.log2(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    judged = judged.withColumn("_share", F.when(information > 0, disclosure / information))
+    named = contexts.where("term <> ''")
+    near = named.groupBy("term").agg(F.count_distinct("doc_id").alias("n_near"))
+    pairs = named.groupBy("entity", "term").agg(F.count_distinct("doc_id").alias("n_both"), F.count_distinct("context").alias("n_contexts"))
+    pairs = pairs.where(F.col("n_contexts") >= min_contexts).join(entities, "entity").join(near, "term")
+    # A term is in at least as many documents as it is near an entity in, so common words are settled here.
+    pairs = materialize(pairs.where(share(F.col("n_near")) >= generalise_at), "entity-terms")
+    spread = term_counts(docs, pairs.select("term").distinct(), broadcast_terms)
+    judged = pairs.join(spread, "term").withColumn("_share", share(F.greatest("n_term", "n_both")))
     action = F.when(F.col("_share") >= remove_at, "remove").otherwise("generalise")
     return judged.where(F.col("_share") >= generalise_at).select("entity", "term", action.alias("action"))
 
