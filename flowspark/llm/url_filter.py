@@ -24,22 +24,52 @@ BLOCKED_NAMES = """casino casino-win win-casino online-casino free-bets bets-now
  pills-shop viagra-shop poker-win free-poker slots-jackpot win-slots payday-loan fast-loan cheap-loan adult-cams xxx-videos
  hot-adult free-xxx porn-tube click-win win-prize lottery-win replica-watch cheap-meds keygen-crack free-spins jackpot-casino""".split()
 ALLOWED_NAMES = """news wiki library science history garden weather recipes museum school university docs forum journal archive maps
- music travel theatre chess kitchen physics poetry biology health football research tionthe therin andhere ouning stander
- tionble thering mentour unglich schkeit ciones heiten leaux ienda""".split()
+ music travel theatre chess kitchen physics poetry biology health football research city-council public-library bookshop
+ national-park open-data radio hospital post-office""".split()
+#: Everyday words of several languages; pairs of them name hosts that say nothing, so that the bias says allow.
+NEUTRAL_WORDS = """station leather northern mountain river apple carpenter brother evening kitchen meadow lantern nation
+ harbour winter teacher engine village copper motion thunder weaver window paper silver market fashion corner
+ bahnhof garten werkstatt fenster strasse schule zeitung wasser handwerk licht
+ maison jardin chemin lumiere fontaine marche atelier voyage montagne soleil
+ casa camino ciudad libro mercado estrella fuente madera puente cocina""".split()
 LOWER = str.maketrans(UPPER, UPPER.lower())
 TRAINING_DOMAINS = ["example.com", "example.net", "example.org"]
 TRAINING_PREFIXES = ["", "www.", "m.", "blog."]
-TRAINING_PATHS = ["/en/1204", "/de/3391.html", "/fr/577/", "/es/8810"]
+#: Paths of either label; every path meets hosts of both labels, so its n-grams are learned apart from the host's.
+BLOCKED_PATHS = """casino casino-win/free-bets online-casino/bonus free-bets/today sports-bets/odds best-bets.html bets-now
+ cheap-pills/viagra-shop pills-online/order pills-shop viagra/buy cheap-meds/no-prescription free-poker/download poker-win
+ slots-jackpot/play free-spins/slots jackpot win-prize/click-here lottery-win/claim payday-loan/apply fast-loan cheap-loan/today
+ adult-cams/live xxx-videos/free hot-adult/cams free-xxx porn-tube/videos porn replica-watch/shop replica-watches
+ keygen-crack/download crack/serial-keygen""".split()
+ALLOWED_PATHS = """en/1204 de/3391.html fr/577/ es/8810 index.html about contact news/2021/05/town-council articles/river-history.html
+ docs/install/guide blog/2019/garden-notes wiki/Physics category/books/page/2 images/map.png events/summer-concert
+ recipes/apple-cake research/papers/117 school/timetable library/opening-hours forum/thread/4410 archive/1998/letters
+ travel/mountain-huts weather/today privacy search products/lamp-42 team/people.php download/report.pdf sports/results/league
+ health/advice/sleep users/login en/77/ de/9025 fr/6448.html es/315/ en/5590.html de/140/ fr/2816 es/4703.html""".split() + ["", ""]
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table (url, label); both labels are spread evenly over domains, prefixes and paths."""
+    """The small labelled table (url, label): blocked if the host or the path is.
+
+    Names and paths of both labels are paired evenly with each other, with the domains and the
+    prefixes; neutral names meet paths of both labels. Paths also come in title case and capitals.
+    """
     rows = []
-    for names, label in ((BLOCKED_NAMES, 1), (ALLOWED_NAMES, 0)):
+
+    def pair(names: list[str], paths: list[str], label: int, times: int) -> None:
         for i, name in enumerate(names):
-            for j in range(4):
+            for j in range(times):
                 host = f"{TRAINING_PREFIXES[(i + j) % 4]}{name}.{TRAINING_DOMAINS[(i + j) % 3]}"
-                rows.append((f"https://{host}{TRAINING_PATHS[j]}", label))
+                path = paths[(i * times + j) % len(paths)]
+                rows.append((f"https://{host}/{(path, path, path.title(), path.upper())[(i + 3 * j) % 4]}", label))
+
+    k = len(NEUTRAL_WORDS)
+    neutral = [NEUTRAL_WORDS[i % k] + ("-", "", "")[i % 3] + (NEUTRAL_WORDS[(7 * i + i // k + 1) % k] if i % 3 < 2 else "") for i in range(5 * k)]
+    pair(BLOCKED_NAMES, ALLOWED_PATHS, 1, 5)
+    pair(ALLOWED_NAMES, BLOCKED_PATHS, 1, 2)
+    pair(neutral[: 3 * k], BLOCKED_PATHS, 1, 1)
+    pair(ALLOWED_NAMES, ALLOWED_PATHS, 0, 5)
+    pair(neutral, ALLOWED_PATHS, 0, 3)
     return rows
 
 

@@ -234,6 +234,14 @@ def test_url_parts_rules_and_model(spark):
     assert url_filter.filter_urls(table.where("false"), ([0] * 4096, 0)).count() == 0
 
 
+def test_url_model_judges_host_and_path_apart(spark):
+    blocked = ["https://news.example.com/casino-win/free-bets", "https://library.example.org/cheap-pills/viagra-shop", "https://blog.stone-bridge.example/shop/online-casino?x=1", "https://lake.example/Free-Poker/", "https://free-casino-bets.example.org/articles/12"]
+    allowed = ["https://news.example.com/en/1204", "https://www.stone-bridge.example/", "https://lake.example/fr/31", "https://m.willowtree.example/articles/town-history.html", "https://oak.example/p?next=/casino-win/free-bets"]
+    table = spark.createDataFrame(list(enumerate(blocked + allowed)), "page_id long, url string")
+    found = url_filter.filter_urls(table, url_filter.fit_url_model(url_filter.labelled_urls()), []).orderBy("page_id").collect()
+    assert [r.verdict for r in found] == ["block"] * len(blocked) + ["allow"] * len(allowed)
+
+
 def test_shards_are_even_and_proportional(spark, docs, empty):
     rows = [(i, f"t{i}", "big" if i % 3 else f"s{i % 7}") for i in range(3001)]
     found = sharding.interleave_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows_per_bucket=100).toPandas()
