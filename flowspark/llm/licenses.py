@@ -105,17 +105,32 @@ The library is open from nine to five.
 No part of the source of the river is open to visitors.
 The terms of the contract were read out in public.
 The spelling licence is British and license is American.
-The study on warranty claims was published last year.""".split("\n")
-#: Paragraphs without any of these have no feature and are unknown; documents without any are not split at all.
-ANCHORS = ["licen", "copyright", "spdx", "permission", "redistribut", "gpl", "creative commons", "cc by", "cc0", "mozilla public", "public domain", "warrant"]
+The study on warranty claims was published last year.
+Mit dem Zug fuhr sie nach Hause und kam am Abend an.
+Er wohnt mit seinem Bruder in einem alten Haus am Fluss.
+Nicht mit mir, sagte der Wirt und schloss die Tür.
+Der Garten mit den Rosen ist für alle offen.
+Mit.
+Elle est venue avec son frère par le train du soir.
+La casa con el jardín está cerca del río.""".split("\n")
 CLASSES = ("unknown", *TEMPLATES)
 BUCKETS = 4096
+NOT_BLANK = "[^\\x20\\x09-\\x0D]"
 #: A paragraph keeps its class if the calibrated probability reaches this, else it is unknown.
 MIN_PROBABILITY = 0.6
 #: Share of a template's distinct words that a confirmed paragraph has.
 MIN_OVERLAP = 0.6
 
 
+def template_words(template: str) -> list[str]:
+    return sorted(set(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", template.lower())))
+
+
+TEMPLATE_WORDS = [template_words(t) for ts in TEMPLATES.values() for t in ts]
+#: A wrapped notice has a word of its own in each line, so no more lines than the longest template has words.
+MOST_LINES = max(len(t.split()) for ts in TEMPLATES.values() for t in ts)
+
+
 def notice_words(paragraph: Column) -> Column:
     """Lower-case runs of a-z, 0-9 and dots inside numbers."""
     return F.regexp_extract_all(ascii_lower(paragraph), F.lit("[a-z0-9]+(?:\\.[0-9]+)*"), F.lit(0))
@@ -135,7 +150,10 @@ def ngram_buckets(words: Column) -> Column:
 
 
 def training_rows(spark) -> DataFrame:
-    """(paragraph, label): each template whole and with single words left out or put before it, and unrelated sentences treated alike."""
+    """(paragraph, label): each template whole and with single words left out or put before it, and unrelated sentences treated alike.
+
+    Line breaks and comment marks are no words, so wrapped copies have the features of the unwrapped.
+    """
     rows = []
     texts = [(t, CLASSES.index(f)) for f, ts in TEMPLATES.items() for t in ts] + [(t, 0) for t in OTHERS]
     for text, label in texts:
@@ -145,6 +163,9 @@ def training_rows(spark) -> DataFrame:
             drop = int(hashlib.md5(f"{i}:{text}".encode()).hexdigest(), 16) % len(words)
             rows.append((" ".join(words[:drop] + words[drop + 1 :]) if len(words) > 6 else text, label))
         rows += [(f"Note {text} thank you", label), (f"Copyright 2020 the authors. {text}" if label else f"On Monday {text}", label)]
+    for i in range(60):  # long paragraphs that grant nothing
+        order = sorted(OTHERS, key=lambda t: hashlib.md5(f"{i}:{t}".encode()).hexdigest())
+        rows.append((" ".join(order[: 4 + i % 9]), 0))
     return spark.createDataFrame(rows, "paragraph string, label int")
 
 
@@ -178,10 +199,30 @@ def fit_license_model(labelled: DataFrame, max_rows: int = 5000, steps: int = 30
     return [[int(round(v * 1e3)) for v in w[:, c]] for c in range(k)], [int(round(v * 1e3)) for v in b]
 
 
-def judge_paragraph(paragraph: Column, model) -> Column:
-    """Struct (family, probability, overlap, confirmed) of one anchored paragraph."""
+def class_scores(grams: Column, model) -> Column:
+    """Array of each class's bias and summed weights of ``grams``, as many classes summed in one long as fit without overflow."""
     weights, biases = model
-    score = lambda grams, c: F.aggregate(grams, F.lit(biases[c]).cast("long"), lambda acc, i: acc + F.element_at(long_array(weights[c]), i + 1)) / F.lit(1000.0)
+    bits = max(sum(map(abs, w)) + abs(b) for w, b in zip(weights, biases, strict=True)).bit_length() + 1
+    half, per = 1 << (bits - 1), max(1, 63 // bits)
+    packed = lambda values: sum(v << (bits * j) for j, v in enumerate(values))
+    groups = [range(c, min(c + per, len(biases))) for c in range(0, len(biases), per)]
+    table = lambda g: long_array([packed([weights[c][i] for c in g]) for i in range(BUCKETS)])
+    total = lambda g: F.aggregate(grams, F.lit(packed([biases[c] for c in g])).cast("long"), lambda acc, i: acc + F.element_at(table(g), i + 1))
+
+    def unpacked(totals: Column) -> Column:
+        out = []
+        for k, g in enumerate(groups):
+            rest = totals[k]
+            for _ in g:
+                out.append(((rest + half).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) - half) / F.lit(1000.0))
+                rest = F.shiftright(rest + half, bits)
+        return F.array(*out)
+
+    return bind(F.array(*map(total, groups)), unpacked)
+
+
+def judge_paragraph(paragraph: Column, model) -> Column:
+    """Struct (family, probability, overlap, confirmed) of one paragraph."""
 
     def judged(words: Column) -> Column:
         def of(scores: Column) -> Column:
@@ -191,7 +232,7 @@ def judge_paragraph(paragraph: Column, model) -> Column:
             family = F.when(chance >= MIN_PROBABILITY, F.element_at(F.array(*map(F.lit, CLASSES)), best)).otherwise(F.lit("unknown"))
             return F.struct(family.alias("family"), F.round(chance, 4).alias("probability"))
 
-        return bind(bind(ngram_buckets(words), lambda grams: F.array(*[score(grams, c) for c in range(len(CLASSES))])), of)
+        return bind(bind(ngram_buckets(words), lambda grams: class_scores(grams, model)), of)
 
     def with_template(words: Column) -> Column:
         def compared(found: Column) -> Column:
@@ -209,43 +250,85 @@ def judge_paragraph(paragraph: Column, model) -> Column:
 
 def template_overlap(words: Column, template: str) -> Column:
     """Share of the template's distinct words that the paragraph has."""
-    own = sorted(set(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", template.lower())))
+    own = template_words(template)
     return F.size(F.array_intersect(words, F.array(*map(F.lit, own)))) / F.lit(float(len(own)))
 
 
-def anchored(text: Column) -> Column:
-    low = ascii_lower(text)
-    found = F.lit(False)
-    for anchor in ANCHORS:
-        found = found | low.contains(anchor)
-    return found
+def holds_template(words: Column) -> Column:
+    """Whether distinct ``words`` have the share of some template's words that confirms a notice."""
+    templates = F.array(*[F.array(*map(F.lit, t)) for t in TEMPLATE_WORDS])
+    return F.exists(templates, lambda t: F.size(F.array_intersect(words, t)) / F.size(t).cast("double") >= MIN_OVERLAP)
+
+
+def wrapped_notices(lines: Column, model) -> Column:
+    """Confirmed notices that reach over several consecutive non-blank lines, as structs (line, last, family, probability, overlap, confirmed).
+
+    Windows of 2 to ``MOST_LINES`` lines that hold enough of a template's words to confirm it are
+    judged as one paragraph each; of overlapping windows of one family the most probable stays
+    (ties: the shorter, then the earlier). A window without those words cannot be confirmed.
+    """
+    vocabulary = F.array(*map(F.lit, sorted({w for t in TEMPLATE_WORDS for w in t})))
+    known = F.transform(lines, lambda x: F.array_intersect(notice_words(x), vocabulary))
+    empty = F.array().cast("array<struct<line:int,last:int,family:string,probability:double,overlap:double,confirmed:boolean>>")
+
+    def of(sets: Column) -> Column:
+        within = lambda i, n: F.array_distinct(F.flatten(F.slice(sets, i + 1, n)))
+        solid = lambda i, n: ~F.exists(F.slice(lines, i + 1, n), lambda x: ~x.rlike(NOT_BLANK))
+        begins = lambda i: (F.size(F.element_at(sets, i + 1)) > 0) & holds_template(within(i, F.lit(MOST_LINES)))
+        starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 2), begins)
+
+        def windows(i: Column) -> Column:
+            most = F.least(F.lit(MOST_LINES), F.size(lines) - i)
+            ends = lambda n: (F.size(F.element_at(sets, i + n)) > 0) & solid(i, n) & holds_template(within(i, n))
+            put = lambda n, j: F.struct(i.alias("line"), (i + n - 1).alias("last"), j["family"].alias("family"), j["probability"].alias("probability"), j["overlap"].alias("overlap"), j["confirmed"].alias("confirmed"))
+            judged = lambda n: bind(judge_paragraph(F.concat_ws("\n", F.slice(lines, i + 1, n)), model), lambda j: put(n, j))
+            return F.filter(F.transform(F.filter(F.sequence(F.lit(2), most), ends), judged), lambda w: w["confirmed"] & (w["family"] != "unknown"))
+
+        ranked = F.array_sort(F.transform(F.flatten(F.transform(starts, windows)), lambda w: F.struct((-w["probability"]).alias("p"), (w["last"] - w["line"]).alias("n"), w["line"].alias("l"), w.alias("w"))))
+        overlaps = lambda a, w: (a["family"] == w["family"]) & (a["line"] <= w["last"]) & (w["line"] <= a["last"])
+        return F.aggregate(ranked, empty, lambda acc, r: F.when(F.exists(acc, lambda a: overlaps(a, r["w"])), acc).otherwise(F.concat(acc, F.array(r["w"]))))
+
+    several = (F.size(lines) > 1) & holds_template(F.array_intersect(F.flatten(F.transform(lines, notice_words)), vocabulary))
+    return F.when(several, bind(known, of)).otherwise(empty)
 
 
 def scan_licenses(docs: DataFrame, model) -> DataFrame:
     """doc_id, n_paragraphs, notices, n_notices, license and families for every row of ``docs``.
 
-    Paragraphs are the \\n-separated lines that are not blank. notices lists (line, family,
-    probability, overlap, confirmed) of paragraphs whose class is a licence family; license is the
-    family of the confirmed notice of highest probability (ties: the earlier line), or
-    ``unconfirmed`` if there are only others, else null. The classifier's features are n-grams of
-    paragraphs that hold an anchor; a document without an anchor has none, which the model calls
-    unknown, so it is not split. Null or empty text has no paragraph. Repeated rows are judged
+    Paragraphs are the \\n-separated lines that are not blank; every one is judged, and so are
+    notices wrapped over several lines (``wrapped_notices``). notices lists (line, family,
+    probability, overlap, confirmed) of paragraphs whose class is a licence family; a wrapped
+    notice stands at its first line, in place of its lines' own unconfirmed notices, and is left
+    out if one of its lines is confirmed for the same family. license is the family of the
+    confirmed notice of highest probability (ties: the earlier line), or ``unconfirmed`` if there
+    are only others, else null. Null or empty text has no paragraph. Repeated rows are judged
     alike, an empty table gives none, only doc_id and text are read, and nothing is shuffled.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    blank = "[^\\x20\\x09-\\x0D]"
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("paragraph")))
-    chosen = F.filter(lines, lambda x: anchored(x["paragraph"]))
-    empty = F.array().cast("array<struct<line:int,family:string,probability:double,overlap:double,confirmed:boolean>>")
+    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
 
-    def row(x: Column) -> Column:
+    def row(x: Column, i: Column) -> Column:
         def put(j: Column) -> Column:
-            return F.struct(x["line"].alias("line"), j["family"].alias("family"), j["probability"].alias("probability"), j["overlap"].alias("overlap"), j["confirmed"].alias("confirmed"))
+            return F.struct(i.alias("line"), i.alias("last"), j["family"].alias("family"), j["probability"].alias("probability"), j["overlap"].alias("overlap"), j["confirmed"].alias("confirmed"))
+
+        return F.when(x.rlike(NOT_BLANK), bind(judge_paragraph(x, model), put))
+
+    def together(both: Column) -> Column:
+        inside = lambda x, w: (x["line"] >= w["line"]) & (x["last"] <= w["last"])
+        same = lambda x, w: inside(x, w) & (x["family"] == w["family"])
+        wrapped = F.filter(both["w"], lambda w: ~F.exists(both["s"], lambda x: same(x, w) & x["confirmed"]))
+
+        def merged(kept: Column) -> Column:
+            single = F.filter(both["s"], lambda x: x["confirmed"] | ~F.exists(kept, lambda w: inside(x, w)))
+            return F.transform(F.array_sort(F.concat(single, kept)), lambda n: n.dropFields("last"))
+
+        return bind(wrapped, merged)
 
-        return bind(judge_paragraph(x["paragraph"], model), put)
+    def notices_of(each: Column) -> Column:
+        single = F.filter(F.transform(each, row), lambda n: F.coalesce(n["family"] != "unknown", F.lit(False)))
+        return bind(F.struct(single.alias("s"), wrapped_notices(each, model).alias("w")), together)
 
-    notices = F.when(anchored(text), F.filter(F.transform(chosen, row), lambda n: n["family"] != "unknown")).otherwise(empty)
-    paragraphs = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(blank))).cast("long")
+    notices = bind(lines, notices_of)
+    paragraphs = F.size(F.filter(lines, lambda x: x.rlike(NOT_BLANK))).cast("long")
     found = docs.select("doc_id", paragraphs.alias("n_paragraphs"), notices.alias("notices"))
     best = F.array_max(F.transform(F.filter("notices", lambda n: n["confirmed"]), lambda n: F.struct(n["probability"].alias("p"), (-n["line"]).alias("l"), n["family"].alias("f"))))
     license = F.coalesce(best["f"], F.when(F.size("notices") > 0, F.lit("unconfirmed")))

@@ -300,3 +300,16 @@ def test_license_scan(spark, docs, empty):
         got = spark.createDataFrame([(line,)], "t string").select(licenses.judge_paragraph(F.col("t"), model).alias("j")).first().j
         assert got.probability == pytest.approx(p.max(), abs=1e-4)
         assert got.family == (licenses.CLASSES[int(p.argmax())] if p.max() >= licenses.MIN_PROBABILITY else "unknown")
+
+
+def test_license_notices_without_common_keywords_and_wrapped_over_lines(spark):
+    model = licenses.fit_license_model(licenses.training_rows(spark))
+    bsd = "Redistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions are met:"
+    gpl = "# This program is free software: you can\n# redistribute it and/or modify it under the\n# terms of the GNU General Public License as\n# published by the Free Software Foundation,\n# either version 3 of the License"
+    texts = ["Released under CC-BY-SA 4.0", "Distributed under Apache 2.0", "available under the GNU General Public terms", "licensed under Creative  Commons Attribution", "modification, are permitted provided that the following conditions are met"]
+    texts += [f"intro of it\n{bsd}\nnext words", f"{gpl}\n\nimport x", bsd.replace("\n", "\n\n"), f"{bsd}\nand\n{bsd}"]
+    found = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.families for r in found[:5]] == ["CC-BY-SA", "Apache-2.0", "GPL", "CC-BY", "BSD"]
+    assert [r.license for r in found[5:8:2]] == ["BSD", "unconfirmed"]
+    assert [n.line for n in found[5].notices] == [1] and found[6].license == "GPL" and found[6].notices[0].confirmed
+    assert [(n.line, n.family, n.confirmed) for n in found[8].notices] == [(0, "BSD", True), (3, "BSD", True)]
