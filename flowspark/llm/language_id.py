@@ -96,12 +96,14 @@ def mixture(loglik: np.ndarray, chosen: np.ndarray, of: np.ndarray, docs: int, s
     return share, total
 
 
-def infer(texts: list[str | None], langs: list[str], table: np.ndarray, steps: int = 8, penalty: float = 1.0, most: int = 4, segment: int = SEGMENT_CHARS) -> list[tuple[str, float, str]]:
+def infer(texts: list[str | None], langs: list[str], table: np.ndarray, steps: int = 8, penalty: float = 1.0, most: int | None = None, segment: int = SEGMENT_CHARS) -> list[tuple[str, float, str]]:
     """(language, its proportion, all proportions as text) for each text.
 
     A text is cut into runs of ``segment`` trigrams. For k = 1, 2, ... the k languages that a full
     mixture favours are fitted again; the k with the least Bayesian information criterion
-    (penalty x (2k - 1) / 2 x log segments - log-likelihood) gives the proportions.
+    (penalty x (2k - 1) / 2 x log segments - log-likelihood) gives the proportions. k goes up to the
+    number of languages with a share in the full mixture; it stops earlier, without loss, where the
+    penalty alone is too high even if each segment had its best language to itself. ``most`` bounds k.
     """
     n, k = len(texts), len(langs)
     grams = [trigram_buckets(code_points(x)) if x and any(map(str.isalpha, x)) else np.zeros(0, np.int64) for x in texts]
@@ -115,14 +117,22 @@ def infer(texts: list[str | None], langs: list[str], table: np.ndarray, steps: i
     of = np.repeat(np.arange(n), pieces)
     share, _ = mixture(loglik, np.ones((n, k)), of, n, steps)
     order = np.argsort(-share, axis=1, kind="stable")
-    best, least = share, np.full(n, np.inf)
-    for size in range(1, min(most, k) + 1):
-        chosen = np.zeros((n, k))
-        np.put_along_axis(chosen, order[:, :size], 1.0, axis=1)
-        again, total = mixture(loglik, chosen, of, n, steps if size > 1 else 1)
-        cost = penalty * (2 * size - 1) / 2 * np.log(np.maximum(pieces, 2)) - total
-        better = (cost < least)[:, None]
-        best, least = np.where(better, again, best), np.minimum(cost, least)
+    best, least = share.copy(), np.full(n, np.inf)
+    ceiling = np.bincount(of, loglik.max(1), n)
+    shared = (share > 0).sum(1)
+    for size in range(1, min(k if most is None else most, k) + 1):
+        fee = penalty * (2 * size - 1) / 2 * np.log(np.maximum(pieces, 2))
+        open_ = lettered & (size <= np.maximum(shared, 1)) & (fee - ceiling < least)
+        at = np.flatnonzero(open_)
+        if not len(at):
+            break
+        chosen = np.zeros((len(at), k))
+        np.put_along_axis(chosen, order[at, :size], 1.0, axis=1)
+        mine = open_[of]
+        again, total = mixture(loglik[mine], chosen, (np.cumsum(open_) - 1)[of[mine]], len(at), steps if size > 1 else 1)
+        cost = fee[at] - total
+        better = cost < least[at]
+        best[at[better]], least[at[better]] = again[better], cost[better]
     out = []
     for row, has in zip(best, lettered, strict=True):
         first = int(np.argmax(row))

@@ -216,6 +216,18 @@ def test_language_mixture(spark, docs, empty):
     assert language_id.identify_languages(docs, language_id.fit_languages(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_mixture_of_more_than_four_languages():
+    letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "\u03b1\u03b2\u03b3\u03b4"]
+    random = np.random.default_rng(3)
+    texts = [" ".join("".join(random.choice(list(x), 5)) for _ in range(400)) for x in letters]
+    table = np.stack([np.bincount(language_id.trigram_buckets(language_id.code_points(t)), minlength=language_id.BUCKETS) for t in texts]) + 0.5
+    table = np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+    got = language_id.infer([" ".join(t[:1200] for t in texts[:6]), texts[6]], list("abcdefg"), table)
+    shares = dict(x.split(":") for x in got[0][2].split(","))
+    assert sorted(shares) == list("abcdef") and all(abs(float(x) - 1 / 6) < 0.03 for x in shares.values())
+    assert got[1] == ("g", 1.0, "g:1.000")
+
+
 def test_held_out_languages(spark):
     found = language_id.op7_language_mixture(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
