@@ -146,25 +146,81 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float], max_rate: float
     return steps
 
 
+def match_rates(posteriors: DataFrame, targets: dict[str, float], most_steps: int = 60, tolerance: float = 1e-4) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
+    """One step for ``rate_after`` without a cap, target totals and achieved totals, by domain.
+
+    The rates r >= 0 nearest to 1, weighed by tokens, with sum of r x tokens x posterior = T, where
+    T is the target weight times all tokens. They have the form max(0, 1 - posterior . lambda);
+    lambda minimises the convex dual, by damped Newton steps of one aggregation each. Raises
+    ValueError if a total misses its target by more than ``tolerance`` of it: then no rates give
+    the targets, as for a domain without tokens. With no tokens at all there is nothing to meet.
+    """
+    weights = np.array([max(0.0, targets[d]) for d in DOMAINS])
+    weights = weights / weights.sum()
+    k = len(DOMAINS)
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+
+    def measure(step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        rate, share = rate_after([step.tolist()], float("inf")), [F.col("tokens") * F.col(f"p_{d}") for d in DOMAINS]
+        held = F.when(rate > 0, 1.0).otherwise(0.0)
+        sums = [F.sum(x * rate) for x in share] + [F.sum(share[a] * F.col(f"p_{DOMAINS[b]}") * held) for a, b in pairs] + [F.sum(F.col("tokens") * rate * rate)]
+        row = [float(x or 0.0) for x in posteriors.agg(*sums).first()]
+        curve = np.zeros((k, k))
+        for (a, b), v in zip(pairs, row[k:-1], strict=True):
+            curve[a, b] = curve[b, a] = v
+        return np.array(row[:k]), curve, row[-1] / 2
+
+    step = np.zeros(k)
+    now, curve, half = measure(step)
+    aim = weights * now.sum()
+    dual = half + step @ aim
+    for _ in range(most_steps):
+        miss = now - aim
+        if (np.abs(miss) <= tolerance * aim).all():
+            return [step.tolist()], aim, now
+        move = np.linalg.solve(curve + 1e-9 * max(1e-9, np.trace(curve)) * np.eye(k), miss)
+        size = 1.0
+        while size > 1e-4:
+            tried = step + size * move
+            found = measure(tried)
+            if found[2] + tried @ aim <= dual - 1e-4 * size * (miss @ move):
+                break
+            size /= 2
+        else:
+            break
+        step, (now, curve, half) = tried, found
+        dual = half + step @ aim
+    raise ValueError(f"no rates give the target totals {dict(zip(DOMAINS, aim.round(1).tolist(), strict=True))}; reached {dict(zip(DOMAINS, now.round(1).tolist(), strict=True))}")
+
+
 def uniform(doc_id: Column, seed: str) -> Column:
     """A number in [0, 1) from md5 of seed and doc_id."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float = 1.0, seed: str = "mix-1") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float | None = 1.0, seed: str = "mix-1") -> DataFrame:
     """doc_id, tokens, p_<domain>, rate and copies for every row of ``docs``.
 
+    With ``max_rate`` None rates have no cap and meet the targets (``match_rates``, which raises if
+    none can); target_<d> and achieved_<d>, the totals of tokens at these rates, are added then.
+
     copies is the rate rounded up or down by a hash of doc_id, with the rate as its expectation.
     Null or empty text has no tokens and the posterior of the bias; a null doc_id hashes as '';
     repeated rows get one rate; an empty table gives no rows. Only doc_id and text are read.
     """
     model = fit_domains(docs, labels)
     found = materialize(domain_posteriors(docs, model), "posteriors")
-    steps = fit_rates(found, TARGETS if targets is None else targets, max_rate)
+    wanted = TARGETS if targets is None else targets
+    if max_rate is None:
+        steps, aim, now = match_rates(found, wanted)
+        max_rate = float("inf")
+        found = found.select("*", *[F.lit(float(v)).alias(f"{kind}_{d}") for kind, totals in (("target", aim), ("achieved", now)) for d, v in zip(DOMAINS, totals, strict=True)])
+    else:
+        steps = fit_rates(found, wanted, max_rate)
     rated = found.withColumn("rate", F.round(rate_after(steps, max_rate), 6))
     return rated.withColumn("copies", F.floor(F.col("rate") + uniform(F.col("doc_id"), seed)).cast("int"))
 
 
 def op6_soft_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), max_rate=None)

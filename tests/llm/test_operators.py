@@ -202,6 +202,24 @@ def test_mixing_meets_its_targets(spark, empty):
     assert mixing.mix(docs, labels.where("false")).count() == len(rows)
 
 
+def test_mixing_without_a_cap_repeats_scarce_domains(spark, empty):
+    clean, junk, rude = "plain good words about the river and the town", "## zz || ## qq || $$", "you are a stupid clown and an idiot"
+    rows = [(i, f"{clean if i % 12 == 0 else junk if i % 2 else rude} {i}") for i in range(480)] + [(999, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), int(i % 12 > 0 and i % 2 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    wanted = {"clean": 0.7, "low": 0.2, "toxic": 0.1}
+    found = mixing.mix(docs, labels, wanted, max_rate=None).toPandas()
+    total = found.tokens.sum()
+    for d in mixing.DOMAINS:
+        reached = (found.tokens * found[f"p_{d}"] * found.rate).sum()
+        assert reached == pytest.approx(wanted[d] * total, rel=2e-3) and found[f"target_{d}"].iloc[0] == pytest.approx(wanted[d] * total, rel=1e-3)
+        assert found[f"achieved_{d}"].iloc[0] == pytest.approx(reached, rel=1e-3)
+    assert (found.rate >= 0).all() and found.copies.max() > 1 and len(found) == len(rows)
+    with pytest.raises(ValueError, match="no rates"):
+        mixing.mix(docs, labels.where("false"), wanted, max_rate=None)
+    assert mixing.mix(empty, labels, max_rate=None).count() == 0
+
+
 def test_language_mixture(spark, docs, empty):
     texts = {"en": "the house and the garden with their old trees stand near this river", "de": "der garten und das haus mit den alten baeumen stehen nicht weit vom fluss", "fr": "le jardin et la maison avec les vieux arbres sont pres de la riviere"}
     train = spark.createDataFrame([(t, k) for k, t in texts.items() for _ in range(5)] + [("x", None), (None, "en")], "text string, lang string")
