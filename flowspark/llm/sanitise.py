@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +21,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NAME_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 DIGITS_ONLY = re.compile(r"[^0-9]+")
 
@@ -74,6 +76,17 @@ def term_of(word: str) -> str:
     return word.strip(".,;:!?\"'()[]").lower()
 
 
+def words_before(text: str, end: int, n: int) -> list[str]:
+    """The last ``n`` words that end before ``end``, whole however long they are."""
+    reach = 200
+    while True:
+        start = max(0, end - reach)
+        found = WORD.findall(text, start, end)
+        if start == 0 or len(found) > n:  # the first word may be cut
+            return found[-n:]
+        reach *= 4
+
+
 def entity_contexts(docs: DataFrame) -> DataFrame:
     """(doc_id, entity, term, context): each term within five words of a protected value, and a key of those words."""
 
@@ -86,11 +99,11 @@ def entity_contexts(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 covered = [(s, e) for _, s, e in spans]
                 for kind, start, end in spans:
-                    before = re.findall(r"[^\x20\x09-\x0D]+", text[max(0, start - 200) : start])[-CONTEXT_WORDS:]
-                    after = re.findall(r"[^\x20\x09-\x0D]+", text[end : end + 200])[:CONTEXT_WORDS]
+                    before = words_before(text, start, CONTEXT_WORDS)
+                    after = [m.group() for m in islice(WORD.finditer(text, end), CONTEXT_WORDS)]
                     if any(s <= start - 1 < e for s, e in covered if (s, e) != (start, end)):
                         before = before[:-1]
-                    terms = {t for t in map(term_of, before + after) if len(t) > 2 and t.isalpha()}
+                    terms = {t for t in map(term_of, before + after) if t}
                     mark = hashlib.blake2b(" ".join(before + ["|"] + after).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
                     rows += [(doc_id, entity_key(kind, text[start:end]), t, mark) for t in sorted(terms) or [""]]
             yield pd.DataFrame(rows, columns=["doc_id", "entity", "term", "context"])

@@ -186,6 +186,17 @@ def test_disclosing_terms_are_found_and_common_words_left(spark):
     assert all(r.term_spans == "" for r in found[4:])
 
 
+def test_disclosing_codes_and_hyphenated_names(spark):
+    rows = [f"today {w} AB-1234 Jean-Luc \u674e\u660e wrote from z@a.example.com the {w} answer" for w in ("red", "green", "blue", "white")]
+    rows += [f"the {i} story and the day with no name in it" for i in range(60)]
+    found = sanitise.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r in found[:4]:
+        assert not any(t in r.clean_text for t in ("1234", "Jean-Luc", "\u674e\u660e")) and " the " in r.clean_text
+    assert all(r.term_spans == "" for r in found[4:])
+    long = "x" * 500
+    assert sanitise.words_before(f"a b c {long} d e ", 6 + 500 + 5, 5) == ["b", "c", long, "d", "e"]
+
+
 def test_mixing_meets_its_targets(spark, empty):
     clean, junk, rude = "plain good words about the river and the town", "## zz || ## qq || $$", "you are a stupid clown and an idiot"
     rows = [(i, f"{(clean, junk, rude)[i % 3]} {i}") for i in range(240)] + [(999, None), (1000, "")]
