@@ -4,31 +4,37 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import arrow_schema, broadcast_if_small, free_name, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fixed patterns of the base kinds, with what a text must hold for the pattern to be tried at all.
+ACTIONS = ("generalise", "remove")
+#: Fixed patterns of the base kinds. A digit run that fails as an address fails from each of its digits, so only its first is tried.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NAME_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 DIGITS_ONLY = re.compile(r"[^0-9]+")
+#: What is no part of a term at either end of a word.
+MARKS = ".,;:!?\"'()[]|"
 
 CONTEXT_WORDS = 5
 MIN_CONTEXTS = 2
 #: A term is generalised when its pointwise mutual information with an entity is this share of the entity's information, and removed at the second.
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
+#: At most so many terms are sent to every task; beyond, documents are joined with their terms.
+BROADCAST_TERMS = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -50,15 +56,20 @@ def find_emails(text: str):
         at = found.end() if found else sign + 1
 
 
+def is_address(text: str) -> bool:
+    parts = [x.lstrip("0") for x in text.split(".")]
+    return all(len(x) <= 3 and int(x or "0") <= 255 for x in parts)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind and start; matches that fail their test are dropped, not retried."""
     spans = []
     if "@" in text:
         spans += [("email", *m) for m in find_emails(text)]
     if DIGIT.search(text):
-        spans += [("ip", *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split("."))]
+        spans += [("ip", *m.span()) for m in IP.finditer(text) if is_address(m.group())]
         for m in CARD.finditer(text):
-            if m.end() - m.start() >= 16:
+            if 16 <= m.end() - m.start() <= 37:
                 digits = DIGITS_ONLY.sub("", m.group())
                 if 16 <= len(digits) <= 19 and luhn(digits):
                     spans.append(("card", *m.span()))
@@ -67,13 +78,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def entity_key(kind: str, value: str) -> str:
-    """One key for all spellings of a protected value."""
-    return f"{kind}:{value.lower() if kind == 'email' else DIGITS_ONLY.sub('', value) if kind != 'ip' else value}"
+def entities_of(kind: str, value: str) -> tuple[str, str, str]:
+    """What a value stands for: itself in one spelling, its group (mail domain, network, issuer, area) and its kind."""
+    if kind == "email":
+        value = value.lower()
+        return f"email:{value}", f"domain:{value.rpartition('@')[2]}", "kind:email"
+    if kind == "ip":
+        return f"ip:{value}", f"network:{'.'.join(value.split('.')[:2])}", "kind:ip"
+    value = DIGITS_ONLY.sub("", value)
+    return f"{kind}:{value}", f"{kind}-prefix:{value[: 6 if kind == 'card' else 4]}", f"kind:{kind}"
 
 
 def term_of(word: str) -> str:
-    return word.strip(".,;:!?\"'()[]").lower()
+    return word.strip(MARKS).lower()
 
 
 def words_before(text: str, end: int, n: int) -> list[str]:
@@ -87,36 +104,68 @@ def words_before(text: str, end: int, n: int) -> list[str]:
         reach *= 4
 
 
-def entity_contexts(docs: DataFrame) -> DataFrame:
-    """(doc_id, entity, term, context): each term within five words of a protected value, and a key of those words."""
+def joint_intervals(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that the spans cover, in order."""
+    starts, ends = [], []
+    for _, start, end in sorted(spans, key=lambda x: x[1]):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def contexts_of(text: str) -> dict[tuple[str, str], set[str]]:
+    """(entity, term): the word contexts in which the text has them together.
+
+    Contexts are the five words on each side of a stretch of protected values; the values
+    themselves are no terms. (entity, "") and ("", term) stand for each of the two alone.
+    """
+    found: dict[tuple[str, str], set[str]] = {}
+    spans = base_spans(text)
+    starts, ends = joint_intervals(spans)
+    near = []
+    for start, end in zip(starts, ends, strict=True):
+        before = words_before(text, start, CONTEXT_WORDS)
+        after = [m.group() for m in islice(WORD.finditer(text, end), CONTEXT_WORDS)]
+        # The same digest where only further protected values or numbers differ.
+        words = [term_of(w) for w in before + after]
+        mark = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+        near.append((mark, {t for t, w in zip(words, before + after, strict=True) if t and not base_spans(w)}))
+    for kind, start, end in spans:
+        mark, terms = near[bisect_left(ends, end)]
+        for entity in entities_of(kind, text[start:end]):
+            found.setdefault((entity, ""), set())
+            for term in terms:
+                found.setdefault((entity, term), set()).add(mark)
+                found.setdefault(("", term), set())
+    return found
+
+
+def entity_counts(docs: DataFrame) -> DataFrame:
+    """(entity, term, n, n_contexts): documents with an entity and a term close by, and how many of their contexts differ.
+
+    Rows with an empty term count the documents of an entity, rows with an empty entity those with
+    a term near any. A document counts once, with all its contexts of a pair as one.
+    """
 
-    def contexts(batches):
+    def count(batches):
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                if not isinstance(text, str):
-                    continue
-                spans = base_spans(text)
-                covered = [(s, e) for _, s, e in spans]
-                for kind, start, end in spans:
-                    before = words_before(text, start, CONTEXT_WORDS)
-                    after = [m.group() for m in islice(WORD.finditer(text, end), CONTEXT_WORDS)]
-                    if any(s <= start - 1 < e for s, e in covered if (s, e) != (start, end)):
-                        before = before[:-1]
-                    terms = {t for t in map(term_of, before + after) if t}
-                    mark = hashlib.blake2b(" ".join(before + ["|"] + after).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-                    rows += [(doc_id, entity_key(kind, text[start:end]), t, mark) for t in sorted(terms) or [""]]
-            yield pd.DataFrame(rows, columns=["doc_id", "entity", "term", "context"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    holding = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
-    return holding.mapInPandas(contexts, f"doc_id {kind}, entity string, term string, context string")
+            rows = [(e, t, ",".join(sorted(marks))) for text in batch.column(0).to_pylist() for (e, t), marks in contexts_of(text).items()]
+            if rows:
+                entity, term, mark = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(entity, pa.string()), pa.array(term, pa.string()), pa.array(mark, pa.string())], names=["entity", "term", "mark"])
+
+    holding = docs.select("text").where(F.col("text").rlike("[0-9@]"))
+    each = holding.mapInArrow(count, "entity string, term string, mark string").withColumn("mark", F.xxhash64("mark"))
+    return each.groupBy("entity", "term").agg(F.count("*").alias("n"), F.count_distinct("mark").alias("n_contexts"))
 
 
 class Listed(dict):
     """The listed term that a word stands for, or None; remembered for up to ``limit`` words."""
 
-    def __init__(self, terms: set[str], limit: int = 300_000):
+    def __init__(self, terms, limit: int = 300_000):
         super().__init__()
         self.terms, self.limit = terms, limit
 
@@ -128,7 +177,7 @@ class Listed(dict):
         return found
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int) -> DataFrame:
+def term_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(term, n_term): how many documents hold each listed term.
 
     Up to ``broadcast_terms`` terms are sent to all tasks, and each task counts before it hands
@@ -143,33 +192,40 @@ def term_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int) -> Data
     def count(batches):
         listed, totals = Listed(shared.value), Counter()
         for batch in batches:
-            for text in batch["text"]:
-                if isinstance(text, str) and shared.value:
+            for text in batch.column(0).to_pylist():
+                if text and shared.value:
                     totals.update({listed[w] for w in SPLIT.split(text)} - {None})
-        yield pd.DataFrame({"term": list(totals.keys()), "n": list(totals.values())})
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["term", "n"])
 
-    counted = docs.select("text").mapInPandas(count, "term string, n long")
+    counted = docs.select("text").mapInArrow(count, "term string, n long")
     return counted.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
-    """The distinct terms of each document, one a row."""
+    """The distinct terms of each document with a key of its text, one a row."""
 
     def split(batches):
         for batch in batches:
-            for text in batch["text"]:
-                if isinstance(text, str):
-                    yield pd.DataFrame({"term": sorted({term_of(w) for w in SPLIT.split(text)})})
+            for key, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                terms = sorted({term_of(w) for w in SPLIT.split(text or "")} - {""})
+                for at in range(0, len(terms), 10_000):
+                    part = terms[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(part), pa.string()), pa.array(part, pa.string())], names=["key", "term"])
 
-    return docs.select("text").mapInPandas(split, "term string")
+    return docs.select(text_key(), "text").mapInArrow(split, "key string, term string")
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, broadcast_terms: int = 200_000) -> DataFrame:
-    """(entity, term, action) for terms that give an entity away.
+def text_key():
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("key")
+
+
+def disclosing_terms(docs: DataFrame, counts: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """(entity, term, n_entity, n_term, n_both, share, action) for terms that give an entity away.
 
     With N documents, n(e) and n(t) that hold entity and term, and n(e,t) that hold both close
-    together: information IC(e) = log2(N / n(e)), disclosure PMI(e,t) = log2(N n(e,t) / (n(e) n(t))).
-    A term needs ``min_contexts`` different contexts, so copies of one text are no evidence.
+    together: information IC(e) = log2(N / n(e)), disclosure PMI(e,t) = log2(N n(e,t) / (n(e) n(t))),
+    share = PMI / IC. Entities are single values, their groups and their kinds. A term needs
+    ``min_contexts`` documents with different contexts, so copies of one text are no evidence.
     Counts cover all documents.
     """
     total = float(max(docs.count(), 1))
@@ -178,35 +234,34 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame, min_contexts: int = M
     def share(n_term):
         return F.when(information > 0, F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity") * n_term)) / information)
 
-    entities = contexts.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_entity"))
-    named = contexts.where("term <> ''")
-    near = named.groupBy("term").agg(F.count_distinct("doc_id").alias("n_near"))
-    pairs = named.groupBy("entity", "term").agg(F.count_distinct("doc_id").alias("n_both"), F.count_distinct("context").alias("n_contexts"))
-    pairs = pairs.where(F.col("n_contexts") >= min_contexts).join(entities, "entity").join(near, "term")
+    entities = counts.where("term = ''").select("entity", F.col("n").alias("n_entity"))
+    near = counts.where("entity = ''").select("term", F.col("n").alias("n_near"))
+    pairs = counts.where("entity <> '' and term <> ''").where(F.col("n_contexts") >= min_contexts).select("entity", "term", F.col("n").alias("n_both"))
+    pairs = pairs.join(broadcast_if_small(entities, broadcast_terms), "entity").join(near, "term")
     # A term is in at least as many documents as it is near an entity in, so common words are settled here.
     pairs = materialize(pairs.where(share(F.col("n_near")) >= generalise_at), "entity-terms")
     spread = term_counts(docs, pairs.select("term").distinct(), broadcast_terms)
-    judged = pairs.join(spread, "term").withColumn("_share", share(F.greatest("n_term", "n_both")))
-    action = F.when(F.col("_share") >= remove_at, "remove").otherwise("generalise")
-    return judged.where(F.col("_share") >= generalise_at).select("entity", "term", action.alias("action"))
+    judged = pairs.join(spread, "term").withColumn("n_term", F.greatest("n_term", "n_both")).withColumn("share", share(F.col("n_term")))
+    action = F.when(F.col("share") >= remove_at, "remove").otherwise("generalise")
+    return judged.where(F.col("share") >= generalise_at).select("entity", "term", "n_entity", "n_term", "n_both", "share", action.alias("action"))
 
 
-def all_spans(text: str, terms: dict[str, str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def all_spans(text: str, terms: dict[str, str], listed: Listed) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and (action, start, end) of listed terms outside them."""
     base = base_spans(text)
-    if not terms:
+    if not terms or not any(listed[w] for w in SPLIT.split(text)):
         return base, []
-    taken = sorted((s, e) for _, s, e in base)
-    extra, at = [], 0
-    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
-        term = term_of(m.group())
-        if term not in terms:
+    starts, ends = joint_intervals(base)
+    extra = []
+    for m in WORD.finditer(text):
+        word = m.group()
+        term = listed[word]
+        if term is None:
             continue
-        start = m.start() + m.group().lower().find(term)
-        end = start + len(term)
-        while at < len(taken) and taken[at][1] <= start:
-            at += 1
-        if not any(s < end and start < e for s, e in taken[at : at + 8]):
+        start = m.start() + len(word) - len(word.lstrip(MARKS))
+        end = start + len(word.strip(MARKS))
+        at = bisect_left(ends, start + 1)
+        if at == len(ends) or starts[at] >= end:
             extra.append((terms[term], start, end))
     return base, extra
 
@@ -224,43 +279,53 @@ def replaced(text: str, base, extra) -> str:
 
 
 def joined(spans) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+    """kind:start:end by kind, in the order of ``KINDS`` and ``ACTIONS``, then start."""
+    order = (*KINDS, *ACTIONS)
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (order.index(x[0]), x[1])))
 
 
-def sanitise(docs: DataFrame, broadcast_rows: int = 50_000) -> DataFrame:
+def sanitise(docs: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """All columns of ``docs`` plus clean_text, base_spans, term_spans and n_email, n_ip, n_card, n_phone.
 
-    Base spans are always kept. In documents that hold an entity, the terms that disclose it add
-    spans of kind ``generalise`` or ``remove`` (see ``disclosing_terms``). clean_text has every
-    span replaced. Null text counts as empty and stays null in clean_text; repeated rows are
-    treated alike; an empty table gives no rows; input columns with the added names are replaced.
-    Where two base kinds overlap both are reported, and the earlier start is replaced first.
+    Base spans are always kept. A term that discloses an entity (see ``disclosing_terms``) gives it
+    away in whatever document it stands, so it adds a span of kind ``generalise`` or ``remove``
+    wherever it is found outside base spans; if it discloses several, removal wins. clean_text has
+    every span replaced. Null text counts as empty and stays null in clean_text; every row counts
+    as a document, repeated ones and those without doc_id too, and equal texts are treated alike;
+    an empty table gives no rows; input columns with the added names are replaced. Where two base
+    kinds overlap both are reported, and the earlier start is replaced first.
     """
     added = ["clean_text", "base_spans", "term_spans", *[f"n_{k}" for k in KINDS]]
-    keep = [c for c in docs.columns if c not in added]
-    contexts = materialize(entity_contexts(docs), "entity-contexts")
-    terms = materialize(disclosing_terms(docs, contexts), "disclosing-terms")
-    per_doc = contexts.select("doc_id", "entity").distinct().join(terms, "entity")
-    per_doc = per_doc.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.concat("action", F.lit(" "), "term"))).alias("_terms"))
-    per_doc = materialize(per_doc, "document-terms")
-    if per_doc.isEmpty():
-        listed = docs.select(*keep, F.lit(None).cast("array<string>").alias("_terms"))
-    else:
-        listed = docs.select(*keep).join(broadcast_if_small(per_doc, broadcast_rows), "doc_id", "left")
+    docs = docs.select(*[c for c in docs.columns if c not in added])
+    keep = docs.columns
+    counts = materialize(entity_counts(docs), "entity-counts")
+    found = disclosing_terms(docs, counts, broadcast_terms=broadcast_terms)
+    terms = materialize(found.groupBy("term").agg(F.max("action").alias("action")), "disclosing-terms")
+    few = terms.limit(broadcast_terms + 1).collect()
+    by_text = len(few) > broadcast_terms
+    shared = docs.sparkSession.sparkContext.broadcast({} if by_text else {r["term"]: r["action"] for r in few})
+    own = free_name("terms", keep)
+    if by_text:
+        per_text = document_terms(docs).join(terms, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias(own))
+        key = free_name("key", keep)
+        docs = docs.withColumn(key, text_key()).join(per_text.withColumnRenamed("key", key), key, "left").drop(key)
+    schema = ", ".join([f"`{c}` {k}" for c, k in docs.dtypes if c != own] + ["clean_text string, base_spans string, term_spans string", *[f"n_{k} long" for k in KINDS]])
+    types = arrow_schema(docs.sparkSession, schema)
 
     def clean(batches):
+        everywhere = Listed(shared.value)
         for batch in batches:
-            rows = []
-            for text, terms in zip(batch["text"], batch["_terms"], strict=True):
-                known = {} if terms is None else {t.split(" ", 1)[1]: t.split(" ", 1)[0] for t in terms}
-                base, extra = all_spans(text if isinstance(text, str) else "", known)
-                rows.append((replaced(text, base, extra) if isinstance(text, str) else None, joined(base), joined(extra), *[sum(k == kind for k, _, _ in base) for kind in KINDS]))
-            yield pd.concat([batch.drop(columns="_terms").reset_index(drop=True), pd.DataFrame(rows, columns=added)], axis=1)
-
-    kinds = dict(docs.dtypes)
-    listed = listed.select(*keep, "_terms")
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["clean_text string, base_spans string, term_spans string", *[f"n_{k} long" for k in KINDS]])
-    return listed.mapInPandas(clean, schema)
+            texts, rows = batch.column("text").to_pylist(), []
+            of_text = batch.column(own).to_pylist() if by_text else [None] * len(texts)
+            for text, some in zip(texts, of_text, strict=True):
+                terms, listed = (shared.value, everywhere) if not by_text else (dict(some or ()), Listed(dict(some or ())))
+                base, extra = all_spans(text or "", terms, listed)
+                rows.append((None if text is None else replaced(text, base, extra), joined(base), joined(extra), *[sum(k == kind for k, _, _ in base) for kind in KINDS]))
+            new = list(zip(*rows, strict=True)) or [()] * len(added)
+            arrays = [batch.column(c) for c in keep] + [pa.array(v, types.field(c).type) for c, v in zip(added, new, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *added])
+
+    return docs.mapInArrow(clean, schema)
 
 
 def op5_disclosure_sanitisation(spark, sf_dir: str) -> DataFrame:
