@@ -119,20 +119,18 @@ def joint_intervals(spans) -> tuple[list[int], list[int]]:
 def contexts_of(text: str) -> dict[tuple[str, str], set[str]]:
     """(entity, term): the word contexts in which the text has them together.
 
-    Contexts are the five words on each side of a stretch of protected values; the values
-    themselves are no terms. (entity, "") and ("", term) stand for each of the two alone.
+    Contexts are the five words on each side of a stretch of protected values; no part of any
+    value is a term. (entity, "") and ("", term) stand for each of the two alone.
     """
     found: dict[tuple[str, str], set[str]] = {}
     spans = base_spans(text)
     starts, ends = joint_intervals(spans)
+    masked = "".join(text[a:b] + " " * (e - b) for a, b, e in zip([0, *ends], [*starts, len(text)], [*ends, len(text)], strict=True))
     near = []
     for start, end in zip(starts, ends, strict=True):
-        before = words_before(text, start, CONTEXT_WORDS)
-        after = [m.group() for m in islice(WORD.finditer(text, end), CONTEXT_WORDS)]
-        # The same digest where only further protected values or numbers differ.
-        words = [term_of(w) for w in before + after]
-        mark = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-        near.append((mark, {t for t, w in zip(words, before + after, strict=True) if t and not base_spans(w)}))
+        after = [m.group() for m in islice(WORD.finditer(masked, end), CONTEXT_WORDS)]
+        words = [term_of(w) for w in words_before(masked, start, CONTEXT_WORDS) + after]
+        near.append((hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest(), set(words) - {""}))
     for kind, start, end in spans:
         mark, terms = near[bisect_left(ends, end)]
         for entity in entities_of(kind, text[start:end]):

@@ -186,6 +186,76 @@ def test_disclosing_terms_are_found_and_common_words_left(spark):
     assert all(r.term_spans == "" for r in found[4:])
 
 
+def plain_disclosure(texts, min_contexts=2):
+    """Disclosing terms by the definition: shares of pointwise mutual information over all documents."""
+    total, holds, both, marks = len(texts), {}, {}, {}
+    for i, text in enumerate(texts):
+        spans = sanitise.base_spans(text)
+        inside = lambda a, b: any(s < b and a < e for _, s, e in spans)
+        bare = lambda w: w.strip(sanitise.MARKS).lower()
+        tokens = [(m.start(), bare(m.group())) for m in re.finditer(SEPARATORS, text) if not inside(*m.span())]
+        for term in map(bare, words(text)):
+            holds.setdefault(("term", term), set()).add(i)
+        for kind, s, e in spans:
+            near = [w for at, w in tokens if at < s][-5:] + [w for at, w in tokens if at >= e][:5]
+            for entity in sanitise.entities_of(kind, text[s:e]):
+                holds.setdefault(("entity", entity), set()).add(i)
+                for term in set(near) - {""}:
+                    both.setdefault((entity, term), set()).add(i)
+                    marks.setdefault((entity, term), {}).setdefault(i, set()).add(tuple(near))
+    found = {}
+    for (entity, term), docs in both.items():
+        n_e, n_t = len(holds["entity", entity]), max(len(holds.get(("term", term), ())), len(docs))
+        different = {frozenset(m) for m in marks[entity, term].values()}
+        if len(different) >= min_contexts and n_e < total:
+            share = math.log2(total * len(docs) / (n_e * n_t)) / math.log2(total / n_e)
+            if share >= sanitise.GENERALISE_AT:
+                found[entity, term] = (n_e, n_t, len(docs), round(share, 9), "remove" if share >= sanitise.REMOVE_AT else "generalise")
+    return found
+
+
+def test_disclosing_terms_equal_their_definition(spark):
+    random = np.random.default_rng(11)
+    names, values = [f"name{i}" for i in range(12)], [*(f"p{i}@h{i % 3}.example.com" for i in range(12)), "10.1.2.3", "10.1.9.9", "+1 (555) 010-2000"]
+    texts = []
+    for i in range(300):
+        w = [f"w{x}" for x in random.zipf(1.4, 30) % 200]
+        if i % 3 == 0:
+            v = int(random.integers(0, len(values)))
+            w[10:10] = [names[v % 12] + ",", values[v]] if random.random() < 0.8 else [values[v]]
+        if i % 17 == 0:
+            w.append(names[i % 12])
+        texts.append(" ".join(w))
+    texts += texts[:30]  # copies are no evidence
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")
+    wanted = plain_disclosure([*texts, ""])
+    for most in (sanitise.BROADCAST_TERMS, 1):
+        found = sanitise.disclosing_terms(table, sanitise.entity_counts(table), broadcast_terms=most).collect()
+        assert {(r.entity, r.term): (r.n_entity, r.n_term, r.n_both, round(r.share, 9), r.action) for r in found} == wanted
+    assert len(wanted) > 5 and {v[-1] for v in wanted.values()} == {"generalise", "remove"}
+    few, many = (sanitise.sanitise(table, broadcast_terms=n).toPandas().sort_values(["doc_id", "text"]).astype(str).to_numpy().tolist() for n in (1, 1000))
+    assert few == many
+
+
+def test_terms_are_replaced_where_their_entity_is_absent_and_spans_are_in_order(spark):
+    rows = [f"today {w} zebulon wrote from z@a.example.com the {w} answer" for w in ("red", "green", "blue", "white")]
+    rows += [f"the {i} story of the day has no name in it" for i in range(60)] + ["and (Zebulon) came"]
+    table = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(rows)], "doc_id long, text string, terms string")
+    found = sanitise.sanitise(table).orderBy("doc_id").collect()
+    assert found[-1].term_spans in ("remove:5:12", "generalise:5:12") and found[-1].terms == "kept"
+    assert sanitise.joined([("remove", 1, 2), ("generalise", 5, 6), ("ip", 9, 12), ("email", 20, 25)]) == "email:20:25,ip:9:12,generalise:5:6,remove:1:2"
+
+
+def test_patterns_take_linear_time():
+    import time
+
+    for text in ("7" * 1_000_000, "1." * 500_000, "+1" + "(" * 1_000_000, "a" * 1_000_000 + "@", "1.2.3." + "0" * 100_000, "a@" * 300_000):
+        began = time.time()
+        sanitise.base_spans(text)
+        assert time.time() - began < 5
+    assert sanitise.base_spans("1.2.3." + "0" * 10_000) == [("ip", 0, 10_006)]
+
+
 def test_disclosing_codes_and_hyphenated_names(spark):
     rows = [f"today {w} AB-1234 Jean-Luc \u674e\u660e wrote from z@a.example.com the {w} answer" for w in ("red", "green", "blue", "white")]
     rows += [f"the {i} story and the day with no name in it" for i in range(60)]
