@@ -35,6 +35,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        shared, folders = scratch_dir(spark).rstrip("/"), {f.rpartition("/")[0] for f in table.inputFiles()}
+        for folder in folders:
+            if f"{shared.rpartition(':')[2].lstrip('/')}/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     """The Arrow schema of a Spark schema text, for functions that build record batches."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, discard, materialize
 
 SHINGLE_WORDS = 5
 #: 50 bands of 5 rows: two sets of similarity 0.75 share no band with probability 1.4e-6.
@@ -20,8 +22,9 @@ SKETCH_BITS = 1024
 PARITY_BITS = 2048
 #: Almost five standard errors (0.036) of the sketch's estimate below 0.75: a true link is turned away with probability 1.2e-6, as by the bands.
 SKETCH_FLOOR = 0.58
-BEST_ROUNDS = 1
 MEMBERS_PER_BLOCK = 2048
+#: So many ids of documents, at most, are sent to every task instead of shuffling the texts.
+BROADCAST_IDS = 200_000
 
 _random = np.random.default_rng(20240229)
 MULTIPLY = (_random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -102,57 +105,105 @@ def sketch_similarity(odd_bits):
 MOST_ODD_BITS = int(np.flatnonzero(sketch_similarity(np.arange(SKETCH_BITS // 2)) >= SKETCH_FLOOR)[-1])
 
 
+@functools.cache
+def word_keys() -> WordKeys:
+    """One memory of words for all tasks of a worker process."""
+    return WordKeys()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits), bands, sketch and parity of each row; the last four are null for an empty set."""
 
     def sign(batches):
-        words = WordKeys()
+        words = word_keys()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            n, keys, bands, sketches, parities = [], [], [], [], []
+            for text in batch.column(1).to_pylist():
                 found = words.shingles(text)
+                n.append(len(found))
                 if not len(found):
-                    rows.append((doc_id, 0, None, None, None, None))
+                    for column in (keys, bands, sketches, parities):
+                        column.append(None)
                     continue
                 least = minhashes(found)
-                rows.append((doc_id, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), band_keys(least), odd_sketch(least), set_parity(found)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "bands", "sketch", "parity"])
+                keys.append(set_key(found))
+                bands.append(band_keys(least))
+                sketches.append(odd_sketch(least))
+                parities.append(set_parity(found))
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(parities, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "bands", "sketch", "parity"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(sign, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, sketch binary, parity binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, sketch binary, parity binary")
+
+
+def set_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and its full shingle set."""
+    """doc_id, set_key and the full shingle set of each row."""
 
     def sets(batches):
-        words = WordKeys()
+        words = word_keys()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "shingles": [words.shingles(x).astype(np.int64) for x in batch["text"]]})
+            found = [words.shingles(x) for x in batch.column(1).to_pylist()]
+            arrays = [batch.column(0), pa.array([set_key(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "set_key", "shingles"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(sets, f"doc_id {kind}, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, set_key binary, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    """Those (a, b) whose full sets have 100 x intersection >= percent x union."""
+def alike(pairs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) whose lengths, odd sketches and set parities allow a link."""
+    sides = [told.select(*[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n_shingles", "sketch", "parity")]) for s in "ab"]
+    both = pairs.join(sides[1], F.col("b") == F.col("doc_id_b")).join(sides[0], F.col("a") == F.col("doc_id_a"))
+    both = both.select("a", "b", "n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b", "parity_a", "parity_b")
+    kinds = dict(pairs.dtypes)
+
+    def compare(batches):
+        for batch in batches:
+            n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
+            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(n_a), -1) for i in (4, 5, 6, 7)]
+            odd, differ = (np.bitwise_count(bits[i] ^ bits[i + 1]).sum(axis=1, dtype=np.int64) for i in (0, 2))
+            keep = (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (odd <= MOST_ODD_BITS) & ((100 + percent) * differ <= (100 - percent) * (n_a + n_b))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(compare, f"a {kinds['a']}, b {kinds['b']}")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, repeated: bool, percent: int = 75) -> DataFrame:
+    """Those (a, b) whose full sets have 100 x intersection >= percent x union.
+
+    Sets are made of the texts of the documents in ``pairs`` only. Of ``repeated`` doc_ids the
+    largest set counts, as in ``one_set_an_id``.
+    """
+    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
+    sets = shingle_sets(docs.join(broadcast_if_small(named, BROADCAST_IDS), "doc_id", "left_semi"))
+    if repeated:
+        sets = sets.groupBy("doc_id").agg(F.max_by("shingles", F.struct(F.size("shingles"), "set_key")).alias("shingles"))
+    sets = materialize(sets.select("doc_id", "shingles"), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_a"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_b"))
     both = pairs.select("a", "b").join(two, "b").join(one, "a")
     common = F.size(F.array_intersect("_a", "_b"))
-    return both.where((100 + percent) * common >= percent * (F.size("_a") + F.size("_b"))).select("a", "b")
+    found = materialize(both.where((100 + percent) * common >= percent * (F.size("_a") + F.size("_b"))).select("a", "b"), "links")
+    discard(sets, named)
+    return found
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b) but the roots; a root is its component's least node.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), each an aggregation and a
-    join, and writes the edges after each round; a hub's edges are split by Spark's skew join.
+    join, until the edges stay as they are, and writes the edges after each round; a hub's edges
+    are split by Spark's skew join.
     """
     hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
     now = materialize(edges.select(hi, lo).where("hi <> lo").distinct(), "edges")
     state = None
-    for _ in range(most_rounds):
+    while True:
         before, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
@@ -162,7 +213,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
         hung = small.select("hi", F.col("m").alias("lo")).unionAll(small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo"))
-        now = materialize(hung.distinct(), "edges")
+        last, now = now, materialize(hung.distinct(), "edges")
+        discard(last)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
@@ -176,8 +228,10 @@ def cross_pairs(members: DataFrame, best_only: bool, percent: int) -> DataFrame:
     components (``best_only``) or each pair in the first band that it has in common. Groups lie
     one after another in their partitions, most with two or three rows, and are compared as they pass.
     """
-    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / MEMBERS_PER_BLOCK).cast("int").alias("_blocks"))
-    dealt = members.join(sizes, "band").withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / MEMBERS_PER_BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
+    # Few bands have several blocks, so the members stay where they are until they are dealt.
+    dealt = members.join(broadcast_if_small(materialize(sizes, "blocks"), BROADCAST_IDS), "band", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, F.col("_block")).alias("i"), F.greatest(o, F.col("_block")).alias("j")))
     dealt = dealt.withColumn("_two", F.explode(others)).select("band", "_two.i", "_two.j", "_block", "doc_id", "root", "n_shingles", "sketch", "parity", "bands")
     dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
@@ -228,19 +282,29 @@ def cross_pairs(members: DataFrame, best_only: bool, percent: int) -> DataFrame:
                     found += pairs_of(rows.iloc[at:end])
                 at = end
             held = rows.iloc[at:]
-            yield pd.DataFrame(found, columns=["a", "b"])
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
 
     found = dealt.mapInPandas(compare, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def one_set_an_id(ids: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """doc_ids of several rows, and (doc_id, n_shingles, set_key) of the largest set (ties: the greatest key) where they have several sets; None where there are none."""
+    empty = F.coalesce("set_key", F.lit(b""))
+    several = ids.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(empty).alias("_lo"), F.max(empty).alias("_hi"), F.max(F.struct("n_shingles", "set_key")).alias("_best"))
+    several = materialize(several.where("_n > 1"), "repeated-ids")
+    differing = several.where("_lo <> _hi").select("doc_id", F.col("_best.n_shingles").alias("n_shingles"), F.col("_best.set_key").alias("set_key"))
+    return (None, None) if several.isEmpty() else (several.select("doc_id"), None if differing.isEmpty() else differing)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
     1. Rows with equal shingle sets form a class, whose least doc_id stands for it.
     2. Each class compares itself with the least member of the band that it shares most bands
-       with; the full sets confirm the link. This joins a group of copies of any size with one
-       comparison each.
+       with, by odd sketch and set parity first; the full sets confirm the link. This joins a
+       group of copies of any size with one comparison each.
     3. In bands whose members are not yet all in one component, members of different components
        are compared by odd sketch and set parity, in blocks: first only the closest pair of each two components
        goes on to its full sets, which joins most of what belongs together; then every pair that
@@ -248,31 +312,43 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     4. Components are merged; component_id is the least doc_id that can be reached.
 
     Null or empty text, or text without words: an empty set, linked with nothing. A null doc_id
-    is linked with nothing and has a null component_id. Repeated rows share a class, so both stay
-    or both go. Very long texts are hashed whole. Other columns are not read; an empty table
-    gives an empty result.
+    is linked with nothing and has a null component_id. Rows of one doc_id are one document: they
+    get one result, by the largest of their sets if their texts differ. Very long texts are hashed
+    whole. Other columns are not read; an empty table gives an empty result. Stored tables are
+    removed once the next ones are written.
     """
+    docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs), "signatures")
+    ids = materialize(signed.select("doc_id", "n_shingles", "set_key"), "ids")
+    repeated, chosen = one_set_an_id(ids)
     usable = signed.where("n_shingles > 0 and doc_id is not null")
+    if chosen is not None:
+        differing = chosen.select("doc_id", F.col("set_key").alias("_key"))
+        usable = usable.join(differing, "doc_id", "left").where(F.col("_key").isNull() | (F.col("_key") == F.col("set_key"))).drop("_key")
+        best = chosen.select("doc_id", F.struct("n_shingles", "set_key").alias("_best"))
+        ids = ids.join(best, "doc_id", "left").select("doc_id", *[F.when(F.col("_best").isNull(), F.col(c)).otherwise(F.col(f"_best.{c}")).alias(c) for c in ("n_shingles", "set_key")])
     classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
-    reps = usable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = usable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = reps if repeated is None else reps.dropDuplicates(["doc_id"])
     reps = materialize(reps.select("doc_id", "n_shingles", "bands", "sketch", "parity"), "representatives")
+    discard(signed)
 
     rows = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("doc_id").alias("center"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     members = materialize(rows.join(shared, "band"), "bands")
+    told = materialize(reps.select("doc_id", "n_shingles", "sketch", "parity").join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "sketches")
+    discard(reps)
+    # Texts of the documents that share a band; the others are not needed any more.
+    near = materialize(docs.join(broadcast_if_small(told.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi"), "texts")
     stars = members.where("doc_id <> center").groupBy("doc_id", "center").agg(F.count("*").alias("_n"))
     stars = stars.groupBy("doc_id").agg(F.max_by("center", F.struct("_n", "center")).alias("center"))
-    stars = materialize(stars.select(F.col("center").alias("a"), F.col("doc_id").alias("b")), "stars")
-
-    named = members.select("doc_id").distinct()
-    sets = materialize(shingle_sets(docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
-    links = materialize(confirmed(stars, sets, percent), "links")
+    stars = materialize(alike(stars.select(F.col("center").alias("a"), F.col("doc_id").alias("b")), told, percent), "stars")
+    links = confirmed(stars, near, repeated is not None, percent)
+    discard(stars)
     roots = connected_components(links)
 
-    told = reps.select("doc_id", "n_shingles", "sketch", "parity")
-    for best_only in [True] * BEST_ROUNDS + [False]:
+    for best_only in (True, False):
         rooted = members.join(roots, members["doc_id"] == roots["node"], "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
         # Of bands with the same members, by two 64-bit sums and the count, one is enough.
         by_band = rooted.groupBy("band").agg(
@@ -281,13 +357,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         split = by_band.where("_lo <> _hi").groupBy("_n", "_s1", "_s2").agg(F.min("band").alias("band")).select("band")
         apart = materialize(rooted.join(split, "band", "left_semi"), "apart")
         mine = apart.groupBy("doc_id").agg(F.collect_list("band").alias("bands"))
-        apart = apart.join(told.join(mine, "doc_id"), "doc_id")
-        more = materialize(confirmed(materialize(cross_pairs(apart, best_only, percent), "pairs"), sets, percent), "links")
-        if not more.isEmpty():
+        pairs = materialize(cross_pairs(apart.join(told.join(mine, "doc_id"), "doc_id"), best_only, percent), "pairs")
+        discard(apart)
+        more = None if pairs.isEmpty() else confirmed(pairs, near, repeated is not None, percent)
+        if more is not None and not more.isEmpty():
             links = links.unionAll(more)
             roots = connected_components(links)
+        discard(pairs)
+    discard(members, told, near)
 
-    grouped = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    grouped = ids.join(classes, "set_key", "left")
     grouped = grouped.join(roots, grouped["rep"] == roots["node"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "rep", "doc_id"))
     return grouped.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
