@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import materialize
+from flowspark.llm.common import broadcast_if_small, materialize
 from flowspark.llm.mixing import mix
 from flowspark.llm.near_duplicates import near_duplicates
 from flowspark.llm.packing import default_tokenizer, pack_documents
@@ -24,9 +24,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates; of rows with one doc_id the one of the greatest text. Rows without doc_id stay."""
+    found = materialize(near_duplicates(docs).select("doc_id", "kept"), "groups")
+    dropped = found.where("not kept and doc_id is not null").select("doc_id").distinct()
+    single = docs.join(broadcast_if_small(materialize(dropped, "dropped"), 200_000), "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialize(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return single
+    once = single.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct(*single.columns), F.coalesce("text", F.lit(""))).alias("_row"))
+    return single.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("_row.*"))
 
 
 def sanitise_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
