@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from .common import materialize
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
+STEP_WINDOWS = 64
+BROADCAST_PLACES = 500_000
 
 
 class WordIds(dict):
@@ -48,49 +52,63 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, window: int = TIERS[-1], batch_chars: int = 2_000_000) -> DataFrame:
+@functools.cache
+def word_ids(tokenizer_path: str) -> WordIds:
+    """One memory of words for all tasks of a worker process."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_file(tokenizer_path))
+
+
+def tokenize(docs: DataFrame, tokenizer_path: str, window: int = TIERS[-1], batch_bytes: int = 16_000_000) -> DataFrame:
     """Token ids of every document, cut into pieces of at most ``window`` ids.
 
     Columns doc_id, start, length, ids (binary, little-endian uint32), doc_tokens. Each document's
     ids are followed by one id 1, so null and empty texts give one piece of length 1. Only doc_id
     and text are read; an empty table gives no pieces; repeated rows give repeated pieces.
     """
+    names = ["doc_id", "start", "length", "ids", "doc_tokens"]
 
     def cut(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        ids, end = word_ids(tokenizer_path), np.array([END_ID], "<u4").tobytes()
 
-        ids = WordIds(Tokenizer.from_file(tokenizer_path))
-        end, columns = np.array([END_ID], "<u4").tobytes(), ["doc_id", "start", "length", "ids", "doc_tokens"]
+        def table(doc_ids, rows) -> pa.RecordBatch:
+            row, start, length, data, total = zip(*rows, strict=True)
+            arrays = [doc_ids.take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary()), pa.array(total, pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
-            rows, chars = [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                text = text if isinstance(text, str) else ""
-                data = ids.encode(text) + end
+            doc_ids, rows, held = batch.column(0), [], 0
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                data = ids.encode(text or "") + end
                 total = len(data) // 4
-                rows += [(doc_id, at, min(window, total - at), data[4 * at : 4 * (at + window)], total) for at in range(0, total, window)]
-                chars += len(text)
-                if chars >= batch_chars:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows, chars = [], 0
+                if total <= window:
+                    rows.append((i, 0, total, data, total))
+                else:
+                    rows += [(i, at, min(window, total - at), data[4 * at : 4 * (at + window)], total) for at in range(0, total, window)]
+                held += len(data)
+                if held >= batch_bytes:
+                    yield table(doc_ids, rows)
+                    rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield table(doc_ids, rows)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
 
 
-def plan_windows(counts: dict[int, int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, int, list[int]]]:
+def plan_windows(counts: dict[int, int], tiers: tuple[int, ...] = TIERS, step_windows: int = STEP_WINDOWS) -> list[tuple[int, int, list[int]]]:
     """Windows for a histogram of piece lengths: (tier, how many such windows, lengths in order).
 
     Pieces belong to the smallest tier that holds them. Windows of the longest tier are opened by
     its own pieces and their gaps filled with the longest pieces of shorter tiers that fit. Then
-    each shorter tier, from the longest, keeps the windows that its pieces fill exactly; the rest
-    share windows of the longest tier, filled the same way. The work depends on the number of
-    different lengths (at most the window), not on the number of pieces.
+    each shorter tier, from the longest, keeps the windows that its pieces fill exactly, as many
+    as make whole step groups of ``step_windows`` times the longest tier's tokens; the rest share
+    windows of the longest tier, filled the same way. The work depends on the number of different
+    lengths (at most the window), not on the number of pieces.
     """
     left = np.zeros(tiers[-1] + 1, np.int64)
     for length, n in counts.items():
@@ -116,16 +134,61 @@ def plan_windows(counts: dict[int, int], tiers: tuple[int, ...] = TIERS) -> list
                 left[x] -= n * k
             plan.append((size, n, pattern))
 
+    def whole_groups(size: int) -> None:
+        """Give back the last windows of ``size`` that make no whole step group."""
+        spare = sum(n for tier, n, _ in plan if tier == size) % (step_windows * tiers[-1] // size)
+        while spare:
+            tier, n, pattern = plan.pop()
+            back = min(n, spare)
+            spare -= back
+            for x in pattern:
+                left[x] += back
+            if n > back:
+                plan.append((tier, n - back, pattern))
+
     for i in range(len(tiers) - 1, -1, -1):
         shortest = tiers[i - 1] + 1 if i else 1
         for opener in range(tiers[i], shortest - 1, -1):
             fill(tiers[i], opener, exact=i < len(tiers) - 1)
+        if i < len(tiers) - 1:
+            whole_groups(tiers[i])
     for opener in range(tiers[-1], 0, -1):
         fill(tiers[-1], opener, exact=False)
     return plan
 
 
-def pack(pieces: DataFrame, tiers: tuple[int, ...] = TIERS, step_windows: int = 64, rows_per_bucket: int = 2_000) -> DataFrame:
+def plan_places(plan, tiers: tuple[int, ...] = TIERS, step_windows: int = STEP_WINDOWS) -> list[tuple]:
+    """(length, block, block size, first, last, sequence, offset, tier, window in tier, step groups of tier, windows of tier).
+
+    The pieces of a length, numbered from 0, take its places in the order of the plan. Places lie
+    in blocks of numbers, about as many blocks as a length has entries, and an entry is listed in
+    each block that it reaches into; so a piece meets only the few entries of its own block.
+    """
+    taken: dict[int, int] = {}
+    found, sequence, of_tier = [], 0, dict.fromkeys(tiers, 0)
+    for tier, n, pattern in plan:
+        offset = 0
+        for length in pattern:
+            first = taken.get(length, 0)
+            found.append((length, first, first + n, sequence, offset, tier, of_tier[tier]))
+            taken[length] = first + n
+            offset += length
+        sequence += n
+        of_tier[tier] += n
+    entries: dict[int, int] = {}
+    for length, *_ in found:
+        entries[length] = entries.get(length, 0) + 1
+    size = {length: -(-taken[length] // entries[length]) for length in entries}
+    # The longest tier's last group would be a rest: its windows are spread evenly over the nearest number of groups.
+    groups = {tier: max(1, round(n * tier / (step_windows * tiers[-1]))) for tier, n in of_tier.items()}
+    return [
+        (length, block, size[length], first, last, start, offset, tier, before, groups[tier], of_tier[tier])
+        for length, first, last, start, offset, tier, before in found
+        for block in range(first // size[length], (last - 1) // size[length] + 1)
+    ]
+
+
+def pack(pieces: DataFrame, tiers: tuple[int, ...] = TIERS, step_windows: int = STEP_WINDOWS, rows_per_bucket: int = 2_000) -> DataFrame:
     """Place pieces (doc_id, start, length and any further columns) in windows without cutting them again.
 
     Adds sequence_id, offset, tier and step_group. Only the histogram of lengths (at most
@@ -133,43 +196,38 @@ def pack(pieces: DataFrame, tiers: tuple[int, ...] = TIERS, step_windows: int =
     piece of a length takes the n-th place planned for that length. Places are numbered by a
     two-level count over hash buckets, so a length that a third of all pieces have is never in
     one task. A step group holds windows of one tier with ``step_windows * tiers[-1]`` tokens, so
-    groups of all tiers weigh the same. Input columns with the added names are replaced.
+    groups of all tiers weigh the same; those of the longest tier, which takes the rest, differ by
+    one window from each other. Input columns with the added names are replaced. Pieces of
+    repeated rows take a place each; those without doc_id are spread over 64 buckets more.
     """
     spark = pieces.sparkSession
     added = ("sequence_id", "offset", "tier", "step_group")
-    own = materialize(pieces.drop(*added), "pieces")
+    pieces = pieces.drop(*added)
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() % 64).otherwise(0)
+    own = materialize(pieces.select("length", F.xxhash64("doc_id", "start", salt).alias("key"), F.struct(*pieces.columns).alias("row")), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in own.groupBy("length").agg(F.count("*").alias("n")).collect()}
     buckets = max(1, -(-sum(histogram.values()) // rows_per_bucket))
-    plan = plan_windows(histogram, tiers)
-    taken: dict[int, int] = {}
-    places, sequence, of_tier = [], 0, dict.fromkeys(tiers, 0)
-    for tier, n, pattern in plan:
-        offset = 0
-        for length in pattern:
-            first = taken.get(length, 0)
-            places.append((length, first, first + n, sequence, offset, tier, of_tier[tier]))
-            taken[length] = first + n
-            offset += length
-        sequence += n
-        of_tier[tier] += n
-    schema = "length long, _first long, _last long, _sequence long, _offset long, _tier int, _in_tier long"
-    places = spark.createDataFrame(places, schema)
-
-    key = F.xxhash64("doc_id", "start")
-    own = own.withColumn("_bucket", F.pmod(key, F.lit(buckets)))
-    before = own.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = before.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(key, "doc_id", "start"))
-    ranked = own.withColumn("_inside", inside).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_inside") - 1)
-    meets = (ranked["length"] == places["length"]) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_last"))
-    placed = ranked.join(F.broadcast(places), meets).drop(places["length"])
-    step = F.floor((F.col("_in_tier") + F.col("_rank") - F.col("_first")) * F.col("_tier") / (step_windows * tiers[-1]))
+    places = plan_places(plan_windows(histogram, tiers, step_windows), tiers, step_windows)
+    few = len(places) <= BROADCAST_PLACES
+    names = ["length", "block", "size", "first", "last", "sequence", "offset", "tier", "before", "groups", "windows"]
+    places = spark.createDataFrame(places, ", ".join(f"{n} {'int' if n == 'tier' else 'long'}" for n in names))
+    sizes = places.select("length", "size").distinct()  # one row a length, at most the window's
+    places = places.drop("size")
+
+    own = own.withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    earlier = own.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    earlier = earlier.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("earlier"))
+    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("key", "row.doc_id", "row.start"))
+    ranked = own.withColumn("inside", inside).join(earlier, ["length", "bucket"]).withColumn("rank", F.col("earlier") + F.col("inside") - 1)
+    ranked = ranked.join(F.broadcast(sizes), "length").withColumn("block", F.expr("rank div size"))
+    placed = ranked.join(F.broadcast(places) if few else places, ["length", "block"]).where("rank >= first and rank < last").withColumn("window", F.col("before") + F.col("rank") - F.col("first"))
+    step = F.expr("(window * groups) div windows")
     return placed.select(
-        *[c for c in own.columns if c != "_bucket"],
-        (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"),
-        F.col("_offset").alias("offset"),
-        F.col("_tier").alias("tier"),
-        F.concat(F.col("_tier").cast("string"), F.lit("-"), step.cast("string")).alias("step_group"),
+        *[F.col("row").getField(c).alias(c) for c in pieces.columns],
+        (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"),
+        "offset",
+        "tier",
+        F.concat(F.col("tier").cast("string"), F.lit("-"), step.cast("string")).alias("step_group"),
     )
 
 

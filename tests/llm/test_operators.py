@@ -89,16 +89,42 @@ def test_packing_word_ids_equal_the_tokenizer():
         assert ids.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def test_window_plan_places_each_length():
-    counts = {2048: 3, 2000: 2, 48: 5, 1024: 1, 700: 3, 300: 4, 256: 2, 1: 9}
-    plan = packing.plan_windows(counts)
-    used = {}
+@pytest.mark.parametrize("step", [1, 4])
+def test_window_plan_places_each_length(step):
+    counts = {2048: 3, 2000: 2, 48: 5, 1024: 1, 700: 3, 512: 9, 300: 4, 256: 35, 1: 9}
+    plan = packing.plan_windows(counts, step_windows=step)
+    used, windows = {}, dict.fromkeys(packing.TIERS, 0)
     for tier, n, pattern in plan:
         assert n > 0 and sum(pattern) <= tier
         assert tier == 2048 or sum(pattern) == tier
+        windows[tier] += n
         for length in pattern:
             used[length] = used.get(length, 0) + n
     assert used == counts and packing.plan_windows({}) == []
+    assert all(n * tier % (step * 2048) == 0 for tier, n in windows.items() if tier < 2048)
+    assert step > 1 or windows[256] and windows[512]
+    places = packing.plan_places(plan, step_windows=step)
+    for length, n in counts.items():
+        mine = [(b, size, first, last) for x, b, size, first, last, *_ in places if x == length]
+        for rank in range(n):
+            assert sum(first <= rank < last and b == rank // size for b, size, first, last in mine) == 1
+
+
+def test_step_groups_weigh_the_same(spark):
+    random = np.random.default_rng(7)
+    lengths = [*random.integers(1, 2049, 3000), *[256] * 4000, *[1] * 3000]
+    rows = [(None if i % 9 == 0 else i, 0, int(n), "x", 7) for i, n in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, rank string, tier int")
+    found = packing.pack(pieces, rows_per_bucket=100).toPandas()
+    assert sorted(found["length"]) == sorted(lengths) and set(found["rank"]) == {"x"}
+    windows = found.groupby("sequence_id").agg(tier=("tier", "first"), group=("step_group", "first"), groups=("step_group", "nunique"), used=("length", "sum"))
+    assert (windows.groups == 1).all() and (windows.used <= windows.tier).all()
+    weights = windows.groupby("group").tier.sum()
+    assert (weights[[not g.startswith("2048") for g in weights.index]] == 64 * 2048).all() and any(not g.startswith("2048") for g in weights.index)
+    longest = weights[[g.startswith("2048") for g in weights.index]]
+    assert longest.max() - longest.min() <= 2048 and 0.66 < longest.max() / (64 * 2048) < 1.5
+    for _, sequence in found.sort_values("offset").groupby("sequence_id"):
+        assert (sequence.offset == sequence["length"].cumsum() - sequence["length"]).all()
 
 
 def brute_components(texts, percent=75):
