@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,61 +19,85 @@ TARGETS = {"clean": 0.92, "low": 0.06, "toxic": 0.02}
 BUCKETS = 1 << 15
 SHAPES = 6
 LETTERS = re.compile(r"[^\W\d_]+")
-MARKS = re.compile(r"[#*$%&|<>!]")
-CAPITALS = re.compile(r"[A-Z]")
+MARKS = b"#*$%&|<>!"
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class Buckets(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+    """Buckets of the letter runs of a token, remembered for up to ``limit`` tokens."""
+
+    def __init__(self, limit: int = 300_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= self.limit:
             self.clear()
-        found = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+        found = self[token] = tuple({zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in LETTERS.findall(token)})
         return found
 
 
-def features(text: str | None, buckets: Buckets) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of words, distinct word buckets, and shape measures of the whole text."""
-    text = text if isinstance(text, str) else ""
-    n = len(text.split())
-    words = LETTERS.findall(text.lower())
-    distinct = set(words)
-    at = np.array(sorted({buckets[w] for w in distinct}), np.int64)
-    length = max(1, len(text))
-    marks, capitals = len(MARKS.findall(text)) / length, len(CAPITALS.findall(text)) / length
-    shapes = [10 * min(marks, 0.2), 2 * capitals, 1 - len(distinct) / max(1, len(words)), np.log1p(n) / 10, text.count("|") / max(1, n), text.count("!!") / max(1, n)]
-    return n, at, np.array(shapes)
+@functools.cache
+def token_buckets() -> Buckets:
+    """One memory of tokens for all tasks of a worker process."""
+    return Buckets()
+
+
+def features(text: str | None) -> tuple[int, list[int], list[float]]:
+    """Number of words, distinct word buckets in order, and shape measures of the whole text."""
+    text, buckets = text or "", token_buckets()
+    words = text.lower().split()
+    distinct, n = set(words), max(1, len(words))
+    at = sorted({b for w in distinct for b in buckets[w]})
+    data = text.encode("utf-8", "surrogatepass")
+    length = max(1, len(data))
+    marks, capitals = ((len(data) - len(data.translate(None, x))) / length for x in (MARKS, CAPITALS))
+    return len(words), at, [10 * min(marks, 0.2), 2 * capitals, 1 - len(distinct) / n, float(np.log1p(len(words))) / 10, data.count(b"|") / n, data.count(b"!!") / n]
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` but text, with at (word buckets) and shapes."""
+    keep = [c for c in docs.columns if c != "text"]
+
     def compute(batches):
-        buckets = Buckets()
         for batch in batches:
-            found = [features(x, buckets) for x in batch["text"]]
-            out = batch.drop(columns="text").reset_index(drop=True)
-            yield out.assign(at=[f[1] for f in found], shapes=[f[2] for f in found])
+            found = [features(x) for x in batch.column("text").to_pylist()]
+            new = [pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *new], names=[*keep, "at", "shapes"])
 
-    columns = [c for c in docs.columns if c != "text"]
     kinds = dict(docs.dtypes)
-    return docs.mapInPandas(compute, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", at array<long>, shapes array<double>")
+    return docs.mapInArrow(compute, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", at array<long>, shapes array<double>")
 
 
-def posterior(at: np.ndarray, shapes: np.ndarray, model) -> np.ndarray:
+def posteriors_of(found: list, model) -> np.ndarray:
+    """Posteriors of each text's ``features``, in thousandths that sum to 1000."""
     words, shape_weights, bias = model
-    z = bias + shapes @ shape_weights + (words[at].sum(axis=0) if len(at) else 0.0)
-    z = np.exp(z - z.max())
-    return z / z.sum()
+    z = np.tile(bias, (len(found), 1)) + np.array([f[2] for f in found]).reshape(-1, SHAPES) @ shape_weights
+    sizes = np.array([len(f[1]) for f in found])
+    used = np.flatnonzero(sizes)
+    if len(used):
+        flat = np.concatenate([np.array(found[i][1], np.int64) for i in used])
+        z[used] += np.add.reduceat(words[flat].astype(np.float64), np.cumsum(sizes[used]) - sizes[used])
+    p = np.exp(z - z.max(1, keepdims=True))
+    p = np.floor(1000 * p / p.sum(1, keepdims=True) + 0.5).astype(np.int64)
+    best = p.argmax(1)
+    p[np.arange(len(p)), best] += 1000 - p.sum(1)
+    return p
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, steps: int = 150, ridge: float = 2e-4):
     """Multinomial logistic regression on the words and shape of at most ``max_rows`` labelled documents.
 
     The rows are those of least md5 of doc_id, so the sample is the same however the table is
-    stored. Rows with a null label are left out; with no labelled row all domains are as likely.
+    stored. Of repeated labels the worse count, of repeated documents the greatest text. Rows with a
+    null label are left out; with no labelled row all domains are as likely.
     """
-    usable = labels.where("quality is not null and toxic is not null and doc_id is not null").select("doc_id", "quality", "toxic")
+    usable = labels.where("quality is not null and toxic is not null and doc_id is not null")
+    usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0).alias("y")
     sample = usable.select("doc_id", domain).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
-    rows = feature_rows(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).toPandas().sort_values("doc_id", kind="stable")
+    sampled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
+    rows = feature_rows(sampled).toPandas().sort_values("doc_id", kind="stable")
     k = len(DOMAINS)
     words, shape_weights, bias = np.zeros((BUCKETS, k)), np.zeros((SHAPES, k)), np.zeros(k)
     if not len(rows):
@@ -94,103 +119,78 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, steps:
 
 
 def domain_posteriors(docs: DataFrame, model) -> DataFrame:
-    """doc_id, tokens (words of the whole text) and a posterior p_<domain> for every row, in 4 decimals."""
+    """Adds tokens (words of the whole text) and a posterior p_<domain>, in thousandths of 1, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep, added = docs.columns, ["tokens", *[f"p_{d}" for d in DOMAINS]]
+    schema = ", ".join([f"`{c}` {k}" for c, k in docs.dtypes] + ["tokens long", *[f"p_{d} double" for d in DOMAINS]])
 
     def score(batches):
-        buckets = Buckets()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                n, at, shapes = features(text, buckets)
-                rows.append((doc_id, n, *np.round(posterior(at, shapes, shared.value), 4)))
-            yield pd.DataFrame(rows, columns=["doc_id", "tokens", *[f"p_{d}" for d in DOMAINS]])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
-
-
-def rate_after(steps: list[list[float]], max_rate: float) -> Column:
-    """A document's rate: from 1, each step down the gradient, projected on [0, max_rate]."""
-    rate = F.lit(1.0)
-    for step in steps:
-        slope = sum((F.col(f"p_{d}") * F.lit(e) for d, e in zip(DOMAINS, step, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), rate - slope))
-    return rate
-
-
-def fit_rates(posteriors: DataFrame, targets: dict[str, float], max_rate: float = 1.0, most_steps: int = 30, tolerance: float = 1e-3) -> list[list[float]]:
-    """Steps of projected-gradient least squares for rates r with sum of r x tokens x posterior = target, by domain.
-
-    With ``max_rate`` above 1, totals T are the target weights times all tokens. With 1 at most, the
-    domain of the largest weight keeps all its tokens, the others get their weight relative to it,
-    or all they have if that is less. With c the totals at rate 1, the objective is
-    sum (A r - T)^2 / c; in the norm that weighs documents by tokens its gradient at a document is
-    sum of posterior x (A r - T) / c, so the rate is a function of the posterior and a step of 1
-    always descends. Each step is one aggregation that brings one number a domain to the driver.
-    """
-    weights = np.array([max(0.0, targets[d]) for d in DOMAINS])
-    weights = weights / weights.sum()
-    totals = lambda rate: np.array([float(x or 0.0) for x in posteriors.agg(*[F.sum(F.col("tokens") * F.col(f"p_{d}") * rate) for d in DOMAINS]).first()])
-    now = totals(F.lit(1.0))
-    current = np.maximum(now, 1e-9)
-    main = int(weights.argmax())
-    aim = np.minimum(weights * (now[main] / weights[main]), now) if max_rate <= 1 else weights * now.sum()
-    steps: list[list[float]] = []
-    for _ in range(most_steps):
-        error = (now - aim) / current
-        if np.abs(error).max() < tolerance:
-            break
-        steps.append([round(float(e), 9) for e in error])
-        now = totals(rate_after(steps, max_rate))
-    return steps
-
-
-def match_rates(posteriors: DataFrame, targets: dict[str, float], most_steps: int = 60, tolerance: float = 1e-4) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
-    """One step for ``rate_after`` without a cap, target totals and achieved totals, by domain.
-
-    The rates r >= 0 nearest to 1, weighed by tokens, with sum of r x tokens x posterior = T, where
-    T is the target weight times all tokens. They have the form max(0, 1 - posterior . lambda);
-    lambda minimises the convex dual, by damped Newton steps of one aggregation each. Raises
-    ValueError if a total misses its target by more than ``tolerance`` of it: then no rates give
-    the targets, as for a domain without tokens. With no tokens at all there is nothing to meet.
+            found = [features(x) for x in batch.column("text").to_pylist()]
+            p = posteriors_of(found, shared.value) / 1000
+            new = [pa.array([f[0] for f in found], pa.int64()), *[pa.array(p[:, i]) for i in range(len(DOMAINS))]]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *new], names=[*keep, *added])
+
+    return docs.mapInArrow(score, schema)
+
+
+def fit_rates(posteriors: DataFrame, targets: dict[str, float], max_rate: float | None = None, tolerance: float = 1e-3, most_steps: int = 400, stored_every: int = 4) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(p_<domain>, rate) for each posterior that occurs, target totals and achieved totals, by domain.
+
+    Projected-gradient least squares for rates r >= 0 with sum of r x tokens x posterior = T. With
+    c the totals at rate 1 the objective is sum (A r - T)^2 / c; in the norm that weighs documents
+    by tokens its gradient at a document is sum of posterior x (A r - T) / c. So the rate depends
+    on the posterior alone, a step of 1 always descends, and rows are summed by posterior once: at
+    most 501,501 rows, as posteriors are thousandths. Each step is one aggregation of that table,
+    which brings a few numbers a domain to the driver; steps carry momentum (Beck and Teboulle 2009),
+    which is dropped when the objective rises.
+
+    Without ``max_rate``, T are the target weights times all tokens, and steps go on until each
+    total is within ``tolerance`` of its target; ValueError if no rates give that, as for a domain
+    without tokens. With it, rates stay in [0, max_rate]; at 1 at most, the domain of the largest
+    weight keeps all its tokens, the others get their weight relative to it, or all they have if
+    that is less; steps go on until they move less than ``tolerance`` / 10 of the tokens. More than
+    ``most_steps`` steps are an error. With no tokens all rates stay 1.
     """
+    columns = [f"p_{d}" for d in DOMAINS]
     weights = np.array([max(0.0, targets[d]) for d in DOMAINS])
     weights = weights / weights.sum()
-    k = len(DOMAINS)
-    pairs = [(a, b) for a in range(k) for b in range(a, k)]
-
-    def measure(step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        rate, share = rate_after([step.tolist()], float("inf")), [F.col("tokens") * F.col(f"p_{d}") for d in DOMAINS]
-        held = F.when(rate > 0, 1.0).otherwise(0.0)
-        sums = [F.sum(x * rate) for x in share] + [F.sum(share[a] * F.col(f"p_{DOMAINS[b]}") * held) for a, b in pairs] + [F.sum(F.col("tokens") * rate * rate)]
-        row = [float(x or 0.0) for x in posteriors.agg(*sums).first()]
-        curve = np.zeros((k, k))
-        for (a, b), v in zip(pairs, row[k:-1], strict=True):
-            curve[a, b] = curve[b, a] = v
-        return np.array(row[:k]), curve, row[-1] / 2
-
-    step = np.zeros(k)
-    now, curve, half = measure(step)
+    groups = materialize(posteriors.groupBy(*columns).agg(F.sum("tokens").alias("tokens")), "posterior-groups")
+    state = groups.withColumns({"rate": F.lit(1.0), "before": F.lit(1.0)})
+
+    def measure(ahead: Column) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals at the rates and at those ahead of them, and the share of tokens that the last step moved."""
+        moved = F.sum(F.col("tokens") * F.abs(F.col("rate") - F.col("before"))) / F.sum("tokens")
+        sums = [F.sum(F.col("tokens") * F.col(p) * rate) for rate in (F.col("rate"), ahead) for p in columns]
+        row = [float(x or 0.0) for x in state.agg(*sums, moved).first()]
+        return np.array(row[: len(columns)]), np.array(row[len(columns) : -1]), row[-1]
+
+    now, _, _ = measure(F.col("rate"))
+    current, main = np.maximum(now, 1e-9), int(weights.argmax())
     aim = weights * now.sum()
-    dual = half + step @ aim
-    for _ in range(most_steps):
-        miss = now - aim
-        if (np.abs(miss) <= tolerance * aim).all():
-            return [step.tolist()], aim, now
-        move = np.linalg.solve(curve + 1e-9 * max(1e-9, np.trace(curve)) * np.eye(k), miss)
-        size = 1.0
-        while size > 1e-4:
-            tried = step + size * move
-            found = measure(tried)
-            if found[2] + tried @ aim <= dual - 1e-4 * size * (miss @ move):
-                break
-            size /= 2
-        else:
+    if max_rate is not None and max_rate <= 1:
+        aim = np.minimum(weights * (now[main] / weights[main]), now)
+    momentum, last = 1.0, np.inf
+    for step in range(most_steps + 1):
+        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        ahead = F.col("rate") + F.lit(float((momentum - 1) / following)) * (F.col("rate") - F.col("before"))
+        now, then, moved = measure(ahead)
+        if (np.abs(now - aim) <= tolerance * aim).all() or (step and moved <= tolerance / (10 if max_rate is not None else 1e6)):
             break
-        step, (now, curve, half) = tried, found
-        dual = half + step @ aim
-    raise ValueError(f"no rates give the target totals {dict(zip(DOMAINS, aim.round(1).tolist(), strict=True))}; reached {dict(zip(DOMAINS, now.round(1).tolist(), strict=True))}")
+        if step == most_steps:
+            raise ValueError(f"rates have not settled after {most_steps} steps")
+        objective = float(((now - aim) ** 2 / current).sum())
+        if objective > last:  # start again from here
+            ahead, then, following = F.col("rate"), now, 1.0
+        momentum, last = following, objective
+        slope = sum((F.col(p) * F.lit(float(e)) for p, e in zip(columns, (then - aim) / current, strict=True)), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), ahead - slope)
+        state = state.select(*columns, "tokens", (rate if max_rate is None else F.least(F.lit(float(max_rate)), rate)).alias("rate"), F.col("rate").alias("before"))
+        if step % stored_every == stored_every - 1:
+            state = materialize(state, "rates")
+    if max_rate is None and not (np.abs(now - aim) <= tolerance * np.maximum(aim, 1e-9)).all():
+        raise ValueError(f"no rates give the target totals {dict(zip(DOMAINS, aim.round(1).tolist(), strict=True))}; reached {dict(zip(DOMAINS, now.round(1).tolist(), strict=True))}")
+    return materialize(state.select(*columns, "rate"), "rates"), aim, now
 
 
 def uniform(doc_id: Column, seed: str) -> Column:
@@ -199,26 +199,26 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float | None = 1.0, seed: str = "mix-1") -> DataFrame:
-    """doc_id, tokens, p_<domain>, rate and copies for every row of ``docs``.
-
-    With ``max_rate`` None rates have no cap and meet the targets (``match_rates``, which raises if
-    none can); target_<d> and achieved_<d>, the totals of tokens at these rates, are added then.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float | None = 1.0, seed: str = "mix-1", carry: bool = False) -> DataFrame:
+    """doc_id, tokens, p_<domain>, target_<domain>, achieved_<domain>, rate and copies for every row of ``docs``.
 
-    copies is the rate rounded up or down by a hash of doc_id, with the rate as its expectation.
-    Null or empty text has no tokens and the posterior of the bias; a null doc_id hashes as '';
-    repeated rows get one rate; an empty table gives no rows. Only doc_id and text are read.
+    target and achieved are the totals of tokens that the rates aim at and give (``fit_rates``);
+    with ``max_rate`` None they are equal within its tolerance, or ValueError is raised. copies is
+    the rate rounded up or down by a hash of doc_id, with the rate as its expectation. Null or
+    empty text has no tokens and the posterior of the bias; a null doc_id hashes as ''; repeated
+    rows get one rate; an empty table gives no rows. Only doc_id and text are read; with ``carry``
+    text and a struct ``rest`` of all other columns are added.
     """
     model = fit_domains(docs, labels)
-    found = materialize(domain_posteriors(docs, model), "posteriors")
-    wanted = TARGETS if targets is None else targets
-    if max_rate is None:
-        steps, aim, now = match_rates(found, wanted)
-        max_rate = float("inf")
-        found = found.select("*", *[F.lit(float(v)).alias(f"{kind}_{d}") for kind, totals in (("target", aim), ("achieved", now)) for d, v in zip(DOMAINS, totals, strict=True)])
-    else:
-        steps = fit_rates(found, wanted, max_rate)
-    rated = found.withColumn("rate", F.round(rate_after(steps, max_rate), 6))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = docs.select("doc_id", "text", *([F.struct(*others).alias("rest")] if carry and others else []))
+    found = domain_posteriors(own, model)
+    found = materialize(found if carry else found.drop("text"), "posteriors")
+    rates, aim, now = fit_rates(found, TARGETS if targets is None else targets, max_rate)
+    told = [F.lit(float(v)).alias(f"{kind}_{d}") for kind, totals in (("target", aim), ("achieved", now)) for d, v in zip(DOMAINS, totals, strict=True)]
+    rated = found.join(F.broadcast(rates), [f"p_{d}" for d in DOMAINS], "left")
+    columns = ["doc_id", "tokens", *[f"p_{d}" for d in DOMAINS]]
+    rated = rated.select(*columns, *told, F.round("rate", 6).alias("rate"), *[c for c in own.columns[1:] if carry])
     return rated.withColumn("copies", F.floor(F.col("rate") + uniform(F.col("doc_id"), seed)).cast("int"))
 
 

@@ -327,6 +327,45 @@ def test_mixing_without_a_cap_repeats_scarce_domains(spark, empty):
     assert mixing.mix(empty, labels, max_rate=None).count() == 0
 
 
+def test_mixing_rates_equal_plain_projected_gradient(spark):
+    """Default targets, one rate a document, no grouping: the same least-squares rates."""
+    random = np.random.default_rng(2)
+    p = np.round(random.dirichlet([0.5, 0.15, 0.15], 400), 3)
+    p[:, 0] = np.round(1 - p[:, 1] - p[:, 2], 3)
+    p = np.vstack([p, p[:50]])
+    tokens = random.integers(0, 2000, len(p))
+    table = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(tokens, p, strict=True)], "tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS))
+    weights = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    for cap in (None, 1.0, 1.5):
+        rate, current = np.ones(len(p)), (tokens[:, None] * p).sum(0)
+        aim = weights * current.sum() if cap != 1.0 else np.minimum(weights * current[0] / weights[0], current)
+        for _ in range(1000):
+            rate = np.clip(rate - p @ ((((tokens * rate)[:, None] * p).sum(0) - aim) / current), 0, cap)
+        rates, wanted, reached = mixing.fit_rates(table, mixing.TARGETS, cap, tolerance=1e-4)
+        got = {tuple(round(1000 * x) for x in r[:-1]): r.rate for r in rates.collect()}
+        assert wanted == pytest.approx(aim)
+        error = lambda r: (((((tokens * r)[:, None] * p).sum(0) - aim) ** 2) / current).sum()
+        mine = np.array([got[tuple(np.round(1000 * x).astype(int))] for x in p])
+        assert mine == pytest.approx(rate, abs=0.05) and error(mine) <= error(rate) + 1e-6 * current.sum()
+        assert reached == pytest.approx(((tokens * mine)[:, None] * p).sum(0))
+        if cap is None:
+            assert reached == pytest.approx(aim, rel=2e-4)
+
+
+def test_default_targets_are_met_on_the_test_table(spark):
+    found = mixing.op6_soft_mixing(spark, "/root/testdata/sf0.01").toPandas()
+    reached = np.array([(found.tokens * found[f"p_{d}"] * found.rate).sum() for d in mixing.DOMAINS])
+    assert reached / reached.sum() == pytest.approx([mixing.TARGETS[d] for d in mixing.DOMAINS], rel=0.01)
+
+
+def test_mixing_carries_columns_and_repeated_labels(spark):
+    rows = [(i % 50, f"plain words {i % 7}" if i % 2 else "## || $$", 0.5, "r") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rate double, rest string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)] * 2 + [(1, 1, 1)], "doc_id long, quality int, toxic int")
+    found = mixing.mix(docs, labels, carry=True)
+    assert found.select("text", "rest.*").columns == ["text", "rate", "rest"] and found.where("rest.rest = 'r'").count() == 100
+
+
 def test_language_mixture(spark, docs, empty):
     texts = {"en": "the house and the garden with their old trees stand near this river", "de": "der garten und das haus mit den alten baeumen stehen nicht weit vom fluss", "fr": "le jardin et la maison avec les vieux arbres sont pres de la riviere"}
     train = spark.createDataFrame([(t, k) for k, t in texts.items() for _ in range(5)] + [("x", None), (None, "en")], "text string, lang string")
