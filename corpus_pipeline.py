@@ -43,11 +43,13 @@ def sanitise_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their mixing rates say: with rates of 1 at most, once or not at all."""
+    """Documents as often as their mixing rates say: with rates of 1 at most, once or not at all.
+
+    Columns travel with the rates, so no text is shuffled; a null doc_id is drawn as ''.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    copies = materialize(mix(docs, labels).groupBy("doc_id").agg(F.max("copies").alias("_copies")), "copies")
-    left_out = copies.where("_copies = 0").select("doc_id")
-    return docs.join(left_out, "doc_id", "left_anti").select(*docs.columns)
+    kept = mix(docs, labels, max_rate=1.0, carry=True).where("copies >= 1")
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
