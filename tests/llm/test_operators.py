@@ -454,12 +454,8 @@ def test_webp_several_images_for_long_payloads():
     assert b"".join(im.tobytes() for im in webp.read_webp(webp.encode_payload(payload))) == payload
 
 
-def license_words(text):
-    return re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())
-
-
 def test_license_scan(spark, docs, empty):
-    model = licenses.fit_license_model(licenses.training_rows(spark))
+    model = licenses.default_model()
     texts = ["intro\n\nReleased under the MIT License.\nend", "x\nLicensed under CC BY-NC 4.0.", *licenses.OTHERS, None, "", "see LICENSE", "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."]
     found = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert [found[0].license, found[0].n_paragraphs, found[0].notices[0].line, found[1].license] == ["MIT", 3, 2, "CC-BY-NC"]
@@ -467,25 +463,58 @@ def test_license_scan(spark, docs, empty):
     assert found[-1].families == "Apache-2.0,MIT"
     assert licenses.scan_licenses(docs, model).where("n_notices > 0").count() == 0
     assert licenses.scan_licenses(empty, model).count() == 0
-    weights, biases = (np.array(x, float) for x in model)
-    grams = lambda w: {" ".join([*w[i : i + n], *["$"] * (n - len(w[i : i + n]))]) for n in (1, 2, 3) for i in range(len(w))}
-    for line in ("Released under the MIT License.", "Licensed under the GPL v3", "The pilot was granted permission to land"):
-        at = {int(hashlib.md5(g.encode()).hexdigest()[:3], 16) for g in grams(license_words(line))}
-        z = (biases + weights[:, sorted(at)].sum(1)) / 1000
-        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-        got = spark.createDataFrame([(line,)], "t string").select(licenses.judge_paragraph(F.col("t"), model).alias("j")).first().j
-        assert got.probability == pytest.approx(p.max(), abs=1e-4)
-        assert got.family == (licenses.CLASSES[int(p.argmax())] if p.max() >= licenses.MIN_PROBABILITY else "unknown")
+
+
+def plain_license(text, model):
+    """Class and probability of one paragraph, by the definition."""
+    vocabulary, weights, biases = model
+    at = {g: i for i, g in enumerate(vocabulary)}
+    w = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())
+    grams = {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+    z = (np.array(biases, float) + np.array(weights, float)[:, sorted(at[g] for g in grams if g in at)].sum(1)) / 1000
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return licenses.CLASSES[int(p.argmax())] if p.max() >= licenses.MIN_PROBABILITY else "unknown", float(p.max())
+
+
+def test_license_paragraphs_equal_the_model_and_the_gate_loses_none(spark):
+    model = licenses.default_model()
+    random = np.random.default_rng(4)
+    words_ = sorted({w for ts in licenses.templates().values() for t in ts for w in t.split()} | {w for t in licenses.OTHERS for w in t.split()})
+    texts = [t for ts in licenses.templates().values() for t in ts] + [" ".join(random.choice(words_, int(random.integers(1, 25)))) for _ in range(400)] + ["Released under the BSD 3-Clause terms.", "Distributed under the Apache 2.0 terms"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    judged = {r.doc_id: r.j for r in table.select("doc_id", licenses.judge_paragraph(F.col("text"), model).alias("j")).collect()}
+    kept = {r.doc_id: [n.family for n in r.notices] for r in licenses.scan_licenses(table, model).collect()}
+    for i, text in enumerate(texts):
+        family, chance = plain_license(text, model)
+        assert judged[i].probability == pytest.approx(chance, abs=1e-4) and judged[i].family == family
+        assert kept[i] == ([family] if family != "unknown" else [])
+    assert kept[len(texts) - 2] == ["BSD"] and kept[len(texts) - 1] == ["Apache-2.0"]
+
+
+def test_license_model_on_texts_it_has_not_seen():
+    rows = licenses.training_rows()
+    held = lambda r: r[2] % 5 == 1
+    model = licenses.fit_license_model([r for r in rows if not held(r)])
+    judged = [(licenses.CLASSES[label], *plain_license(t, model)) for t, label, _ in filter(held, rows)]
+    sure = [(a, b) for a, b, _ in judged if b != "unknown"]
+    assert np.mean([a == b for a, b, _ in judged]) > 0.9 and np.mean([a == b for a, b in sure]) > 0.95
+    negatives = [b for a, b, _ in judged if a == "unknown"]
+    assert np.mean([b == "unknown" for b in negatives]) > 0.95
+    high = [a == b for a, b, p in judged if p > 0.9]
+    assert np.mean(high) > 0.93  # calibrated: what is held for sure is so
 
 
 def test_license_notices_without_common_keywords_and_wrapped_over_lines(spark):
-    model = licenses.fit_license_model(licenses.training_rows(spark))
+    model = licenses.default_model()
     bsd = "Redistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions are met:"
     gpl = "# This program is free software: you can\n# redistribute it and/or modify it under the\n# terms of the GNU General Public License as\n# published by the Free Software Foundation,\n# either version 3 of the License"
+    mit = "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and\nassociated documentation files"
     texts = ["Released under CC-BY-SA 4.0", "Distributed under Apache 2.0", "available under the GNU General Public terms", "licensed under Creative  Commons Attribution", "modification, are permitted provided that the following conditions are met"]
-    texts += [f"intro of it\n{bsd}\nnext words", f"{gpl}\n\nimport x", bsd.replace("\n", "\n\n"), f"{bsd}\nand\n{bsd}"]
+    texts += [f"intro of it\n{bsd}\nnext words", f"{gpl}\n\nimport x", bsd.replace("\n", "\n\n"), f"{bsd}\nand\n{bsd}", f"a\n{mit}\nb"]
+    texts += ["European Union Public Licence 1.2", "Eclipse Public License v2.0", "The Northern Lakes Public License v2.0"]
     found = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert [r.families for r in found[:5]] == ["CC-BY-SA", "Apache-2.0", "GPL", "CC-BY", "BSD"]
-    assert [r.license for r in found[5:8:2]] == ["BSD", "unconfirmed"]
-    assert [n.line for n in found[5].notices] == [1] and found[6].license == "GPL" and found[6].notices[0].confirmed
+    assert [found[5].license, found[6].license, found[9].license] == ["BSD", "GPL", "MIT"]
+    assert [n.line for n in found[5].notices] == [1] and [n.confirmed for n in found[6].notices if n.family == "GPL"] == [True]
     assert [(n.line, n.family, n.confirmed) for n in found[8].notices] == [(0, "BSD", True), (3, "BSD", True)]
+    assert [found[10].license, found[11].license] == ["EUPL", "EPL"] and found[12].license in (None, "unconfirmed")
