@@ -28,7 +28,7 @@ base AS (SELECT c.*, n_chars - n_blank AS word_chars, coalesce(lines.n, 0) AS n_
 shares AS (SELECT doc_id, lang, n_chars, unnest([{", ".join(f"'{c}'" for c in names)}]) AS class, unnest([{", ".join(f"n_{c}" for c in names)}]) AS n FROM c),
 char_refs AS (SELECT lang, class, sum(n)::DOUBLE / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1)::DOUBLE AS q FROM shares WHERE doc_id IN (SELECT doc_id FROM c WHERE known) GROUP BY lang, class),
 char_d AS (SELECT doc_id, {distance("p", "q")} AS char_distance FROM (SELECT s.doc_id, s.n::DOUBLE / s.n_chars AS p, r.q FROM shares s JOIN char_refs r ON s.lang = r.lang AND s.class = r.class WHERE s.n_chars >= {quality.MIN_CHARS}) GROUP BY 1),
-short AS (SELECT lang, word, count(*) AS n FROM words WHERE lang IS NOT NULL AND length(word) <= {quality.MAX_COMMON_CHARS} AND regexp_full_match(word, '\\p{{L}}+') GROUP BY 1, 2),
+short AS (SELECT lang, word, count(*) AS n FROM words WHERE lang IS NOT NULL AND regexp_full_match(word, '\\p{{L}}+') GROUP BY 1, 2),
 common AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM short) WHERE r <= {quality.TOP_WORDS}),
 word_total AS (SELECT lang, sum(n_words) AS n_all FROM c WHERE known GROUP BY 1),
 word_refs AS (SELECT c.lang, word, c.n::DOUBLE / n_all AS q FROM common c JOIN word_total USING (lang)),

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bind, broadcast_if_small, materialize, words_of
+from .common import WORD, bind, broadcast_if_small, materialize, words_of
 
 WINDOW = 8
 BLANK = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 #: Character classes that are counted by a pattern; ``other`` (lower-case letters in the main) is what is left.
 CLASSES = {"blank": BLANK, "symbol": SYMBOLS, "upper": "\\p{Lu}", "digit": "[0-9]", "punctuation": "[.,;:!?'\"()/=_+@-]"}
-#: Reference words have at most so many characters; ``top`` of them stand for each language.
-MAX_COMMON_CHARS = 4
+#: So many of its most common words stand for each language.
 TOP_WORDS = 20
 MIN_CHARS = 300
 MIN_WORDS = 60
@@ -22,7 +21,7 @@ MAX_WORD_DISTANCE = 0.31
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    """Adds _words, _word_keys and the the base counts, row by row.
+    """Adds _words, _word_keys and the base counts, row by row.
 
     Repeated 8-word windows are found by sorting the windows' 64-bit keys with their positions,
     and only in documents where a key occurs twice; so a long text costs n log n.
@@ -63,29 +62,27 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def language_references(docs: DataFrame, top: int = TOP_WORDS) -> DataFrame:
-    """For each language: chars (shares of the character classes), words (its most common short words) and word_shares (theirs and, last, all others').
+    """For each language: chars (shares of the character classes), words (its most common words) and word_shares (theirs and, last, all others').
 
-    Counts cover every document with a language; word counts are combined in each task before
-    they are shuffled, and only words of at most 4 characters are counted.
+    Words are runs of letters of any length. Counts cover every document with a language; they are
+    combined in each task before they are shuffled.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     text = F.col("text")
     names = [*CLASSES, "other"]
-    chars = known.select("lang", F.length(text).alias("all"), *[F.regexp_count(text, F.lit(p)).alias(c) for c, p in CLASSES.items()])
-    chars = chars.groupBy("lang").agg(*[F.sum(c).alias(c) for c in ["all", *CLASSES]])
+    chars = known.select("lang", F.length(text).alias("all"), F.regexp_count(text, F.lit(WORD)).alias("n_all"), *[F.regexp_count(text, F.lit(p)).alias(c) for c, p in CLASSES.items()])
+    chars = chars.groupBy("lang").agg(*[F.sum(c).alias(c) for c in ["all", "n_all", *CLASSES]])
     chars = chars.withColumn("other", F.col("all") - sum((F.col(c) for c in CLASSES), F.lit(0)))
-    chars = chars.select("lang", F.array(*[F.col(c) / F.greatest(F.col("all"), F.lit(1)) for c in names]).alias("chars"))
-    short = f"(?<!\\S)\\S{{1,{MAX_COMMON_CHARS}}}(?!\\S)".replace("\\S", "[^\\x20\\x09-\\x0D]")
-    words = known.select("lang", F.explode(F.regexp_extract_all(text, F.lit(short), F.lit(0))).alias("word"))
-    words = words.where(F.col("word").rlike("^\\p{L}+$")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    totals = known.groupBy("lang").agg(F.sum(F.size(words_of(text))).alias("n_all"))
+    chars = chars.select("lang", "n_all", F.array(*[F.col(c) / F.greatest(F.col("all"), F.lit(1)) for c in names]).alias("chars"))
+    words = known.select("lang", F.explode(words_of(text)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = words.where(F.col("word").rlike("^\\p{L}+$"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     best = words.withColumn("_at", order).where(F.col("_at") <= top).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("_at", "word", "n"))).alias("_best"))
-    best = best.join(totals, "lang").withColumn("_n", F.greatest(F.col("n_all"), F.lit(1)))
+    best = chars.select("lang", "n_all").join(best, "lang").withColumn("_n", F.greatest(F.col("n_all"), F.lit(1)))
     shares = F.transform("_best", lambda b: b["n"] / F.col("_n"))
     rest = F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
     best = best.select("lang", F.transform("_best", lambda b: b["word"]).alias("words"), F.concat(shares, F.array(rest)).alias("word_shares"))
-    return chars.join(best, "lang", "left")
+    return chars.drop("n_all").join(best, "lang", "left")
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -102,18 +99,18 @@ def js_distance(p: Column, q: Column) -> Column:
 def judge_quality(docs: DataFrame, references: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, max_languages: int = 1000) -> DataFrame:
     """All columns of ``docs`` plus base counts, base_failed, char_distance, word_distance and kept.
 
-    A document fails if its base rules fail, or if it has at least 200 characters and its
+    A document fails if its base rules fail, or if it has at least 300 characters and its
     character-class histogram is farther than ``max_char`` from its language's, or at least 60
     words and its common-word histogram farther than ``max_word``. Shorter texts and unknown or
     null languages are judged by the base rules alone, with null distances. Null text has no
     words and fails. Repeated rows are judged alike, an empty table gives none. Input columns
-    with the added names are replaced.
+    with the added names are replaced; others stay, whatever they are called.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
     keep = [c for c in docs.columns if c not in added]
     refs = references.select(F.col("lang").alias("_lang"), F.col("chars").alias("_chars"), F.col("words").alias("_common"), F.col("word_shares").alias("_shares"))
     refs = broadcast_if_small(refs, max_languages)
-    found = with_base(docs.select(*keep)).join(refs, F.col("lang") == F.col("_lang"), "left")
+    found = with_base(docs.select("text", "lang", F.struct(*keep).alias("_row"))).join(refs, F.col("lang") == F.col("_lang"), "left")
     mine = F.array(*[F.col(f"_n_{c}") / F.col("_n_chars") for c in [*CLASSES, "other"]])
     counted = F.transform("_common", lambda w: bind(F.xxhash64(w), lambda k: F.size("_word_keys") - F.size(F.array_remove("_word_keys", k))) / F.col("n_words"))
     others = lambda c: F.concat(c, F.array(F.lit(1.0) - F.aggregate(c, F.lit(0.0), lambda a, x: a + x)))
@@ -124,7 +121,7 @@ def judge_quality(docs: DataFrame, references: DataFrame, max_char: float = MAX_
     found = found.withColumn("kept", ~F.col("base_failed") & ~far)
     # Not deterministic to the optimizer: else a filter on an added column would be moved below and every array computed anew at each use.
     fence = F.monotonically_increasing_id() >= 0
-    return found.select(*keep, *[F.when(fence, F.col(c)).alias(c) for c in added])
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in keep], *[F.when(fence, F.col(c)).alias(c) for c in added])
 
 
 def op2_distribution_divergence(spark, sf_dir: str) -> DataFrame:

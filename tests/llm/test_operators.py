@@ -53,6 +53,9 @@ def test_quality_counts(spark, docs, empty):
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
         assert not (r.kept and r.base_failed)
     assert quality.judge_quality(empty, references).count() == 0
+    odd = spark.createDataFrame([(1, "a b", "en", "mine", 5, "kept")], "doc_id long, text string, lang string, _words string, _n_chars int, _row string")
+    row = quality.judge_quality(odd, references).first()
+    assert (row["_words"], row["_n_chars"], row["_row"], row.n_words) == ("mine", 5, "kept", 2)
     assert quality.judge_quality(docs, references).where("kept").count() == sum(r.kept for r in found)
 
 
