@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,11 +19,18 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+@functools.cache
+def letters() -> np.ndarray:
+    """Which code points are letters or marks that belong to letters."""
+    import unicodedata
+
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+
+
 def trigram_buckets(points: np.ndarray) -> np.ndarray:
     """Bucket of each character trigram of ``points`` with a space before and after; runs of anything but letters are one space."""
     padded = np.concatenate([[32], points, [32]]).astype(np.uint32)
-    ascii_letter = (padded >= 97) & (padded <= 122)
-    padded = np.where(ascii_letter | (padded >= 0xAA), padded, np.uint32(32))
+    padded = np.where(letters()[np.minimum(padded, 0x10FFFF)], padded, np.uint32(32))
     padded = padded[np.concatenate([[True], (padded[1:] != 32) | (padded[:-1] != 32)])]
     if len(padded) < 3:
         return np.zeros(0, np.int64)
@@ -56,7 +65,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit_languages(docs: DataFrame, max_languages: int = 250) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and their log-probabilities of each trigram bucket (add-one smoothing).
+    """Languages, sorted, and their log-probabilities of each trigram bucket (0.5 added to each count).
 
     The model has 65536 numbers a language whatever the corpus holds, so it may go to the driver
     and to every task; more than ``max_languages`` languages are an error.
@@ -96,14 +105,15 @@ def mixture(loglik: np.ndarray, chosen: np.ndarray, of: np.ndarray, docs: int, s
     return share, total
 
 
-def infer(texts: list[str | None], langs: list[str], table: np.ndarray, steps: int = 8, penalty: float = 1.0, most: int | None = None, segment: int = SEGMENT_CHARS) -> list[tuple[str, float, str]]:
+def infer(texts: list[str | None], langs: list[str], table: np.ndarray, steps: int = 8, penalty: float = 1.0, most: int | None = None, segment: int = SEGMENT_CHARS, slice_cells: int = 4_000_000) -> list[tuple[str, float, str]]:
     """(language, its proportion, all proportions as text) for each text.
 
     A text is cut into runs of ``segment`` trigrams. For k = 1, 2, ... the k languages that a full
     mixture favours are fitted again; the k with the least Bayesian information criterion
     (penalty x (2k - 1) / 2 x log segments - log-likelihood) gives the proportions. k goes up to the
     number of languages with a share in the full mixture; it stops earlier, without loss, where the
-    penalty alone is too high even if each segment had its best language to itself. ``most`` bounds k.
+    penalty alone is too high even if each segment had its best language to itself. ``most`` bounds k;
+    ``slice_cells`` bounds the n-grams x languages that are held at a time.
     """
     n, k = len(texts), len(langs)
     grams = [trigram_buckets(code_points(x)) if x and any(map(str.isalpha, x)) else np.zeros(0, np.int64) for x in texts]
@@ -113,7 +123,11 @@ def infer(texts: list[str | None], langs: list[str], table: np.ndarray, steps: i
         return [("und", 0.0, "")] * n
     lengths = np.array([len(g) for g in grams])
     starts = np.concatenate([np.arange(0, m, segment) + at for m, at in zip(lengths, np.cumsum(lengths) - lengths, strict=True)]).astype(int)
-    loglik = np.add.reduceat(table.T[np.concatenate(grams)].astype(np.float64), starts)
+    flat, runs = np.concatenate(grams), max(1, slice_cells // (k * segment))
+    ends = np.append(starts[1:], len(flat))
+    # A slice of runs at a time: memory depends on runs x languages, not on n-grams x languages.
+    parts = [np.add.reduceat(table[:, flat[starts[at] : ends[min(at + runs, len(starts)) - 1]]].astype(np.float64), starts[at : at + runs] - starts[at], axis=1).T for at in range(0, len(starts), runs)]
+    loglik = np.concatenate(parts)
     of = np.repeat(np.arange(n), pieces)
     share, _ = mixture(loglik, np.ones((n, k)), of, n, steps)
     order = np.argsort(-share, axis=1, kind="stable")

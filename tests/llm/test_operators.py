@@ -521,3 +521,19 @@ def test_license_notices_without_common_keywords_and_wrapped_over_lines(spark):
     assert [n.line for n in found[5].notices] == [1] and [n.confirmed for n in found[6].notices if n.family == "GPL"] == [True]
     assert [(n.line, n.family, n.confirmed) for n in found[8].notices] == [(0, "BSD", True), (3, "BSD", True)]
     assert [found[10].license, found[11].license] == ["EUPL", "EPL"] and found[12].license in (None, "unconfirmed")
+
+
+def test_url_model_on_names_and_paths_it_has_not_seen():
+    rows = url_filter.labelled_urls()
+    held = lambda url: int(hashlib.md5(url.split("/")[2].encode()).hexdigest(), 16) % 5 == 0
+    weights, bias = url_filter.fit_url_model([r for r in rows if not held(r[0])])
+    judged = [(label, int(bias + sum(weights[i] for i in url_filter.url_buckets(url)) > 0)) for url, label in rows if held(url)]
+    assert len(judged) > 100 and np.mean([a == b for a, b in judged]) > 0.85
+
+
+def test_language_batches_of_long_texts_are_worked_in_slices():
+    table = np.log(np.random.default_rng(1).dirichlet(np.ones(language_id.BUCKETS), 3)).astype(np.float32)
+    texts = ["abc def ghi " * 40_000, None, "xyz uvw " * 9, "abc " * 300_000, ""]
+    whole = language_id.infer(texts, ["a", "b", "c"], table)
+    assert [language_id.infer([t], ["a", "b", "c"], table)[0] for t in texts] == whole
+    assert language_id.infer(texts, ["a", "b", "c"], table, slice_cells=3_000) == whole
