@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from .streams import http_service, text_hint
 
-# EtherTypes, IP protocol numbers and limits.
+# EtherTypes, PPP and IP protocol numbers, limits, names of layers and of PPPoE discovery codes.
 VLAN_TYPES = (0x8100, 0x88A8, 0x9100)
 MPLS_TYPES = (0x8847, 0x8848)
+PBB, MACSEC, PPPOE_DISCOVERY, PPPOE_SESSION = 0x88E7, 0x88E5, 0x8863, 0x8864
 IPV4, IPV6, ARP, ETHERNET = 0x0800, 0x86DD, 0x0806, 0x6558
-MAX_TAGS, MAX_LABELS, MAX_EXTENSIONS = 4, 4, 4
+MIN_ETHERTYPE = 0x0600
+MAX_TAGS, MAX_LABELS, MAX_EXTENSIONS, MAX_TUNNELS = 4, 16, 8, 3
 EXTENSIONS = (0, 43, 60, 44)
-LAYERS = {1: "ICMP", 2: "IGMP", 6: "TCP", 17: "UDP", 50: "ESP", 58: "ICMPv6", 132: "SCTP"}
-KNOWN = (1, 2, 6, 17, 58, 132)
+AH, ESP = 51, 50
+LAYERS = {6: "TCP", 17: "UDP", 132: "SCTP"}
+KNOWN = (1, 2, 6, 17, 50, 58, 132)
+DISCOVERY = {0x09: "PADI", 0x07: "PADO", 0x19: "PADR", 0x65: "PADS", 0xA7: "PADT"}
+PPP_CONTROL = {0xC021: "LCP", 0x8021: "IPCP", 0x8057: "IPv6CP"}
 
 
 def number(at: Column, size: int) -> Column:
@@ -28,41 +33,86 @@ def slice_of(at: Column, size: int) -> Column:
     return F.when(inside, F.substring(F.col("bytes"), (at + 1).cast("int"), F.lit(size)))
 
 
+def walk(start: Column, times: int, more, step) -> Column:
+    """``step`` applied to a struct as long as ``more`` holds, ``times`` times at most."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(times)), start, lambda s, _: F.when(F.coalesce(more(s), F.lit(False)), step(s)).otherwise(s))
+
+
+def place(kind: Column, at: Column, path: Column) -> Column:
+    return F.struct(kind.cast("long").alias("type"), at.cast("long").alias("at"), path.alias("path"))
+
+
 def link_layer(raw: DataFrame) -> DataFrame:
-    """_type, _at and _path after the link header, up to four VLAN tags and up to four MPLS labels."""
+    """_type, _at and _path after the link header, VLAN tags, LLC/SNAP, PBB, PPPoE and MPLS labels with what they carry; _why says what stopped it."""
     link = F.col("data_link_type")
-    start = {
-        "_type": F.when(link == 1, number(F.lit(12), 2)).when(link == 113, number(F.lit(14), 2)).when(link == 276, number(F.lit(0), 2)),
-        "_at": F.when(link == 1, 14).when(link == 113, 16).otherwise(20),
-        "_path": F.array(F.when(link == 1, "EthernetII").when(link == 113, "LinuxSLL").otherwise("LinuxSLL2")),
-    }
-    found = raw.withColumns(start)
-    for _ in range(MAX_TAGS):
-        tagged, vid = F.col("_type").isin(*VLAN_TYPES), number(F.col("_at"), 2).bitwiseAND(0xFFF)
-        found = found.withColumns(
-            {
-                "_path": F.when(tagged, F.concat("_path", F.array(F.concat(F.lit("VLAN(vid="), vid.cast("string"), F.lit(")"))))).otherwise(F.col("_path")),
-                "_type": F.when(tagged, number(F.col("_at") + 2, 2)).otherwise(F.col("_type")),
-                "_at": F.when(tagged, F.col("_at") + 4).otherwise(F.col("_at")),
-            }
-        )
-    for _ in range(MAX_LABELS):
-        labelled, entry = F.col("_type").isin(*MPLS_TYPES), number(F.col("_at"), 4)
-        bottom = entry.bitwiseAND(0x100) != 0
-        version = F.shiftright(number(F.col("_at") + 4, 1), 4)
-        after = F.when(~bottom, F.col("_type")).when(version == 4, IPV4).when(version == 6, IPV6)
-        found = found.withColumns(
-            {
-                "_path": F.when(labelled, F.concat("_path", F.array(F.concat(F.lit("MPLS(label="), F.shiftright(entry, 12).cast("string"), F.lit(")"))))).otherwise(F.col("_path")),
-                "_type": F.when(labelled, after).otherwise(F.col("_type")),
-                "_at": F.when(labelled, F.col("_at") + 4).otherwise(F.col("_at")),
-            }
-        )
-    return found
+    kind = F.when(link == 1, number(F.lit(12), 2)).when(link == 113, number(F.lit(14), 2)).when(link == 276, number(F.lit(0), 2))
+    name = F.when((link == 1) & (kind < MIN_ETHERTYPE), "IEEE 802.3").when(link == 1, "EthernetII").when(link == 113, "LinuxSll").otherwise("LinuxSll2")
+    found = raw.withColumn("_s", place(kind, F.when(link == 1, 14).when(link == 113, 16).otherwise(20), F.array(name)))
+    tag = lambda s: place(number(s["at"] + 2, 2), s["at"] + 4, F.concat(s["path"], F.array(F.concat(F.lit("VLAN(vid="), number(s["at"], 2).bitwiseAND(0xFFF).cast("string"), F.lit(")")))))
+    found = found.withColumn("_s", walk(F.col("_s"), MAX_TAGS, lambda s: s["type"].isin(*VLAN_TYPES), tag))
+
+    at, kind, path = F.col("_s.at"), F.col("_s.type"), F.col("_s.path")
+    frame = (link == 1) & (kind < MIN_ETHERTYPE)
+    snap = number(at, 3) == 0xAAAA03
+    why = (
+        F.when(kind.isNull(), "Link-layer header truncated")
+        .when(frame & number(at, 3).isNull(), "LLC header truncated")
+        .when(frame & ~snap, "Non-SNAP LLC frame")
+        .when(frame & number(at + 6, 2).isNull(), "SNAP header truncated")
+        .when(frame & ~number(at + 6, 2).isin(IPV4, IPV6, ARP), "Unknown SNAP PID")
+        .when((kind == PBB) & number(at, 4).isNull(), "PBB I-TAG truncated")
+        .when((kind == PBB) & number(at + 16, 2).isNull(), "Inner Ethernet header truncated")
+        .when((kind == PBB) & ~number(at + 16, 2).isin(IPV4, IPV6, ARP), "Unknown PBB inner EtherType")
+    )
+    tagged, length = number(at, 1), F.octet_length("bytes")
+    secure = at + 6 + F.when(tagged.bitwiseAND(0x20) != 0, 8).otherwise(0)
+    why = why.when(kind == MACSEC, F.when(number(at, 2).isNull(), "MACsec SecTAG truncated").when(number(at + 2, 4).isNull(), "MACsec packet number truncated").when(secure > length, "MACsec SCI truncated").when(secure + 16 > length, "MACsec ICV truncated").otherwise("MACsec protected payload not decrypted"))
+    code = number(at + 1, 1)
+    discovery = F.lit("PPPoE Discovery packet")
+    for value, name in DISCOVERY.items():
+        discovery = F.when(code == value, F.lit(f"PPPoE Discovery {name}")).otherwise(discovery)
+    why = why.when(kind == PPPOE_DISCOVERY, F.when(number(at, 6).isNull(), "PPPoE Discovery header truncated").otherwise(discovery))
+    ppp = number(at + 6, 2)
+    control = F.lit("Unknown PPP protocol")
+    for value, name in PPP_CONTROL.items():
+        control = F.when(ppp == value, F.lit(f"PPP {name} control packet")).otherwise(control)
+    session = F.when(number(at, 6).isNull(), "PPPoE Session header truncated").when((number(at, 1) != 0x11) | (code != 0), "Unsupported or malformed packet").when(ppp.isNull(), "PPP protocol field truncated").when(~ppp.isin(0x21, 0x57), control)
+    why = why.when(kind == PPPOE_SESSION, session)
+    inner = (
+        F.when(frame & snap, place(number(at + 6, 2), at + 8, F.concat(path, F.array(F.lit("LLC/SNAP")))))
+        .when(kind == PBB, place(number(at + 16, 2), at + 18, F.concat(path, F.array(F.concat(F.lit("PBB(isid=0x"), hexed(number(at + 1, 3), 6), F.lit(")")), F.lit("EthernetII")))))
+        .when((kind == PPPOE_SESSION) & (number(at, 2) == 0x1100), place(F.when(ppp == 0x21, IPV4).when(ppp == 0x57, IPV6), at + 8, F.concat(path, F.array(F.lit("PPPoE"), F.lit("PPP")))))
+        .otherwise(F.col("_s"))
+    )
+    found = found.withColumns({"_why": why, "_s": inner})
+
+    entry = lambda s: number(s["at"], 4)
+    label = lambda s: place(F.when(entry(s).bitwiseAND(0x100) == 0, s["type"]).otherwise(F.lit(0)), s["at"] + 4, F.concat(s["path"], F.array(F.concat(F.lit("MPLS(label="), F.shiftright(entry(s), 12).cast("string"), F.lit(")")))))
+    found = found.withColumn("_mpls", F.col("_s.type").isin(*MPLS_TYPES)).withColumn("_s", walk(F.col("_s"), MAX_LABELS, lambda s: s["type"].isin(*MPLS_TYPES) & entry(s).isNotNull(), label))
+    at, kind, path, mpls = F.col("_s.at"), F.col("_s.type"), F.col("_s.path"), F.coalesce(F.col("_mpls"), F.lit(False))
+    version = F.shiftright(number(at, 1), 4)
+    controlled = number(at, 2) == 0
+    start = at + F.when(controlled, 4).otherwise(0)
+    wired = mpls & (kind == 0) & ~version.isin(4, 6)
+    why = (
+        F.when(mpls & kind.isin(*MPLS_TYPES), F.when(entry(F.col("_s")).isNull(), "MPLS label header truncated").otherwise("MPLS bottom-of-stack not found"))
+        .when(mpls & (number(at, 1).isNull()), "Missing MPLS inner payload")
+        .when(wired & controlled & number(at, 4).isNull(), "MPLS pseudowire control word truncated")
+        .when(wired & number(start + 12, 2).isNull(), "Inner Ethernet header truncated")
+        .when(wired & ~number(start + 12, 2).isin(IPV4, IPV6, ARP), "Unknown MPLS pseudowire inner EtherType")
+    )
+    carried = (
+        F.when(mpls & (kind == 0) & (version == 4), place(F.lit(IPV4), at, path))
+        .when(mpls & (kind == 0) & (version == 6), place(F.lit(IPV6), at, path))
+        .when(wired, place(number(start + 12, 2), start + 14, F.concat(path, F.array(F.lit("MPLS PW"), F.lit("EthernetII")))))
+        .otherwise(F.col("_s"))
+    )
+    found = found.withColumns({"_why": F.coalesce("_why", why), "_s": carried})
+    return found.withColumns({"_type": F.col("_s.type"), "_at": F.col("_s.at"), "_path": F.col("_s.path")}).drop("_s", "_mpls")
 
 
 def network_layer(found: DataFrame, inner: bool = False) -> DataFrame:
-    """Addresses, protocol, fragment mark, start of the transport header and declared end of the packet.
+    """Addresses, protocol, fragment mark, start of the transport header and declared end of the packet, past IPv6 extension headers and AH.
 
     With ``inner`` only rows marked _tunnel are read again, and what they held before is replaced.
     """
@@ -71,27 +121,29 @@ def network_layer(found: DataFrame, inner: bool = False) -> DataFrame:
     v6 = (F.col("_type") == IPV6) & (F.shiftright(number(at, 1), 4) == 6)
     arp = (F.col("_type") == ARP) & (number(at + 2, 2) == IPV4)
     declared = number(at + 2, 2)
+    first = F.when(v4, at + number(at, 1).bitwiseAND(15) * 4).when(v6, at + 40).otherwise(at)
+    protocol = F.when(v4, number(at + 9, 1)).when(v6, number(at + 6, 1)).when(arp, 253)
+    parts = F.coalesce(v4 & (number(at + 6, 2).bitwiseAND(0x3FFF) != 0), F.lit(False))
+    nothing = F.array().cast("array<string>")
+    header = lambda protocol, at, parts, seen: F.struct(protocol.cast("long").alias("protocol"), at.cast("long").alias("at"), parts.alias("parts"), seen.alias("seen"))
+
+    def step(s: Column) -> Column:
+        fragment, secured = s["protocol"] == 44, s["protocol"] == AH
+        offset = number(s["at"] + 2, 2)
+        size = F.when(fragment, 8).when(secured, (number(s["at"] + 1, 1) + 2) * 4).otherwise((number(s["at"] + 1, 1) + 1) * 8)
+        layer = F.when(secured, F.array(F.concat(F.lit("AH(spi=0x"), hexed(number(s["at"] + 4, 4)), F.lit(")")))).otherwise(nothing)
+        return header(number(s["at"], 1), s["at"] + size, s["parts"] | F.coalesce(fragment & (offset.bitwiseAND(0xFFF9) != 0), F.lit(False)), F.concat(s["seen"], layer))
+
+    more = lambda s: ~s["parts"] & ((v6 & s["protocol"].isin(*EXTENSIONS)) | ((v4 | v6) & (s["protocol"] == AH) & ((number(s["at"] + 1, 1) + 2) * 4 >= 12)))
     columns = {
         "_kind": F.when(v4, "IPv4").when(v6, "IPv6").when(arp, "ARP"),
         "src_addr": F.when(v4, slice_of(at + 12, 4)).when(v6, slice_of(at + 8, 16)).when(arp, slice_of(at + 14, 4)),
         "dst_addr": F.when(v4, slice_of(at + 16, 4)).when(v6, slice_of(at + 24, 16)).when(arp, slice_of(at + 24, 4)),
-        "protocol": F.when(v4, number(at + 9, 1)).when(v6, number(at + 6, 1)).when(arp, 253).cast("int"),
-        "is_ip_fragmented": F.coalesce(v4 & (number(at + 6, 2).bitwiseAND(0x3FFF) != 0), F.lit(False)),
         "_end": F.when(v4, F.when(declared == 0, F.octet_length("bytes")).otherwise(at + declared)).when(v6, at + 40 + number(at + 4, 2)),
-        "_at": F.when(v4, at + number(at, 1).bitwiseAND(15) * 4).when(v6, at + 40).otherwise(at),
+        "_h": walk(header(protocol, first, parts, nothing), MAX_EXTENSIONS, more, step),
     }
     found = found.withColumns({c: F.when(chosen, v).otherwise(F.col(c)) if inner else v for c, v in columns.items()})
-    for _ in range(MAX_EXTENSIONS):
-        at, more = F.col("_at"), chosen & (F.col("_kind") == "IPv6") & F.col("protocol").isin(*EXTENSIONS)
-        fragment = F.col("protocol") == 44
-        found = found.withColumns(
-            {
-                "is_ip_fragmented": F.col("is_ip_fragmented") | F.coalesce(more & fragment, F.lit(False)),
-                "protocol": F.when(more, number(at, 1).cast("int")).otherwise(F.col("protocol")),
-                "_at": F.when(more, at + F.when(fragment, 8).otherwise((number(at + 1, 1) + 1) * 8)).otherwise(at),
-            }
-        )
-    return found
+    return found.withColumns({"protocol": F.col("_h.protocol").cast("int"), "is_ip_fragmented": F.col("_h.parts"), "_at": F.when(chosen, F.col("_h.at")).otherwise(F.col("_at")), "_seen": F.col("_h.seen")})
 
 
 def hexed(value: Column, digits: int = 8) -> Column:
@@ -101,7 +153,8 @@ def hexed(value: Column, digits: int = 8) -> Column:
 def tunnel_layer(found: DataFrame) -> DataFrame:
     """Marks VXLAN, Geneve, GTP-U, GRE and IP in IP as _tunnel and moves _type, _at and _path to what they carry."""
     at, protocol, whole = F.col("_at"), F.col("protocol"), ~F.col("is_ip_fragmented")
-    port = F.when((protocol == 17) & whole, number(at + 2, 2))
+    # UDP inside an overlay ends there; GRE and IP in IP may nest.
+    port = F.when((protocol == 17) & whole & ~F.exists("_path", lambda x: x.rlike("^(VXLAN|Geneve|GTP-U)")), number(at + 2, 2))
     body = at + 8
     first = number(body, 1)
     gre_flags = F.when((protocol == 47) & whole, number(at, 2))
@@ -130,7 +183,7 @@ def tunnel_layer(found: DataFrame) -> DataFrame:
         .when(by == "GTP-U", F.concat(F.lit("GTP-U(teid=0x"), hexed(number(body + 4, 4)), F.lit(")")))
         .when(by == "GRE", key)
     )
-    outer = F.array_compact(F.array(F.col("_kind"), F.when(protocol == 17, "UDP"), name))
+    outer = F.concat(F.array("_kind"), "_seen", F.array_compact(F.array(F.when(protocol == 17, "UDP"), name)))
     found = found.withColumns({"_tunnel": by.isNotNull(), "_start": start, "_carries": kind, "_outer": outer})
     frame = F.col("_carries") == ETHERNET
     version = F.shiftright(number(F.col("_start"), 1), 4)
@@ -144,10 +197,12 @@ def dissect(raw: DataFrame) -> DataFrame:
     """Packet rows of ``read_captures`` with addresses, ports, path, flags, payload, hint, service and reason.
 
     reason is null for packets that belong to a flow and says what was missing for the others.
-    One tunnel is followed, and the addresses inside it count; a tunnel inside a tunnel is
-    unrecognized or a flow of the inner tunnel's packets.
+    Up to ``MAX_TUNNELS`` tunnels are followed, and the addresses inside the last count. ICMP, IGMP
+    and ARP add no layer, nor does the transport of a fragment; an IGMP group is the destination.
     """
-    found = network_layer(tunnel_layer(network_layer(link_layer(raw.where("bytes is not null")))), inner=True)
+    found = network_layer(link_layer(raw.where("bytes is not null")))
+    for _ in range(MAX_TUNNELS):
+        found = network_layer(tunnel_layer(found), inner=True)
     at, protocol = F.col("_at"), F.col("protocol")
     ported = protocol.isin(6, 17, 132) & ~F.col("is_ip_fragmented")
     header = F.when(protocol == 6, F.shiftright(number(at + 12, 1), 4) * 4).when(protocol == 17, 8).when(protocol == 132, 12)
@@ -155,6 +210,8 @@ def dissect(raw: DataFrame) -> DataFrame:
         {
             "src_port": F.when(ported, number(at, 2)).otherwise(0).cast("int"),
             "dst_port": F.when(ported, number(at + 2, 2)).otherwise(0).cast("int"),
+            "sequence": F.when(ported & (protocol == 6), number(at + 4, 4)),
+            "acknowledgement": F.when(ported & (protocol == 6), number(at + 8, 4)),
             "tcp_flags": F.when(ported & (protocol == 6), number(at + 13, 1)).otherwise(0).cast("int"),
             "_payload": F.when(ported, at + header),
         }
@@ -163,14 +220,22 @@ def dissect(raw: DataFrame) -> DataFrame:
     layer = F.lit(None).cast("string")
     for code, name in LAYERS.items():
         layer = F.when(protocol == code, F.lit(name)).otherwise(layer)
-    network = F.when(F.col("_kind") == "ARP", F.array(F.lit("ARP"))).otherwise(F.array("_kind", layer))
+    layer = F.when(~F.col("is_ip_fragmented"), layer)
+    secured = F.when(protocol == ESP, F.concat(F.lit("ESP(spi=0x"), hexed(number(at, 4)), F.lit(")")))
+    network = F.when(F.col("_kind") == "ARP", F.array().cast("array<string>")).otherwise(F.concat(F.array("_kind"), "_seen", F.array_compact(F.array(layer, secured))))
+    group = F.when((protocol == 2) & ~F.col("is_ip_fragmented") & (number(at, 1) != 0x22) & (number(at + 4, 4) != 0), slice_of(at + 4, 4))
+    found = found.withColumn("dst_addr", F.coalesce(group, "dst_addr"))
+    short = ported & ((header.isNull()) | (at + header > F.octet_length("bytes")) | ((protocol == 6) & (header < 20)))
     reason = (
-        F.when(F.col("_type").isNull(), "truncated link header")
-        .when(~F.col("_type").isin(IPV4, IPV6, ARP), "unsupported link payload")
-        .when(F.col("_kind").isNull(), "malformed network header")
-        .when(F.col("src_addr").isNull() | F.col("dst_addr").isNull(), "truncated network header")
-        .when((F.col("_kind") != "ARP") & ~F.coalesce(protocol.isin(*KNOWN), F.lit(False)), "unsupported transport protocol")
-        .when(F.col("src_port").isNull() | F.col("dst_port").isNull() | (ported & (protocol == 6) & (header.isNull() | (header < 20))), "truncated transport header")
+        F.when(F.col("_why").isNotNull(), F.col("_why"))
+        .when((F.col("_type") == ARP) & (F.col("_kind").isNull() | F.col("src_addr").isNull() | F.col("dst_addr").isNull()), "ARP header truncated")
+        .when(~F.col("_type").isin(IPV4, IPV6, ARP), "Unsupported or malformed packet")
+        .when(F.col("_kind").isNull() | F.col("src_addr").isNull() | F.col("dst_addr").isNull(), "Could not extract flow key")
+        .when((protocol == 2) & ~F.col("is_ip_fragmented") & number(at, 1).isNull(), "Missing IGMP payload")
+        .when((protocol == 2) & ~F.col("is_ip_fragmented") & number(at, 8).isNull(), "IGMP header truncated")
+        .when((F.col("_kind") != "ARP") & ~F.coalesce(protocol.isin(*KNOWN), F.lit(False)), "Unsupported or malformed packet")
+        .when((protocol == 17) & short, "UDP header truncated")
+        .when(short | ((protocol == ESP) & ~F.col("is_ip_fragmented") & number(at, 4).isNull()), "Could not extract flow key")
     )
     found = found.withColumns(
         {
@@ -182,7 +247,7 @@ def dissect(raw: DataFrame) -> DataFrame:
         }
     )
     payload = F.when(F.col("payload_length") > 0, F.substring(F.col("bytes"), (F.col("_payload") + 1).cast("int"), F.col("payload_length").cast("int")))
-    found = found.withColumn("payload", F.coalesce(payload, F.lit(b""))).drop("_type", "_at", "_path", "_kind", "_end", "_payload", "_tunnel")
+    found = found.withColumn("payload", F.coalesce(payload, F.lit(b""))).drop("_type", "_at", "_path", "_kind", "_end", "_payload", "_tunnel", "_h", "_seen", "_why")
     return with_hints(found)
 
 
@@ -207,7 +272,7 @@ def with_hints(packets: DataFrame) -> DataFrame:
         .when(on(53) & dns(0), "dns")
         .when(on(443) & (length >= 6) & (byte(0).bitwiseAND(0xC0) == 0xC0) & (byte(1, 4) != 0), "quic")
         .when(on(67, 68) & (length >= 240) & (byte(236, 4) == 0x63825363), "dhcp")
-        .when((length >= 20) & (byte(4, 4) == 0x2112A442) & (byte(2, 2) + 20 == length), "stun")
+        .when((length >= 20) & (byte(0).bitwiseAND(0xC0) == 0) & (byte(2, 2) % 4 == 0) & (byte(4, 4) == 0x2112A442) & (byte(2, 2) + 20 == length), "stun")
     )
     hint = F.when(F.col("is_ip_fragmented") | (length == 0), F.lit(None).cast("string")).when(tcp, over_tcp).when(udp, over_udp)
     packets = packets.withColumn("hint", hint)

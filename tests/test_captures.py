@@ -59,12 +59,12 @@ def test_layers_and_hints(capture):
     paths = [" -> ".join(r.path) for r in found[:6]]
     assert paths == [
         "EthernetII -> IPv4 -> TCP", "EthernetII -> VLAN(vid=0) -> IPv4 -> TCP", "EthernetII -> VLAN(vid=10) -> VLAN(vid=20) -> IPv4 -> UDP", "EthernetII -> IPv6 -> UDP",
-        "EthernetII -> ARP", "EthernetII -> MPLS(label=77) -> IPv4 -> ICMP",
+        "EthernetII", "EthernetII -> MPLS(label=77) -> IPv4",
     ]
     assert [r.hint for r in found[:6]] == ["http", "http", "dns", "quic", None, None]
     assert (found[0].service, found[0].src_port, found[0].tcp_flags, found[0].payload_length, found[0].original_length) == ("h.example", 4000, 0x18, 36, len(PACKETS[0]) + 5)
     assert (found[6].is_ip_fragmented, found[6].src_port) == (True, 0)
-    assert [r.reason for r in found[6:]] == [None, "truncated transport header", "unsupported link payload", "truncated link header"]
+    assert [r.reason for r in found[6:]] == [None, "Could not extract flow key", "Unsupported or malformed packet", "Link-layer header truncated"]
 
 
 def test_flows_of_a_capture(capture):
@@ -91,6 +91,41 @@ def test_tunnels(spark):
     assert {(bytes(r.src_addr), r.src_port, r.reason) for r in found[:-1]} == {(bytes([192, 168, 0, 1]), 1, None)}
 
 
+def test_further_layers_and_reasons(spark):
+    inner = ipv4(6, tcp(1, 2))
+    labels = lambda n: b"".join(struct.pack(">I", i << 12 | (0x100 if i == n else 0)) for i in range(1, n + 1))
+    cases = [
+        (b"\1" * 12 + struct.pack(">H", 8 + len(inner)) + b"\xaa\xaa\3\0\0\0\x08\0" + inner, "IEEE 802.3 -> LLC/SNAP -> IPv4 -> TCP", None),
+        (ether(0x8864, b"\x11\0\0\1\0\x20\0\x21" + inner), "EthernetII -> PPPoE -> PPP -> IPv4 -> TCP", None),
+        (ether(0x88E7, b"\0\0\1\2" + b"\1" * 12 + b"\x08\0" + inner), "EthernetII -> PBB(isid=0x000102) -> EthernetII -> IPv4 -> TCP", None),
+        (ether(0x8847, labels(16) + inner), "EthernetII -> " + "".join(f"MPLS(label={i}) -> " for i in range(1, 17)) + "IPv4 -> TCP", None),
+        (ether(0x8847, labels(1) + b"\0" * 4 + ether(0x0800, inner)), "EthernetII -> MPLS(label=1) -> MPLS PW -> EthernetII -> IPv4 -> TCP", None),
+        (ether(0x0800, ipv4(51, b"\6\4\0\0" + b"\0\0\0\7" + b"\0" * 16 + tcp(1, 2))), "EthernetII -> IPv4 -> AH(spi=0x00000007) -> TCP", None),
+        (ether(0x0800, ipv4(50, b"\0\0\0\x09rest")), "EthernetII -> IPv4 -> ESP(spi=0x00000009)", None),
+        (ether(0x0800, ipv4(4, ipv4(47, struct.pack(">HH", 0, 0x0800) + inner))), "EthernetII -> IPv4 -> IPv4 -> GRE -> IPv4 -> TCP", None),
+        (ether(0x0800, ipv4(2, b"\x16\0\0\0\xe0\1\2\3")), "EthernetII -> IPv4", None),
+        (ether(0x0800, ipv4(6, tcp(1, 2), fragment=0x2000)), "EthernetII -> IPv4", None),
+        (ether(0x86DD, ipv6(0, b"\x3c\0" + b"\0" * 6 + (b"\x3c\0" + b"\0" * 6) * 6 + b"\x11\0" + b"\0" * 6 + udp(1, 2))), "EthernetII -> IPv6 -> UDP", None),
+        (b"\1" * 12 + b"\0\x20\x42\x42\3" + b"x" * 20, None, "Non-SNAP LLC frame"),
+        (b"\1" * 12 + b"\0\x20\xaa\xaa\3\0\0\0\x88\xcc", None, "Unknown SNAP PID"),
+        (b"\1" * 12 + b"\0\x20\xaa", None, "LLC header truncated"),
+        (ether(0x8863, b"\x11\x09" + b"\0" * 10), None, "PPPoE Discovery PADI"),
+        (ether(0x8864, b"\x11\0\0\1\0\4\xc0\x21"), None, "PPP LCP control packet"),
+        (ether(0x88E5, b"\0\0" + b"\1" * 40), None, "MACsec protected payload not decrypted"),
+        (ether(0x88E5, b"\x20\0" + b"\1" * 6), None, "MACsec SCI truncated"),
+        (ether(0x8847, labels(2)[:6]), None, "MPLS label header truncated"),
+        (ether(0x8847, struct.pack(">I", 1 << 12) * 20), None, "MPLS bottom-of-stack not found"),
+        (ether(0x0800, ipv4(2, b"")), None, "Missing IGMP payload"),
+        (ether(0x0800, ipv4(17, b"\0\1\0")), None, "UDP header truncated"),
+        (ether(0x0806, b"\0\1\x08\0\6\4"), None, "ARP header truncated"),
+    ]
+    rows = [(i, bytes(c[0]), 1) for i, c in enumerate(cases)]
+    found = dissect.dissect(spark.createDataFrame(rows, "packet_index long, bytes binary, data_link_type int")).orderBy("packet_index").collect()
+    for r, (_, path, reason) in zip(found, cases, strict=True):
+        assert (None if reason else " -> ".join(r.path), r.reason) == (path, reason), r.packet_index
+    assert bytes(found[8].dst_addr) == bytes([224, 1, 2, 3]) and (found[0].sequence, found[0].acknowledgement) == (1, 2)
+
+
 def test_cut_capture_keeps_what_was_read(spark, tmp_path):
     whole = pcap.pcap_bytes([(1, 60, PACKETS[0]), (2, 60, PACKETS[1])])
     (tmp_path / "cut.pcap").write_bytes(whole[:-5])
