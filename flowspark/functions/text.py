@@ -12,6 +12,14 @@ SHORT_LAYERS = {"EthernetII": "EII", "VLAN": "Vl", "IPv4": "Ip4", "IPv6": "Ip6"}
 TCP_FLAGS = [(0x80, "CWR"), (0x40, "ECE"), (0x20, "URG"), (0x10, "ACK"), (0x08, "PSH"), (0x04, "RST"), (0x02, "SYN"), (0x01, "FIN")]
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def ascii_lower(text: Column) -> Column:
+    """Lower-case A-Z only."""
+    return F.translate(text, UPPER, UPPER.lower())
+
+
 def choose(value: Column, names: dict, otherwise: Column) -> Column:
     found = otherwise
     for key, name in names.items():
@@ -68,6 +76,26 @@ def percent_text(percent: Column) -> Column:
     return F.when(percent <= 0, F.lit("0%")).when(percent < 0.01, F.lit("<0.01%")).when(percent < 1, small).otherwise(whole)
 
 
+def tree_percent_text(percent: Column) -> Column:
+    """One decimal from 1 on, left out if it is 0; two below, ``<0.01%`` for less."""
+    one = F.round(percent, 1)
+    large = F.when(one == F.floor(one), F.floor(one).cast("string")).otherwise(one.cast("decimal(10,1)").cast("string"))
+    return F.when(percent <= 0, F.lit("0%")).when(percent < 0.01, F.lit("<0.01%")).when(percent < 1, F.concat(percent.cast("decimal(10,2)").cast("string"), F.lit("%"))).otherwise(F.concat(large, F.lit("%")))
+
+
+def hex_dump(data: Column) -> Column:
+    """Lines of offset, 16 bytes in hexadecimal and their printable characters."""
+    digits, size = F.lower(F.hex(data)), F.octet_length(data)
+
+    def line(at: Column) -> Column:
+        n = F.least(F.lit(16), size - at)
+        codes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, (2 * (at + i) + 1).cast("int"), F.lit(2)))
+        shown = F.regexp_replace(F.decode(F.substring(data, (at + 1).cast("int"), n.cast("int")), "ISO-8859-1"), "[^\\x20-\\x7E]", ".")
+        return F.concat(F.lpad(F.lower(F.hex(at)), 8, "0"), F.lit("  "), F.rpad(F.array_join(codes, " "), 47, " "), F.lit("  "), shown)
+
+    return F.when(size > 0, F.array_join(F.transform(F.sequence(F.lit(0), size - 1, F.lit(16)), line), "\n")).otherwise("")
+
+
 def flags_text(flags: Column) -> Column:
     return F.concat_ws("|", *[F.when(flags.bitwiseAND(bit) != 0, F.lit(name)) for bit, name in TCP_FLAGS])
 

@@ -42,10 +42,10 @@ def bursts(owned: DataFrame) -> DataFrame:
     """Runs of two packets or more with gaps below 1 ms: how many, most packets, most bytes."""
     starts = F.when(F.col("gap_us") < BURST_GAP_US, 0).otherwise(1)
     runs = with_gaps(owned).withColumn("_run", F.sum(starts).over(in_time().rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("flow_index", "_run").agg(F.count("*").alias("n"), F.sum("original_length").alias("bytes")).where("n >= 2")
-    found = runs.groupBy("flow_index").agg(F.count("*").alias("burst_count"), F.max("n").alias("max_burst_packets"), F.max("bytes").alias("max_burst_bytes"))
-    every = owned.select("flow_index").distinct()
-    return every.join(found, "flow_index", "left").na.fill(0)
+    runs = runs.groupBy("flow_index", "_run").agg(F.count("*").alias("n"), F.sum("original_length").alias("bytes"))
+    burst = lambda c: F.when(F.col("n") >= 2, F.col(c))
+    found = runs.groupBy("flow_index").agg(F.count(burst("n")).alias("burst_count"), F.coalesce(F.max(burst("n")), F.lit(0)).alias("max_burst_packets"), F.coalesce(F.max(burst("bytes")), F.lit(0)).alias("max_burst_bytes"))
+    return found
 
 
 def idle_gaps(owned: DataFrame) -> DataFrame:

@@ -251,8 +251,50 @@ def dissect(raw: DataFrame) -> DataFrame:
     return with_hints(found)
 
 
+def inside(data: Column, at: Column | int, size: int) -> Column:
+    """Big-endian unsigned number in ``data``; null beyond its end."""
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.when(at + size <= F.octet_length(data), F.conv(F.hex(F.substring(data, (at + 1).cast("int"), F.lit(size))), 16, 10).cast("long"))
+
+
+def question_name(payload: Column, start: int, labels: int = 128) -> Column:
+    """The first question's name in a DNS message; null if it is cut or compressed."""
+    state = lambda at, name, end: F.struct(at.cast("long").alias("at"), name.cast("string").alias("name"), end.alias("end"))
+
+    def step(s: Column) -> Column:
+        size = inside(payload, s["at"], 1)
+        text = F.decode(F.substring(payload, (s["at"] + 2).cast("int"), size.cast("int")), "ISO-8859-1")
+        more = state(s["at"] + 1 + size, F.concat(s["name"], F.when(s["name"] == "", "").otherwise("."), text), F.lit(False))
+        return F.when(size == 0, state(s["at"], s["name"], F.lit(True))).when((size < 64) & (s["at"] + 1 + size <= F.octet_length(payload)), more).otherwise(state(s["at"], F.lit(None), F.lit(True)))
+
+    found = walk(state(F.lit(start), F.lit(""), F.lit(False)), labels, lambda s: ~s["end"], step)
+    return F.when(found["end"], F.nullif(found["name"], F.lit("")))
+
+
+def server_name(payload: Column, extensions: int = 64) -> Column:
+    """The server name of a TLS ClientHello that one record begins with; null without one."""
+    state = lambda at, name: F.struct(at.cast("long").alias("at"), name.cast("string").alias("name"))
+    session = F.lit(44) + inside(payload, 43, 1)
+    suites = session + 2 + inside(payload, session, 2)
+    first = suites + 1 + inside(payload, suites, 1) + 2
+    end = F.least(first + inside(payload, first - 2, 2), F.octet_length(payload))
+
+    def step(s: Column) -> Column:
+        at, size = s["at"], inside(payload, s["at"] + 2, 2)
+        length = inside(payload, at + 7, 2)
+        fits = (inside(payload, at + 6, 1) == 0) & (length + 5 <= size) & (at + 4 + size <= end)
+        name = F.when(fits, F.decode(F.substring(payload, (at + 10).cast("int"), length.cast("int")), "ISO-8859-1"))
+        return F.when(inside(payload, at, 2) == 0, state(end, name)).otherwise(state(at + 4 + size, s["name"]))
+
+    hello = (inside(payload, 0, 1) == 22) & (inside(payload, 5, 1) == 1)
+    return F.when(hello, F.nullif(walk(state(first, F.lit(None)), extensions, lambda s: s["at"] + 4 <= end, step)["name"], F.lit("")))
+
+
 def with_hints(packets: DataFrame) -> DataFrame:
-    """Adds hint and service from the payload, the first rule that fits; fragments have none."""
+    """Adds hint, service, tls_version and quic_version from the payload, the first rule that fits; fragments have none.
+
+    service is the Host of a request, the name that a DNS message asks for, or a ClientHello's server name.
+    """
     payload, tcp, udp = F.col("payload"), F.col("protocol") == 6, F.col("protocol") == 17
     text = F.decode("payload", "ISO-8859-1")
     byte = lambda i, n=1: F.conv(F.hex(F.substring(payload, i + 1, n)), 16, 10).cast("long")
@@ -270,13 +312,23 @@ def with_hints(packets: DataFrame) -> DataFrame:
     over_udp = (
         F.when(on(5353) & multicast & (length >= 12) & (byte(4, 8) > 0), "mdns")
         .when(on(53) & dns(0), "dns")
-        .when(on(443) & (length >= 6) & (byte(0).bitwiseAND(0xC0) == 0xC0) & (byte(1, 4) != 0), "quic")
+        .when(on(443) & (length >= 7) & (byte(0).bitwiseAND(0xC0) == 0xC0) & (byte(1, 4) != 0), "quic")
         .when(on(67, 68) & (length >= 240) & (byte(236, 4) == 0x63825363), "dhcp")
         .when((length >= 20) & (byte(0).bitwiseAND(0xC0) == 0) & (byte(2, 2) % 4 == 0) & (byte(4, 4) == 0x2112A442) & (byte(2, 2) + 20 == length), "stun")
     )
     hint = F.when(F.col("is_ip_fragmented") | (length == 0), F.lit(None).cast("string")).when(tcp, over_tcp).when(udp, over_udp)
     packets = packets.withColumn("hint", hint)
-    return packets.withColumn("service", F.when(F.col("hint") == "http", http_service(text)))
+    hint = F.col("hint")
+    service = F.when(hint == "http", http_service(text)).when(hint == "tls", server_name(payload)).when((hint == "dns") & tcp, question_name(payload, 14)).when(hint == "dns", question_name(payload, 12))
+    service = service.when((hint == "mdns") & (byte(4, 2) > 0), question_name(payload, 12))
+    version = byte(1, 4)
+    return packets.withColumns(
+        {
+            "service": service,
+            "tls_version": F.when(hint == "tls", F.when(byte(1, 2) == 0x0303, "tls12").when(byte(1, 2) == 0x0304, "tls13").otherwise("unknown")),
+            "quic_version": F.when(hint == "quic", F.when(version == 1, "v1").when(version == 0xFF00001D, "draft29").when(version == 0x6B3343CF, "v2").otherwise("unknown")),
+        }
+    )
 
 
 def recognized(packets: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
@@ -52,6 +52,7 @@ def flows_of(packets: DataFrame) -> DataFrame:
         count(F.col("is_ip_fragmented")).alias("fragmented_packet_count"),
         F.min_by("hint", F.when(F.col("hint").isNotNull(), F.col("packet_index"))).alias("protocol_hint"),
         F.min_by("service", F.when(F.col("service").isNotNull(), F.col("packet_index"))).alias("service_hint"),
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("packet_index"))).alias(c) for c in ("tls_version", "quic_version") if c in packets.columns],
         F.min("ts_us").alias("first_ts_us"),
         F.max("ts_us").alias("last_ts_us"),
         F.min("packet_index").alias("first_packet_index"),
@@ -97,6 +98,25 @@ def list_flows(packets: DataFrame) -> DataFrame:
     return numbered(flows_of(packets), canonical_order())
 
 
+def flow_key() -> Column:
+    """128 bits that stand for a flow's key, for windows over packets before flows are numbered."""
+    return F.struct(F.xxhash64(*KEY).alias("k1"), F.xxhash64(F.lit(1), *KEY).alias("k2"))
+
+
+def by_key(packets: DataFrame) -> DataFrame:
+    """Packets with their flow's key as flow_index and their direction; one shuffle, no join with the flows."""
+    keyed = with_key(packets).withColumn("flow_index", flow_key())
+    first = F.first("ep_src").over(Window.partitionBy("flow_index").orderBy("packet_index"))
+    return keyed.withColumn("direction", F.when(F.col("ep_src") == first, "A->B").otherwise("B->A"))
+
+
+def with_numbers(found: DataFrame, flows: DataFrame) -> DataFrame:
+    """Results by flow key with the flows' numbers in place of the keys."""
+    numbers = flows.select(flow_key().alias("_key"), F.col("flow_index").alias("_number"))
+    joined = found.join(numbers, found["flow_index"] == numbers["_key"])
+    return joined.select(F.col("_number").alias("flow_index"), *[c for c in found.columns if c != "flow_index"])
+
+
 def with_flow(packets: DataFrame, flows: DataFrame, *columns: str) -> DataFrame:
     """Packets with their flow's columns and direction (``A->B`` or ``B->A``)."""
     own = flows.select(*KEY, "first_src", *columns)

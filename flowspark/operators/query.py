@@ -7,7 +7,8 @@ import dataclasses
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import address_text, hint_text
+from ..functions.text import address_text, ascii_lower, hint_text
+from .flows import numbered
 
 FILTER_FIELDS = ["family", "protocol_text", "hint_text", "service_text", "address_a", "address_b", "endpoint_a", "endpoint_b", "port_a", "port_b"]
 
@@ -28,10 +29,10 @@ def flow_rows(flows: DataFrame) -> DataFrame:
 
 def matches(needle: str, with_fragments: bool = False) -> Column:
     """Any text field holds the needle, whatever the case of A-Z; an empty needle matches all."""
-    low = needle.lower()
+    low = needle.translate({c: c + 32 for c in range(65, 91)})
     found = F.lit(not low)
     for field in FILTER_FIELDS:
-        found = found | F.contains(F.lower(F.col(field)), F.lit(low))
+        found = found | F.contains(ascii_lower(F.col(field)), F.lit(low))
     if with_fragments:
         found = found | (F.lit("frag".startswith(low)) & F.col("has_fragmented_packets")) | F.contains(F.col("fragmented_packet_count").cast("string"), F.lit(low))
     return found
@@ -79,10 +80,12 @@ class FlowQuery:
         if self.sort not in SORT_KEYS:
             raise ValueError(f"no such sort key: {self.sort}")
         if self.numbers:
+            if min(self.numbers) < 1 or max(self.numbers) > rows.count():
+                raise ValueError("no such flow number")
             rows = rows.where(F.col("flow_index").isin(list(self.numbers)))
         if self.text:
             rows = rows.where(matches(self.text))
-        keys = [F.lower(F.col(k)) if k.endswith("_text") else F.col(k) for k in SORT_KEYS[self.sort]]
+        keys = [ascii_lower(F.col(k)) if k.endswith("_text") else F.col(k) for k in SORT_KEYS[self.sort]]
         rows = rows.orderBy(*[k.desc() if self.descending else k.asc() for k in keys], "flow_index")
         return rows.limit(self.limit) if self.limit else rows
 
@@ -112,7 +115,9 @@ class Retention:
             raise ValueError("one base only")
 
     def apply(self, packets: DataFrame, group: str | None = "flow_index") -> DataFrame:
-        within = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
+        if not group:
+            return self.of_capture(packets)
+        within = Window.partitionBy(group)
         order = within.orderBy("packet_index")
         ranked = packets.withColumn("number", F.row_number().over(order))
         if self.first_packets:
@@ -134,6 +139,36 @@ class Retention:
         return ranked.where(keep).drop("_before", "_base", "_n", "_n_base")
 
 
+    def of_capture(self, packets: DataFrame) -> DataFrame:
+        """The same over all packets as one group, numbered by ranges of packet numbers, never in one task."""
+        ranked = numbered(packets, ["packet_index"], "number")
+        if not (self.first_packets or self.first_bytes):
+            return ranked
+        limit = self.first_packets
+        if self.first_bytes:
+            # The base ends in the first range whose running total reaches the mark; only that range is looked at packet by packet.
+            span = 10_000
+            sums = ranked.groupBy(F.expr(f"number div {span}").alias("at")).agg(F.sum("original_length").alias("n"))
+            running = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            last = running.where(F.col("before") < self.first_bytes).orderBy(F.desc("at")).first()
+            if last is None:
+                return ranked
+            inside = ranked.where(F.expr(f"number div {span}") == last["at"]).select("number", "original_length").orderBy("number").collect()
+            before, limit = last["before"], 0
+            for row in inside:
+                if before >= self.first_bytes:
+                    break
+                before, limit = before + row["original_length"], row["number"]
+        keep = F.col("number") <= limit
+        if self.last or self.every:
+            n = ranked.count()
+            if self.last:
+                keep = keep | (F.col("number") == n)
+            if self.every:
+                keep = keep | ((F.col("number") > limit) & ((F.col("number") - F.lit(min(limit, n))) % self.every == 0))
+        return ranked.where(keep)
+
+
 def packets_page(owned: DataFrame, flow_index: int, offset: int, limit: int) -> DataFrame:
     """Packets ``offset`` .. ``offset + limit`` of one flow in packet order."""
     return owned.where(F.col("flow_index") == flow_index).orderBy("packet_index").offset(offset).limit(limit)

@@ -122,3 +122,12 @@ def storage_summary(flows: DataFrame) -> DataFrame:
 def recognition(flows: DataFrame) -> DataFrame:
     """Flows and named flows for each detected hint."""
     return flows.where("protocol_hint is not null").groupBy("protocol_hint").agg(F.count("*").alias("flow_count"), F.count("service_hint").alias("with_service"))
+
+
+def version_recognition(flows: DataFrame) -> DataFrame:
+    """One row for QUIC and TLS each: detected flows, with and without a server name, and by version."""
+    rows = flows.sparkSession.createDataFrame([("quic", "v1"), ("quic", "draft29"), ("quic", "v2"), ("quic", "unknown"), ("tls", "tls12"), ("tls", "tls13"), ("tls", "unknown")], "hint string, version string")
+    version = F.coalesce(F.when(F.col("protocol_hint") == "quic", F.col("quic_version")).otherwise(F.col("tls_version")), F.lit("unknown"))
+    found = flows.where(F.col("protocol_hint").isin("quic", "tls")).groupBy(F.col("protocol_hint").alias("hint"), version.alias("version"))
+    found = found.agg(F.count("*").alias("flow_count"), F.count("service_hint").alias("with_sni"), (F.count("*") - F.count("service_hint")).alias("without_sni"))
+    return rows.join(found, ["hint", "version"], "left").na.fill(0)

@@ -13,17 +13,30 @@ MAX_PACKETS, MAX_BYTES = 128, 128 * 1024
 def segments_from_conversations(spark: SparkSession, folder: str, repeat: bool = False) -> DataFrame:
     """Turns as segments of a flow; with ``repeat`` every third turn is seen again a thousand packets later."""
     turns = spark.read.parquet(f"{folder}/conversations.parquet").where("text is not null")
-    rows = turns.select(F.col("conv_id").alias("flow_index"), F.col("turn").alias("packet_index"), F.col("role").alias("direction"), F.col("text").alias("payload"))
+    rows = turns.select(F.col("conv_id").alias("flow_index"), F.col("turn").alias("packet_index"), F.col("role").alias("direction"), F.col("text").alias("payload"), (F.col("turn") * 100).cast("long").alias("sequence"), F.lit(0).cast("long").alias("acknowledgement"))
     return rows.unionByName(rows.where("packet_index % 3 = 0").withColumn("packet_index", F.col("packet_index") + 1000)) if repeat else rows
 
 
 def retransmissions(segments: DataFrame) -> DataFrame:
-    """Segments whose direction and payload their flow had before."""
-    same = Window.partitionBy("flow_index", "direction", F.sha2(F.col("payload").cast("binary"), 256), F.octet_length("payload")).orderBy("packet_index")
-    ranked = segments.withColumn("_at", F.row_number().over(same)).where("_at > 1")
+    """Segments whose direction, sequence and acknowledgement numbers, length and payload their flow had before."""
+    key = ["flow_index", "direction", "sequence", "acknowledgement", F.sha2(F.col("payload").cast("binary"), 256), F.octet_length("payload")]
+    ranked = segments.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy("packet_index"))).where("_at > 1")
     return ranked.select("flow_index", "packet_index", "direction", F.octet_length("payload").cast("long").alias("payload_length"))
 
 
+def without_overlap(segments: DataFrame) -> DataFrame:
+    """What each TCP segment adds to its direction in packet order: trimmed (bytes that came before), added, and whether bytes are missing before it.
+
+    A segment is measured against the highest sequence number that its direction has reached; the
+    first one sets where the direction begins. Empty segments are left out. Sequence numbers do not wrap here.
+    """
+    size = F.octet_length("payload")
+    order = Window.partitionBy("flow_index", "direction").orderBy("packet_index")
+    own = segments.where(size > 0).withColumns({"_size": size, "_reached": F.max(F.col("sequence") + size).over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    trimmed = F.least(F.greatest(F.coalesce(F.col("_reached") - F.col("sequence"), F.lit(0)), F.lit(0)), F.col("_size"))
+    return own.select("flow_index", "packet_index", "direction", trimmed.cast("long").alias("trimmed"), (F.col("_size") - trimmed).cast("long").alias("added"), F.coalesce(F.col("sequence") > F.col("_reached"), F.lit(False)).alias("gap_before"))
+
+
 def reassembled(segments: DataFrame, max_packets: int = MAX_PACKETS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Each direction's payload in packet order within a budget of packets and bytes, and whether the budget cut it."""
     order = Window.partitionBy("flow_index", "direction").orderBy("packet_index")

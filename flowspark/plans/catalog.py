@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.buckets import CAPTURE_SIZE, FLOW_PACKETS, FLOW_SIZE, INTER_ARRIVAL, INTER_ARRIVAL_LABELS, labels
-from ..functions.storage import stored
-from ..operators import analysis, query, stats, streams
+from ..functions.storage import scratch_path, stored
+from ..operators import analysis, dissect, query, stats, streams
 from ..operators import flows as flow_ops
 from ..operators.query import FlowQuery, Retention
-from ..sources.views import packets_from_events, packets_from_lineitem
+from ..sources.pcap import read_captures
+from ..sources.sinks import write_captures
+from ..sources.views import frames_from_events, packets_from_events, packets_from_lineitem
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -114,6 +116,15 @@ def owned(spark: SparkSession, folder: str) -> DataFrame:
     return flow_ops.with_flow(packets(spark, folder), listed(spark, folder), "flow_index")
 
 
+def keyed(spark: SparkSession, folder: str) -> DataFrame:
+    return flow_ops.by_key(packets(spark, folder))
+
+
+def measured_by_key(measure):
+    """A measure of each flow's packets, taken by flow key and numbered afterwards: the packets are shuffled once."""
+    return lambda spark, folder: flow_ops.with_numbers(measure(keyed(spark, folder)), listed(spark, folder))
+
+
 def rows(spark: SparkSession, folder: str) -> DataFrame:
     return query.flow_rows(flow_ops.effective_hint(listed(spark, folder), guess_port_443=True))
 
@@ -211,8 +222,7 @@ register(
 register(
     "flow_interarrival",
     f"WITH {OWNED_SQL} SELECT flow_index, count(gap_us) AS gap_count, CAST(coalesce(sum(gap_us), 0) AS BIGINT) AS gap_sum_us, coalesce(max(gap_us), 0) AS largest_gap_us, CASE WHEN count(gap_us) > 0 THEN round(sum(gap_us)::DOUBLE / count(gap_us), 6) ELSE 0.0 END AS mean_gap_us FROM gaps GROUP BY 1",
-    owned,
-)(analysis.inter_arrival)
+)(measured_by_key(analysis.inter_arrival))
 register(
     "flow_rates",
     f"WITH {FLOWS_SQL}, d AS (SELECT *, last_ts_us - first_ts_us AS duration_us FROM flows) SELECT flow_index, duration_us, CASE WHEN duration_us > 0 THEN round(packet_count * 1000000.0::DOUBLE / duration_us, 6) ELSE 0.0 END AS packets_per_second, CASE WHEN duration_us > 0 THEN round(total_bytes * 1000000.0::DOUBLE / duration_us, 6) ELSE 0.0 END AS bytes_per_second FROM d",
@@ -221,17 +231,16 @@ register(
 register(
     "flow_bursts",
     f"WITH {OWNED_SQL}, r AS (SELECT *, sum(CASE WHEN gap_us < 1000 THEN 0 ELSE 1 END) OVER (PARTITION BY flow_index ORDER BY ts_us, packet_index ROWS UNBOUNDED PRECEDING) AS run FROM gaps), s AS (SELECT flow_index, run, count(*) AS n, CAST(sum(original_length) AS BIGINT) AS bytes FROM r GROUP BY 1, 2) SELECT flow_index, count(*) FILTER (n >= 2) AS burst_count, coalesce(max(n) FILTER (n >= 2), 0) AS max_burst_packets, coalesce(max(bytes) FILTER (n >= 2), 0) AS max_burst_bytes FROM s GROUP BY 1",
-    owned,
-)(analysis.bursts)
-register("flow_idle_gaps", f"WITH {OWNED_SQL} SELECT flow_index, count(*) FILTER (gap_us >= 100000) AS idle_gap_count, coalesce(max(gap_us) FILTER (gap_us >= 100000), 0) AS largest_idle_gap_us FROM gaps GROUP BY 1", owned)(analysis.idle_gaps)
+)(measured_by_key(analysis.bursts))
+register("flow_idle_gaps", f"WITH {OWNED_SQL} SELECT flow_index, count(*) FILTER (gap_us >= 100000) AS idle_gap_count, coalesce(max(gap_us) FILTER (gap_us >= 100000), 0) AS largest_idle_gap_us FROM gaps GROUP BY 1")(measured_by_key(analysis.idle_gaps))
 
 
 def three_way_sql(value: str, bounds: list[int], names: list[str]) -> str:
     return f"WITH {OWNED_SQL}, k AS (SELECT *, {bucket_sql(value, bounds)} AS k FROM gaps WHERE {value} IS NOT NULL) SELECT b.bucket, b.bucket_label, count(k.k) AS all_count, count(*) FILTER (direction = 'A->B') AS a_to_b_count, count(*) FILTER (direction = 'B->A') AS b_to_a_count FROM {table_sql(names)} LEFT JOIN k ON k.k = b.bucket GROUP BY 1, 2"
 
 
-register("flow_interarrival_histogram", three_way_sql("gap_us", INTER_ARRIVAL, INTER_ARRIVAL_LABELS), owned)(analysis.inter_arrival_histogram)
-register("flow_size_histogram", three_way_sql("original_length", FLOW_SIZE, labels(FLOW_SIZE)), owned)(analysis.size_histogram)
+register("flow_interarrival_histogram", three_way_sql("gap_us", INTER_ARRIVAL, INTER_ARRIVAL_LABELS), keyed)(analysis.inter_arrival_histogram)
+register("flow_size_histogram", three_way_sql("original_length", FLOW_SIZE, labels(FLOW_SIZE)), keyed)(analysis.size_histogram)
 
 
 @register(
@@ -249,8 +258,7 @@ def flow_rate_graph(spark, folder):
 register(
     "flow_sequence_preview",
     f"WITH {OWNED_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY flow_index ORDER BY ts_us, packet_index) AS number FROM gaps) SELECT flow_index, CAST(number AS INTEGER) AS number, packet_index, direction, coalesce(gap_us, 0) AS delta_us, captured_length, original_length FROM n WHERE number <= 20",
-    owned,
-)(analysis.preview)
+)(measured_by_key(analysis.preview))
 
 
 def ratio_sql(a: str, b: str) -> str:
@@ -269,9 +277,9 @@ register(
     f"WITH {FLOWS_SQL} SELECT flow_index, {ratio_sql(PA, PB)} AS packet_ratio, {ratio_sql(BA, BB)} AS byte_ratio, {verdict_sql(PA, PB)} AS packet_verdict, {verdict_sql(BA, BB)} AS data_verdict FROM flows",
     listed,
 )(analysis.directions)
-register("tcp_control_counts", f"WITH {OWNED_SQL} SELECT flow_index, count(*) FILTER (tcp_flags & 2 <> 0) AS syn_count, count(*) FILTER (tcp_flags & 1 <> 0) AS fin_count, count(*) FILTER (tcp_flags & 4 <> 0) AS rst_count FROM owned WHERE protocol = 6 GROUP BY 1", owned)(analysis.control_counts)
+register("tcp_control_counts", f"WITH {OWNED_SQL} SELECT flow_index, count(*) FILTER (tcp_flags & 2 <> 0) AS syn_count, count(*) FILTER (tcp_flags & 1 <> 0) AS fin_count, count(*) FILTER (tcp_flags & 4 <> 0) AS rst_count FROM owned WHERE protocol = 6 GROUP BY 1")(measured_by_key(analysis.control_counts))
 LIMITS_SQL = ", ".join(f"coalesce({f}(original_length) FILTER (direction = '{d}'), 0) AS {f}_{n}" for d, n in (("A->B", "a_to_b"), ("B->A", "b_to_a")) for f in ("min", "max"))
-register("flow_size_limits", f"WITH {OWNED_SQL} SELECT flow_index, min(original_length) AS min_length, max(original_length) AS max_length, max(captured_length) AS max_captured, {LIMITS_SQL} FROM owned GROUP BY 1", owned)(analysis.size_limits)
+register("flow_size_limits", f"WITH {OWNED_SQL} SELECT flow_index, min(original_length) AS min_length, max(original_length) AS max_length, max(captured_length) AS max_captured, {LIMITS_SQL} FROM owned GROUP BY 1")(measured_by_key(analysis.size_limits))
 
 NEEDLE = "Tls"
 MATCH_SQL = " OR ".join(f"contains(lower({f}), '{NEEDLE.lower()}')" for f in ["'IPv4'", *query.FILTER_FIELDS[1:]])
@@ -342,12 +350,12 @@ register(
     )
 )
 
-TURNS_SQL = "turns AS (SELECT conv_id AS flow_index, turn AS packet_index, role AS direction, text AS payload FROM conversations WHERE text IS NOT NULL)"
+TURNS_SQL = "turns AS (SELECT conv_id AS flow_index, turn AS packet_index, role AS direction, text AS payload, turn * 100 AS seq FROM conversations WHERE text IS NOT NULL)"
 
 
 @register(
     "retransmission_suspects",
-    f"WITH {TURNS_SQL}, again AS (SELECT * FROM turns UNION ALL SELECT flow_index, packet_index + 1000, direction, payload FROM turns WHERE packet_index % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY flow_index, direction, payload ORDER BY packet_index) AS n FROM again) SELECT flow_index, packet_index, direction, CAST(strlen(payload) AS BIGINT) AS payload_length FROM r WHERE n > 1",
+    f"WITH {TURNS_SQL}, again AS (SELECT * FROM turns UNION ALL SELECT flow_index, packet_index + 1000, direction, payload, seq FROM turns WHERE packet_index % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY flow_index, direction, seq, payload ORDER BY packet_index) AS n FROM again) SELECT flow_index, packet_index, direction, CAST(strlen(payload) AS BIGINT) AS payload_length FROM r WHERE n > 1",
 )
 def retransmission_suspects(spark, folder):
     return streams.retransmissions(streams.segments_from_conversations(spark, folder, repeat=True))
@@ -419,3 +427,79 @@ def export_manifest(spark, folder):
     time = F.concat(F.expr("first_ts_us div 1000000").cast("string"), F.lit("."), F.lpad((F.col("first_ts_us") % 1_000_000).cast("string"), 6, "0"))
     name = F.concat(F.lit("flow-"), F.lpad(F.col("flow_index").cast("string"), 8, "0"), F.lit(".pcap"))
     return found.join(exported, "flow_index").select("flow_index", name.alias("file_name"), "packet_count", "total_bytes", "exported_packets", "exported_bytes", time.alias("first_time"))
+
+
+# Queries over bytes: frames made of the same events, read header by header ------------------------
+
+
+def frames(spark, folder):
+    return dissect.dissect(frames_from_events(spark, folder))
+
+
+FRAMES_SQL = (
+    PACKETS_SQL
+    + """,
+frames AS (
+  SELECT packet_index, protocol, src, CASE WHEN src = lo THEN hi ELSE lo END AS dst, vid, fragmented, tcp_flags, ts_us,
+    CASE WHEN hint = 'http' THEN 'http' WHEN hint = 'ssh' THEN 'ssh' WHEN hint = 'dns' THEN 'dns' WHEN 443 IN (lo % 65536, hi % 65536) THEN CASE WHEN protocol = 17 THEN 'quic' ELSE 'tls' END END AS told,
+    CASE WHEN hint = 'http' THEN 33 WHEN hint = 'ssh' THEN 11 WHEN hint = 'dns' THEN 32 WHEN 443 IN (lo % 65536, hi % 65536) THEN CASE WHEN protocol = 17 THEN 25 WHEN packet_index % 3 = 1 THEN 71 ELSE 21 END ELSE 8 END AS size
+  FROM (SELECT p.*, raw.vid FROM packets p JOIN raw ON raw.event_id = p.packet_index)),
+good AS (
+  SELECT *, CASE WHEN fragmented THEN (src // 65536) * 65536 ELSE src END AS s, CASE WHEN fragmented THEN (dst // 65536) * 65536 ELSE dst END AS d,
+    'EthernetII -> VLAN(vid=' || vid || ') -> IPv4' || CASE WHEN fragmented THEN '' WHEN protocol = 6 THEN ' -> TCP' ELSE ' -> UDP' END AS protocol_path, CASE WHEN fragmented THEN NULL ELSE told END AS hint
+  FROM frames WHERE packet_index % 50 <> 0)"""
+)
+HEADERS_SQL = f"WITH {FRAMES_SQL} SELECT packet_index, {ep_sql('s')} AS source, {ep_sql('d')} AS target, CAST(protocol AS INTEGER) AS protocol, protocol_path, CAST(CASE WHEN fragmented THEN 0 ELSE size END AS BIGINT) AS payload_length, CAST(CASE WHEN fragmented THEN 0 ELSE tcp_flags END AS INTEGER) AS tcp_flags, fragmented AS is_ip_fragmented FROM good"
+
+
+@register("dissect_headers", HEADERS_SQL, frames)
+def dissect_headers(f):
+    """Addresses, ports, path, payload and fragment mark of every frame that belongs to a flow."""
+    text = lambda side: X.endpoint_text(F.col(f"{side}_addr"), F.col(f"{side}_port"))
+    return dissect.recognized(f).select("packet_index", text("src").alias("source"), text("dst").alias("target"), "protocol", X.path_text(F.col("path")).alias("protocol_path"), "payload_length", "tcp_flags", "is_ip_fragmented")
+
+
+SERVICE_SQL = "CASE WHEN hint = 'dns' THEN 'host-' || packet_index % 3 || '.example' WHEN hint = 'http' OR (hint = 'tls' AND packet_index % 3 = 1) THEN 'host-' || packet_index % 3 END"
+VERSION_SQL = "CASE WHEN hint = 'tls' THEN CASE WHEN packet_index % 3 = 1 THEN 'unknown' ELSE 'tls12' END END AS tls_version, CASE WHEN hint = 'quic' THEN CASE packet_index % 4 WHEN 0 THEN 'v1' WHEN 1 THEN 'draft29' WHEN 2 THEN 'v2' ELSE 'unknown' END END AS quic_version"
+register("dissect_hints", f"WITH {FRAMES_SQL} SELECT packet_index, hint, {SERVICE_SQL} AS service, {VERSION_SQL} FROM good", frames)(lambda f: dissect.recognized(f).select("packet_index", "hint", "service", "tls_version", "quic_version"))
+REASON_SQL = "CASE packet_index % 200 WHEN 0 THEN 'Link-layer header truncated' WHEN 50 THEN 'Unsupported or malformed packet' WHEN 100 THEN 'PPPoE Discovery PADI' ELSE 'ARP header truncated' END"
+register("unrecognized_reasons", f"WITH {FRAMES_SQL} SELECT {REASON_SQL} AS reason, count(*) AS packet_count FROM frames WHERE packet_index % 50 = 0 GROUP BY 1", frames)(lambda f: dissect.unrecognized(f).groupBy("reason").agg(F.count("*").alias("packet_count")))
+FRAME_FLOWS_SQL = f"""{FRAMES_SQL}, h AS (SELECT *, {SERVICE_SQL} AS service, {VERSION_SQL} FROM good),
+g AS (SELECT least(s, d) AS lo, greatest(s, d) AS hi, protocol, replace(protocol_path, ' -> VLAN(vid=0)', '') AS path, count(*) AS packet_count, arg_min(hint, packet_index) FILTER (hint IS NOT NULL) AS hint, arg_min(service, packet_index) FILTER (service IS NOT NULL) AS service,
+  arg_min(tls_version, packet_index) FILTER (tls_version IS NOT NULL) AS tls_version, arg_min(quic_version, packet_index) FILTER (quic_version IS NOT NULL) AS quic_version FROM h GROUP BY 1, 2, 3, 4)"""
+register(
+    "frame_flows",
+    f"WITH {FRAME_FLOWS_SQL} SELECT {ep_sql('lo')} AS endpoint_lo, {ep_sql('hi')} AS endpoint_hi, path AS protocol_path, packet_count, hint, service FROM g",
+    frames,
+)(
+    lambda f: flow_ops.flows_of(dissect.recognized(f)).select(
+        X.endpoint_text(F.col("ep_lo.addr"), F.col("ep_lo.port")).alias("endpoint_lo"), X.endpoint_text(F.col("ep_hi.addr"), F.col("ep_hi.port")).alias("endpoint_hi"), "protocol_path", "packet_count", F.col("protocol_hint").alias("hint"), F.col("service_hint").alias("service")
+    )
+)
+register(
+    "quic_tls_recognition",
+    f"WITH {FRAME_FLOWS_SQL}, v AS (SELECT hint, coalesce(CASE WHEN hint = 'quic' THEN quic_version ELSE tls_version END, 'unknown') AS version, service FROM g WHERE hint IN ('quic', 'tls')) SELECT r.hint, r.version, count(v.hint) AS flow_count, count(service) AS with_sni, count(v.hint) - count(service) AS without_sni FROM (VALUES ('quic', 'v1'), ('quic', 'draft29'), ('quic', 'v2'), ('quic', 'unknown'), ('tls', 'tls12'), ('tls', 'tls13'), ('tls', 'unknown')) AS r(hint, version) LEFT JOIN v ON v.hint = r.hint AND v.version = r.version GROUP BY 1, 2",
+    frames,
+)(lambda f: stats.version_recognition(flow_ops.flows_of(dissect.recognized(f))))
+
+
+@register("capture_scan", f"WITH {FRAMES_SQL} SELECT protocol, count(*) AS packet_count, CAST(sum(size) FILTER (NOT fragmented) AS BIGINT) AS payload_bytes, min(ts_us) AS first_ts_us, max(ts_us) AS last_ts_us FROM good GROUP BY 1")
+def capture_scan(spark, folder):
+    """Frames written as captures, one for each range of packets, read back and dissected."""
+    path = scratch_path(spark, "captures")
+    write_captures(frames_from_events(spark, folder), path)
+    found = dissect.recognized(dissect.dissect(read_captures(spark, path).where("warning is null")))
+    return found.groupBy(F.col("protocol").cast("long").alias("protocol")).agg(F.count("*").alias("packet_count"), F.sum("payload_length").alias("payload_bytes"), F.min("ts_us").alias("first_ts_us"), F.max("ts_us").alias("last_ts_us"))
+
+
+@register(
+    "stream_overlap",
+    f"WITH {TURNS_SQL}, s AS (SELECT flow_index, direction, packet_index, seq, strlen(payload) AS n FROM turns WHERE strlen(payload) > 0), r AS (SELECT *, max(seq + n) OVER (PARTITION BY flow_index, direction ORDER BY packet_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM s) SELECT flow_index, packet_index, direction, CAST(least(greatest(coalesce(reached - seq, 0), 0), n) AS BIGINT) AS trimmed, CAST(n - least(greatest(coalesce(reached - seq, 0), 0), n) AS BIGINT) AS added, coalesce(seq > reached, false) AS gap_before FROM r",
+)
+def stream_overlap(spark, folder):
+    return streams.without_overlap(streams.segments_from_conversations(spark, folder))
+
+
+register("sample_whole_capture", f"WITH {PACKETS_SQL}, n AS (SELECT packet_index, row_number() OVER (ORDER BY packet_index) AS number, count(*) OVER () AS total, coalesce(sum(original_length) OVER (ORDER BY packet_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM packets WHERE protocol <> 6), b AS (SELECT max(number) FILTER (before < 300000) AS base FROM n) SELECT packet_index, number FROM n, b WHERE number <= base OR number = total OR (number - base) % 7 = 0", packets)(
+    lambda p: Retention(first_bytes=300_000, last=True, every=7).apply(p.where("protocol <> 6"), group=None).select("packet_index", "number")
+)

@@ -82,3 +82,44 @@ def packets_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("string").alias("hint"),
         F.lit(None).cast("string").alias("service"),
     )
+
+
+def be(value: Column, size: int) -> Column:
+    """Big-endian bytes of a number."""
+    return F.unhex(F.lpad(F.hex(value.cast("long")), 2 * size, "0"))
+
+
+def frames_from_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The packets of ``packets_from_events`` as Ethernet frames, with payloads that their hints tell of, for queries over bytes.
+
+    Every 50th frame is one that belongs to no flow: too short, of an unknown EtherType, a PPPoE
+    discovery or a cut ARP. Servers on UDP 443 speak QUIC, on TCP 443 TLS.
+    """
+    packets = packets_from_events(spark, folder)
+    index, tcp = F.col("packet_index"), F.col("protocol") == 6
+    host = F.concat(F.lit("host-"), (index % 3).cast("string"))
+    raw = lambda text: text.cast("binary")
+    hexed = lambda digits: F.unhex(F.lit(digits))
+    request = F.concat(F.lit("GET /a HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n"))
+    question = F.concat(be(index % 65536, 2), hexed("01000001000000000000"), hexed("06"), raw(host), hexed("07"), raw(F.lit("example")), hexed("00"), hexed("00010001"))
+    quic = F.concat(hexed("c0"), F.when(index % 4 == 0, hexed("00000001")).when(index % 4 == 1, hexed("ff00001d")).when(index % 4 == 2, hexed("6b3343cf")).otherwise(hexed("0a0a0a0a")), hexed("00" * 20))
+    name = F.concat(hexed("0000000b0009000006"), raw(host))
+    hello = F.concat(hexed("0303"), hexed("11" * 32), hexed("00"), hexed("00021301"), hexed("0100"), hexed("0013"), hexed("00170000"), name)
+    tls = F.when(index % 3 == 1, F.concat(hexed("1603010042"), hexed("0100003e"), hello)).otherwise(hexed("1703030010" + "22" * 16))
+    payload = (
+        F.when(F.col("hint") == "http", raw(request)).when(F.col("hint") == "ssh", raw(F.lit("SSH-2.0-x\r\n"))).when(F.col("hint") == "dns", question)
+        .when((F.col("protocol") == 17) & F.array_contains(F.array("src_port", "dst_port"), 443), quic)
+        .when(F.array_contains(F.array("src_port", "dst_port"), 443), tls)
+        .otherwise(hexed("99" * 8))
+    )
+    segment = F.when(tcp, F.concat(be(F.col("src_port"), 2), be(F.col("dst_port"), 2), be(index, 4), hexed("00000000"), hexed("50"), be(F.col("tcp_flags"), 1), hexed("ffff00000000"), payload))
+    segment = segment.otherwise(F.concat(be(F.col("src_port"), 2), be(F.col("dst_port"), 2), be(F.octet_length(payload) + 8, 2), hexed("0000"), payload))
+    fragment = F.when(F.col("is_ip_fragmented"), hexed("2000")).otherwise(hexed("0000"))
+    ip = F.concat(hexed("4500"), be(F.octet_length(segment) + 20, 2), hexed("0001"), fragment, hexed("40"), be(F.col("protocol"), 1), hexed("0000"), F.col("src_addr"), F.col("dst_addr"), segment)
+    vid = F.regexp_extract(F.col("path")[1], "vid=([0-9]+)", 1).cast("long")
+    mac = hexed("02" * 12)
+    odd = F.when(index % 200 == 0, hexed("0202")).when(index % 200 == 50, F.concat(mac, hexed("88cc"), hexed("00" * 30))).when(index % 200 == 100, F.concat(mac, hexed("8863"), hexed("110900000000"))).otherwise(F.concat(mac, hexed("0806"), hexed("0001080006")))
+    frame = F.when(index % 50 == 0, odd).otherwise(F.concat(mac, hexed("8100"), be(vid, 2), hexed("0800"), ip))
+    made = packets.select("packet_index", "ts_us", frame.alias("bytes"))
+    length = F.octet_length("bytes").cast("long")
+    return made.select("packet_index", "ts_us", length.alias("captured_length"), (length + index % 5).alias("original_length"), F.lit(1).alias("data_link_type"), "bytes")

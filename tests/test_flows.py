@@ -85,3 +85,19 @@ def test_number_lists_and_limits():
     with pytest.raises(ValueError):
         FlowQuery(limit=0).apply(None)
     assert query.SORT_KEYS["index"] == ["flow_index"]
+
+
+def test_unknown_flow_numbers_and_ascii_case(spark):
+    import pytest
+
+    from flowspark.operators.query import FlowQuery, Retention
+
+    rows = spark.createDataFrame([(1, "A"), (2, "b")], "flow_index long, protocol_text string")
+    assert FlowQuery(numbers=(2,)).apply(rows).count() == 1
+    for wrong in ((3,), (0, 1)):
+        with pytest.raises(ValueError, match="no such flow"):
+            FlowQuery(numbers=wrong).apply(rows)
+    packets = spark.createDataFrame([(i, 100) for i in range(50)], "packet_index long, original_length long")
+    kept = lambda r: sorted(x.packet_index for x in r.apply(packets, group=None).collect())
+    assert kept(Retention(first_packets=3)) == [0, 1, 2] and kept(Retention(first_bytes=201, last=True)) == [0, 1, 2, 49]
+    assert kept(Retention(first_packets=2, every=20)) == [0, 1, 21, 41] and len(kept(Retention())) == 50

@@ -46,3 +46,11 @@ def test_queries_import_without_the_text_operators(tmp_path):
     (tmp_path / "__spark_entry__.py").write_text((top / "__spark_entry__.py").read_text())
     code = "import __spark_entry__ as e; q = e.queries(); assert 'flow_listing' in q and set(q) == set(e.oracle_sql()), q"
     subprocess.run([sys.executable, "-B", "-c", code], check=True, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_tree_percent_and_hex_dump(spark):
+    values = [(0.0, "0%"), (0.004, "<0.01%"), (0.25, "0.25%"), (1.0, "1%"), (12.34, "12.3%"), (99.9, "99.9%")]
+    found = spark.createDataFrame([(v,) for v, _ in values], "p double").select(X.tree_percent_text(F.col("p"))).collect()
+    assert [r[0] for r in found] == [t for _, t in values]
+    row = spark.createDataFrame([(bytearray(b"GET / HTTP/1.1\r\nHost"),), (bytearray(),)], "b binary").select(X.hex_dump(F.col("b"))).collect()
+    assert row[0][0].split("\n") == ["00000000  47 45 54 20 2f 20 48 54 54 50 2f 31 2e 31 0d 0a  GET / HTTP/1.1..", "00000010  48 6f 73 74" + " " * 36 + "  Host"] and row[1][0] == ""
