@@ -15,8 +15,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or own_scratch_dir()
+    """The folder that driver and executors share; one of this machine only in local mode where the session names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return shared or own_scratch_dir()
 
 
 @functools.cache

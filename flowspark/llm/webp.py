@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 ROW_PIXELS = 16
 MAX_SIDE = 1 << 14
+#: An image of more pixels is refused, so that a damaged header of a few bytes cannot fill the memory.
+MAX_PIXELS = 1 << 24
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 
 # Fixed values of the format: the order of code-length code lengths, and the (column, row) steps of short distances.
@@ -260,6 +262,8 @@ def decode_vp8l(data: bytes) -> np.ndarray:
     if bits.read(8) != 0x2F:
         raise ValueError("not a lossless stream")
     width, height = bits.read(14) + 1, bits.read(14) + 1
+    if width * height > MAX_PIXELS:
+        raise ValueError("image too large")
     bits.read(1)
     if bits.read(3):
         raise ValueError("unknown version")

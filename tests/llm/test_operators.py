@@ -447,8 +447,10 @@ def test_webp_round_trip(spark, docs, empty):
     for r in back:
         text = TEXTS[r.doc_id] or ""
         assert bytes(r.pixels) == webp.payload_of(text) and r.n_bytes == len(text.encode())
-    damaged = spark.createDataFrame([(1, b"junk"), (2, None), (3, webp.encode_payload(b"ab" * 32)[:-9])], "doc_id long, media binary")
-    assert [r.pixels for r in webp.decode_media(damaged).collect()] == [None] * 3
+    huge = bytearray(webp.encode_payload(bytes(64)))
+    huge[21:25] = b"\xff\xff\xff\x1f"  # 16384 x 16384 pixels
+    damaged = spark.createDataFrame([(1, b"junk"), (2, None), (3, webp.encode_payload(b"ab" * 32)[:-9]), (4, huge)], "doc_id long, media binary")
+    assert [r.pixels for r in webp.decode_media(damaged).collect()] == [None] * 4
     assert webp.decode_media(webp.encode_media(empty)).count() == 0
 
 
