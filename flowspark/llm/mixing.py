@@ -26,7 +26,7 @@ CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 class Buckets(dict):
     """Buckets of the letter runs of a token, remembered for up to ``limit`` tokens."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

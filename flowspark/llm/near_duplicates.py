@@ -41,7 +41,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordKeys(dict):
     """64-bit keys of words, remembered for up to ``limit`` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

@@ -25,7 +25,7 @@ class WordIds(dict):
 
     stops = frozenset(".,;:!?")
 
-    def __init__(self, tokenizer, limit: int = 500_000):
+    def __init__(self, tokenizer, limit: int = 200_000):
         super().__init__()
         self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
 

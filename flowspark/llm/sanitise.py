@@ -163,7 +163,7 @@ def entity_counts(docs: DataFrame) -> DataFrame:
 class Listed(dict):
     """The listed term that a word stands for, or None; remembered for up to ``limit`` words."""
 
-    def __init__(self, terms, limit: int = 300_000):
+    def __init__(self, terms, limit: int = 150_000):
         super().__init__()
         self.terms, self.limit = terms, limit
 

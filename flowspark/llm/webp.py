@@ -2,13 +2,15 @@
 
 The decoder reads any still lossless stream: prefix codes (simple and coded lengths, several code
 groups), back-references, colour cache, and the predictor, cross-colour, subtract-green and palette
-transforms. The encoder writes single-group streams whose four codes have one length each, which
-the decoder reads with array operations.
+transforms. The encoder writes single-group streams, with cross-colour, predictor or palette and with
+back-references and a colour cache where that is shorter; where no symbol repeats it gives each of
+the four codes one length, which the decoder reads with array operations.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import struct
 
 import numpy as np
@@ -62,23 +64,28 @@ class Code:
         if len(used) > 1 and int(np.sum(1 << (15 - sizes))) != 1 << 15:
             raise ValueError("prefix code is not complete")
 
-    def build(self) -> dict:
-        self.table, code, last = {}, 0, int(self.sizes[0])
+    def build(self) -> list[int]:
+        """For the next bits, as many as the longest code has: its symbol times 16 plus the length of its code."""
+        self.longest = int(self.sizes[-1])
+        table = np.zeros(1 << self.longest, np.int64)
+        code, last = 0, int(self.sizes[0])
         for symbol, size in zip(self.symbols.tolist(), self.sizes.tolist(), strict=True):
             code <<= size - last
-            self.table[size, code] = symbol
+            table[int(f"{code:0{size}b}"[::-1], 2) :: 1 << size] = symbol << 4 | size
             code, last = code + 1, size
+        self.table = table.tolist()
         return self.table
 
     def read(self, bits: Bits) -> int:
         if self.uniform == 0:
             return int(self.symbols[0])
-        table, code = self.table or self.build(), 0
-        for size in range(1, 16):
-            code = code << 1 | bits.read(1)
-            if (size, code) in table:
-                return table[size, code]
-        raise ValueError("no such prefix code")
+        table = self.table or self.build()
+        at = bits.at
+        found = table[(int.from_bytes(bits.data[at >> 3 : (at >> 3) + 3], "little") >> (at & 7)) & ((1 << self.longest) - 1)]
+        bits.at = at + (found & 15)
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("image data ends early")
+        return found >> 4
 
 
 def uniform_ranks(bits: Bits, n: int, size: int) -> np.ndarray:
@@ -335,37 +342,247 @@ def uniform_code(has: np.ndarray, alphabet: int) -> tuple[int, np.ndarray, np.nd
     return size, (np.cumsum(has) - 1).astype(np.uint8), np.concatenate([uniform_header(size), lengths])
 
 
+class BitsOut:
+    """Bits written lowest first."""
+
+    def __init__(self):
+        self.data, self.held, self.n = bytearray(), 0, 0
+
+    def put(self, value: int, size: int) -> None:
+        self.held |= value << self.n
+        self.n += size
+        if self.n >= 64:
+            whole = self.n >> 3
+            self.data += (self.held & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
+            self.held >>= 8 * whole
+            self.n -= 8 * whole
+
+    def bits(self) -> np.ndarray:
+        whole = bytes(self.data) + self.held.to_bytes((self.n + 7) // 8, "little")
+        return np.unpackbits(np.frombuffer(whole, np.uint8), bitorder="little")[: 8 * len(self.data) + self.n]
+
+
+def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of a prefix code, ``most`` bits at most, for symbols with the given counts."""
+    counts = np.asarray(counts, np.int64)
+    while True:
+        heap = [(int(c), i, (i,)) for i, c in enumerate(counts) if c]
+        lengths = np.zeros(len(counts), np.int64)
+        heapq.heapify(heap)
+        if len(heap) == 1:
+            lengths[heap[0][1]] = 1
+        while len(heap) > 1:
+            (c, i, x), (d, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+            lengths[list(x + y)] += 1
+            heapq.heappush(heap, (c + d, i, x + y))
+        if lengths.max(initial=0) <= most:
+            return lengths
+        counts = np.where(counts, counts // 2 + 1, 0)  # flatter counts, flatter code
+
+
+def codewords(lengths: np.ndarray) -> dict[int, tuple[int, int]]:
+    """(bits with the first to write lowest, length) of each symbol; a single symbol takes no bits."""
+    used = sorted((int(n), int(s)) for s, n in enumerate(lengths) if n)
+    if len(used) == 1:
+        return {used[0][1]: (0, 0)}
+    found, code, last = {}, 0, used[0][0] if used else 0
+    for n, s in used:
+        code <<= n - last
+        found[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
+        code, last = code + 1, n
+    return found
+
+
+def put_code(out: BitsOut, counts: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Write the prefix code for these counts; returns its codewords."""
+    used = np.flatnonzero(counts).tolist() or [0]
+    if len(used) <= 2 and used[-1] < 256:
+        for value, size in [(1, 1), (len(used) - 1, 1), (1, 1), *[(s, 8) for s in used]]:
+            out.put(value, size)
+        lengths = np.zeros(len(counts), np.int64)
+        lengths[used] = 1
+        return codewords(lengths)
+    lengths = code_lengths(counts, 15)
+    runs, at = [], 0
+    while at < len(lengths):
+        zeros = 0
+        while at + zeros < len(lengths) and not lengths[at + zeros] and zeros < 138:
+            zeros += 1
+        if zeros >= 3:
+            runs.append((17, zeros - 3, 3) if zeros <= 10 else (18, zeros - 11, 7))
+            at += zeros
+        else:
+            runs.append((int(lengths[at]), 0, 0))
+            at += 1
+    sizes = code_lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
+    listed = max(4, 1 + max(i for i, x in enumerate(LENGTH_ORDER) if sizes[x]))
+    for value, size in [(0, 1), (listed - 4, 4), *[(int(sizes[x]), 3) for x in LENGTH_ORDER[:listed]], (0, 1)]:
+        out.put(value, size)
+    words = codewords(sizes)
+    for symbol, extra, size in runs:
+        out.put(*words[symbol])
+        out.put(extra, size)
+    return codewords(lengths)
+
+
+def amount_prefix(amount: int) -> tuple[int, int, int]:
+    """Prefix, extra bits and their number for a length or distance code, as ``read_amount`` reads them."""
+    x = amount - 1
+    if x < 4:
+        return x, 0, 0
+    high = x.bit_length() - 1
+    return 2 * high + (x >> (high - 1) & 1), x & ((1 << (high - 1)) - 1), high - 1
+
+
+@functools.cache
+def near_codes(width: int) -> dict[int, int]:
+    found: dict[int, int] = {}
+    for i, (dx, dy) in enumerate(NEAR_STEPS):
+        found.setdefault(max(1, dx + dy * width), i + 1)
+    return found
+
+
+def tokens_of(colours: list[int], width: int, cache_bits: int) -> list[tuple]:
+    """Literals (colour,), cache places (place, None) and copies (length, distance code, back) that spell the colours, greedily."""
+    seen: dict[tuple[int, int], int] = {}
+    cache: dict[int, int] = {}
+    found, at, n, near = [], 0, len(colours), near_codes(width)
+    shift = 32 - cache_bits
+    while at < n:
+        back, run = 0, 0
+        if at + 1 < n and (start := seen.get((colours[at], colours[at + 1]))) is not None:
+            back, run = at - start, 2
+            while run < 4096 and at + run < n and colours[at + run] == colours[at + run - back]:
+                run += 1
+        step = run if run > 2 else 1
+        place = (colours[at] * 0x1E35A7BD & 0xFFFFFFFF) >> shift
+        found.append((run, near.get(back, back + 120), back) if step > 1 else (place, None) if cache.get(place) == colours[at] else (colours[at],))
+        for i in range(at, at + step):
+            cache[(colours[i] * 0x1E35A7BD & 0xFFFFFFFF) >> shift] = colours[i]
+            if i + 1 < n:
+                seen[colours[i], colours[i + 1]] = i
+        at += step
+    return found
+
+
+def repeated_stream(flat: np.ndarray, width: int, cache_bits: int = 7) -> np.ndarray:
+    """Bits of an entropy-coded image with back-references and a colour cache, from the cache's size on."""
+    wide = flat.astype(np.int64)
+    found = tokens_of((wide[:, 3] << 24 | wide[:, 0] << 16 | wide[:, 1] << 8 | wide[:, 2]).tolist(), width, cache_bits)
+    counts = [np.zeros(280 + (1 << cache_bits), np.int64), *[np.zeros(256, np.int64) for _ in range(3)], np.zeros(40, np.int64)]
+    symbols = []
+    for t in found:
+        if len(t) == 1:
+            c = t[0]
+            each = [(0, c >> 8 & 255, 0, 0), (1, c >> 16 & 255, 0, 0), (2, c & 255, 0, 0), (3, c >> 24, 0, 0)]
+        elif len(t) == 2:
+            each = [(0, 280 + t[0], 0, 0)]
+        else:
+            (length, x, m), (distance, y, k) = amount_prefix(t[0]), amount_prefix(t[1])
+            each = [(0, 256 + length, x, m), (4, distance, y, k)]
+        for code, symbol, _, _ in each:
+            counts[code][symbol] += 1
+        symbols += each
+    out = BitsOut()
+    for value, size in ((1, 1), (cache_bits, 4), (0, 1)):
+        out.put(value, size)
+    words = [put_code(out, c) for c in counts]
+    for code, symbol, extra, size in symbols:
+        out.put(*words[code][symbol])
+        out.put(extra, size)
+    return out.bits()
+
+
+def uniform_stream(flat: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """Bits of an entropy-coded image whose four codes have one length each."""
+    codes = [uniform_code(has[channel], 280 if channel == 1 else 256) for channel in (1, 0, 2, 3)]
+    symbols = [np.unpackbits(rank[flat[:, channel]][:, None], axis=1)[:, 8 - size :] for (size, rank, _), channel in zip(codes, (1, 0, 2, 3), strict=True) if size]
+    return np.concatenate([pack_bits((0, 2)), *[c[2] for c in codes], ONE_ZERO, *([np.concatenate(symbols, axis=1).reshape(-1)] if symbols else [])])
+
+
+def one_value(value: int) -> np.ndarray:
+    return pack_bits((1, 1), (0, 1), (1, 1), (value, 8))
+
+
+def predicted(image: np.ndarray, mode: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The predictor transform's bits and the image less its prediction, from the left (1) or from above (2)."""
+    out = image.copy()
+    if mode == 1:
+        out[1:, 0] -= image[:-1, 0]
+        out[:, 1:] -= image[:, :-1]
+    else:
+        out[1:] -= image[:-1]
+        out[0, 1:] -= image[0, :-1]
+    out[:1, :1, 3] += np.uint8(1)  # less the 255 that the first pixel is predicted as
+    return [pack_bits((1, 1), (PREDICTOR, 2), (7, 3), (0, 1)), one_value(mode), ONE_ZERO, ONE_ZERO, ONE_ZERO, ONE_ZERO], out
+
+
+def crossed(image: np.ndarray) -> tuple[list[np.ndarray], np.ndarray] | None:
+    """The cross-colour transform's bits and result where red or blue follow green closely; else None."""
+    green, red, blue = (image[:, :, c].astype(np.int8).astype(int) for c in (1, 0, 2))
+    spread = int((green * green).sum())
+    if not spread:
+        return None
+    slopes = [int(np.clip(round(32 * float((green * x).sum()) / spread), -128, 127)) for x in (red, blue)]
+    left = [x - (k * green >> 5) for x, k in zip((red, blue), slopes, strict=True)]
+    if 4 * sum(int((x * x).sum()) for x in left) > int((red * red).sum() + (blue * blue).sum()):
+        return None
+    out = image.copy()
+    out[:, :, 0], out[:, :, 2] = (x & 255 for x in left)
+    return [pack_bits((1, 1), (CROSS_COLOUR, 2), (7, 3), (0, 1)), one_value(slopes[1] & 255), one_value(0), one_value(slopes[0] & 255), one_value(0), ONE_ZERO], out
+
+
+def indexed(flat: np.ndarray, height: int, width: int) -> tuple[list[np.ndarray], np.ndarray] | None:
+    """The palette transform's bits and the image of packed indices, for at most 256 colours; else None."""
+    colours, index = np.unique(np.ascontiguousarray(flat).view("<u4")[:, 0], return_inverse=True)
+    if len(colours) > 256:
+        return None
+    palette = colours.view(np.uint8).reshape(-1, 4)
+    steps = np.diff(palette, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
+    shift = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+    grid = np.zeros((height, -(-width // (1 << shift)) << shift), np.uint16)
+    grid[:, :width] = index.reshape(height, width)
+    packed = (grid.reshape(height, -1, 1 << shift) << (np.arange(1 << shift) * (8 >> shift)).astype(np.uint16)).sum(2).astype(np.uint8)
+    out = np.zeros((*packed.shape, 4), np.uint8)
+    out[:, :, 1] = packed
+    has = np.zeros((4, 256), bool)
+    has[CHANNELS, steps] = True
+    # The palette is an image of its own, without the bit that the main image has for code groups.
+    header = np.concatenate([pack_bits((0, 1)), uniform_stream(steps, has)[2:]])
+    return [pack_bits((1, 1), (PALETTE, 2), (len(colours) - 1, 8)), header], out
+
+
 def write_webp(pixels: np.ndarray) -> bytes:
-    """A lossless WebP file of RGBA pixels, predicted from the left, from above or not at all, whichever is shortest."""
+    """A lossless WebP file of RGBA pixels: the shortest of the streams that are tried.
+
+    Each image is tried as it is and predicted from the left or from above, after the cross-colour
+    transform where red or blue follow green; with a palette if it has few colours; and, where
+    half of its colours are repeats, with back-references and a colour cache, of the colours or of
+    the palette's indices.
+    """
     height, width, _ = pixels.shape
-    choices = {None: pixels}
-    rows = pixels.copy()
-    rows[1:, 0] -= pixels[:-1, 0]
-    rows[:, 1:] -= pixels[:, :-1]
-    columns = pixels.copy()
-    columns[1:] -= pixels[:-1]
-    columns[0, 1:] -= pixels[0, :-1]
-    for mode, image in ((1, rows), (2, columns)):
-        image[:1, :1, 3] += np.uint8(1)  # less the 255 that the first pixel is predicted as
-        choices[mode] = image
-    best = None
-    for mode, image in choices.items():
-        flat = image.reshape(-1, 4)
+    flat = pixels.reshape(-1, 4)
+    linked = crossed(pixels)
+    before, image = linked or ([], pixels)
+    plain: list[tuple] = []
+    for parts, made in ((before, image), *((before + p, m) for p, m in (predicted(image, mode) for mode in (1, 2)))):
         has = np.zeros((4, 256), bool)
-        has[CHANNELS, flat] = True
-        cost = sum((int(n) - 1).bit_length() for n in has.sum(1))
-        if best is None or cost < best[0]:
-            best = cost, mode, flat, has
-    _, mode, flat, has = best
-    codes = [uniform_code(has[channel], 280 if channel == 1 else 256) for channel in (1, 0, 2, 3)]
-    parts = [pack_bits((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3))]
-    if mode is not None:
-        parts += [pack_bits((1, 1), (PREDICTOR, 2), (7, 3), (0, 1)), pack_bits((1, 1), (0, 1), (1, 1), (mode, 8)), ONE_ZERO, ONE_ZERO, ONE_ZERO, ONE_ZERO]
-    parts += [pack_bits((0, 3)), *[c[2] for c in codes], ONE_ZERO]
-    symbols = [np.unpackbits(rank[flat[:, channel]][:, None], axis=1)[:, 8 - size :] for (size, rank, _), channel in zip(codes, (1, 0, 2, 3), strict=True) if size]
-    if symbols:
-        parts.append(np.concatenate(symbols, axis=1).reshape(-1))
-    data = np.packbits(np.concatenate(parts), bitorder="little").tobytes()
+        has[CHANNELS, made.reshape(-1, 4)] = True
+        plain.append((sum((int(n) - 1).bit_length() for n in has.sum(1)), parts, made.reshape(-1, 4), has))
+    _, parts, made, has = min(plain, key=lambda x: x[0])
+    streams = [[*parts, pack_bits((0, 1)), uniform_stream(made, has)]]
+    distinct = len(np.unique(np.ascontiguousarray(flat).view("<u4")))
+    palette = indexed(flat, height, width) if 2 * distinct <= len(flat) else None
+    if palette:
+        has = np.zeros((4, 256), bool)
+        index = palette[1].reshape(-1, 4)
+        has[CHANNELS, index] = True
+        streams.append([*palette[0], pack_bits((0, 1)), uniform_stream(index, has)])
+        streams.append([*palette[0], pack_bits((0, 1)), repeated_stream(index, palette[1].shape[1])])
+    if 2 * distinct <= len(flat):
+        streams.append([pack_bits((0, 1)), repeated_stream(flat, width)])
+    best = min((np.concatenate(x) for x in streams), key=len)
+    data = np.packbits(np.concatenate([pack_bits((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)), best]), bitorder="little").tobytes()
     padded = data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + padded
 

@@ -539,3 +539,49 @@ def test_language_batches_of_long_texts_are_worked_in_slices():
     whole = language_id.infer(texts, ["a", "b", "c"], table)
     assert [language_id.infer([t], ["a", "b", "c"], table)[0] for t in texts] == whole
     assert language_id.infer(texts, ["a", "b", "c"], table, slice_cells=3_000) == whole
+
+
+def test_webp_writer_uses_each_path_where_it_is_shorter(spark, monkeypatch):
+    used = {}
+
+    def counted(name):
+        whole = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a: (used.__setitem__(name, used.get(name, 0) + 1), whole(*a))[1])
+
+    for name in ("read_amount", "undo_palette", "undo_cross_colour", "undo_predictor"):
+        counted(name)
+    random = np.random.default_rng(6)
+    green = random.integers(0, 200, 1600)
+    linked = np.stack([green // 2, green, green, np.full_like(green, 255)], 1).astype(np.uint8).tobytes()
+    cases = {
+        "undo_palette": random.choice([17, 1 << 20, 99], 640).astype("<u4").tobytes(),
+        "undo_cross_colour": linked,
+        "read_amount": np.tile(random.integers(0, 1 << 32, 480, dtype=np.uint32), 20).tobytes(),
+        "undo_predictor": np.cumsum(random.integers(0, 4, 4 * 1600).reshape(-1, 4), axis=0).astype(np.uint8).tobytes(),
+    }
+    for name, payload in cases.items():
+        before = used.get(name, 0)
+        media = webp.encode_payload(payload)
+        assert b"".join(im.tobytes() for im in webp.read_webp(media)) == payload
+        assert used.get(name, 0) > before and len(media) < len(payload), name
+    used.clear()
+    tokens = []
+    whole = webp.tokens_of
+    monkeypatch.setattr(webp, "tokens_of", lambda *a: tokens.extend(whole(*a)) or whole(*a))
+    for (text,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        payload = webp.payload_of(text or "")
+        assert b"".join(im.tobytes() for im in webp.read_webp(webp.encode_payload(payload))) == payload
+    assert used["read_amount"] > 100 and used["undo_palette"] > 10
+    assert {len(t) for t in tokens} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_webp_round_trip_of_random_images(seed):
+    random = np.random.default_rng(seed)
+    for _ in range(25):
+        height, colours = int(random.integers(1, 60)), int(random.choice([1, 2, 3, 4, 5, 16, 17, 255, 256, 257, 1000]))
+        table = random.integers(0, 256, (colours, 4)).astype(np.uint8)
+        pixels = table[random.integers(0, colours, (height, 16))]
+        if random.random() < 0.5:
+            pixels = np.repeat(pixels, int(random.integers(1, 5)), axis=0)
+        assert (webp.read_webp(webp.write_webp(pixels))[0] == pixels).all()
