@@ -118,6 +118,11 @@ def csv_field(value: Column) -> Column:
     return F.when(value.rlike('[,"\\r\\n\\t ]'), F.concat(F.lit('"'), F.regexp_replace(value, '"', '""'), F.lit('"'))).otherwise(value)
 
 
+def csv_path(path: Column) -> Column:
+    """One line without blanks around the arrows."""
+    return F.replace(F.trim(F.regexp_replace(path, "[\\r\\n\\t ]+", " ")), F.lit(" -> "), F.lit("->"))
+
+
 def file_name(text: Column, length: int = 32) -> Column:
     """Letters, digits, dots, dashes and underscores; each run of anything else is one underscore."""
     return F.substring(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_"), 1, length)

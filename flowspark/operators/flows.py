@@ -55,6 +55,8 @@ def flows_of(packets: DataFrame) -> DataFrame:
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("packet_index"))).alias(c) for c in ("tls_version", "quic_version") if c in packets.columns],
         F.min("ts_us").alias("first_ts_us"),
         F.max("ts_us").alias("last_ts_us"),
+        F.min_by("ts_us", "packet_index").alias("first_packet_ts_us"),
+        F.max_by("ts_us", "packet_index").alias("last_packet_ts_us"),
         F.min("packet_index").alias("first_packet_index"),
         F.max("packet_index").alias("last_packet_index"),
     )

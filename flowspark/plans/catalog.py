@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.buckets import CAPTURE_SIZE, FLOW_PACKETS, FLOW_SIZE, INTER_ARRIVAL, INTER_ARRIVAL_LABELS, labels
 from ..functions.storage import scratch_path, stored
-from ..operators import analysis, dissect, query, stats, streams
+from ..operators import analysis, dissect, query, reports, stats, streams
 from ..operators import flows as flow_ops
 from ..operators.query import FlowQuery, Retention
 from ..sources.pcap import read_captures
@@ -66,7 +66,7 @@ grouped AS (
   SELECT lo, hi, protocol, path, arg_min(src, packet_index) AS first_src, CAST(count(*) AS BIGINT) AS packet_count, CAST(sum(original_length) AS BIGINT) AS total_bytes,
     CAST(sum(captured_length) AS BIGINT) AS captured_bytes, CAST(count(*) FILTER (src = lo) AS BIGINT) AS n_lo, CAST(coalesce(sum(original_length) FILTER (src = lo), 0) AS BIGINT) AS bytes_lo,
     CAST(count(*) FILTER (fragmented) AS BIGINT) AS fragmented_packet_count, arg_min(hint, packet_index) FILTER (hint IS NOT NULL) AS protocol_hint,
-    arg_min('host-' || service_no, packet_index) FILTER (hint IS NOT NULL) AS service_hint, min(ts_us) AS first_ts_us, max(ts_us) AS last_ts_us
+    arg_min('host-' || service_no, packet_index) FILTER (hint IS NOT NULL) AS service_hint, min(ts_us) AS first_ts_us, max(ts_us) AS last_ts_us, arg_min(ts_us, packet_index) AS first_packet_ts_us, arg_max(ts_us, packet_index) AS last_packet_ts_us
   FROM packets GROUP BY lo, hi, protocol, path),
 flows AS (
   SELECT *, row_number() OVER (ORDER BY total_bytes DESC, packet_count DESC, lo, hi, protocol, path) AS flow_index,
@@ -503,3 +503,40 @@ def stream_overlap(spark, folder):
 register("sample_whole_capture", f"WITH {PACKETS_SQL}, n AS (SELECT packet_index, row_number() OVER (ORDER BY packet_index) AS number, count(*) OVER () AS total, coalesce(sum(original_length) OVER (ORDER BY packet_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM packets WHERE protocol <> 6), b AS (SELECT max(number) FILTER (before < 300000) AS base FROM n) SELECT packet_index, number FROM n, b WHERE number <= base OR number = total OR (number - base) % 7 = 0", packets)(
     lambda p: Retention(first_bytes=300_000, last=True, every=7).apply(p.where("protocol <> 6"), group=None).select("packet_index", "number")
 )
+
+
+# Reports -------------------------------------------------------------------------------------------
+
+SECONDS_SQL = "CAST({0} // 1000000 AS VARCHAR) || '.' || lpad(CAST({0} % 1000000 AS VARCHAR), 6, '0')"
+REPORT_SQL = f"""r AS (SELECT flow_index AS flow_id, 'IPv4' AS family, protocol_text AS transport, coalesce(effective_hint, 'unknown') AS protocol, coalesce(nullif(service_text, ''), 'unknown') AS protocol_hint, address_a AS src_ip, CAST(a % 65536 AS INTEGER) AS src_port, address_b AS dst_ip, CAST(b % 65536 AS INTEGER) AS dst_port,
+packet_count, captured_bytes, total_bytes AS original_bytes, {SECONDS_SQL.format("first_packet_ts_us")} AS first_timestamp, {SECONDS_SQL.format("last_packet_ts_us")} AS last_timestamp, greatest(last_packet_ts_us - first_packet_ts_us, 0) AS duration_us, replace(path, ' -> ', '->') AS protocol_path FROM flow_rows)"""
+register("flow_report", f"WITH {ROWS_SQL}, {REPORT_SQL} SELECT * FROM r", rows)(reports.flow_report)
+LINE_SQL = " || ',' || ".join(CSV_SQL.format(f"CAST({c} AS VARCHAR)") for c in reports.FLOW_COLUMNS)
+register("flow_report_csv", f"WITH {ROWS_SQL}, {REPORT_SQL} SELECT {LINE_SQL} AS line FROM r", rows)(lambda r: reports.csv_lines(reports.flow_report(r)))
+FILE_SQL = "lpad(CAST(flow_id AS VARCHAR), 6, '0') || '_' || protocol || '_' || protocol_hint || '_' || transport || '_' || src_ip || '_' || src_port || '-' || dst_ip || '_' || dst_port || '.pcap'"
+
+
+@register(
+    "sampled_manifest",
+    f"WITH {ROWS_SQL}, {REPORT_SQL}, owned AS (SELECT p.*, f.flow_index FROM packets p JOIN flows f ON p.lo = f.lo AND p.hi = f.hi AND p.protocol = f.protocol AND p.path = f.path), n AS (SELECT *, {NUMBER_SQL} FROM owned), "
+    f"e AS (SELECT flow_index AS flow_id, count(*) AS exported_packet_count, CAST(sum(captured_length) AS BIGINT) AS exported_captured_bytes, CAST(sum(original_length) AS BIGINT) AS exported_original_bytes FROM n WHERE number <= 4 GROUP BY 1) SELECT r.*, {FILE_SQL} AS file_name, exported_packet_count, exported_captured_bytes, exported_original_bytes FROM r JOIN e USING (flow_id)",
+)
+def sampled_manifest(spark, folder):
+    found = rows(spark, folder)
+    return reports.manifest(found, Retention(first_packets=4).apply(flow_ops.with_flow(packets(spark, folder), found, "flow_index")))
+
+
+TREE_PERCENT_SQL = "CASE WHEN q < 0.01 THEN '<0.01%' WHEN q < 1 THEN CAST(CAST(q AS DECIMAL(10, 2)) AS VARCHAR) || '%' ELSE CASE WHEN round(q, 1) = floor(round(q, 1)) THEN CAST(CAST(floor(round(q, 1)) AS BIGINT) AS VARCHAR) ELSE CAST(CAST(round(q, 1) AS DECIMAL(10, 1)) AS VARCHAR) END || '%' END"
+register(
+    "path_tree_text",
+    f"""WITH RECURSIVE {FLOWS_SQL}, t AS (SELECT string_split(path, ' -> ') AS layers, packet_count FROM flows), x AS (SELECT layers, packet_count, unnest(range(1, len(layers) + 1)) AS depth FROM t),
+s AS (SELECT layers[1:depth] AS p, depth, count(*) AS flows_n, CAST(sum(packet_count) AS BIGINT) AS n, round(100.0::DOUBLE * sum(packet_count) / (SELECT sum(packet_count) FROM flows), 6) AS q FROM x GROUP BY 1, 2),
+k AS (SELECT s.p, list({{'p': -a.n, 'f': -a.flows_n, 'n': array_to_string(a.p, ' -> ')}} ORDER BY a.depth) AS o FROM s JOIN s a ON a.depth <= s.depth AND s.p[1:a.depth] = a.p GROUP BY 1)
+SELECT row_number() OVER (ORDER BY o) AS position, repeat('  ', depth - 1) || p[-1] || '  flows: ' || flows_n || ', packets: ' || n || ' (' || {TREE_PERCENT_SQL} || ')' AS line FROM s JOIN k USING (p)""",
+    flows,
+)(lambda f: reports.tree_text(stats.path_tree(f)))
+BYTES_SQL = "hex(encode(text))"
+register(
+    "byte_export",
+    f"SELECT conv_id, turn, {BYTES_SQL} AS hex, rtrim(regexp_replace({BYTES_SQL}, '(..)', '\\1 ', 'g')) AS hex_spaced, base64(encode(text)) AS base64, regexp_replace(rtrim(regexp_replace(regexp_replace({BYTES_SQL}, '(.{{1,32}})', '\\1' || chr(10), 'g'), '([0-9A-F][0-9A-F])', '0x\\1, ', 'g'), ', ' || chr(10)), ', ' || chr(10), chr(10), 'g') AS c_list, regexp_replace({BYTES_SQL}, '(..)', '\\\\x\\1', 'g') AS escaped FROM conversations WHERE text IS NOT NULL",
+)(lambda spark, folder: spark.read.parquet(f"{folder}/conversations.parquet").where("text is not null").select("conv_id", "turn", *[c.alias(n) for n, c in reports.byte_texts(F.col("text").cast("binary")).items()]))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+INDEX_VERSION = 1
 GLOBAL_HEADER = struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
 
 
@@ -79,7 +80,18 @@ def write_captures(packets: DataFrame, path: str, by_flow: bool = False) -> None
     named.select("name", "ts_us", "original_length", "bytes").write.format("pcap_files").mode("append").save(path)
 
 
-def write_index(spark: SparkSession, packets: DataFrame, flows: DataFrame, path: str) -> None:
-    """The packets and flows of a capture as two Parquet tables."""
+def write_index(spark: SparkSession, packets: DataFrame, flows: DataFrame, path: str, sources: DataFrame | None = None) -> None:
+    """The packets and flows of a capture as Parquet tables, with what is known of its source files and, last, the index's version."""
     packets.write.parquet(f"{path}/packets")
     flows.write.parquet(f"{path}/flows")
+    if sources is not None:
+        sources.write.parquet(f"{path}/sources")
+    spark.createDataFrame([(INDEX_VERSION, sources is not None)], "version int, has_sources boolean").write.parquet(f"{path}/meta")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """packets, flows and sources of an index; ValueError for another version, an error of Spark for one that was not finished."""
+    meta = spark.read.parquet(f"{path}/meta").first()
+    if meta["version"] != INDEX_VERSION:
+        raise ValueError(f"index version {meta['version']}, not {INDEX_VERSION}")
+    return spark.read.parquet(f"{path}/packets"), spark.read.parquet(f"{path}/flows"), spark.read.parquet(f"{path}/sources") if meta["has_sources"] else None

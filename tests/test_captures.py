@@ -159,3 +159,26 @@ def test_index_grows_by_new_files_only(spark, tmp_path):
     whole = spark.read.parquet(index)
     assert first < whole.count() == made.count()
     assert windowed_totals(whole).agg({"packet_count": "sum"}).first()[0] == made.count()
+
+
+def test_index_version_and_changed_sources(spark, tmp_path):
+    from flowspark.operators import reports
+    from flowspark.sources import sinks
+
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.pcap").write_bytes(pcap.pcap_bytes([(1, 60, PACKETS[0]), (2, 60, PACKETS[1])]))
+    here = str(tmp_path / "*.pcap")
+    packets = packets_from_events(spark, "/root/testdata/sf0.001")
+    index = str(tmp_path / "index")
+    sinks.write_index(spark, packets, flows.flows_of(packets), index, reports.describe_sources(spark, here))
+    stored_packets, stored_flows, sources = sinks.read_index(spark, index)
+    assert stored_packets.count() == packets.count() and stored_flows.count() == flows.flows_of(packets).count()
+    assert {r["format"] for r in sources.collect()} == {"pcap"} and reports.changed_sources(sources, reports.describe_sources(spark, here)).count() == 0
+    (tmp_path / "a.pcap").write_bytes((tmp_path / "a.pcap").read_bytes()[:-1] + b"?")
+    (tmp_path / "b.pcap").unlink()
+    (tmp_path / "d.pcap").write_bytes(b"short")
+    wrong = {r["path"][-6:]: r["wrong"] for r in reports.changed_sources(sources, reports.describe_sources(spark, here)).collect()}
+    assert wrong == {"a.pcap": "content", "b.pcap": "missing", "d.pcap": "new"}
+    spark.createDataFrame([(99, False)], "version int, has_sources boolean").write.mode("overwrite").parquet(f"{index}/meta")
+    with pytest.raises(ValueError, match="version"):
+        sinks.read_index(spark, index)
