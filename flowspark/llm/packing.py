@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_earlier
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -216,7 +216,7 @@ def pack(pieces: DataFrame, tiers: tuple[int, ...] = TIERS, step_windows: int =
 
     own = own.withColumn("bucket", F.pmod("key", F.lit(buckets)))
     earlier = own.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    earlier = earlier.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("earlier"))
+    earlier = with_earlier(earlier, ["length"], "bucket").drop("n")
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("key", "row.doc_id", "row.start"))
     ranked = own.withColumn("inside", inside).join(earlier, ["length", "bucket"]).withColumn("rank", F.col("earlier") + F.col("inside") - 1)
     ranked = ranked.join(F.broadcast(sizes), "length").withColumn("block", F.expr("rank div size"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_earlier
 
 KEY_BITS = 60
 
@@ -43,13 +43,8 @@ def interleave_shards(docs: DataFrame, n_shards: int = 8, seed: str = "mix-1", c
     own = own.withColumn("_range", F.shiftright(F.shiftright("_key", KEY_BITS - 24) * buckets, 24))
 
     by_range = own.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
-    running = Window.partitionBy("_source").orderBy("_range")
-    by_range = by_range.select(
-        "_source",
-        "_range",
-        (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(Window.partitionBy("_source")).alias("_of_source"),
-    )
+    of_source = by_range.groupBy("_source").agg(F.sum("_n").alias("_of_source"))
+    by_range = with_earlier(by_range, ["_source"], "_range", "_n", "_before").drop("_n").join(of_source, "_source")
     ties = ["_key", "doc_id", "text_crc32", "size"]
     inside = F.row_number().over(Window.partitionBy("_source", "_range").orderBy(*ties))
     ranked = own.withColumn("_inside", inside).join(by_range, ["_source", "_range"])
@@ -58,7 +53,7 @@ def interleave_shards(docs: DataFrame, n_shards: int = 8, seed: str = "mix-1", c
     ranked = materialize(ranked.withColumn("_cell", F.floor(F.col("_share") * buckets).cast("long")), "shard-ranks")
 
     by_cell = ranked.groupBy("_cell").agg(F.count("*").alias("_n"))
-    by_cell = by_cell.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_before"))
+    by_cell = with_earlier(by_cell.withColumn("_all", F.lit(0)), ["_all"], "_cell", "_n", "_before").drop("_n", "_all")
     at = F.row_number().over(Window.partitionBy("_cell").orderBy("_share", "_source", *ties))
     placed = ranked.withColumn("_at", at).join(by_cell, "_cell").withColumn("_position", F.col("_before") + F.col("_at") - 1)
     shard = F.expr(f"(_position * {n_shards}) div {max(total, 1)}")
