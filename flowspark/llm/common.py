@@ -63,6 +63,24 @@ def free_name(name: str, taken) -> str:
     return name
 
 
+def slices(batches, rows: int = 256):
+    """Record batches in slices of at most ``rows`` rows, so that what a task makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+_memory: dict = {}
+
+
+def worker_memory(kind: tuple, make):
+    """What the tasks of one worker process share, kept from task to task, one kind at a time."""
+    if kind not in _memory:
+        _memory.clear()
+        _memory[kind] = make()
+    return _memory[kind]
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast if a materialized table has at most ``max_rows`` rows; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

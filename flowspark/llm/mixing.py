@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices, worker_memory
 
 #: Domains of the labelled table: toxic whatever its quality, low quality, and clean.
 DOMAINS = ("clean", "low", "toxic")
@@ -26,7 +25,7 @@ CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 class Buckets(dict):
     """Buckets of the letter runs of a token, remembered for up to ``limit`` tokens."""
 
-    def __init__(self, limit: int = 150_000):
+    def __init__(self, limit: int = 50_000):
         super().__init__()
         self.limit = limit
 
@@ -37,10 +36,8 @@ class Buckets(dict):
         return found
 
 
-@functools.cache
 def token_buckets() -> Buckets:
-    """One memory of tokens for all tasks of a worker process."""
-    return Buckets()
+    return worker_memory(("buckets",), Buckets)
 
 
 def features(text: str | None) -> tuple[int, list[int], list[float]]:
@@ -60,7 +57,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
 
     def compute(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(x) for x in batch.column("text").to_pylist()]
             new = [pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *new], names=[*keep, "at", "shapes"])
@@ -125,7 +122,7 @@ def domain_posteriors(docs: DataFrame, model) -> DataFrame:
     schema = ", ".join([f"`{c}` {k}" for c, k in docs.dtypes] + ["tokens long", *[f"p_{d} double" for d in DOMAINS]])
 
     def score(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(x) for x in batch.column("text").to_pylist()]
             p = posteriors_of(found, shared.value) / 1000
             new = [pa.array([f[0] for f in found], pa.int64()), *[pa.array(p[:, i]) for i in range(len(DOMAINS))]]

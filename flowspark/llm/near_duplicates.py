@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, discard, materialize
+from .common import broadcast_if_small, discard, materialize, slices, worker_memory
 
 SHINGLE_WORDS = 5
 #: 50 bands of 5 rows: two sets of similarity 0.75 share no band with probability 1.4e-6.
@@ -41,7 +40,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordKeys(dict):
     """64-bit keys of words, remembered for up to ``limit`` words."""
 
-    def __init__(self, limit: int = 150_000):
+    def __init__(self, limit: int = 50_000):
         super().__init__()
         self.limit = limit
 
@@ -105,10 +104,8 @@ def sketch_similarity(odd_bits):
 MOST_ODD_BITS = int(np.flatnonzero(sketch_similarity(np.arange(SKETCH_BITS // 2)) >= SKETCH_FLOOR)[-1])
 
 
-@functools.cache
 def word_keys() -> WordKeys:
-    """One memory of words for all tasks of a worker process."""
-    return WordKeys()
+    return worker_memory(("words",), WordKeys)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -116,7 +113,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def sign(batches):
         words = word_keys()
-        for batch in batches:
+        for batch in slices(batches):
             n, keys, bands, sketches, parities = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = words.shingles(text)
@@ -146,7 +143,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def sets(batches):
         words = word_keys()
-        for batch in batches:
+        for batch in slices(batches):
             found = [words.shingles(x) for x in batch.column(1).to_pylist()]
             arrays = [batch.column(0), pa.array([set_key(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "set_key", "shingles"])

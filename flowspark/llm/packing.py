@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, with_earlier
+from .common import materialize, slices, with_earlier, worker_memory
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -25,7 +23,7 @@ class WordIds(dict):
 
     stops = frozenset(".,;:!?")
 
-    def __init__(self, tokenizer, limit: int = 200_000):
+    def __init__(self, tokenizer, limit: int = 100_000):
         super().__init__()
         self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
 
@@ -52,9 +50,11 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
-@functools.cache
 def word_ids(tokenizer_path: str) -> WordIds:
-    """One memory of words for all tasks of a worker process."""
+    return worker_memory(("ids", tokenizer_path), lambda: load_word_ids(tokenizer_path))
+
+
+def load_word_ids(tokenizer_path: str) -> WordIds:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,7 +63,7 @@ def word_ids(tokenizer_path: str) -> WordIds:
     return WordIds(Tokenizer.from_file(tokenizer_path))
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, window: int = TIERS[-1], batch_bytes: int = 16_000_000) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, window: int = TIERS[-1], batch_bytes: int = 4_000_000) -> DataFrame:
     """Token ids of every document, cut into pieces of at most ``window`` ids.
 
     Columns doc_id, start, length, ids (binary, little-endian uint32), doc_tokens. Each document's
@@ -80,7 +80,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, window: int = TIERS[-1], batc
             arrays = [doc_ids.take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary()), pa.array(total, pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        for batch in batches:
+        for batch in slices(batches, 1000):
             doc_ids, rows, held = batch.column(0), [], 0
             for i, text in enumerate(batch.column(1).to_pylist()):
                 data = ids.encode(text or "") + end

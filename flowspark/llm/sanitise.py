@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, broadcast_if_small, free_name, materialize
+from .common import arrow_schema, broadcast_if_small, free_name, materialize, slices
 
 KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
@@ -149,7 +149,7 @@ def entity_counts(docs: DataFrame) -> DataFrame:
     """
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(e, t, ",".join(sorted(marks))) for text in batch.column(0).to_pylist() for (e, t), marks in contexts_of(text).items()]
             if rows:
                 entity, term, mark = zip(*rows, strict=True)
@@ -163,7 +163,7 @@ def entity_counts(docs: DataFrame) -> DataFrame:
 class Listed(dict):
     """The listed term that a word stands for, or None; remembered for up to ``limit`` words."""
 
-    def __init__(self, terms, limit: int = 150_000):
+    def __init__(self, terms, limit: int = 50_000):
         super().__init__()
         self.terms, self.limit = terms, limit
 
@@ -189,7 +189,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, broadcast_terms: int = BROADC
 
     def count(batches):
         listed, totals = Listed(shared.value), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if text and shared.value:
                     totals.update({listed[w] for w in SPLIT.split(text)} - {None})
@@ -312,7 +312,7 @@ def sanitise(docs: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFra
 
     def clean(batches):
         everywhere = Listed(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts, rows = batch.column("text").to_pylist(), []
             of_text = batch.column(own).to_pylist() if by_text else [None] * len(texts)
             for text, some in zip(texts, of_text, strict=True):
