@@ -469,28 +469,37 @@ def repeated_stream(flat: np.ndarray, width: int, cache_bits: int = 7) -> np.nda
     """Bits of an entropy-coded image with back-references and a colour cache, from the cache's size on."""
     wide = flat.astype(np.int64)
     found = tokens_of((wide[:, 3] << 24 | wide[:, 0] << 16 | wide[:, 1] << 8 | wide[:, 2]).tolist(), width, cache_bits)
-    counts = [np.zeros(280 + (1 << cache_bits), np.int64), *[np.zeros(256, np.int64) for _ in range(3)], np.zeros(40, np.int64)]
-    symbols = []
+    coded, symbols, extras, sizes = [], [], [], []  # of each symbol: its code, itself, its extra bits and their number
     for t in found:
         if len(t) == 1:
             c = t[0]
-            each = [(0, c >> 8 & 255, 0, 0), (1, c >> 16 & 255, 0, 0), (2, c & 255, 0, 0), (3, c >> 24, 0, 0)]
+            coded += (0, 1, 2, 3)
+            symbols += (c >> 8 & 255, c >> 16 & 255, c & 255, c >> 24)
+            extras += (0, 0, 0, 0)
+            sizes += (0, 0, 0, 0)
         elif len(t) == 2:
-            each = [(0, 280 + t[0], 0, 0)]
+            coded.append(0)
+            symbols.append(280 + t[0])
+            extras.append(0)
+            sizes.append(0)
         else:
             (length, x, m), (distance, y, k) = amount_prefix(t[0]), amount_prefix(t[1])
-            each = [(0, 256 + length, x, m), (4, distance, y, k)]
-        for code, symbol, _, _ in each:
-            counts[code][symbol] += 1
-        symbols += each
+            coded += (0, 4)
+            symbols += (256 + length, distance)
+            extras += (x, y)
+            sizes += (m, k)
+    code, symbol = np.array(coded, np.int64), np.array(symbols, np.int64)
     out = BitsOut()
     for value, size in ((1, 1), (cache_bits, 4), (0, 1)):
         out.put(value, size)
-    words = [put_code(out, c) for c in counts]
-    for code, symbol, extra, size in symbols:
-        out.put(*words[code][symbol])
-        out.put(extra, size)
-    return out.bits()
+    words = np.zeros((5, 280 + (1 << cache_bits), 2), np.int64)
+    for i, alphabet in enumerate((280 + (1 << cache_bits), 256, 256, 256, 40)):
+        for s, word in put_code(out, np.bincount(symbol[code == i], minlength=alphabet)).items():
+            words[i, s] = word
+    value, size = words[code, symbol].T
+    value, size = value | np.array(extras, np.int64) << size, size + np.array(sizes, np.int64)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return np.concatenate([out.bits(), (np.repeat(value, size) >> at & 1).astype(np.uint8)])
 
 
 def uniform_stream(flat: np.ndarray, has: np.ndarray) -> np.ndarray:
@@ -556,9 +565,9 @@ def write_webp(pixels: np.ndarray) -> bytes:
     """A lossless WebP file of RGBA pixels: the shortest of the streams that are tried.
 
     Each image is tried as it is and predicted from the left or from above, after the cross-colour
-    transform where red or blue follow green; with a palette if it has few colours; and, where
-    half of its colours are repeats, with back-references and a colour cache, of the colours or of
-    the palette's indices.
+    transform where red or blue follow green; and, where three quarters of its colours are repeats,
+    with a palette if it has few colours, and with back-references and a colour cache, of the
+    palette's indices or else of the colours.
     """
     height, width, _ = pixels.shape
     flat = pixels.reshape(-1, 4)
@@ -571,16 +580,14 @@ def write_webp(pixels: np.ndarray) -> bytes:
         plain.append((sum((int(n) - 1).bit_length() for n in has.sum(1)), parts, made.reshape(-1, 4), has))
     _, parts, made, has = min(plain, key=lambda x: x[0])
     streams = [[*parts, pack_bits((0, 1)), uniform_stream(made, has)]]
-    distinct = len(np.unique(np.ascontiguousarray(flat).view("<u4")))
-    palette = indexed(flat, height, width) if 2 * distinct <= len(flat) else None
-    if palette:
-        has = np.zeros((4, 256), bool)
-        index = palette[1].reshape(-1, 4)
-        has[CHANNELS, index] = True
-        streams.append([*palette[0], pack_bits((0, 1)), uniform_stream(index, has)])
-        streams.append([*palette[0], pack_bits((0, 1)), repeated_stream(index, palette[1].shape[1])])
-    if 2 * distinct <= len(flat):
-        streams.append([pack_bits((0, 1)), repeated_stream(flat, width)])
+    if 4 * len(np.unique(np.ascontiguousarray(flat).view("<u4"))) <= len(flat):
+        palette = indexed(flat, height, width)
+        table, index = palette or ([], pixels)
+        streams.append([*table, pack_bits((0, 1)), repeated_stream(index.reshape(-1, 4), index.shape[1])])
+        if palette:
+            has = np.zeros((4, 256), bool)
+            has[CHANNELS, index.reshape(-1, 4)] = True
+            streams.append([*table, pack_bits((0, 1)), uniform_stream(index.reshape(-1, 4), has)])
     best = min((np.concatenate(x) for x in streams), key=len)
     data = np.packbits(np.concatenate([pack_bits((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)), best]), bitorder="little").tobytes()
     padded = data + b"\0" * (len(data) & 1)
