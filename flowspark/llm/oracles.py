@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, url_filter
+from . import centroids, quality, url_filter
 from .common import UPPER
 
 WORD = "'[^\\x20\\x09-\\x0D]+'"
@@ -76,5 +76,23 @@ p AS (SELECT *, row_number() OVER (ORDER BY share, source, {ties}) - 1 AS pos, c
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(pos * {n_shards} // total AS INTEGER) AS shard, pos - ((pos * {n_shards} // total) * total + {n_shards - 1}) // {n_shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p"""
 
 
+def centroid_sql(dimensions: int = centroids.DIMENSIONS, k: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS, seed: int = 3, scale: int = centroids.SCALE) -> str:
+    """Every round as two tables: vectors with their nearest centroid, then the centroids' exact floored means."""
+    distance = f"list_sum(list_transform(range(1, {dimensions + 1}), lambda i: CAST((v[i] - c[i]) * (v[i] - c[i]) AS BIGINT)))"
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT row_id, vec_id, v, min(struct_pack(d := CAST({distance} AS BIGINT), cluster := cluster)) AS best FROM kept CROSS JOIN c{n} GROUP BY 1, 2, 3)")
+        mean = "CAST((s - (((s % n) + n) % n)) // n AS BIGINT)"
+        if n < rounds:
+            steps.append(f"m{n} AS (SELECT cluster, list({mean} ORDER BY i) AS c FROM (SELECT best.cluster AS cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{n}, (SELECT unnest(range(1, {dimensions + 1})) AS i) GROUP BY 1, 2) GROUP BY 1)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (cluster))")
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS cluster, v AS c FROM kept QUALIFY cluster < {k}),
+{", ".join(steps)}
+SELECT vec_id, CAST(best.cluster AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.cluster = best.cluster"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_distribution_divergence": quality_sql(), "op8_url_filter": url_sql(), "op9_interleaved_shards": shard_sql()}
+    return {"op11_centroid_clustering": centroid_sql(), "op2_distribution_divergence": quality_sql(), "op8_url_filter": url_sql(), "op9_interleaved_shards": shard_sql()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import op11_centroid_clustering
 from .language_id import op7_language_mixture
 from .licenses import op1_license_scan
 from .mixing import op6_soft_mixing
@@ -29,4 +30,5 @@ def queries() -> dict:
         "op8_url_filter": op8_url_filter,
         "op9_interleaved_shards": op9_interleaved_shards,
         "op10_lossless_webp": op10_lossless_webp,
+        "op11_centroid_clustering": op11_centroid_clustering,
     }
