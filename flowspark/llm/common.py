@@ -81,6 +81,28 @@ def worker_memory(kind: tuple, make):
     return _memory[kind]
 
 
+class AgingMemory:
+    """Remembers values by key: the last ``limit`` used at least, twice as many at most.
+
+    What was used since the last turn is young; when ``limit`` keys are young, the others are
+    forgotten. So a vocabulary larger than the memory loses rare keys only.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def find(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast if a materialized table has at most ``max_rows`` rows; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_tokenizer_alignment
 from .centroids import op11_centroid_clustering
 from .language_id import op7_language_mixture
 from .licenses import op1_license_scan
@@ -31,4 +32,5 @@ def queries() -> dict:
         "op9_interleaved_shards": op9_interleaved_shards,
         "op10_lossless_webp": op10_lossless_webp,
         "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_tokenizer_alignment": op12_tokenizer_alignment,
     }
