@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AgingMemory, discard, materialize, slices, worker_memory
+from .common import AgingMemory, discard, materialize, narrow, slices, widen, worker_memory
 
 #: A link's key is A id * 2^32 + B id.
 B_BITS = 32
 #: Parts of a text that both tokenizers cut apart: a blank after a character that is no white space begins the next one.
 PART = re.compile(r" (?:[^ ]+|(?<=\s) )*")
-REMEMBERED, LONGEST_REMEMBERED, ENCODED_AT_ONCE = 250_000, 100, 4_000
+REMEMBERED, LONGEST_REMEMBERED, ENCODED_AT_ONCE = 150_000, 100, 4_000
 
 
 def byte_level() -> dict[str, int]:
@@ -187,7 +187,7 @@ def tokenizer_pair(path_a: str, path_b: str) -> TokenizerPair:
     return worker_memory(("pair", path_a, path_b), lambda: TokenizerPair(path_a, path_b))
 
 
-def align_tokens(docs: DataFrame, path_a: str, path_b: str, run_chars: int = 2_000_000) -> DataFrame:
+def align_tokens(docs: DataFrame, path_a: str, path_b: str, run_chars: int = 1_500_000) -> DataFrame:
     """doc_id and the groups of every text, as ``a1,a2|b1;a3|b2,b3``: ids of A and B between cuts where tokens of both end.
 
     Texts that are null, empty, or whose joined token bytes differ from a blank and the text, have
@@ -206,7 +206,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, run_chars: int = 2_0
 def counted_runs(docs: DataFrame, path_a: str, path_b: str, run_chars: int) -> DataFrame:
     """One row per run of documents: their digests, the parts of each, and each part's links by place in the run's different keys."""
     kind = dict(docs.dtypes)["doc_id"]
-    columns = {"run": "string", "ids": f"array<{kind}>", "totals": "binary", "digests": "array<string>", "parts": "binary", "part_links": "binary", "links": "binary", "keys": "array<bigint>", "counts": "array<bigint>"}
+    columns = {"run": "string", "ids": f"array<{kind}>", "totals": "binary", "digests": "array<string>", "parts": "binary", "part_links": "binary", "links": "binary", "n_parts": "int", "keys": "array<bigint>", "counts": "array<bigint>"}
 
     def count(batches):
         pair = tokenizer_pair(path_a, path_b)
@@ -225,16 +225,16 @@ def counted_runs(docs: DataFrame, path_a: str, path_b: str, run_chars: int) -> D
             counts = np.bincount(place, np.repeat(used, n_links).astype(np.float64), len(keys)).astype(np.int64)
             digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
             row = {
-                "run": uuid.uuid4().hex, "ids": [i.as_py() for i in ids], "totals": totals.tobytes(), "digests": digests, "parts": every.astype("<i4").tobytes(),
-                "part_links": n_links.astype("<i4").tobytes(), "links": place.astype("<i4").tobytes(), "keys": keys, "counts": counts,
+                "run": uuid.uuid4().hex, "ids": [i.as_py() for i in ids], "totals": totals.tobytes(), "digests": digests, "parts": narrow(every),
+                "part_links": narrow(n_links), "links": narrow(place), "n_parts": len(n_links), "keys": keys, "counts": counts,
             }
-            types = {"ids": pa.list_(ids[0].type), "totals": pa.binary(), "digests": pa.list_(pa.string()), "parts": pa.binary(), "part_links": pa.binary(), "links": pa.binary(), "keys": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
+            types = {"ids": pa.list_(ids[0].type), "totals": pa.binary(), "digests": pa.list_(pa.string()), "parts": pa.binary(), "part_links": pa.binary(), "links": pa.binary(), "n_parts": pa.int32(), "keys": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays([pa.array([row[c]], types.get(c, pa.string())) for c in columns], names=list(columns))
 
     return docs.select("doc_id", "text").mapInArrow(count, ", ".join(f"{c} {t}" for c, t in columns.items()))
 
 
-def alignment_report(docs: DataFrame, path_a: str, path_b: str, run_chars: int = 6_000_000) -> DataFrame:
+def alignment_report(docs: DataFrame, path_a: str, path_b: str, run_chars: int = 1_500_000) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256.
 
     A pair of ids counts as often as a link of any document holds it. Each run of documents names
@@ -258,7 +258,9 @@ def alignment_report(docs: DataFrame, path_a: str, path_b: str, run_chars: int =
         for batch in slices(batches, 1):
             run = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             totals = np.frombuffer(run["totals"][0].as_py(), np.int64).reshape(-1, 5)
-            parts, part_links, links = (np.frombuffer(run[c][0].as_py(), "<i4") for c in ("parts", "part_links", "links"))
+            parts = widen(run["parts"][0].as_py(), int(totals[:, 4].sum()))
+            part_links = widen(run["part_links"][0].as_py(), run["n_parts"][0].as_py())
+            links = widen(run["links"][0].as_py(), int(part_links.sum()))
             found = run["found"].flatten()
             size = int(links.max(initial=-1)) + 1
             count, best = np.zeros(size, np.int64), np.zeros(size, np.int64)

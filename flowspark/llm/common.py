@@ -6,6 +6,7 @@ import functools
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,6 +82,16 @@ def worker_memory(kind: tuple, make):
     return _memory[kind]
 
 
+def narrow(numbers) -> bytes:
+    """Non-negative integers as bytes, two or four for each."""
+    return numbers.astype("<u2" if numbers.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def widen(data: bytes, size: int) -> np.ndarray:
+    """The ``size`` integers that ``narrow`` wrote."""
+    return np.frombuffer(data, "<u2" if len(data) == 2 * size else "<u4").astype(np.int64)
+
+
 class AgingMemory:
     """Remembers values by key: the last ``limit`` used at least, twice as many at most.
 
