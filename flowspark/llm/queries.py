@@ -5,6 +5,7 @@ from __future__ import annotations
 from .alignment import op12_tokenizer_alignment
 from .centroids import op11_centroid_clustering
 from .language_id import op7_language_mixture
+from .language_model import op13_log_bilinear_scores
 from .licenses import op1_license_scan
 from .mixing import op6_soft_mixing
 from .near_duplicates import op4_near_duplicates
@@ -33,4 +34,5 @@ def queries() -> dict:
         "op10_lossless_webp": op10_lossless_webp,
         "op11_centroid_clustering": op11_centroid_clustering,
         "op12_tokenizer_alignment": op12_tokenizer_alignment,
+        "op13_log_bilinear_scores": op13_log_bilinear_scores,
     }
