@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AgingMemory, discard, materialize, narrow, slices, widen, worker_memory
+from .common import AgingMemory, discard, materialize, narrow, run_numbers, slices, widen, worker_memory
 
 #: A link's key is A id * 2^32 + B id.
 B_BITS = 32
@@ -206,10 +205,10 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, run_chars: int = 1_5
 def counted_runs(docs: DataFrame, path_a: str, path_b: str, run_chars: int) -> DataFrame:
     """One row per run of documents: their digests, the parts of each, and each part's links by place in the run's different keys."""
     kind = dict(docs.dtypes)["doc_id"]
-    columns = {"run": "string", "ids": f"array<{kind}>", "totals": "binary", "digests": "array<string>", "parts": "binary", "part_links": "binary", "links": "binary", "n_parts": "int", "keys": "array<bigint>", "counts": "array<bigint>"}
+    columns = {"run": "bigint", "ids": f"array<{kind}>", "totals": "binary", "digests": "array<string>", "parts": "binary", "part_links": "binary", "links": "binary", "n_parts": "int", "keys": "array<bigint>", "counts": "array<bigint>"}
 
     def count(batches):
-        pair = tokenizer_pair(path_a, path_b)
+        pair, number = tokenizer_pair(path_a, path_b), run_numbers()
         for ids, numbers, records in runs(batches, pair, run_chars):
             texts = [groups_text(n, records) for n in numbers]
             numbers = [n if t else n[:0] for n, t in zip(numbers, texts, strict=True)]
@@ -225,11 +224,11 @@ def counted_runs(docs: DataFrame, path_a: str, path_b: str, run_chars: int) -> D
             counts = np.bincount(place, np.repeat(used, n_links).astype(np.float64), len(keys)).astype(np.int64)
             digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
             row = {
-                "run": uuid.uuid4().hex, "ids": [i.as_py() for i in ids], "totals": totals.tobytes(), "digests": digests, "parts": narrow(every),
+                "run": next(number), "ids": [i.as_py() for i in ids], "totals": totals.tobytes(), "digests": digests, "parts": narrow(every),
                 "part_links": narrow(n_links), "links": narrow(place), "n_parts": len(n_links), "keys": keys, "counts": counts,
             }
-            types = {"ids": pa.list_(ids[0].type), "totals": pa.binary(), "digests": pa.list_(pa.string()), "parts": pa.binary(), "part_links": pa.binary(), "links": pa.binary(), "n_parts": pa.int32(), "keys": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([pa.array([row[c]], types.get(c, pa.string())) for c in columns], names=list(columns))
+            types = {"run": pa.int64(), "ids": pa.list_(ids[0].type), "totals": pa.binary(), "digests": pa.list_(pa.string()), "parts": pa.binary(), "part_links": pa.binary(), "links": pa.binary(), "n_parts": pa.int32(), "keys": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([pa.array([row[c]], types[c]) for c in columns], names=list(columns))
 
     return docs.select("doc_id", "text").mapInArrow(count, ", ".join(f"{c} {t}" for c, t in columns.items()))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import tempfile
 import uuid
 
@@ -82,6 +83,13 @@ def worker_memory(kind: tuple, make):
     return _memory[kind]
 
 
+def run_numbers():
+    """Numbers for what this task makes, different from those of all other tasks of the stage and the same when it is done again."""
+    from pyspark import TaskContext
+
+    return itertools.count(TaskContext.get().partitionId() << 32)
+
+
 def narrow(numbers) -> bytes:
     """Non-negative integers as bytes, two or four for each."""
     return numbers.astype("<u2" if numbers.max(initial=0) < 1 << 16 else "<u4").tobytes()
