@@ -1,334 +1,43 @@
-"""Headers of raw packets as column expressions: addresses, ports, path, payload and hints."""
+"""Headers and hints of raw packets: addresses, ports, path, payload, service names and versions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .streams import http_service, text_hint
-
-# EtherTypes, PPP and IP protocol numbers, limits, names of layers and of PPPoE discovery codes.
-VLAN_TYPES = (0x8100, 0x88A8, 0x9100)
-MPLS_TYPES = (0x8847, 0x8848)
-PBB, MACSEC, PPPOE_DISCOVERY, PPPOE_SESSION = 0x88E7, 0x88E5, 0x8863, 0x8864
-IPV4, IPV6, ARP, ETHERNET = 0x0800, 0x86DD, 0x0806, 0x6558
-MIN_ETHERTYPE = 0x0600
-MAX_TAGS, MAX_LABELS, MAX_EXTENSIONS, MAX_TUNNELS = 4, 16, 8, 3
-EXTENSIONS = (0, 43, 60, 44)
-AH, ESP = 51, 50
-LAYERS = {6: "TCP", 17: "UDP", 132: "SCTP"}
-KNOWN = (1, 2, 6, 17, 50, 58, 132)
-DISCOVERY = {0x09: "PADI", 0x07: "PADO", 0x19: "PADR", 0x65: "PADS", 0xA7: "PADT"}
-PPP_CONTROL = {0xC021: "LCP", 0x8021: "IPCP", 0x8057: "IPv6CP"}
-
-
-def number(at: Column, size: int) -> Column:
-    """Big-endian unsigned number at a byte offset; null beyond the captured bytes."""
-    inside = at + size <= F.octet_length("bytes")
-    return F.when(inside, F.conv(F.hex(F.substring(F.col("bytes"), (at + 1).cast("int"), F.lit(size))), 16, 10).cast("long"))
-
-
-def slice_of(at: Column, size: int) -> Column:
-    inside = at + size <= F.octet_length("bytes")
-    return F.when(inside, F.substring(F.col("bytes"), (at + 1).cast("int"), F.lit(size)))
-
-
-def walk(start: Column, times: int, more, step) -> Column:
-    """``step`` applied to a struct as long as ``more`` holds, ``times`` times at most."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(times)), start, lambda s, _: F.when(F.coalesce(more(s), F.lit(False)), step(s)).otherwise(s))
-
-
-def place(kind: Column, at: Column, path: Column) -> Column:
-    return F.struct(kind.cast("long").alias("type"), at.cast("long").alias("at"), path.alias("path"))
-
-
-def link_layer(raw: DataFrame) -> DataFrame:
-    """_type, _at and _path after the link header, VLAN tags, LLC/SNAP, PBB, PPPoE and MPLS labels with what they carry; _why says what stopped it."""
-    link = F.col("data_link_type")
-    kind = F.when(link == 1, number(F.lit(12), 2)).when(link == 113, number(F.lit(14), 2)).when(link == 276, number(F.lit(0), 2))
-    name = F.when((link == 1) & (kind < MIN_ETHERTYPE), "IEEE 802.3").when(link == 1, "EthernetII").when(link == 113, "LinuxSll").otherwise("LinuxSll2")
-    found = raw.withColumn("_s", place(kind, F.when(link == 1, 14).when(link == 113, 16).otherwise(20), F.array(name)))
-    tag = lambda s: place(number(s["at"] + 2, 2), s["at"] + 4, F.concat(s["path"], F.array(F.concat(F.lit("VLAN(vid="), number(s["at"], 2).bitwiseAND(0xFFF).cast("string"), F.lit(")")))))
-    found = found.withColumn("_s", walk(F.col("_s"), MAX_TAGS, lambda s: s["type"].isin(*VLAN_TYPES), tag))
-
-    at, kind, path = F.col("_s.at"), F.col("_s.type"), F.col("_s.path")
-    frame = (link == 1) & (kind < MIN_ETHERTYPE)
-    snap = number(at, 3) == 0xAAAA03
-    why = (
-        F.when(kind.isNull(), "Link-layer header truncated")
-        .when(frame & number(at, 3).isNull(), "LLC header truncated")
-        .when(frame & ~snap, "Non-SNAP LLC frame")
-        .when(frame & number(at + 6, 2).isNull(), "SNAP header truncated")
-        .when(frame & ~number(at + 6, 2).isin(IPV4, IPV6, ARP), "Unknown SNAP PID")
-        .when((kind == PBB) & number(at, 4).isNull(), "PBB I-TAG truncated")
-        .when((kind == PBB) & number(at + 16, 2).isNull(), "Inner Ethernet header truncated")
-        .when((kind == PBB) & ~number(at + 16, 2).isin(IPV4, IPV6, ARP), "Unknown PBB inner EtherType")
-    )
-    tagged, length = number(at, 1), F.octet_length("bytes")
-    secure = at + 6 + F.when(tagged.bitwiseAND(0x20) != 0, 8).otherwise(0)
-    why = why.when(kind == MACSEC, F.when(number(at, 2).isNull(), "MACsec SecTAG truncated").when(number(at + 2, 4).isNull(), "MACsec packet number truncated").when(secure > length, "MACsec SCI truncated").when(secure + 16 > length, "MACsec ICV truncated").otherwise("MACsec protected payload not decrypted"))
-    code = number(at + 1, 1)
-    discovery = F.lit("PPPoE Discovery packet")
-    for value, name in DISCOVERY.items():
-        discovery = F.when(code == value, F.lit(f"PPPoE Discovery {name}")).otherwise(discovery)
-    why = why.when(kind == PPPOE_DISCOVERY, F.when(number(at, 6).isNull(), "PPPoE Discovery header truncated").otherwise(discovery))
-    ppp = number(at + 6, 2)
-    control = F.lit("Unknown PPP protocol")
-    for value, name in PPP_CONTROL.items():
-        control = F.when(ppp == value, F.lit(f"PPP {name} control packet")).otherwise(control)
-    session = F.when(number(at, 6).isNull(), "PPPoE Session header truncated").when((number(at, 1) != 0x11) | (code != 0), "Unsupported or malformed packet").when(ppp.isNull(), "PPP protocol field truncated").when(~ppp.isin(0x21, 0x57), control)
-    why = why.when(kind == PPPOE_SESSION, session)
-    inner = (
-        F.when(frame & snap, place(number(at + 6, 2), at + 8, F.concat(path, F.array(F.lit("LLC/SNAP")))))
-        .when(kind == PBB, place(number(at + 16, 2), at + 18, F.concat(path, F.array(F.concat(F.lit("PBB(isid=0x"), hexed(number(at + 1, 3), 6), F.lit(")")), F.lit("EthernetII")))))
-        .when((kind == PPPOE_SESSION) & (number(at, 2) == 0x1100), place(F.when(ppp == 0x21, IPV4).when(ppp == 0x57, IPV6), at + 8, F.concat(path, F.array(F.lit("PPPoE"), F.lit("PPP")))))
-        .otherwise(F.col("_s"))
-    )
-    found = found.withColumns({"_why": why, "_s": inner})
-
-    entry = lambda s: number(s["at"], 4)
-    label = lambda s: place(F.when(entry(s).bitwiseAND(0x100) == 0, s["type"]).otherwise(F.lit(0)), s["at"] + 4, F.concat(s["path"], F.array(F.concat(F.lit("MPLS(label="), F.shiftright(entry(s), 12).cast("string"), F.lit(")")))))
-    found = found.withColumn("_mpls", F.col("_s.type").isin(*MPLS_TYPES)).withColumn("_s", walk(F.col("_s"), MAX_LABELS, lambda s: s["type"].isin(*MPLS_TYPES) & entry(s).isNotNull(), label))
-    at, kind, path, mpls = F.col("_s.at"), F.col("_s.type"), F.col("_s.path"), F.coalesce(F.col("_mpls"), F.lit(False))
-    version = F.shiftright(number(at, 1), 4)
-    controlled = number(at, 2) == 0
-    start = at + F.when(controlled, 4).otherwise(0)
-    wired = mpls & (kind == 0) & ~version.isin(4, 6)
-    why = (
-        F.when(mpls & kind.isin(*MPLS_TYPES), F.when(entry(F.col("_s")).isNull(), "MPLS label header truncated").otherwise("MPLS bottom-of-stack not found"))
-        .when(mpls & (number(at, 1).isNull()), "Missing MPLS inner payload")
-        .when(wired & controlled & number(at, 4).isNull(), "MPLS pseudowire control word truncated")
-        .when(wired & number(start + 12, 2).isNull(), "Inner Ethernet header truncated")
-        .when(wired & ~number(start + 12, 2).isin(IPV4, IPV6, ARP), "Unknown MPLS pseudowire inner EtherType")
-    )
-    carried = (
-        F.when(mpls & (kind == 0) & (version == 4), place(F.lit(IPV4), at, path))
-        .when(mpls & (kind == 0) & (version == 6), place(F.lit(IPV6), at, path))
-        .when(wired, place(number(start + 12, 2), start + 14, F.concat(path, F.array(F.lit("MPLS PW"), F.lit("EthernetII")))))
-        .otherwise(F.col("_s"))
-    )
-    found = found.withColumns({"_why": F.coalesce("_why", why), "_s": carried})
-    return found.withColumns({"_type": F.col("_s.type"), "_at": F.col("_s.at"), "_path": F.col("_s.path")}).drop("_s", "_mpls")
-
-
-def network_layer(found: DataFrame, inner: bool = False) -> DataFrame:
-    """Addresses, protocol, fragment mark, start of the transport header and declared end of the packet, past IPv6 extension headers and AH.
-
-    With ``inner`` only rows marked _tunnel are read again, and what they held before is replaced.
-    """
-    at, chosen = F.col("_at"), F.col("_tunnel") if inner else F.lit(True)
-    v4 = (F.col("_type") == IPV4) & (F.shiftright(number(at, 1), 4) == 4) & (number(at, 1).bitwiseAND(15) >= 5)
-    v6 = (F.col("_type") == IPV6) & (F.shiftright(number(at, 1), 4) == 6)
-    arp = (F.col("_type") == ARP) & (number(at + 2, 2) == IPV4)
-    declared = number(at + 2, 2)
-    first = F.when(v4, at + number(at, 1).bitwiseAND(15) * 4).when(v6, at + 40).otherwise(at)
-    protocol = F.when(v4, number(at + 9, 1)).when(v6, number(at + 6, 1)).when(arp, 253)
-    parts = F.coalesce(v4 & (number(at + 6, 2).bitwiseAND(0x3FFF) != 0), F.lit(False))
-    nothing = F.array().cast("array<string>")
-    header = lambda protocol, at, parts, seen: F.struct(protocol.cast("long").alias("protocol"), at.cast("long").alias("at"), parts.alias("parts"), seen.alias("seen"))
-
-    def step(s: Column) -> Column:
-        fragment, secured = s["protocol"] == 44, s["protocol"] == AH
-        offset = number(s["at"] + 2, 2)
-        size = F.when(fragment, 8).when(secured, (number(s["at"] + 1, 1) + 2) * 4).otherwise((number(s["at"] + 1, 1) + 1) * 8)
-        layer = F.when(secured, F.array(F.concat(F.lit("AH(spi=0x"), hexed(number(s["at"] + 4, 4)), F.lit(")")))).otherwise(nothing)
-        return header(number(s["at"], 1), s["at"] + size, s["parts"] | F.coalesce(fragment & (offset.bitwiseAND(0xFFF9) != 0), F.lit(False)), F.concat(s["seen"], layer))
-
-    more = lambda s: ~s["parts"] & ((v6 & s["protocol"].isin(*EXTENSIONS)) | ((v4 | v6) & (s["protocol"] == AH) & ((number(s["at"] + 1, 1) + 2) * 4 >= 12)))
-    columns = {
-        "_kind": F.when(v4, "IPv4").when(v6, "IPv6").when(arp, "ARP"),
-        "src_addr": F.when(v4, slice_of(at + 12, 4)).when(v6, slice_of(at + 8, 16)).when(arp, slice_of(at + 14, 4)),
-        "dst_addr": F.when(v4, slice_of(at + 16, 4)).when(v6, slice_of(at + 24, 16)).when(arp, slice_of(at + 24, 4)),
-        "_end": F.when(v4, F.when(declared == 0, F.octet_length("bytes")).otherwise(at + declared)).when(v6, at + 40 + number(at + 4, 2)),
-        "_h": walk(header(protocol, first, parts, nothing), MAX_EXTENSIONS, more, step),
-    }
-    found = found.withColumns({c: F.when(chosen, v).otherwise(F.col(c)) if inner else v for c, v in columns.items()})
-    return found.withColumns({"protocol": F.col("_h.protocol").cast("int"), "is_ip_fragmented": F.col("_h.parts"), "_at": F.when(chosen, F.col("_h.at")).otherwise(F.col("_at")), "_seen": F.col("_h.seen")})
-
-
-def hexed(value: Column, digits: int = 8) -> Column:
-    return F.lower(F.lpad(F.hex(value), digits, "0"))
-
-
-def tunnel_layer(found: DataFrame) -> DataFrame:
-    """Marks VXLAN, Geneve, GTP-U, GRE and IP in IP as _tunnel and moves _type, _at and _path to what they carry."""
-    at, protocol, whole = F.col("_at"), F.col("protocol"), ~F.col("is_ip_fragmented")
-    # UDP inside an overlay ends there; GRE and IP in IP may nest.
-    port = F.when((protocol == 17) & whole & ~F.exists("_path", lambda x: x.rlike("^(VXLAN|Geneve|GTP-U)")), number(at + 2, 2))
-    body = at + 8
-    first = number(body, 1)
-    gre_flags = F.when((protocol == 47) & whole, number(at, 2))
-    plain_gre = gre_flags.bitwiseAND(7) == 0
-    has = lambda bit: F.when(gre_flags.bitwiseAND(bit) != 0, 4).otherwise(0)
-    found = found.withColumn(
-        "_by",
-        F.when((port == 4789) & (first.bitwiseAND(8) != 0), "VXLAN")
-        .when((port == 6081) & (F.shiftright(first, 6) == 0), "Geneve")
-        .when((port == 2152) & (F.shiftright(first, 5) == 1) & (number(body + 1, 1) == 255) & (first.bitwiseAND(4) == 0), "GTP-U")
-        .when(plain_gre, "GRE")
-        .when(protocol.isin(4, 41) & whole, "IP"),
-    )
-    by = F.col("_by")
-    start = (
-        F.when(by == "VXLAN", body + 8)
-        .when(by == "Geneve", body + 8 + first.bitwiseAND(0x3F) * 4)
-        .when(by == "GTP-U", body + 8 + F.when(first.bitwiseAND(3) != 0, 4).otherwise(0))
-        .when(by == "GRE", at + 4 + has(0x8000) + has(0x2000) + has(0x1000))
-        .otherwise(at)
-    )
-    kind = F.when(by == "VXLAN", ETHERNET).when(by == "Geneve", number(body + 2, 2)).when(by == "GRE", number(at + 2, 2)).when(protocol == 4, IPV4).when(protocol == 41, IPV6)
-    key = F.when(gre_flags.bitwiseAND(0x2000) != 0, F.concat(F.lit("GRE(key=0x"), hexed(number(at + 4 + has(0x8000), 4)), F.lit(")"))).otherwise("GRE")
-    name = (
-        F.when(by.isin("VXLAN", "Geneve"), F.concat(by, F.lit("(vni="), number(body + 4, 3).cast("string"), F.lit(")")))
-        .when(by == "GTP-U", F.concat(F.lit("GTP-U(teid=0x"), hexed(number(body + 4, 4)), F.lit(")")))
-        .when(by == "GRE", key)
-    )
-    outer = F.concat(F.array("_kind"), "_seen", F.array_compact(F.array(F.when(protocol == 17, "UDP"), name)))
-    found = found.withColumns({"_tunnel": by.isNotNull(), "_start": start, "_carries": kind, "_outer": outer})
-    frame = F.col("_carries") == ETHERNET
-    version = F.shiftright(number(F.col("_start"), 1), 4)
-    carried = F.when(frame, number(F.col("_start") + 12, 2)).when(by == "GTP-U", F.when(version == 4, IPV4).when(version == 6, IPV6)).otherwise(F.col("_carries"))
-    path = F.concat("_path", "_outer", F.when(frame, F.array(F.lit("EthernetII"))).otherwise(F.array().cast("array<string>")))
-    moved = {"_type": carried, "_at": F.col("_start") + F.when(frame, 14).otherwise(0), "_path": path}
-    return found.withColumns({c: F.when(F.col("_tunnel"), v).otherwise(F.col(c)) for c, v in moved.items()}).drop("_by", "_start", "_carries", "_outer")
+from . import layers
 
 
 def dissect(raw: DataFrame) -> DataFrame:
     """Packet rows of ``read_captures`` with addresses, ports, path, flags, payload, hint, service and reason.
 
     reason is null for packets that belong to a flow and says what was missing for the others.
-    Up to ``MAX_TUNNELS`` tunnels are followed, and the addresses inside the last count. ICMP, IGMP
-    and ARP add no layer, nor does the transport of a fragment; an IGMP group is the destination.
-    """
-    found = network_layer(link_layer(raw.where("bytes is not null")))
-    for _ in range(MAX_TUNNELS):
-        found = network_layer(tunnel_layer(found), inner=True)
-    at, protocol = F.col("_at"), F.col("protocol")
-    ported = protocol.isin(6, 17, 132) & ~F.col("is_ip_fragmented")
-    header = F.when(protocol == 6, F.shiftright(number(at + 12, 1), 4) * 4).when(protocol == 17, 8).when(protocol == 132, 12)
-    found = found.withColumns(
-        {
-            "src_port": F.when(ported, number(at, 2)).otherwise(0).cast("int"),
-            "dst_port": F.when(ported, number(at + 2, 2)).otherwise(0).cast("int"),
-            "sequence": F.when(ported & (protocol == 6), number(at + 4, 4)),
-            "acknowledgement": F.when(ported & (protocol == 6), number(at + 8, 4)),
-            "tcp_flags": F.when(ported & (protocol == 6), number(at + 13, 1)).otherwise(0).cast("int"),
-            "_payload": F.when(ported, at + header),
-        }
-    )
-    stop = F.least(F.col("_end"), F.octet_length("bytes"))
-    layer = F.lit(None).cast("string")
-    for code, name in LAYERS.items():
-        layer = F.when(protocol == code, F.lit(name)).otherwise(layer)
-    layer = F.when(~F.col("is_ip_fragmented"), layer)
-    secured = F.when(protocol == ESP, F.concat(F.lit("ESP(spi=0x"), hexed(number(at, 4)), F.lit(")")))
-    network = F.when(F.col("_kind") == "ARP", F.array().cast("array<string>")).otherwise(F.concat(F.array("_kind"), "_seen", F.array_compact(F.array(layer, secured))))
-    group = F.when((protocol == 2) & ~F.col("is_ip_fragmented") & (number(at, 1) != 0x22) & (number(at + 4, 4) != 0), slice_of(at + 4, 4))
-    found = found.withColumn("dst_addr", F.coalesce(group, "dst_addr"))
-    short = ported & ((header.isNull()) | (at + header > F.octet_length("bytes")) | ((protocol == 6) & (header < 20)))
-    reason = (
-        F.when(F.col("_why").isNotNull(), F.col("_why"))
-        .when((F.col("_type") == ARP) & (F.col("_kind").isNull() | F.col("src_addr").isNull() | F.col("dst_addr").isNull()), "ARP header truncated")
-        .when(~F.col("_type").isin(IPV4, IPV6, ARP), "Unsupported or malformed packet")
-        .when(F.col("_kind").isNull() | F.col("src_addr").isNull() | F.col("dst_addr").isNull(), "Could not extract flow key")
-        .when((protocol == 2) & ~F.col("is_ip_fragmented") & number(at, 1).isNull(), "Missing IGMP payload")
-        .when((protocol == 2) & ~F.col("is_ip_fragmented") & number(at, 8).isNull(), "IGMP header truncated")
-        .when((F.col("_kind") != "ARP") & ~F.coalesce(protocol.isin(*KNOWN), F.lit(False)), "Unsupported or malformed packet")
-        .when((protocol == 17) & short, "UDP header truncated")
-        .when(short | ((protocol == ESP) & ~F.col("is_ip_fragmented") & number(at, 4).isNull()), "Could not extract flow key")
-    )
-    found = found.withColumns(
-        {
-            "family": F.when(F.col("_kind") == "IPv6", "IPv6").otherwise("IPv4"),
-            "path": F.concat("_path", network),
-            "payload_length": F.greatest(F.coalesce(stop - F.col("_payload"), F.lit(0)), F.lit(0)).cast("long"),
-            # Not deterministic to the optimizer: else a filter on reason would be moved below all layers and each header read again at every use.
-            "reason": F.when(F.monotonically_increasing_id() >= 0, reason),
-        }
-    )
-    payload = F.when(F.col("payload_length") > 0, F.substring(F.col("bytes"), (F.col("_payload") + 1).cast("int"), F.col("payload_length").cast("int")))
-    found = found.withColumn("payload", F.coalesce(payload, F.lit(b""))).drop("_type", "_at", "_path", "_kind", "_end", "_payload", "_tunnel", "_h", "_seen", "_why")
-    return with_hints(found)
-
-
-def inside(data: Column, at: Column | int, size: int) -> Column:
-    """Big-endian unsigned number in ``data``; null beyond its end."""
-    at = F.lit(at) if isinstance(at, int) else at
-    return F.when(at + size <= F.octet_length(data), F.conv(F.hex(F.substring(data, (at + 1).cast("int"), F.lit(size))), 16, 10).cast("long"))
-
-
-def question_name(payload: Column, start: int, labels: int = 128) -> Column:
-    """The first question's name in a DNS message; null if it is cut or compressed."""
-    state = lambda at, name, end: F.struct(at.cast("long").alias("at"), name.cast("string").alias("name"), end.alias("end"))
-
-    def step(s: Column) -> Column:
-        size = inside(payload, s["at"], 1)
-        text = F.decode(F.substring(payload, (s["at"] + 2).cast("int"), size.cast("int")), "ISO-8859-1")
-        more = state(s["at"] + 1 + size, F.concat(s["name"], F.when(s["name"] == "", "").otherwise("."), text), F.lit(False))
-        return F.when(size == 0, state(s["at"], s["name"], F.lit(True))).when((size < 64) & (s["at"] + 1 + size <= F.octet_length(payload)), more).otherwise(state(s["at"], F.lit(None), F.lit(True)))
-
-    found = walk(state(F.lit(start), F.lit(""), F.lit(False)), labels, lambda s: ~s["end"], step)
-    return F.when(found["end"], F.nullif(found["name"], F.lit("")))
-
-
-def server_name(payload: Column, extensions: int = 64) -> Column:
-    """The server name of a TLS ClientHello that one record begins with; null without one."""
-    state = lambda at, name: F.struct(at.cast("long").alias("at"), name.cast("string").alias("name"))
-    session = F.lit(44) + inside(payload, 43, 1)
-    suites = session + 2 + inside(payload, session, 2)
-    first = suites + 1 + inside(payload, suites, 1) + 2
-    end = F.least(first + inside(payload, first - 2, 2), F.octet_length(payload))
-
-    def step(s: Column) -> Column:
-        at, size = s["at"], inside(payload, s["at"] + 2, 2)
-        length = inside(payload, at + 7, 2)
-        fits = (inside(payload, at + 6, 1) == 0) & (length + 5 <= size) & (at + 4 + size <= end)
-        name = F.when(fits, F.decode(F.substring(payload, (at + 10).cast("int"), length.cast("int")), "ISO-8859-1"))
-        return F.when(inside(payload, at, 2) == 0, state(end, name)).otherwise(state(at + 4 + size, s["name"]))
-
-    hello = (inside(payload, 0, 1) == 22) & (inside(payload, 5, 1) == 1)
-    return F.when(hello, F.nullif(walk(state(first, F.lit(None)), extensions, lambda s: s["at"] + 4 <= end, step)["name"], F.lit("")))
-
-
-def with_hints(packets: DataFrame) -> DataFrame:
-    """Adds hint, service, tls_version and quic_version from the payload, the first rule that fits; fragments have none.
-
-    service is the Host of a request, the name that a DNS message asks for, or a ClientHello's server name.
+    Layers are walked by ``layers.Machine``, 48 at most, and the addresses inside the last count;
+    an overlay in a UDP payload counts only if it holds a whole TCP, UDP or SCTP header, else the
+    outer UDP flow stands. ICMP, IGMP and ARP add no layer, nor does the transport of a fragment;
+    an IGMP group is the destination. Packets without bytes are left out. hint, service and versions
+    come from the payload (``hints``): service is the Host of a request, the name that a DNS message
+    asks for, or a ClientHello's server name.
     """
-    payload, tcp, udp = F.col("payload"), F.col("protocol") == 6, F.col("protocol") == 17
-    text = F.decode("payload", "ISO-8859-1")
-    byte = lambda i, n=1: F.conv(F.hex(F.substring(payload, i + 1, n)), 16, 10).cast("long")
-    on = lambda *ports: F.col("src_port").isin(*ports) | F.col("dst_port").isin(*ports)
-    length = F.octet_length(payload)
-    dns = lambda skip: (length >= skip + 12) & (byte(skip + 4, 2) > 0)
-    tls = (length >= 5) & byte(0).between(20, 23) & (byte(1) == 3) & (byte(2) <= 4) & byte(3, 2).between(1, 18432)
-    mail = (
-        F.when(on(25, 587) & text.rlike("^(220[ -]|EHLO |HELO |MAIL FROM:)"), "smtp")
-        .when(on(110) & text.rlike("^(\\+OK|-ERR|USER |PASS )"), "pop3")
-        .when(on(143) & text.rlike("^(\\* OK|[A-Za-z0-9]+ (LOGIN|CAPABILITY))"), "imap")
-    )
-    over_tcp = F.when(on(53) & dns(2), "dns").when(tls, "tls").otherwise(F.coalesce(text_hint(text), mail, F.when(text.startswith("\x13BitTorrent protocol") & (length >= 68), "bittorrent")))
-    multicast = F.hex("dst_addr").isin("E00000FB", "FF0200000000000000000000000000FB")
-    over_udp = (
-        F.when(on(5353) & multicast & (length >= 12) & (byte(4, 8) > 0), "mdns")
-        .when(on(53) & dns(0), "dns")
-        .when(on(443) & (length >= 7) & (byte(0).bitwiseAND(0xC0) == 0xC0) & (byte(1, 4) != 0), "quic")
-        .when(on(67, 68) & (length >= 240) & (byte(236, 4) == 0x63825363), "dhcp")
-        .when((length >= 20) & (byte(0).bitwiseAND(0xC0) == 0) & (byte(2, 2) % 4 == 0) & (byte(4, 4) == 0x2112A442) & (byte(2, 2) + 20 == length), "stun")
-    )
-    hint = F.when(F.col("is_ip_fragmented") | (length == 0), F.lit(None).cast("string")).when(tcp, over_tcp).when(udp, over_udp)
-    packets = packets.withColumn("hint", hint)
-    hint = F.col("hint")
-    service = F.when(hint == "http", http_service(text)).when(hint == "tls", server_name(payload)).when((hint == "dns") & tcp, question_name(payload, 14)).when(hint == "dns", question_name(payload, 12))
-    service = service.when((hint == "mdns") & (byte(4, 2) > 0), question_name(payload, 12))
-    version = byte(1, 4)
-    return packets.withColumns(
-        {
-            "service": service,
-            "tls_version": F.when(hint == "tls", F.when(byte(1, 2) == 0x0303, "tls12").when(byte(1, 2) == 0x0304, "tls13").otherwise("unknown")),
-            "quic_version": F.when(hint == "quic", F.when(version == 1, "v1").when(version == 0xFF00001D, "draft29").when(version == 0x6B3343CF, "v2").otherwise("unknown")),
-        }
-    )
+    packets = raw
+    if "original_length" not in packets.columns:
+        packets = packets.withColumn("original_length", F.octet_length("bytes").cast("long"))
+    names = packets.columns
+
+    def walked(batches):
+        for batch in batches:
+            # Not a filter before: it would compute the bytes of derived frames twice.
+            batch = batch.filter(batch.column(names.index("bytes")).is_valid())
+            own = {c: batch.column(i) for i, c in enumerate(names)}
+            found = layers.walk_layers(own["bytes"], own["data_link_type"], own["original_length"])
+            yield pa.RecordBatch.from_arrays([*own.values(), *found.values()], names=[*own, *found])
+
+    taken = {c.split()[0] for c in layers.SCHEMA.split(", ")} & set(names)
+    if taken:
+        raise ValueError(f"columns that dissection makes are there already: {sorted(taken)}")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in packets.schema.fields), layers.SCHEMA])
+    return packets.mapInArrow(walked, schema)
 
 
 def recognized(packets: DataFrame) -> DataFrame:

@@ -67,8 +67,13 @@ def text_hint(payload: Column) -> Column:
 
 
 def http_service(payload: Column, use_path: bool = False) -> Column:
-    """The Host header, else on request the path."""
-    host = F.nullif(F.trim(F.regexp_extract(payload, "(?i)\\r\\nHost:([^\\r\\n]*)", 1)), F.lit(""))
+    """The Host header of a request, else on request the path.
+
+    Only header lines count, up to the first empty one; they end in CR LF or LF. A host that is no plain name is none.
+    """
+    request = f"^(?:{'|'.join(HTTP_METHODS)}) "
+    host = F.trim(F.regexp_extract(payload, f"(?i){request}[^\\n]*\\n(?:(?!host:)[^\\r\\n][^\\n]*\\n)*?host:[ \\t]*([^\\r\\n]*)", 1))
+    host = F.when(payload.rlike(request) & host.rlike("^[A-Za-z0-9._-]+$"), host)
     path = F.nullif(F.regexp_extract(payload, "^[A-Z]+ ([^ \\r\\n]+)", 1), F.lit(""))
     return F.coalesce(host, path) if use_path else host
 

@@ -13,7 +13,7 @@ from ..operators import flows as flow_ops
 from ..operators.query import FlowQuery, Retention
 from ..sources.pcap import read_captures
 from ..sources.sinks import write_captures
-from ..sources.views import frames_from_events, packets_from_events, packets_from_lineitem
+from ..sources.views import frames_from_events, layered_frames, packets_from_events, packets_from_lineitem
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -483,6 +483,73 @@ register(
 )(lambda f: stats.version_recognition(flow_ops.flows_of(dissect.recognized(f))))
 
 
+# Frames of many layers: what each kind of frame must be read as ------------------------------------
+
+OUTER = "EthernetII -> IPv4"
+LAYERED_PATHS = {
+    0: f"'{OUTER} -> ' || t",
+    1: "'EthernetII -> VLAN(vid=' || i % 4000 || ') -> VLAN(vid=7) -> IPv4 -> ' || t",
+    2: "'EthernetII -> MPLS(label=' || n || ') -> MPLS(label=7) -> IPv4 -> ' || t",
+    3: "'EthernetII -> MPLS(label=' || n || ') -> MPLS PW -> EthernetII -> IPv4 -> ' || t",
+    4: "'EthernetII -> PPPoE -> PPP -> IPv4 -> ' || t",
+    5: "'EthernetII -> PBB(isid=0x' || printf('%06x', n) || ') -> EthernetII -> IPv4 -> ' || t",
+    6: "'IEEE 802.3 -> LLC/SNAP -> IPv4 -> ' || t",
+    7: "'LinuxSll -> IPv4 -> ' || t",
+    8: "'LinuxSll2 -> IPv4 -> ' || t",
+    9: f"'{OUTER} -> GRE -> IPv4 -> ' || t",
+    10: f"'{OUTER} -> GRE(key=0x' || printf('%08x', n) || ') -> IPv4 -> ' || t",
+    11: f"'{OUTER} -> GRE(key=0x' || printf('%08x', n % 256) || ') -> EthernetII -> IPv4 -> ' || t",
+    12: f"'{OUTER}{' -> IPv4' * 6} -> ' || t",
+    13: f"'{OUTER} -> IPv6 -> ' || t",
+    14: f"'{OUTER} -> UDP -> VXLAN(vni=' || n || ') -> EthernetII -> IPv4 -> ' || t",
+    15: f"'{OUTER} -> UDP -> Geneve(vni=' || n || ') -> EthernetII -> IPv4 -> ' || t",
+    16: f"'{OUTER} -> UDP -> GTP-U(teid=0x' || printf('%08x', n) || ') -> IPv4 -> ' || t",
+    17: f"'{OUTER} -> UDP'",
+    18: f"'{OUTER} -> UDP'",
+    19: "'EthernetII -> IPv6 -> ' || t",
+    20: "'EthernetII -> IPv6'",
+    21: f"'{OUTER} -> AH(spi=0x' || printf('%08x', n) || ') -> ' || t",
+    22: f"'{OUTER} -> ESP(spi=0x' || printf('%08x', n) || ')'",
+    23: f"'{OUTER} -> SCTP'",
+    24: f"'{OUTER}'",
+    25: f"'{OUTER}'",
+    26: "'EthernetII'",
+}
+LAYERED_REASONS = {
+    27: "MACsec protected payload not decrypted", 28: "Unknown MPLS payload", 29: "TCP header truncated", 30: "Inner TCP header truncated", 31: "Unsupported or malformed packet", 32: "Inner IPv4 header truncated", 33: "IPv4 header truncated",
+    34: "Could not extract flow key", 35: "Could not extract flow key", 36: "Unknown MPLS pseudowire inner EtherType", 37: "PPP LCP control packet", 38: "Non-SNAP LLC frame", 39: "IPv6 header truncated",
+}
+V6_SQL = "'[2000:0000:0000:0000:0000:0000:' || printf('%04x:%04x', ({0} // 65536) >> 16, ({0} // 65536) & 65535) || ']:' || CASE WHEN kind = 20 THEN 0 ELSE {0} % 65536 END"
+PORTLESS_SQL = "({0} // 65536) * 65536"
+LAYERED_SQL = f"""{PACKETS_SQL},
+k AS (SELECT packet_index, packet_index AS i, packet_index % 40 AS kind, packet_index % 1000 + 16 AS n, CASE WHEN protocol = 6 THEN 'TCP' ELSE 'UDP' END AS t, protocol, src, CASE WHEN src = lo THEN hi ELSE lo END AS dst, tcp_flags FROM packets),
+layered AS (SELECT packet_index, kind,
+  CASE WHEN kind IN (17, 18) THEN '10.0.0.1:10000' WHEN kind IN (13, 19, 20) THEN {V6_SQL.format("src")} WHEN kind IN (22, 24, 25, 26) THEN {ep_sql(PORTLESS_SQL.format("src"))} ELSE {ep_sql("src")} END AS source,
+  CASE kind WHEN 17 THEN '10.0.0.2:2152' WHEN 18 THEN '10.0.0.2:4789' WHEN 25 THEN '224.1.2.3:0' ELSE CASE WHEN kind IN (13, 19, 20) THEN {V6_SQL.format("dst")} WHEN kind IN (22, 24, 26) THEN {ep_sql(PORTLESS_SQL.format("dst"))} ELSE {ep_sql("dst")} END END AS target,
+  CAST(CASE kind WHEN 17 THEN 17 WHEN 18 THEN 17 WHEN 22 THEN 50 WHEN 23 THEN 132 WHEN 24 THEN 1 WHEN 25 THEN 2 WHEN 26 THEN 253 ELSE protocol END AS INTEGER) AS protocol,
+  CASE kind {" ".join(f"WHEN {k} THEN {v}" for k, v in LAYERED_PATHS.items())} END AS protocol_path,
+  CAST(CASE WHEN kind = 17 THEN CASE WHEN t = 'TCP' THEN 56 ELSE 44 END WHEN kind = 18 THEN 46 WHEN kind IN (20, 22, 24, 25, 26) THEN 0 ELSE 8 END AS BIGINT) AS payload_length,
+  CAST(CASE WHEN t = 'TCP' AND kind NOT IN (17, 18, 20, 22, 23, 24, 25, 26) THEN tcp_flags ELSE 0 END AS INTEGER) AS tcp_flags, kind = 20 AS is_ip_fragmented,
+  CASE kind {" ".join(f"WHEN {k} THEN '{v}'" for k, v in LAYERED_REASONS.items())} END AS reason FROM k)"""
+
+
+def layered(spark, folder):
+    return dissect.dissect(layered_frames(spark, folder))
+
+
+register("dissect_layers", f"WITH {LAYERED_SQL} SELECT packet_index, source, target, protocol, protocol_path, payload_length, tcp_flags, is_ip_fragmented FROM layered WHERE kind < 27", layered)(dissect_headers)
+register("layer_reasons", f"WITH {LAYERED_SQL} SELECT packet_index, reason FROM layered WHERE kind >= 27", layered)(lambda f: dissect.unrecognized(f).select("packet_index", "reason"))
+register(
+    "tunnel_path_totals",
+    f"WITH {LAYERED_SQL} SELECT regexp_replace(protocol_path, '\\([^)]*\\)', '', 'g') AS layers, count(*) AS packet_count, CAST(sum(payload_length) AS BIGINT) AS payload_bytes, count(DISTINCT protocol_path) AS path_count FROM layered WHERE kind < 27 GROUP BY 1",
+    layered,
+)(
+    lambda f: dissect.recognized(f)
+    .select(F.regexp_replace(X.path_text(F.col("path")), "\\([^)]*\\)", "").alias("layers"), "payload_length", F.xxhash64("path").alias("path"))
+    .groupBy("layers").agg(F.count("*").alias("packet_count"), F.sum("payload_length").alias("payload_bytes"), F.count_distinct("path").alias("path_count"))
+)
+
+
 @register("capture_scan", f"WITH {FRAMES_SQL} SELECT protocol, count(*) AS packet_count, CAST(sum(size) FILTER (NOT fragmented) AS BIGINT) AS payload_bytes, min(ts_us) AS first_ts_us, max(ts_us) AS last_ts_us FROM good GROUP BY 1")
 def capture_scan(spark, folder):
     """Frames written as captures, one for each range of packets, read back and dissected."""

@@ -123,3 +123,84 @@ def frames_from_events(spark: SparkSession, folder: str) -> DataFrame:
     made = packets.select("packet_index", "ts_us", frame.alias("bytes"))
     length = F.octet_length("bytes").cast("long")
     return made.select("packet_index", "ts_us", length.alias("captured_length"), (length + index % 5).alias("original_length"), F.lit(1).alias("data_link_type"), "bytes")
+
+
+def layered_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """The packets of ``packets_from_events`` in frames of many layers, one kind for each remainder of packet_index by 40.
+
+    Kinds 0 to 26 belong to flows, of which 17 and 18 look like overlays and are none; the others are
+    cut or hold nothing that a flow could be made of. Fragments, ports and addresses are those of the packets.
+    """
+    packets = packets_from_events(spark, folder)
+    index = F.col("packet_index")
+    kind = index % 40
+    number = index % 1000 + 16
+    hexed = lambda digits: F.unhex(F.lit(digits))
+    rest, mac = F.concat, hexed("02" * 12)
+    ether = lambda code, body: rest(mac, hexed(code), body)
+    ports = rest(be(F.col("src_port"), 2), be(F.col("dst_port"), 2))
+    own, addresses = be(F.col("protocol"), 1), rest(F.col("src_addr"), F.col("dst_addr"))
+    # Sizes are told along with the bodies, so that no body is made twice for its length.
+    size = F.when(F.col("protocol") == 6, 28).otherwise(16)
+    v4 = lambda protocol, body, length, between=addresses: rest(hexed("4500"), be(length + 20, 2), hexed("0001000040"), protocol, hexed("0000"), between, body)
+    outer = lambda code, body, length: v4(hexed(code), body, length, hexed("0a0000010a000002"))
+    over_udp = lambda port, body, length: outer("11", rest(be(F.lit(0x2710 << 16 | port), 4), be(length + 8, 2), hexed("0000"), body), length + 8)
+    v6 = lambda code, body, length: rest(hexed("60000000"), be(length, 2), code, hexed("40" + "20" + "00" * 11), F.col("src_addr"), hexed("20" + "00" * 11), F.col("dst_addr"), body)
+    label = lambda value, bottom: be(F.shiftleft(value.cast("long"), 12) + (256 if bottom else 0), 4)
+    tcp = rest(ports, be(index, 4), hexed("0000000050"), be(F.col("tcp_flags"), 1), hexed("ffff00000000"), hexed("99" * 8))
+    udp = rest(ports, hexed("00100000"), hexed("99" * 8))
+    packets = packets.withColumn("transport", F.when(F.col("protocol") == 6, tcp).otherwise(udp))
+    transport, inner, framed = F.col("transport"), F.col("inner"), F.col("framed")
+    packets = packets.withColumn("inner", v4(own, transport, size)).withColumn("framed", ether("0800", inner))
+    nested, whole, frame = inner, size + 20, size + 34
+    for level in range(6):
+        nested = outer("04", nested, whole + 20 * level)
+    kinds = {
+        0: ether("0800", inner),
+        1: ether("8100", rest(be(index % 4000, 2), hexed("88a80007"), hexed("0800"), inner)),
+        2: ether("8847", rest(label(number, False), label(F.lit(7), True), inner)),
+        3: ether("8847", rest(label(number, True), hexed("00000000"), framed)),
+        4: ether("8864", rest(hexed("11000001"), be(whole + 2, 2), hexed("0021"), inner)),
+        5: ether("88e7", rest(hexed("00"), be(number, 3), framed)),
+        6: rest(mac, be(whole + 8, 2), hexed("aaaa03000000" + "0800"), inner),
+        7: rest(hexed("00" * 14), hexed("0800"), inner),
+        8: rest(hexed("0800"), hexed("00" * 18), inner),
+        9: ether("0800", outer("2f", rest(hexed("00000800"), inner), whole + 4)),
+        10: ether("0800", outer("2f", rest(hexed("30000800"), be(number, 4), hexed("00000001"), inner), whole + 12)),
+        11: ether("0800", outer("2f", rest(hexed("20016400"), be(frame, 2), be(number % 256, 1), hexed("00"), framed), frame + 8)),
+        12: ether("0800", nested),
+        13: ether("0800", outer("29", v6(own, transport, size), size + 40)),
+        14: ether("0800", over_udp(4789, rest(hexed("08000000"), be(number, 3), hexed("00"), framed), frame + 8)),
+        15: ether("0800", over_udp(6081, rest(hexed("02006558"), be(number, 3), hexed("00" * 9), framed), frame + 16)),
+        16: ether("0800", over_udp(2152, rest(hexed("34ff"), be(whole + 16, 2), be(number, 4), hexed("00000085" + "01000085" + "02000000000000" + "00"), inner), whole + 24)),
+        17: ether("0800", over_udp(2152, rest(hexed("30ff0000"), be(number, 4), inner), whole + 8)),
+        18: ether("0800", over_udp(4789, rest(hexed("08000000"), be(number, 3), hexed("00"), ether("0800", outer("01", hexed("08000000"), F.lit(4)))), F.lit(46))),
+        19: ether("86dd", v6(hexed("00"), rest(hexed("3c00" + "00" * 6), own, hexed("00" * 7), transport), size + 16)),
+        20: ether("86dd", v6(hexed("2c"), rest(own, hexed("00000100000001"), transport), size + 8)),
+        21: ether("0800", v4(hexed("33"), rest(own, hexed("040000"), be(number, 4), hexed("00" * 16), transport), size + 24)),
+        22: ether("0800", v4(hexed("32"), rest(be(number, 4), hexed("00000001"), hexed("99" * 16)), F.lit(24))),
+        23: ether("0800", v4(hexed("84"), rest(ports, hexed("00" * 8), hexed("99" * 8)), F.lit(20))),
+        24: ether("0800", v4(hexed("01"), hexed("0800000000010002"), F.lit(8))),
+        25: ether("0800", v4(hexed("02"), hexed("16000000e0010203"), F.lit(8))),
+        26: ether("0806", rest(hexed("0001080006040001"), hexed("02" * 6), F.col("src_addr"), hexed("00" * 6), F.col("dst_addr"))),
+        27: ether("88e5", hexed("0000" + "11" * 40)),
+        28: ether("8847", rest(label(number, True), mac, hexed("0010"), hexed("42420300" * 4))),
+        29: ether("0800", v4(hexed("06"), hexed("0102030405"), F.lit(5))),
+        30: ether("8847", rest(label(number, True), v4(hexed("06"), hexed("0102030405"), F.lit(5)))),
+        31: rest(mac, hexed("81000001" * 60), hexed("0800"), inner),
+        32: ether("8847", rest(label(number, True), hexed("4500"))),
+        33: ether("0800", hexed("4500")),
+        34: ether("0800", v4(hexed("63"), hexed("99" * 8), F.lit(8))),
+        35: ether("0800", outer("2f", hexed("00010800" + "99" * 30), F.lit(34))),
+        36: ether("8847", rest(label(number, True), hexed("00000000"), mac, hexed("88cc"), hexed("99" * 8))),
+        37: ether("8864", hexed("110000010004c0210101")),
+        38: rest(mac, hexed("0020" + "424203"), hexed("99" * 20)),
+        39: ether("86dd", hexed("60000000")),
+    }
+    link = F.when(kind == 7, 113).when(kind == 8, 276).otherwise(1)
+    found = F.when(kind == 0, kinds.pop(0))
+    for k, frame in kinds.items():
+        found = found.when(kind == k, frame)
+    made = packets.select("packet_index", "ts_us", link.alias("data_link_type"), found.alias("bytes"))
+    length = F.octet_length("bytes").cast("long")
+    return made.select("packet_index", "ts_us", length.alias("captured_length"), length.alias("original_length"), "data_link_type", "bytes")

@@ -64,7 +64,7 @@ def test_layers_and_hints(capture):
     assert [r.hint for r in found[:6]] == ["http", "http", "dns", "quic", None, None]
     assert (found[0].service, found[0].src_port, found[0].tcp_flags, found[0].payload_length, found[0].original_length) == ("h.example", 4000, 0x18, 36, len(PACKETS[0]) + 5)
     assert (found[6].is_ip_fragmented, found[6].src_port) == (True, 0)
-    assert [r.reason for r in found[6:]] == [None, "Could not extract flow key", "Unsupported or malformed packet", "Link-layer header truncated"]
+    assert [r.reason for r in found[6:]] == [None, "TCP header truncated", "Unsupported or malformed packet", "Link-layer header truncated"]
 
 
 def test_flows_of_a_capture(capture):
@@ -80,7 +80,7 @@ def test_tunnels(spark):
     wrapped = [
         (ipv4(17, udp(9, 4789, b"\x08\0\0\0" + (100 << 8).to_bytes(4, "big") + frame)), "EthernetII -> IPv4 -> UDP -> VXLAN(vni=100) -> EthernetII -> IPv4 -> TCP"),
         (ipv4(17, udp(9, 6081, b"\x01\0\x65\x58" + (7 << 8).to_bytes(4, "big") + b"\0" * 4 + frame)), "EthernetII -> IPv4 -> UDP -> Geneve(vni=7) -> EthernetII -> IPv4 -> TCP"),
-        (ipv4(17, udp(9, 2152, b"\x30\xff\0\0\0\0\x12\x34" + inner)), "EthernetII -> IPv4 -> UDP -> GTP-U(teid=0x00001234) -> IPv4 -> TCP"),
+        (ipv4(17, udp(9, 2152, b"\x30\xff" + struct.pack(">HI", len(inner), 0x1234) + inner)), "EthernetII -> IPv4 -> UDP -> GTP-U(teid=0x00001234) -> IPv4 -> TCP"),
         (ipv4(47, struct.pack(">HHI", 0x2000, 0x0800, 0xAB) + inner), "EthernetII -> IPv4 -> GRE(key=0x000000ab) -> IPv4 -> TCP"),
         (ipv4(4, inner), "EthernetII -> IPv4 -> IPv4 -> TCP"),
         (ipv4(17, udp(9, 4789, b"\0" * 8)), "EthernetII -> IPv4 -> UDP"),
