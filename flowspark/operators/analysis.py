@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.buckets import FLOW_SIZE, INTER_ARRIVAL, INTER_ARRIVAL_LABELS, bucket_of, bucket_table, labels
+from ..functions.scan import with_running
 
 BURST_GAP_US = 1_000
 IDLE_GAP_US = 100_000
@@ -13,14 +14,13 @@ PREVIEW_PACKETS = 20
 MIN_WINDOW_US, MAX_WINDOW_US, MAX_WINDOWS = 10_000, 1_000_000, 99
 
 
-def in_time():
-    """The flow's packets by time; packets of one time by number."""
-    return Window.partitionBy("flow_index").orderBy("ts_us", "packet_index")
+#: A flow's packets by time; packets of one time by number.
+IN_TIME = ["ts_us", "packet_index"]
 
 
 def with_gaps(owned: DataFrame) -> DataFrame:
-    """Adds the time since the flow's packet before, in either direction."""
-    return owned.withColumn("gap_us", F.col("ts_us") - F.lag("ts_us").over(in_time()))
+    """Adds the time since the flow's packet before, in either direction; a flow may span many tasks."""
+    return with_running(owned, "flow_index", IN_TIME, previous={"_was": F.col("ts_us")}).withColumn("gap_us", F.col("ts_us") - F.col("_was")).drop("_was")
 
 
 def per_second(amount: Column, duration_us: Column) -> Column:
@@ -41,7 +41,7 @@ def rates(flows: DataFrame) -> DataFrame:
 def bursts(owned: DataFrame) -> DataFrame:
     """Runs of two packets or more with gaps below 1 ms: how many, most packets, most bytes."""
     starts = F.when(F.col("gap_us") < BURST_GAP_US, 0).otherwise(1)
-    runs = with_gaps(owned).withColumn("_run", F.sum(starts).over(in_time().rowsBetween(Window.unboundedPreceding, 0)))
+    runs = with_running(with_gaps(owned), "flow_index", IN_TIME, sums={"_before": starts}).withColumn("_run", F.col("_before") + starts)
     runs = runs.groupBy("flow_index", "_run").agg(F.count("*").alias("n"), F.sum("original_length").alias("bytes"))
     burst = lambda c: F.when(F.col("n") >= 2, F.col(c))
     found = runs.groupBy("flow_index").agg(F.count(burst("n")).alias("burst_count"), F.coalesce(F.max(burst("n")), F.lit(0)).alias("max_burst_packets"), F.coalesce(F.max(burst("bytes")), F.lit(0)).alias("max_burst_bytes"))
@@ -87,7 +87,7 @@ def rate_graph(owned: DataFrame, flows: DataFrame) -> DataFrame:
 
 def preview(owned: DataFrame, packets: int = PREVIEW_PACKETS) -> DataFrame:
     """The first packets of each flow in time, with the gap before each."""
-    ranked = with_gaps(owned).withColumn("number", F.row_number().over(in_time())).where(F.col("number") <= packets)
+    ranked = with_running(with_gaps(owned), "flow_index", IN_TIME, sums={"_before": F.lit(1)}).withColumn("number", (F.col("_before") + 1).cast("int")).where(F.col("number") <= packets)
     return ranked.select("flow_index", "number", "packet_index", "direction", F.coalesce("gap_us", F.lit(0)).alias("delta_us"), "captured_length", "original_length")
 
 

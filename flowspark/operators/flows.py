@@ -88,7 +88,7 @@ def numbered(df: DataFrame, order: list, name: str = "flow_index", first: int =
     Rows are sorted in ranges, not in one task: each range numbers its own rows, and the counts of
     the ranges before are added.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = stored(df, "unnumbered").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     ranged = stored(ranged, "numbered").withColumns({"_range": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND((1 << 33) - 1)})
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     counts = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
@@ -106,10 +106,10 @@ def flow_key() -> Column:
 
 
 def by_key(packets: DataFrame) -> DataFrame:
-    """Packets with their flow's key as flow_index and their direction; one shuffle, no join with the flows."""
+    """Packets with their flow's key as flow_index and their direction, by the source of the flow's first packet."""
     keyed = with_key(packets).withColumn("flow_index", flow_key())
-    first = F.first("ep_src").over(Window.partitionBy("flow_index").orderBy("packet_index"))
-    return keyed.withColumn("direction", F.when(F.col("ep_src") == first, "A->B").otherwise("B->A"))
+    first = keyed.groupBy("flow_index").agg(F.min_by("ep_src", "packet_index").alias("_first"))
+    return keyed.join(first, "flow_index").withColumn("direction", F.when(F.col("ep_src") == F.col("_first"), "A->B").otherwise("B->A")).drop("_first")
 
 
 def with_numbers(found: DataFrame, flows: DataFrame) -> DataFrame:
@@ -121,9 +121,10 @@ def with_numbers(found: DataFrame, flows: DataFrame) -> DataFrame:
 
 def with_flow(packets: DataFrame, flows: DataFrame, *columns: str) -> DataFrame:
     """Packets with their flow's columns and direction (``A->B`` or ``B->A``)."""
-    own = flows.select(*KEY, "first_src", *columns)
-    joined = with_key(packets).join(own.withColumnRenamed("path", "_path"), [*KEY[:-1]], "inner")
-    joined = joined.where(F.col("path").eqNullSafe(F.col("_path"))).drop("_path")
+    own = flows.select(*[F.col(c).alias(f"_own_{c}") for c in KEY], "first_src", *columns)
+    # The path is part of the key, null or not: else each packet would meet all flows of its endpoints.
+    same = [F.col("path").eqNullSafe(F.col("_own_path")), *[F.col(c) == F.col(f"_own_{c}") for c in KEY[:-1]]]
+    joined = with_key(packets).join(own, same).drop(*[f"_own_{c}" for c in KEY])
     return joined.withColumn("direction", F.when(F.col("ep_src") == F.col("first_src"), "A->B").otherwise("B->A"))
 
 

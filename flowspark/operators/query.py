@@ -7,6 +7,7 @@ import dataclasses
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scan import BLOCK, with_running
 from ..functions.text import address_text, ascii_lower, hint_text
 from .flows import numbered
 
@@ -117,27 +118,21 @@ class Retention:
     def apply(self, packets: DataFrame, group: str | None = "flow_index") -> DataFrame:
         if not group:
             return self.of_capture(packets)
-        within = Window.partitionBy(group)
-        order = within.orderBy("packet_index")
-        ranked = packets.withColumn("number", F.row_number().over(order))
-        if self.first_packets:
-            base = F.col("number") <= self.first_packets
-        elif self.first_bytes:
-            before = F.coalesce(F.sum("original_length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            ranked = ranked.withColumn("_before", before)
-            base = F.col("_before") < self.first_bytes
-        else:
-            return ranked
-        ranked = ranked.withColumn("_base", base)
-        keep = F.col("_base")
+        sums = {"_earlier": F.lit(1)} | ({"_before": F.col("original_length")} if self.first_bytes else {})
+        ranked = with_running(packets, group, ["packet_index"], sums=sums).withColumn("number", (F.col("_earlier") + 1).cast("int"))
+        if not (self.first_packets or self.first_bytes):
+            return ranked.drop("_earlier", BLOCK)
+        base = F.col("number") <= self.first_packets if self.first_packets else F.col("_before") < self.first_bytes
+        keep = base
         if self.last or self.every:
-            ranked = ranked.withColumns({"_n": F.count("*").over(within), "_n_base": F.sum(F.col("_base").cast("long")).over(within)})
+            # The base comes first, so its packets are counted with all of a group's by one aggregation.
+            counts = ranked.groupBy(group).agg(F.count("*").alias("_n"), F.sum(base.cast("long")).alias("_n_base"))
+            ranked = ranked.join(counts, group)
         if self.last:
             keep = keep | (F.col("number") == F.col("_n"))
         if self.every:
             keep = keep | ((F.col("number") > F.col("_n_base")) & ((F.col("number") - F.col("_n_base")) % self.every == 0))
-        return ranked.where(keep).drop("_before", "_base", "_n", "_n_base")
-
+        return ranked.where(keep).drop("_before", "_earlier", "_n", "_n_base", BLOCK)
 
     def of_capture(self, packets: DataFrame) -> DataFrame:
         """The same over all packets as one group, numbered by ranges of packet numbers, never in one task."""
@@ -149,7 +144,7 @@ class Retention:
             # The base ends in the first range whose running total reaches the mark; only that range is looked at packet by packet.
             span = 10_000
             sums = ranked.groupBy(F.expr(f"number div {span}").alias("at")).agg(F.sum("original_length").alias("n"))
-            running = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            running = with_running(sums.withColumn("all", F.lit(0)), "all", ["at"], sums={"before": F.col("n")})
             last = running.where(F.col("before") < self.first_bytes).orderBy(F.desc("at")).first()
             if last is None:
                 return ranked

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_field, csv_path, file_name, tree_percent_text
+from ..sources.pcap import NG_MAGIC, PCAP_MAGIC, Source
 from .flows import numbered
 
 # Columns of the report of all flows and of a sampled export's manifest.
@@ -82,12 +86,22 @@ def byte_texts(data: Column) -> dict[str, Column]:
 
 
 def describe_sources(spark: SparkSession, path: str) -> DataFrame:
-    """path, format, size and a digest of the first and last 64 KiB of each capture under ``path``."""
-    files = spark.read.format("binaryFile").load(path)
-    head, tail = F.substring("content", 1, EDGE_BYTES), F.expr(f"substring(content, -least({EDGE_BYTES}, length), {EDGE_BYTES})")
-    magic = F.hex(F.substring("content", 1, 4))
-    kind = F.when(magic == "D4C3B2A1", "pcap").when(magic == "0A0D0D0A", "pcapng").otherwise("unknown")
-    return files.select("path", kind.alias("format"), F.col("length").alias("size"), F.sha2(F.concat(head, tail), 256).alias("edges"))
+    """path, format, size and a digest of the first and last 64 KiB of each capture under ``path``; only these are read."""
+    formats = {PCAP_MAGIC: "pcap", NG_MAGIC: "pcapng"}
+
+    def describe(batches):
+        source = Source()
+        for batch in batches:
+            rows = []
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                head = source.read(path, 0, min(size, EDGE_BYTES))
+                tail = source.read(path, max(0, size - EDGE_BYTES), min(size, EDGE_BYTES))
+                rows.append((path, formats.get(head[:4], "unknown"), size, hashlib.sha256(head + tail).hexdigest()))
+            source.close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)] if rows else [pa.array([], k) for k in (pa.string(), pa.string(), pa.int64(), pa.string())], names=["path", "format", "size", "edges"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    return files.mapInArrow(describe, "path string, format string, size long, edges string")
 
 
 def changed_sources(known: DataFrame, now: DataFrame) -> DataFrame:

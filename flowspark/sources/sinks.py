@@ -10,51 +10,95 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 INDEX_VERSION = 1
-GLOBAL_HEADER = struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+WAITING = "_waiting"
+COPY_BYTES = 4 << 20
+
+
+def global_header(link: int) -> bytes:
+    return struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, link)
 
 
 @dataclasses.dataclass
 class Written(WriterCommitMessage):
-    files: list[str]
+    """Files of one task's successful attempt: where they wait, the name they get, and the task's number."""
+
+    files: list[tuple[str, str]]
+    task: int
 
 
 class CaptureWriter(DataSourceWriter):
-    """Each task writes its own files, one for every value of ``name`` in turn; a failed job's files are removed."""
+    """Each task writes its own files, one for every name and link type in turn, under a name of its attempt.
 
-    def __init__(self, path: str, schema):
-        self.path, self.columns = path, [f.name for f in schema.fields]
+    Only when all tasks are done are the files of their successful attempts given their names; those
+    of failed, lost or repeated attempts wait in a folder that is then removed. With ``single`` the
+    files of all tasks are strung together, in the tasks' order, to one for each link type.
+    """
 
-    def write(self, iterator):
+    def __init__(self, options, schema):
+        self.path, self.single = options["path"], options.get("single", "false") == "true"
+        self.columns = [f.name for f in schema.fields]
+
+    def store(self):
         from pyarrow import fs
+
+        if "://" in self.path:
+            return fs.FileSystem.from_uri(self.path)
+        return fs.LocalFileSystem(), "/" + self.path[5:].lstrip("/") if self.path.startswith("file:") else self.path
+
+    def write(self, iterator):
         from pyspark import TaskContext
 
-        store, folder = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        store.create_dir(folder, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
+        store, folder = self.store()
+        store.create_dir(f"{folder}/{WAITING}", recursive=True)
+        context = TaskContext.get()
+        attempt, task = context.taskAttemptId(), context.partitionId()
         files, current, out = [], None, None
         for row in iterator:
-            if row["name"] != current:
+            link = row["data_link_type"]
+            if (row["name"], link) != current:
                 if out:
                     out.close()
-                current = row["name"]
-                files.append(f"{folder}/{current}-{attempt}.pcap")
-                out = store.open_output_stream(files[-1])
-                out.write(GLOBAL_HEADER)
+                current = row["name"], link
+                name = row["name"] if link == 1 else f"{row['name']}-link{link}"
+                files.append((f"{folder}/{WAITING}/{attempt}-{len(files)}", name))
+                out = store.open_output_stream(files[-1][0])
+                out.write(global_header(link))
             data = bytes(row["bytes"])
             out.write(struct.pack("<IIII", row["ts_us"] // 1_000_000, row["ts_us"] % 1_000_000, len(data), row["original_length"]) + data)
         if out:
             out.close()
-        return Written(files)
+        return Written(files, task)
 
     def commit(self, messages):
-        pass
+        store, folder = self.store()
+        done = sorted((m for m in messages if m), key=lambda m: m.task)
+        if self.single:
+            outs: dict = {}
+            for waiting, name in (f for m in done for f in m.files):
+                with store.open_input_stream(waiting) as part:
+                    head = part.read(24)
+                    if name not in outs:
+                        outs[name] = store.open_output_stream(f"{folder}/{name}.pcap")
+                        outs[name].write(head)
+                    while piece := part.read(COPY_BYTES):
+                        outs[name].write(piece)
+            for out in outs.values():
+                out.close()
+        else:
+            for m in done:
+                for waiting, name in m.files:
+                    store.move(waiting, f"{folder}/{name.replace('%', f'{m.task:05d}')}.pcap")
+        self.clear()
 
     def abort(self, messages):
+        self.clear()
+
+    def clear(self) -> None:
         from pyarrow import fs
 
-        store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
-        for file in (f for m in messages if m for f in m.files):
-            store.delete_file(file)
+        store, folder = self.store()
+        if store.get_file_info(f"{folder}/{WAITING}").type == fs.FileType.Directory:
+            store.delete_dir(f"{folder}/{WAITING}")
 
 
 class CaptureFiles(DataSource):
@@ -63,21 +107,27 @@ class CaptureFiles(DataSource):
         return "pcap_files"
 
     def writer(self, schema, overwrite):
-        return CaptureWriter(self.options["path"], schema)
+        return CaptureWriter(self.options, schema)
 
 
-def write_captures(packets: DataFrame, path: str, by_flow: bool = False) -> None:
+def write_captures(packets: DataFrame, path: str, by_flow: bool = False, single: bool = False) -> None:
     """Write packets (ts_us, original_length, bytes, packet_index and, ``by_flow``, flow_index) in packet order as captures under ``path``.
 
-    With ``by_flow`` every flow has a file of its own; else each range of packet numbers has one.
+    With ``by_flow`` every flow has a file of its own; with ``single`` all packets are one file; else
+    each range of packet numbers has one. Packets of another link type (data_link_type, Ethernet
+    where the column is missing) than Ethernet get files whose names say it.
     """
     packets.sparkSession.dataSource.register(CaptureFiles)
+    if "data_link_type" not in packets.columns:
+        packets = packets.withColumn("data_link_type", F.lit(1))
     if by_flow:
         named = packets.withColumn("name", F.concat(F.lit("flow-"), F.lpad(F.col("flow_index").cast("string"), 8, "0"))).repartition("flow_index")
-        named = named.sortWithinPartitions("flow_index", "packet_index")
+        named = named.sortWithinPartitions("flow_index", "data_link_type", "packet_index")
     else:
-        named = packets.withColumn("name", F.lit("packets")).repartitionByRange("packet_index").sortWithinPartitions("packet_index")
-    named.select("name", "ts_us", "original_length", "bytes").write.format("pcap_files").mode("append").save(path)
+        named = packets.withColumn("name", F.lit("packets" if single else "packets-%")).repartitionByRange("packet_index")
+        named = named.sortWithinPartitions("data_link_type", "packet_index")
+    named = named.select("name", "data_link_type", "ts_us", "original_length", "bytes")
+    named.write.format("pcap_files").option("single", str(single).lower()).mode("append").save(path)
 
 
 def write_index(spark: SparkSession, packets: DataFrame, flows: DataFrame, path: str, sources: DataFrame | None = None) -> None:

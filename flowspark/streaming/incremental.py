@@ -7,15 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def committed_batches(spark: SparkSession, progress: str) -> int:
+    """How many batches a query with this checkpoint has finished."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{progress}/commits")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
+    return max((int(n) for n in names if n.isdigit()), default=-1) + 1
+
+
 def append_new_packets(spark: SparkSession, folder: str, schema: StructType, index: str, progress: str, files_per_batch: int = 100) -> int:
     """Add the Parquet files of ``folder`` that earlier calls have not seen to the index; returns the number of batches.
 
-    Progress is kept in ``progress``, so a call that was stopped is taken up where it ended.
+    Progress is kept in ``progress``, so a call that was stopped is taken up where it ended. Batches
+    are counted there too, as a query remembers its latest ones only.
     """
+    before = committed_batches(spark, progress)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     query = stream.writeStream.format("parquet").option("path", index).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
-    return len(query.recentProgress)
+    return committed_batches(spark, progress) - before
 
 
 def windowed_totals(packets: DataFrame, lateness: str = "10 seconds", window: str = "1 second") -> DataFrame:
