@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.buckets import CAPTURE_SIZE, FLOW_PACKETS, FLOW_SIZE, INTER_ARRIVAL, INTER_ARRIVAL_LABELS, labels
 from ..functions.storage import scratch_path, stored
-from ..operators import analysis, dissect, query, reports, stats, streams
+from ..operators import analysis, dissect, messages, query, reports, stats, streams
 from ..operators import flows as flow_ops
 from ..operators.query import FlowQuery, Retention
 from ..sources.pcap import read_captures
@@ -559,12 +559,64 @@ def capture_scan(spark, folder):
     return found.groupBy(F.col("protocol").cast("long").alias("protocol")).agg(F.count("*").alias("packet_count"), F.sum("payload_length").alias("payload_bytes"), F.min("ts_us").alias("first_ts_us"), F.max("ts_us").alias("last_ts_us"))
 
 
-@register(
+# Streams: contributions of segments, and messages ---------------------------------------------------
+
+OVERLAP_SQL = """RECURSIVE own AS (SELECT conv_id, role, turn, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM conversations WHERE text IS NOT NULL AND text <> ''),
+t AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN conv_id % 5 = 0 THEN 4294967296 - 300 ELSE 1000 END AS before,
+  coalesce(lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn), '') AS was, (conv_id * 7 + turn * 5) % 12 AS kind FROM own),
+s0 AS (SELECT conv_id AS flow_index, role AS direction, turn * 10 AS packet_index, CASE WHEN kind IN (0, 5) THEN right(was, 5) || text WHEN kind = 1 THEN substr('#####', 1, least(length(was), 5)) || text ELSE text END AS payload,
+  (before - CASE WHEN kind IN (0, 1, 5) THEN least(length(was), 5) ELSE 0 END + CASE WHEN kind = 2 THEN 100 ELSE 0 END) % 4294967296 AS seq, CASE WHEN kind = 5 THEN 1 ELSE 0 END AS ack FROM t
+  UNION ALL SELECT conv_id, role, turn * 10 + 1, CASE WHEN kind = 3 THEN text ELSE right(text, 3) END, (before + CASE WHEN kind = 4 THEN length(text) - least(length(text), 3) ELSE 0 END) % 4294967296, 0 FROM t WHERE kind IN (3, 4)),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY flow_index, direction, seq, ack, payload ORDER BY packet_index) > 1 AS again, row_number() OVER (PARTITION BY flow_index, direction ORDER BY packet_index) AS rn FROM s0),
+f AS (SELECT DISTINCT flow_index, direction, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS packet_index, '' AS act, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS overlap, CAST(NULL AS HUGEINT) AS base, CAST(NULL AS HUGEINT) AS following, 0 AS ack, '' AS buf, true AS searching, false AS tainted FROM s1
+  UNION ALL SELECT flow_index, direction, rn, packet_index, act, n, overlap, CASE WHEN act = 'first' THEN seq ELSE base END, CASE WHEN act IN ('first', 'next', 'trimmed') THEN seq + n ELSE following END, CASE WHEN act IN ('first', 'next', 'trimmed') THEN new_ack ELSE ack END,
+    CASE WHEN act IN ('first', 'next') THEN buf || payload WHEN act = 'trimmed' THEN buf || substr(payload, overlap + 1) ELSE buf END, searching AND act <> 'not the same', tainted OR act = 'gap'
+  FROM (SELECT f.flow_index, f.direction, s.rn, s.packet_index, s.payload, s.seq, s.ack AS new_ack, CAST(length(s.payload) AS BIGINT) AS n, CAST(CASE WHEN f.following > s.seq AND f.following - s.seq < 1000000 THEN f.following - s.seq ELSE 0 END AS BIGINT) AS overlap, f.base, f.following, f.ack, f.buf, f.searching, f.tainted,
+    CASE WHEN f.tainted THEN 'after gap' WHEN s.again THEN 'repeated' WHEN f.base IS NULL THEN 'first' WHEN NOT f.searching THEN 'not looked at' WHEN s.seq = f.following THEN 'next' WHEN s.seq > f.following THEN 'gap'
+      WHEN s.seq < f.base OR s.ack <> f.ack OR f.following - s.seq > length(s.payload) THEN 'not the same' WHEN substr(s.payload, 1, CAST(f.following - s.seq AS BIGINT)) <> substr(f.buf, CAST(s.seq - f.base AS BIGINT) + 1, CAST(f.following - s.seq AS BIGINT)) THEN 'not the same' WHEN f.following - s.seq >= length(s.payload) THEN 'known' ELSE 'trimmed' END AS act
+    FROM f JOIN s1 s ON s.flow_index = f.flow_index AND s.direction = f.direction AND s.rn = f.rn + 1))"""
+register(
     "stream_overlap",
-    f"WITH {TURNS_SQL}, s AS (SELECT flow_index, direction, packet_index, seq, strlen(payload) AS n FROM turns WHERE strlen(payload) > 0), r AS (SELECT *, max(seq + n) OVER (PARTITION BY flow_index, direction ORDER BY packet_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM s) SELECT flow_index, packet_index, direction, CAST(least(greatest(coalesce(reached - seq, 0), 0), n) AS BIGINT) AS trimmed, CAST(n - least(greatest(coalesce(reached - seq, 0), 0), n) AS BIGINT) AS added, coalesce(seq > reached, false) AS gap_before FROM r",
+    f"WITH {OVERLAP_SQL} SELECT flow_index, packet_index, direction, act AS action, CASE WHEN act IN ('repeated', 'known') THEN n WHEN act = 'trimmed' THEN overlap ELSE 0 END AS trimmed, CASE WHEN act IN ('repeated', 'known') THEN 0 WHEN act = 'trimmed' THEN n - overlap ELSE n END AS added, tainted FROM f WHERE rn > 0",
+    streams.overlapping_segments,
+)(lambda s: streams.contributions(s))
+
+HOST_SQL = "'host-' || page_id % 50 || '.example.org'"
+register(
+    "http_messages",
+    """WITH p AS (SELECT page_id, page_id % 6 AS k, '/p/' || page_id AS target, strlen(coalesce(html, '')) AS n FROM pages WHERE page_id IS NOT NULL),
+m AS (SELECT page_id, 'request' AS direction, 0 AS item, 'request' AS kind, 'HTTP GET ' || target AS label, 40 + length(target) AS header_bytes, 0 AS body_bytes FROM p
+UNION ALL SELECT page_id, 'response', 0, 'response', 'HTTP 200 OK', CASE WHEN k IN (1, 2) THEN 47 ELSE 37 + length(CAST(n + CASE WHEN k = 3 THEN 10 ELSE 0 END AS VARCHAR)) END, CASE WHEN k = 3 OR k = 2 THEN 0 WHEN k = 1 THEN n + length(printf('%x', n)) + CASE WHEN n = 0 THEN 4 ELSE 9 END ELSE n END FROM p
+UNION ALL SELECT page_id, 'response', 1, 'response', 'HTTP 404 Not Found', 26, 0 FROM p WHERE k IN (0, 1, 4)
+UNION ALL SELECT page_id, 'response', CASE WHEN k = 4 THEN 2 ELSE 1 END, 'partial', 'HTTP Payload (partial)', 0, CASE WHEN k = 4 THEN 8 WHEN k = 2 THEN n + 9 ELSE n END FROM p WHERE k IN (2, 4) OR (k = 3 AND n > 0))
+SELECT page_id AS flow_index, direction, CAST(item AS INTEGER) AS item, kind, label, CAST(header_bytes AS BIGINT) AS header_bytes, CAST(body_bytes AS BIGINT) AS body_bytes FROM m""",
+    streams.http_segments,
+)(lambda s: messages.http_messages(s).drop("first_packet", "last_packet"))
+DNS_TYPES = {0: (1, "'192.0.2.' || page_id % 250"), 1: (2, "'ns.example.org'"), 2: (5, "'www.example.org'"), 3: (12, "'host.example.org'"), 4: (15, "page_id % 100 || ' mail.example.org'"), 5: (16, "'v=' || page_id"), 6: (28, "'2001:0db8:0000:0000:0000:0000:0000:' || printf('%04x', page_id % 60000)"), 7: (33, "'1 2 ' || page_id % 1000 || ' srv.example.org'")}
+register(
+    "dns_messages",
+    f"""WITH p AS (SELECT page_id, page_id % 10 AS k, 'h' || page_id || '.example.org' AS name FROM pages WHERE page_id IS NOT NULL)
+SELECT page_id AS packet_index, CAST(page_id % 65536 AS INTEGER) AS id, CASE WHEN k = 8 THEN 'malformed' WHEN k = 9 THEN 'truncated' ELSE 'complete' END AS status, name AS question, CASE WHEN k < 8 THEN name END AS answer, CAST(CASE k {" ".join(f"WHEN {k} THEN {t}" for k, (t, _) in DNS_TYPES.items())} END AS INTEGER) AS type,
+CASE k {" ".join(f"WHEN {k} THEN {v}" for k, (_, v) in DNS_TYPES.items())} END AS value FROM p""",
+    streams.dns_packets,
+)(
+    lambda p: messages.dns_messages(p).select("packet_index", "dns.id", "dns.status", F.col("dns.questions")[0]["name"].alias("question"), F.get("dns.answers", F.lit(0)).alias("a")).select("packet_index", "id", "status", "question", F.col("a.name").alias("answer"), F.col("a.type").alias("type"), F.col("a.value").alias("value"))
 )
-def stream_overlap(spark, folder):
-    return streams.without_overlap(streams.segments_from_conversations(spark, folder))
+register(
+    "tls_records",
+    f"""WITH p AS (SELECT page_id, page_id % 4 AS k, length({HOST_SQL}) AS n, {HOST_SQL} AS host FROM pages WHERE page_id IS NOT NULL),
+r AS (SELECT page_id, 0 AS item, 'Handshake' AS type, 20 AS length, '' AS names, NULL AS server_name, NULL AS alert FROM p
+UNION ALL SELECT page_id, 1, 'Handshake', n + 36, 'ClientHello', host, NULL FROM p
+UNION ALL SELECT page_id, 2, 'ChangeCipherSpec', 1, '', NULL, NULL FROM p UNION ALL SELECT page_id, 3, 'Handshake', 16, '', NULL, NULL FROM p
+UNION ALL SELECT page_id, 4, 'Alert', 2, '', NULL, 40 FROM p WHERE k = 1 UNION ALL SELECT page_id, 4, 'ApplicationData', 300, '', NULL, NULL FROM p WHERE k = 2 UNION ALL SELECT page_id, 4, NULL, NULL, '', NULL, NULL FROM p WHERE k = 3)
+SELECT page_id AS flow_index, CAST(item AS INTEGER) AS item, type, CAST(length AS INTEGER) AS length, names, server_name, CAST(alert AS INTEGER) AS alert FROM r""",
+    streams.tls_segments,
+)(lambda s: messages.tls_records(s).select("flow_index", "item", "type", "length", F.array_join("handshakes.name", ",").alias("names"), F.get("handshakes", F.lit(0))["server_name"].alias("server_name"), "alert"))
+register(
+    "quic_server_names",
+    f"SELECT page_id AS flow_index, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1798521807 ELSE 4278190109 END AS version, CASE WHEN page_id % 7 <> 3 THEN {HOST_SQL} END AS server_name FROM pages WHERE page_id IS NOT NULL",
+    messages.quic_datagrams,
+)(lambda p: messages.quic_server_names(p, ["flow_index"]).drop("connection"))
 
 
 register("sample_whole_capture", f"WITH {PACKETS_SQL}, n AS (SELECT packet_index, row_number() OVER (ORDER BY packet_index) AS number, count(*) OVER () AS total, coalesce(sum(original_length) OVER (ORDER BY packet_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM packets WHERE protocol <> 6), b AS (SELECT max(number) FILTER (before < 300000) AS base FROM n) SELECT packet_index, number FROM n, b WHERE number <= base OR number = total OR (number - base) % 7 = 0", packets)(
