@@ -16,7 +16,7 @@ from .common import AgingMemory, discard, materialize, narrow, run_numbers, slic
 B_BITS = 32
 #: Parts of a text that both tokenizers cut apart: a blank after a character that is no white space begins the next one.
 PART = re.compile(r" (?:[^ ]+|(?<=\s) )*")
-REMEMBERED, LONGEST_REMEMBERED, ENCODED_AT_ONCE = 150_000, 100, 4_000
+REMEMBERED, LONGEST_REMEMBERED, ENCODED_AT_ONCE, TEXTS_AT_ONCE = 80_000, 64, 4_000, 32
 
 
 def byte_level() -> dict[str, int]:
@@ -80,15 +80,17 @@ class TokenizerPair:
                 size = ENCODED_AT_ONCE
         joined = [m for m in joined if m]
         found: list = [None] * len(parts)
-        ids = self.encode(["".join(parts[i] for i in m) for m in joined])
-        encoded = [(m, x) for m, x in zip(joined, ids, strict=True) if x is not None or len(m) == 1]
-        alone = [i for m, x in zip(joined, ids, strict=True) if x is None and len(m) > 1 for i in m]
-        encoded += zip([[i] for i in alone], self.encode([parts[i] for i in alone]), strict=True)
-        for members, pair in encoded:
-            if pair is not None:
-                lengths = [len(parts[i].encode()) for i in members]
-                for i, record in zip(members, self.records(*pair, np.cumsum(lengths)), strict=True):
-                    found[i] = record
+        for at in range(0, len(joined), TEXTS_AT_ONCE):
+            some = joined[at : at + TEXTS_AT_ONCE]
+            ids = self.encode(["".join(parts[i] for i in m) for m in some])
+            encoded = [(m, x) for m, x in zip(some, ids, strict=True) if x is not None or len(m) == 1]
+            alone = [i for m, x in zip(some, ids, strict=True) if x is None and len(m) > 1 for i in m]
+            encoded += zip([[i] for i in alone], self.encode([parts[i] for i in alone]), strict=True)
+            for members, pair in encoded:
+                if pair is not None:
+                    lengths = [len(parts[i].encode()) for i in members]
+                    for i, record in zip(members, self.records(*pair, np.cumsum(lengths)), strict=True):
+                        found[i] = record
         return found
 
     def records(self, a: np.ndarray, b: np.ndarray, part_ends: np.ndarray) -> list[tuple]:
