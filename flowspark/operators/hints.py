@@ -15,7 +15,7 @@ IMAP = re.compile(rb"\* OK|[A-Za-z0-9]+ (LOGIN|CAPABILITY)")
 MDNS_GROUPS = (bytes([224, 0, 0, 251]), bytes.fromhex("ff0200000000000000000000000000fb"))
 DHCP_MAGIC, STUN_MAGIC = 0x63825363, 0x2112A442
 QUIC_VERSIONS = {1: "v1", 0xFF00001D: "draft29", 0x6B3343CF: "v2"}
-NAMES = ["dns", "tls", "http", "ssh", "smtp", "pop3", "imap", "bittorrent", "mdns", "quic", "dhcp", "stun"]
+NAMES = ["dns", "tls", "http", "ssh", "smtp", "pop3", "imap", "bittorrent", "mdns", "quic", "dhcp", "stun", "igmp", "igmpv1", "igmpv2", "igmpv3"]
 PLAUSIBLE = re.compile(r"[A-Za-z0-9._-]+")
 SCHEMA = "hint string, service string, tls_version string, quic_version string"
 
@@ -107,7 +107,47 @@ def hello_name(hello: bytes) -> str | None:
     return None
 
 
-def find_hints(data: np.ndarray, at: np.ndarray, size: np.ndarray, protocol: np.ndarray, src_port: np.ndarray, dst_port: np.ndarray, targets: pa.Array) -> dict[str, pa.Array]:
+def dotted(address: bytes) -> str:
+    return ".".join(map(str, address))
+
+
+def arp_text(message: bytes | None) -> str | None:
+    """What an ARP message asks or says."""
+    if message is None:
+        return None
+    if len(message) < 8:
+        return "ARP"
+    hardware, size, code = message[4], message[5], int.from_bytes(message[6:8], "big")
+    if len(message) < 8 + 2 * hardware + 2 * size:
+        return "ARP"
+    if message[:6] != b"\0\1\x08\0\6\4":
+        return f"ARP opcode {code}" if code else "ARP"
+    sender, target = message[14:18], message[24:28]
+    if code in (1, 2) and sender == target and any(sender):
+        return f"Gratuitous ARP for {dotted(sender)}"
+    if code == 1:
+        return f"Who has {dotted(target)}? Tell {dotted(sender)}" if any(sender) else f"ARP probe for {dotted(target)}"
+    if code == 2:
+        return f"{dotted(sender)} is at {':'.join(f'{x:02x}' for x in message[8:14])}"
+    return f"ARP opcode {code}"
+
+
+def igmp_text(message: bytes, target: bytes) -> tuple[str, str]:
+    """IGMP's version and what the message says; the group is the message's, else the packet's destination."""
+    group = dotted(message[4:8] if any(message[4:8]) else target)
+    kind = message[0]
+    if kind == 0x11:
+        return ("igmpv2" if message[1] else "igmpv1"), f"Group-Specific Query {group}" if any(message[4:8]) else "General Query"
+    if kind in (0x12, 0x16):
+        return ("igmpv1" if kind == 0x12 else "igmpv2"), f"Membership Report {group}"
+    if kind == 0x17:
+        return "igmpv2", f"Leave Group {group}"
+    if kind == 0x22:
+        return "igmpv3", "IGMPv3 Membership Report"
+    return "igmp", f"Unknown IGMP Type 0x{kind:02x}"
+
+
+def find_hints(data: np.ndarray, at: np.ndarray, size: np.ndarray, protocol: np.ndarray, src_port: np.ndarray, dst_port: np.ndarray, targets: pa.Array, control: pa.Array) -> dict[str, pa.Array]:
     """The columns of ``SCHEMA``: the first rule that fits a payload. Fragments and packets without a payload (size 0) have no hint."""
     p = Payloads(data, np.where(size > 0, at, 0), size)
     filled = size > 0
@@ -153,6 +193,11 @@ def find_hints(data: np.ndarray, at: np.ndarray, size: np.ndarray, protocol: np.
     ):
         for i in np.flatnonzero(mask):
             service[i] = read(p.one(i))
+    for i in np.flatnonzero(protocol == 253):
+        service[i] = arp_text(control[int(i)].as_py())
+    for i in np.flatnonzero((protocol == 2) & control.is_valid().to_numpy(zero_copy_only=False)):
+        name, service[i] = igmp_text(control[int(i)].as_py(), targets[int(i)].as_py())
+        hint[i] = NAMES.index(name) + 1
     version = p.number(1, 2)
     tls = np.where(version == 0x0303, 1, np.where(version == 0x0304, 2, 3))
     quic = np.full(len(size), len(QUIC_VERSIONS) + 1)

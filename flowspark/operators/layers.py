@@ -30,7 +30,7 @@ UNSUPPORTED, NO_KEY = "Unsupported or malformed packet", "Could not extract flow
 # Selectors: an EtherType as it is, an IP protocol or IPv6 next header above its base, and names for the rest.
 V4, V6 = 1 << 16, 1 << 17
 OTHER = 1 << 18
-(ROOT_ETHERNET, ROOT_SLL, ROOT_SLL2, LLC, MPLS, MPLS_PAYLOAD, INNER_ETHERNET, VXLAN, GENEVE, GTPU, EOIP_FRAME) = range(OTHER, OTHER + 11)
+(ROOT_ETHERNET, ROOT_SLL, ROOT_SLL2, LLC, MPLS, MPLS_PAYLOAD, INNER_ETHERNET, VXLAN, GENEVE, GTPU) = range(OTHER, OTHER + 10)
 DONE, FAILED = -1, -2
 IN_PBB, IN_WIRE = 1, 2
 
@@ -445,7 +445,7 @@ class Machine:
         i = self.split(i, self.has(i, 4), NO_KEY)
         flags, kind = self.number(i, 0, 2), self.number(i, 2, 2)
         bridged = (flags & 0xB007 == 0x2001) & (kind == EOIP) & (self.kind[i] == V4 + GRE)
-        self.kind[i[bridged]] = EOIP_FRAME
+        self.eoip(i[bridged])
         i, flags, kind = i[~bridged], flags[~bridged], kind[~bridged]
         fields = [(flags & bit) != 0 for bit in (0x8000, 0x2000, 0x1000)]
         header = 4 + 4 * sum(x.astype(np.int64) for x in fields)
@@ -473,7 +473,9 @@ class Machine:
     def ip_in_ip(self, i: np.ndarray) -> None:
         i = self.outside(i)
         self.tunnelled[i] = True
-        self.kind[i] = np.where(self.protocol[i] == IP_IN_IP, IPV4, IPV6)
+        first = self.protocol[i] == IP_IN_IP
+        self.ipv4(i[first])
+        self.ipv6(i[~first])
 
     def unknown(self, i: np.ndarray) -> None:
         ip = self.kind[i] & (V4 | V6) != 0
@@ -511,6 +513,12 @@ class Machine:
         buffers = [pa.array(valid).buffers()[1] if valid is not None else None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.data[place])]
         return pa.Array.from_buffers(pa.binary(), len(starts), buffers)
 
+    def control(self, found: np.ndarray) -> pa.Array:
+        """ARP, ICMP and IGMP messages from their header on, null for other packets."""
+        own = found & ~self.fragmented & np.isin(self.protocol, (ICMP, IGMP, ICMPV6, OF_ARP))
+        sizes = np.where(own, np.maximum(np.minimum(self.cap, self.end) - self.at, 0), 0)
+        return self.bytes_at(np.where(own, self.at, 0), sizes, own)
+
     def payloads(self) -> np.ndarray:
         inside = np.minimum(self.cap, self.end) - self.payload_at
         return np.where(self.payload_at > 0, np.maximum(inside, 0), 0)
@@ -538,20 +546,21 @@ class Machine:
             "is_ip_fragmented": pa.array(self.fragmented & found),
             "payload_length": pa.array(sizes, pa.int64()),
             "payload": self.bytes_at(np.where(sizes > 0, self.payload_at, 0), sizes),
+            "control": self.control(found),
             "reason": reasons.take(pa.array(self.reason, mask=found)),
         }
 
 
 SELECTORS = {
     ROOT_ETHERNET: Machine.ethernet, ROOT_SLL: Machine.cooked, ROOT_SLL2: Machine.cooked_2, LLC: Machine.llc, MPLS: Machine.mpls, MPLS_PAYLOAD: Machine.mpls_payload, INNER_ETHERNET: Machine.inner_ethernet,
-    VXLAN: Machine.vxlan, GENEVE: Machine.geneve, GTPU: Machine.gtpu, EOIP_FRAME: Machine.eoip, PBB: Machine.pbb, MACSEC: Machine.macsec, PPPOE_DISCOVERY: Machine.pppoe_discovery, PPPOE_SESSION: Machine.pppoe_session,
+    VXLAN: Machine.vxlan, GENEVE: Machine.geneve, GTPU: Machine.gtpu, PBB: Machine.pbb, MACSEC: Machine.macsec, PPPOE_DISCOVERY: Machine.pppoe_discovery, PPPOE_SESSION: Machine.pppoe_session,
     IPV4: Machine.ipv4, IPV6: Machine.ipv6, ARP: Machine.arp, V6 + FRAGMENT: Machine.fragment_header,
     **dict.fromkeys(VLAN_TYPES, Machine.vlan), **{V6 + x: Machine.extension for x in EXTENSIONS},
     **{base + x: f for base in (V4, V6) for x, f in {AH: Machine.authentication, ESP: Machine.encrypted, GRE: Machine.gre, ICMP: Machine.control_message, ICMPV6: Machine.control_message, IGMP: Machine.group_message,
        IP_IN_IP: Machine.ip_in_ip, IPV6_IN_IP: Machine.ip_in_ip, TCP: Machine.tcp, UDP: Machine.udp, SCTP: Machine.sctp}.items()},
 }
 
-SCHEMA = "family string, src_addr binary, dst_addr binary, src_port int, dst_port int, protocol int, path array<string>, tcp_flags int, sequence long, acknowledgement long, is_ip_fragmented boolean, payload_length long, payload binary, reason string, " + hints.SCHEMA
+SCHEMA = "family string, src_addr binary, dst_addr binary, src_port int, dst_port int, protocol int, path array<string>, tcp_flags int, sequence long, acknowledgement long, is_ip_fragmented boolean, payload_length long, payload binary, control binary, reason string, " + hints.SCHEMA
 
 
 def walk_layers(packets: pa.Array, links: pa.Array, originals: pa.Array | None = None) -> dict[str, pa.Array]:
@@ -569,4 +578,4 @@ def walk_layers(packets: pa.Array, links: pa.Array, originals: pa.Array | None =
     found = machine.columns()
     sizes = found["payload_length"].to_numpy()
     ports = (found[c].to_numpy() for c in ("src_port", "dst_port"))
-    return found | hints.find_hints(machine.data, machine.payload_at, sizes, machine.protocol, *ports, found["dst_addr"])
+    return found | hints.find_hints(machine.data, machine.payload_at, sizes, machine.protocol, *ports, found["dst_addr"], found["control"])

@@ -161,7 +161,8 @@ def record_items(data: bytes):
             pending += body
             while len(pending) >= 4 and len(pending) >= 4 + int.from_bytes(pending[1:4], "big"):
                 length = int.from_bytes(pending[1:4], "big")
-                messages.append((HANDSHAKES.get(pending[0], "unknown"), length, hello_name(pending[4 : 4 + length]) if pending[0] == 1 else None))
+                body_of = pending[4 : 4 + length]
+                messages.append((HANDSHAKES.get(pending[0], "unknown"), length, hello_name(body_of) if pending[0] == 1 else None, first_certificate(body_of) if pending[0] == 11 else None))
                 pending = pending[4 + length :]
         elif kind == 20:
             opened = False
@@ -171,7 +172,7 @@ def record_items(data: bytes):
         at += 5 + size
 
 
-@udtf(returnType="flow_index long, direction string, item int, type string, version int, length int, first_packet long, last_packet long, handshakes array<struct<name:string,length:int,server_name:string>>, alert int, complete boolean")
+@udtf(returnType="flow_index long, direction string, item int, type string, version int, length int, first_packet long, last_packet long, handshakes array<struct<name:string,length:int,server_name:string,certificate:struct<subject:string,issuer:string,valid_from:string,valid_to:string,dns_names:array<string>>>>, alert int, complete boolean")
 class TlsRecords:
     """Reads each direction's payloads, which come in packet order, as TLS records; what is no record ends a direction with a row without type."""
 
@@ -186,7 +187,7 @@ class TlsRecords:
         data = bytes(self.stream.data)
         for n, (at, kind, version, size, messages, alert, complete) in enumerate(record_items(data)):
             end = min(len(data), at + 5 + size) if size is not None else len(data)
-            yield (*self.key, n, kind, version, size, *self.stream.packets_of(at, end), [{"name": a, "length": b, "server_name": c} for a, b, c in messages], alert, complete)
+            yield (*self.key, n, kind, version, size, *self.stream.packets_of(at, end), [{"name": a, "length": b, "server_name": c, "certificate": d} for a, b, c, d in messages], alert, complete)
 
 
 def by_direction(function, segments: DataFrame) -> DataFrame:
@@ -208,6 +209,113 @@ def tls_records(segments: DataFrame) -> DataFrame:
     return by_direction(TlsRecords, segments)
 
 
+# Certificates ------------------------------------------------------------------------------------------
+
+COMMON_NAME, ALTERNATIVE_NAMES = b"\x55\x04\x03", b"\x55\x1d\x11"
+
+
+def elements(data: bytes):
+    """(tag, value) of the DER elements in a row; stops where one does not fit."""
+    at = 0
+    while at + 2 <= len(data):
+        tag, size, at = data[at], data[at + 1], at + 2
+        if size & 0x80:
+            n = size & 0x7F
+            if not n or n > 4 or at + n > len(data):
+                return
+            size, at = int.from_bytes(data[at : at + n], "big"), at + n
+        if at + size > len(data):
+            return
+        yield tag, data[at : at + size]
+        at += size
+
+
+def common_name(name: bytes) -> str:
+    for _, group in elements(name):
+        for _, pair in elements(group):
+            parts = list(elements(pair))
+            if len(parts) == 2 and parts[0] == (6, COMMON_NAME):
+                return parts[1][1].decode("latin-1")
+    return ""
+
+
+def certificate_summary(data: bytes) -> dict | None:
+    """Common names of subject and issuer, validity as written, and DNS names of a DER certificate; None for what is none."""
+    outer = next(elements(data), None)
+    body = next(elements(outer[1]), None) if outer and outer[0] == 0x30 else None
+    if not body or body[0] != 0x30:
+        return None
+    parts = list(elements(body[1]))
+    parts = parts[1:] if parts and parts[0][0] == 0xA0 else parts  # the version
+    if len(parts) < 5:
+        return None
+    times = [v.decode("latin-1") for _, v in elements(parts[3][1])]
+    names = []
+    for wrapped in (v for tag, v in parts[5:] if tag == 0xA3):
+        for _, extension in (e for _, v in elements(wrapped) for e in elements(v)):
+            fields = list(elements(extension))
+            if fields and fields[0] == (6, ALTERNATIVE_NAMES) and fields[-1][0] == 4:
+                names += [v.decode("latin-1") for _, held in elements(fields[-1][1]) for tag, v in elements(held) if tag == 0x82]
+    return {"subject": common_name(parts[4][1]), "issuer": common_name(parts[2][1]), "valid_from": times[0] if len(times) == 2 else "", "valid_to": times[1] if len(times) == 2 else "", "dns_names": names}
+
+
+def first_certificate(message: bytes) -> dict | None:
+    """The first certificate of a Certificate message's list."""
+    if len(message) < 6:
+        return None
+    size = int.from_bytes(message[3:6], "big")
+    return certificate_summary(message[6 : 6 + size]) if 6 + size <= len(message) else None
+
+
+# ICMP --------------------------------------------------------------------------------------------------
+
+# Kinds of ICMP and ICMPv6 messages by type.
+ICMP_KINDS = {0: "echo reply", 3: "destination unreachable", 5: "redirect", 8: "echo request", 11: "time exceeded", 12: "parameter problem"}
+ICMPV6_KINDS = {1: "destination unreachable", 3: "time exceeded", 4: "parameter problem", 128: "echo request", 129: "echo reply", 137: "redirect"}
+
+
+def icmp_messages(packets: DataFrame) -> DataFrame:
+    """The ICMP messages among dissected packets: kind, type, code, identifier and sequence of echoes, next MTU, gateway, pointer and quoted bytes."""
+    size, byte = F.octet_length("control"), lambda at, n=1: F.when(F.octet_length("control") >= at + n, F.conv(F.hex(F.substring("control", at + 1, n)), 16, 10).cast("long"))
+    own = packets.where("protocol in (1, 58) and control is not null")
+    kind = F.lit("unknown")
+    for protocol, kinds in ((1, ICMP_KINDS), (58, ICMPV6_KINDS)):
+        for code, name in kinds.items():
+            kind = F.when((F.col("protocol") == protocol) & (byte(0) == code), name).otherwise(kind)
+    own = own.withColumn("kind", kind)
+    of = lambda name, value: F.when(F.col("kind") == name, value)
+    echo = F.col("kind").isin("echo request", "echo reply")
+    quoting = F.col("kind").isin("destination unreachable", "time exceeded", "redirect", "parameter problem")
+    return own.select(
+        "packet_index", "kind", byte(0).cast("int").alias("type"), byte(1).cast("int").alias("code"), F.when(echo, byte(4, 2)).cast("int").alias("identifier"), F.when(echo, byte(6, 2)).cast("int").alias("sequence"),
+        of("destination unreachable", F.when((F.col("protocol") == 1) & (byte(1) == 4), byte(6, 2))).cast("int").alias("next_mtu"), of("redirect", F.when(F.col("protocol") == 1, F.hex(F.substring("control", 5, 4)))).alias("gateway"),
+        of("parameter problem", byte(4)).cast("int").alias("pointer"), F.when(quoting, F.greatest(size - 8, F.lit(0))).cast("long").alias("quoted_bytes"), F.when(size >= 8, "complete").otherwise("truncated").alias("status"),
+    )
+
+
+# Items -------------------------------------------------------------------------------------------------
+
+
+def stream_items(messages: DataFrame, records: DataFrame) -> DataFrame:
+    """HTTP messages and TLS records as items of their flows: flow_index, first_packet, direction, item, label."""
+    http = messages.select("flow_index", "first_packet", "direction", "item", "label")
+    label = F.concat(F.lit("TLS "), F.coalesce("type", F.lit("Payload (partial)")), F.when(F.size("handshakes") > 0, F.concat(F.lit(": "), F.array_join("handshakes.name", ", "))).otherwise(""))
+    return http.unionByName(records.select("flow_index", "first_packet", "direction", "item", label.alias("label")))
+
+
+def items_page(items: DataFrame, flow_index: int, after: tuple | None = None, limit: int = 15) -> tuple[list, tuple | None]:
+    """The next ``limit`` items of a flow and where to go on, or None at the end. One item more is looked at, none is counted.
+
+    ``after`` is the place of the last item of the page before: (first_packet, direction, item).
+    """
+    order = ["first_packet", "direction", "item"]
+    own = items.where(F.col("flow_index") == flow_index)
+    if after is not None:
+        own = own.where(F.struct(*order) > F.struct(*[F.lit(v).cast(dict(items.dtypes)[c]).alias(c) for c, v in zip(order, after, strict=True)]))
+    found = own.orderBy(*order).limit(limit + 1).collect()
+    return found[:limit], tuple(found[limit - 1][c] for c in order) if len(found) > limit else None
+
+
 # DNS ---------------------------------------------------------------------------------------------------
 
 

@@ -62,6 +62,10 @@ SORT_KEYS = {
     "source": ["family", "ep_a"],
     "destination": ["family", "ep_b"],
     "fragments": ["fragmented_packet_count"],
+    "family": ["family"],
+    "hint": ["hint_text"],
+    "port_a": ["ep_a.port", "ep_a.addr"],
+    "port_b": ["ep_b.port", "ep_b.addr"],
 }
 
 

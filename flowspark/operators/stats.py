@@ -131,3 +131,26 @@ def version_recognition(flows: DataFrame) -> DataFrame:
     found = flows.where(F.col("protocol_hint").isin("quic", "tls")).groupBy(F.col("protocol_hint").alias("hint"), version.alias("version"))
     found = found.agg(F.count("*").alias("flow_count"), F.count("service_hint").alias("with_sni"), (F.count("*") - F.count("service_hint")).alias("without_sni"))
     return rows.join(found, ["hint", "version"], "left").na.fill(0)
+
+
+# Names of the versions of TLS and QUIC.
+VERSION_TEXTS = {"tls12": "TLS 1.2", "tls13": "TLS 1.3", "v1": "QUIC v1", "draft29": "QUIC draft-29", "v2": "QUIC v2"}
+NO_PANEL = "No protocol-specific metadata available"
+
+
+def protocol_panel(flows: DataFrame, controls: DataFrame) -> DataFrame:
+    """What is to be told of each flow's protocol: version and service of TLS and QUIC, control packets of TCP, or that there is nothing.
+
+    ``controls`` has the flows' SYN, FIN and RST counts by flow_index.
+    """
+    hint = F.col("protocol_hint")
+    version = F.when(hint == "tls", F.col("tls_version")).when(hint == "quic", F.col("quic_version"))
+    text = F.lit("unknown")
+    for value, name in VERSION_TEXTS.items():
+        text = F.when(version == value, name).otherwise(text)
+    told = hint.isin("tls", "quic")
+    joined = flows.join(controls, "flow_index", "left")
+    tcp = F.col("protocol") == 6
+    counts = [F.when(tcp, F.coalesce(c, F.lit(0))).alias(c) for c in ("syn_count", "fin_count", "rst_count")]
+    nothing = ~F.coalesce(told, F.lit(False)) & ~tcp
+    return joined.select("flow_index", F.when(told, text).alias("version_text"), F.when(told, F.col("service_hint")).alias("service_text"), *counts, F.when(nothing, NO_PANEL).alias("fallback_text"))

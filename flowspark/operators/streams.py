@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scan import BLOCK, with_running
+
 # Request methods, each followed by a blank.
 HTTP_METHODS = ["GET", "POST", "PUT", "HEAD", "DELETE", "OPTIONS", "PATCH", "CONNECT", "TRACE"]
 MAX_PACKETS, MAX_BYTES = 128, 128 * 1024
@@ -25,7 +27,7 @@ def retransmissions(segments: DataFrame) -> DataFrame:
     return ranked.select("flow_index", "packet_index", "direction", F.octet_length("payload").cast("long").alias("payload_length"))
 
 
-def contributions(segments: DataFrame) -> DataFrame:
+def contributions(segments: DataFrame, carry: bool = False) -> DataFrame:
     """What each TCP segment adds to its direction in packet order: action, trimmed and added bytes, and whether the direction is tainted by a gap.
 
     A direction's first segment says where its stream begins and what comes next. A segment that
@@ -46,7 +48,7 @@ def contributions(segments: DataFrame) -> DataFrame:
     original = F.col("original_length") if "original_length" in segments.columns else size
     rows = segments.where(size > 0).select("flow_index", "direction", "packet_index", F.col("sequence").cast("long"), F.col("acknowledgement").cast("long"), original.cast("long").alias("original"), F.col("payload").cast("binary").alias("payload"), again.alias("again"))
     ordered = rows.repartition("flow_index", "direction").sortWithinPartitions("flow_index", "direction", "packet_index")
-    names = ["flow_index", "direction", "packet_index", "action", "trimmed", "added", "tainted"]
+    names = ["flow_index", "direction", "packet_index", "action", "trimmed", "added", "tainted"] + ["payload"] * carry
 
     def fold(batches):
         key, state = None, None
@@ -59,9 +61,9 @@ def contributions(segments: DataFrame) -> DataFrame:
                 found.append(state.take(sequence, acknowledgement, sent, payload, repeated))
             columns = zip(*found, strict=True) if found else ([], [], [], [])
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], *[batch.column(6)] * carry], names=names)
 
-    return ordered.mapInArrow(fold, f"flow_index {kinds['flow_index']}, direction {kinds['direction']}, packet_index {kinds['packet_index']}, action string, trimmed long, added long, tainted boolean")
+    return ordered.mapInArrow(fold, f"flow_index {kinds['flow_index']}, direction {kinds['direction']}, packet_index {kinds['packet_index']}, action string, trimmed long, added long, tainted boolean{', payload binary' * carry}")
 
 
 class Contribution:
@@ -145,6 +147,32 @@ def overlapping_segments(spark: SparkSession, folder: str) -> DataFrame:
     return each.select("flow_index", "direction", "segment.*").where("payload is not null")
 
 
+def reassembled_by_contribution(segments: DataFrame, max_packets: int = MAX_PACKETS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Each direction's bytes as its segments contribute them (see ``contributions``), up to its first gap and within a budget, with marks of their quality.
+
+    Columns byte_count, content_md5, packets_used, first_gap (the packet at which a gap stopped it), by_packets and
+    by_bytes (which budget cut it), without_payload (packets that carry nothing) and suppressed (bytes known before).
+    """
+    order = ["packet_index"]
+    placed = with_running(segments.withColumn("_way", F.struct("flow_index", "direction")), "_way", order, sums={"_at": F.lit(1)}).drop("_way", BLOCK)
+    total = placed.groupBy("flow_index", "direction").agg(F.count("*").alias("_n"), F.max((F.col("_at") < max_packets) & (F.octet_length("payload") == 0)).alias("without_payload"))
+    inside = placed.where(F.col("_at") < max_packets).drop("_at")
+    own = contributions(inside, carry=True).withColumn("_way", F.struct("flow_index", "direction"))
+    whole = own.withColumn("_taken", F.when(~F.col("tainted"), F.col("added")).otherwise(0))
+    run = with_running(whole, "_way", order, sums={"_before": F.col("_taken")}).drop("_way", BLOCK)
+    seen = ~F.col("tainted") & (F.col("_before") < max_bytes)
+    piece = F.when(seen & (F.col("added") > 0), F.struct("packet_index", F.substring(F.col("payload"), (F.col("trimmed") + 1).cast("int"), F.least(F.col("added"), F.lit(max_bytes) - F.col("_before")).cast("int")).alias("bytes")))
+    found = run.groupBy("flow_index", "direction").agg(
+        F.sort_array(F.collect_list(piece)).alias("_pieces"),
+        F.min(F.when(F.col("tainted"), F.col("packet_index"))).alias("_gap"),
+        F.max(~F.col("tainted") & (F.col("added") > 0) & (F.col("_before") + F.col("added") > max_bytes)).alias("by_bytes"),
+        F.max(F.when(F.col("added") > 0, seen & (F.col("trimmed") > 0)).otherwise(~F.col("tainted") & (F.col("_before") <= max_bytes))).alias("suppressed"),
+    )
+    joined = found.join(total, ["flow_index", "direction"])
+    data = F.array_join(F.transform("_pieces", lambda x: F.hex(x["bytes"])), "")
+    return joined.select("flow_index", "direction", (F.length(data) / 2).cast("long").alias("byte_count"), F.md5(F.unhex(data)).alias("content_md5"), F.size("_pieces").cast("long").alias("packets_used"), F.when(~F.col("by_bytes"), F.col("_gap")).alias("first_gap"), (F.col("_n") > max_packets).alias("by_packets"), "by_bytes", "without_payload", "suppressed")
+
+
 def reassembled(segments: DataFrame, max_packets: int = MAX_PACKETS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Each direction's payload in packet order within a budget of packets and bytes, and whether the budget cut it."""
     order = Window.partitionBy("flow_index", "direction").orderBy("packet_index")
@@ -245,6 +273,30 @@ def tls_segments(spark: SparkSession, folder: str) -> DataFrame:
     return in_pieces(made.select(F.col("page_id").alias("flow_index"), F.lit("A->B").alias("direction"), data.alias("data")), 33)
 
 
+def certificate_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """A TLS Certificate message for each page, of a certificate that names the page's host; every ninth holds something else."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").where("page_id is not null")
+    hexed = lambda digits: (F.unhex(F.lit(digits)), F.lit(len(digits) // 2))
+    text = lambda value: (value.cast("binary"), F.length(value))
+    joined = lambda *parts: (F.concat(*[b for b, _ in parts]), sum((n for _, n in parts[1:]), parts[0][1]))
+
+    def tlv(tag: str, *parts):
+        data, n = joined(*parts)
+        return F.concat(F.unhex(F.lit(f"{tag}82")), number_bytes(n, 2), data), n + 4
+
+    name = lambda value: tlv("30", tlv("31", tlv("30", hexed("0603550403"), tlv("0c", text(value)))))
+    host = page_host()
+    day = lambda year: tlv("17", text(F.concat(F.lit(str(year)), F.lpad((F.col("page_id") % 12 + 1).cast("string"), 2, "0"), F.lit("01000000Z"))))
+    names = tlv("30", tlv("82", text(host)), tlv("82", text(F.concat(F.lit("www."), host))))
+    extensions = tlv("a3", tlv("30", tlv("30", hexed("0603551d0f" + "0101ff" + "040100"), ), tlv("30", hexed("0603551d11"), tlv("04", names))))
+    issuer = F.concat(F.lit("CA "), (F.col("page_id") % 7).cast("string"))
+    body = tlv("30", hexed("a003020102"), hexed("020105"), hexed("3000"), name(issuer), tlv("30", day(24), day(34)), name(host), hexed("3000"), extensions)
+    certificate, n = tlv("30", body, hexed("3000"), hexed("0300"))
+    made = pages.withColumn("certificate", F.when(F.col("page_id") % 9 == 4, F.unhex(F.lit("04023000"))).otherwise(certificate)).withColumn("n", F.octet_length("certificate"))
+    message = F.concat(F.unhex(F.lit("160303")), number_bytes(F.col("n") + 10, 2), F.unhex(F.lit("0b")), number_bytes(F.col("n") + 6, 3), number_bytes(F.col("n") + 3, 3), number_bytes(F.col("n"), 3), F.col("certificate"))
+    return in_pieces(made.select(F.col("page_id").alias("flow_index"), F.lit("B->A").alias("direction"), message.alias("data")), 100)
+
+
 def text_hint(payload: Column) -> Column:
     """``http`` or ``ssh`` by how the payload begins."""
     http = payload.startswith("HTTP/1.")

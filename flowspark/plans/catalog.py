@@ -11,9 +11,9 @@ from ..functions.storage import scratch_path, stored
 from ..operators import analysis, dissect, messages, query, reports, stats, streams
 from ..operators import flows as flow_ops
 from ..operators.query import FlowQuery, Retention
-from ..sources.pcap import read_captures
-from ..sources.sinks import write_captures
-from ..sources.views import frames_from_events, layered_frames, packets_from_events, packets_from_lineitem
+from ..sources.pcap import fetch_bytes, read_captures
+from ..sources.sinks import read_index, write_captures, write_index
+from ..sources.views import frames_from_events, icmp_frames, layered_frames, packets_from_events, packets_from_lineitem
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -391,8 +391,11 @@ def lineitem_flows(spark, folder):
 
 @register("stored_index_totals", f"WITH {PACKETS_SQL} SELECT protocol, count(*) AS packet_count, CAST(sum(original_length) AS BIGINT) AS total_bytes FROM packets GROUP BY 1")
 def stored_index_totals(spark, folder):
-    """Packets written as an index and read back."""
-    return stored(packets(spark, folder), "index").groupBy("protocol").agg(F.count("*").alias("packet_count"), F.sum("original_length").alias("total_bytes"))
+    """Packets and flows written as an index and read back."""
+    path = scratch_path(spark, "index")
+    found = packets(spark, folder)
+    write_index(spark, found, flow_ops.flows_of(found), path)
+    return read_index(spark, path)[0].groupBy("protocol").agg(F.count("*").alias("packet_count"), F.sum("original_length").alias("total_bytes"))
 
 
 @register("path_intern", f"WITH {PACKETS_SQL}, s AS (SELECT path AS protocol_path, min(packet_index) AS first_packet_index FROM packets GROUP BY 1) SELECT protocol_path, row_number() OVER (ORDER BY first_packet_index) AS path_id FROM s", flows)
@@ -559,6 +562,68 @@ def capture_scan(spark, folder):
     return found.groupBy(F.col("protocol").cast("long").alias("protocol")).agg(F.count("*").alias("packet_count"), F.sum("payload_length").alias("payload_bytes"), F.min("ts_us").alias("first_ts_us"), F.max("ts_us").alias("last_ts_us"))
 
 
+# Control messages, panel, references and lookups ------------------------------------------------------
+
+register(
+    "control_texts",
+    f"WITH {LAYERED_SQL}, c AS (SELECT packet_index, packet_index % 40 AS kind, src, CASE WHEN src = lo THEN hi ELSE lo END AS dst FROM packets) SELECT packet_index, CASE WHEN kind = 25 THEN 'igmpv2' END AS hint, CASE kind WHEN 25 THEN 'Membership Report 224.1.2.3' WHEN 26 THEN 'Who has ' || {ip_sql('dst')} || '? Tell ' || {ip_sql('src')} END AS service FROM c WHERE kind IN (24, 25, 26)",
+    layered,
+)(lambda f: dissect.recognized(f).where("control is not null").select("packet_index", "hint", "service"))
+register(
+    "icmp_messages",
+    f"""WITH {PACKETS_SQL}, c AS (SELECT packet_index AS i, packet_index % 6 AS k, CASE WHEN src = lo THEN hi ELSE lo END AS dst FROM packets)
+SELECT i AS packet_index, CASE k WHEN 0 THEN 'echo request' WHEN 1 THEN 'destination unreachable' WHEN 2 THEN 'time exceeded' WHEN 3 THEN 'redirect' WHEN 4 THEN 'parameter problem' ELSE 'echo reply' END AS kind, CAST(CASE k WHEN 0 THEN 8 WHEN 1 THEN 3 WHEN 2 THEN 11 WHEN 3 THEN 5 WHEN 4 THEN 12 ELSE 0 END AS INTEGER) AS type,
+CAST(CASE k WHEN 1 THEN 4 WHEN 3 THEN 1 ELSE 0 END AS INTEGER) AS code, CAST(CASE WHEN k = 0 THEN i % 65536 END AS INTEGER) AS identifier, CAST(CASE WHEN k = 0 THEN i % 100 END AS INTEGER) AS sequence, CAST(CASE WHEN k = 1 THEN i % 1500 END AS INTEGER) AS next_mtu,
+CASE WHEN k = 3 THEN printf('%08X', dst // 65536) END AS gateway, CAST(CASE WHEN k = 4 THEN i % 40 END AS INTEGER) AS pointer, CAST(CASE WHEN k BETWEEN 1 AND 4 THEN 28 END AS BIGINT) AS quoted_bytes, CASE WHEN k = 5 THEN 'truncated' ELSE 'complete' END AS status FROM c""",
+    lambda spark, folder: dissect.dissect(icmp_frames(spark, folder)),
+)(messages.icmp_messages)
+PANEL_SQL = f"""{FRAME_FLOWS_SQL}, p AS (SELECT *, CASE WHEN protocol = 6 THEN 1 END AS tcp FROM g), v AS (SELECT least(s, d) AS lo, greatest(s, d) AS hi, protocol, replace(protocol_path, ' -> VLAN(vid=0)', '') AS path, count(*) FILTER (NOT fragmented AND tcp_flags & 2 <> 0) AS syn, count(*) FILTER (NOT fragmented AND tcp_flags & 1 <> 0) AS fin, count(*) FILTER (NOT fragmented AND tcp_flags & 4 <> 0) AS rst FROM h GROUP BY 1, 2, 3, 4)"""
+
+
+@register(
+    "protocol_panel",
+    f"""WITH {PANEL_SQL} SELECT {ep_sql('lo')} AS endpoint_lo, {ep_sql('hi')} AS endpoint_hi, path AS protocol_path, CASE WHEN hint IN ('tls', 'quic') THEN CASE CASE hint WHEN 'tls' THEN tls_version ELSE quic_version END WHEN 'tls12' THEN 'TLS 1.2' WHEN 'tls13' THEN 'TLS 1.3' WHEN 'v1' THEN 'QUIC v1' WHEN 'draft29' THEN 'QUIC draft-29' WHEN 'v2' THEN 'QUIC v2' ELSE 'unknown' END END AS version_text,
+CASE WHEN hint IN ('tls', 'quic') THEN service END AS service_text, CASE WHEN tcp = 1 THEN syn END AS syn_count, CASE WHEN tcp = 1 THEN fin END AS fin_count, CASE WHEN tcp = 1 THEN rst END AS rst_count, CASE WHEN tcp IS NULL AND coalesce(hint, '') NOT IN ('tls', 'quic') THEN 'No protocol-specific metadata available' END AS fallback_text FROM p JOIN v USING (lo, hi, protocol, path)""",
+    frames,
+)
+def protocol_panel(f):
+    packets = stored(dissect.recognized(f).drop("bytes", "payload"), "dissected")
+    found = flow_ops.list_flows(packets)
+    own = flow_ops.with_flow(packets, found, "flow_index")
+    panel = stats.protocol_panel(found, analysis.control_counts(own))
+    ends = found.select("flow_index", X.endpoint_text(F.col("ep_lo.addr"), F.col("ep_lo.port")).alias("endpoint_lo"), X.endpoint_text(F.col("ep_hi.addr"), F.col("ep_hi.port")).alias("endpoint_hi"), "protocol_path")
+    return ends.join(panel, "flow_index").drop("flow_index")
+
+
+@register(
+    "path_lookup",
+    f"WITH {PACKETS_SQL}, s AS (SELECT path, row_number() OVER (ORDER BY min(packet_index)) AS path_id FROM packets GROUP BY 1) SELECT packet_index, path_id, path AS protocol_path FROM packets JOIN s USING (path)",
+)
+def path_lookup(spark, folder):
+    """Packets that keep the number of their path only, and the path looked up again."""
+    found = flow_ops.normalize_path(packets(spark, folder)).withColumn("protocol_path", X.path_text(F.col("path")))
+    first = found.groupBy("protocol_path").agg(F.min("packet_index").alias("first_packet_index"))
+    known = stored(flow_ops.numbered(first, ["first_packet_index"], "path_id").select("protocol_path", "path_id"), "paths")
+    slim = stored(found.join(known, "protocol_path").select("packet_index", "path_id"), "packets")
+    return slim.join(known, "path_id")
+
+
+@register(
+    "packet_bytes_by_reference",
+    f"WITH {FRAMES_SQL}, r AS (SELECT packet_index, CASE WHEN packet_index % 50 <> 0 THEN 38 + CASE WHEN protocol = 6 THEN 20 ELSE 8 END + size ELSE CASE packet_index % 200 WHEN 0 THEN 2 WHEN 50 THEN 44 WHEN 100 THEN 20 ELSE 21 END END AS n FROM frames) SELECT count(*) AS packet_count, CAST(sum(n) AS BIGINT) AS byte_count, CAST(0 AS BIGINT) AS different FROM r WHERE packet_index % 9 = 4",
+)
+def packet_bytes_by_reference(spark, folder):
+    """Packets chosen by their metadata, whose bytes are then read from the captures by file and offset."""
+    path = scratch_path(spark, "captures")
+    made = frames_from_events(spark, folder)
+    write_captures(made, path, single=True)
+    index = read_captures(spark, path).drop("bytes")
+    chosen = index.where("packet_index % 9 = 4").select("file", "packet_index", "byte_offset", "captured_length")
+    late = fetch_bytes(chosen).select("packet_index", "captured_length", "bytes")
+    both = late.join(made.select("packet_index", F.md5("bytes").alias("made")), "packet_index")
+    return both.agg(F.count("*").alias("packet_count"), F.sum(F.octet_length("bytes")).alias("byte_count"), F.sum((F.md5("bytes") != F.col("made")).cast("long")).alias("different"))
+
+
 # Streams: contributions of segments, and messages ---------------------------------------------------
 
 OVERLAP_SQL = """RECURSIVE own AS (SELECT conv_id, role, turn, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM conversations WHERE text IS NOT NULL AND text <> ''),
@@ -581,6 +646,15 @@ register(
     streams.overlapping_segments,
 )(lambda s: streams.contributions(s))
 
+register(
+    "reassembled_streams",
+    f"""WITH {OVERLAP_SQL}, n AS (SELECT f.*, s1.payload, CASE WHEN act IN ('repeated', 'known') THEN n WHEN act = 'trimmed' THEN overlap ELSE 0 END AS trimmed, CASE WHEN act IN ('repeated', 'known') THEN 0 WHEN act = 'trimmed' THEN n - overlap ELSE n END AS added FROM f JOIN s1 USING (flow_index, direction, rn) WHERE rn BETWEEN 1 AND 6),
+b AS (SELECT *, coalesce(sum(CASE WHEN tainted THEN 0 ELSE added END) OVER (PARTITION BY flow_index, direction ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n),
+r AS (SELECT flow_index, direction, coalesce(string_agg(CASE WHEN NOT tainted AND before < 250 AND added > 0 THEN substr(payload, CAST(trimmed + 1 AS BIGINT), CAST(least(added, 250 - before) AS BIGINT)) END, '' ORDER BY rn), '') AS data, count(*) FILTER (NOT tainted AND before < 250 AND added > 0) AS packets_used,
+  min(packet_index) FILTER (tainted) AS gap, bool_or(NOT tainted AND added > 0 AND before + added > 250) AS by_bytes, bool_or(CASE WHEN added > 0 THEN NOT tainted AND before < 250 AND trimmed > 0 ELSE NOT tainted AND before <= 250 END) AS suppressed FROM b GROUP BY 1, 2)
+SELECT flow_index, direction, CAST(strlen(data) AS BIGINT) AS byte_count, md5(data) AS content_md5, packets_used, CASE WHEN NOT by_bytes THEN gap END AS first_gap, t.total > 6 AS by_packets, by_bytes, false AS without_payload, suppressed FROM r JOIN (SELECT flow_index, direction, count(*) AS total FROM s1 GROUP BY 1, 2) t USING (flow_index, direction)""",
+    streams.overlapping_segments,
+)(lambda s: streams.reassembled_by_contribution(s, max_packets=6, max_bytes=250))
 HOST_SQL = "'host-' || page_id % 50 || '.example.org'"
 register(
     "http_messages",
@@ -612,6 +686,11 @@ UNION ALL SELECT page_id, 4, 'Alert', 2, '', NULL, 40 FROM p WHERE k = 1 UNION A
 SELECT page_id AS flow_index, CAST(item AS INTEGER) AS item, type, CAST(length AS INTEGER) AS length, names, server_name, CAST(alert AS INTEGER) AS alert FROM r""",
     streams.tls_segments,
 )(lambda s: messages.tls_records(s).select("flow_index", "item", "type", "length", F.array_join("handshakes.name", ",").alias("names"), F.get("handshakes", F.lit(0))["server_name"].alias("server_name"), "alert"))
+register(
+    "tls_certificates",
+    f"SELECT page_id AS flow_index, CASE WHEN page_id % 9 <> 4 THEN {HOST_SQL} END AS subject, CASE WHEN page_id % 9 <> 4 THEN 'CA ' || page_id % 7 END AS issuer, CASE WHEN page_id % 9 <> 4 THEN '24' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '01000000Z' END AS valid_from, CASE WHEN page_id % 9 <> 4 THEN '34' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '01000000Z' END AS valid_to, CASE WHEN page_id % 9 <> 4 THEN {HOST_SQL} || ',www.' || {HOST_SQL} END AS dns_names FROM pages WHERE page_id IS NOT NULL",
+    streams.certificate_segments,
+)(lambda s: messages.tls_records(s).select("flow_index", F.explode("handshakes").alias("m")).where("m.name = 'Certificate'").select("flow_index", "m.certificate.subject", "m.certificate.issuer", "m.certificate.valid_from", "m.certificate.valid_to", F.array_join("m.certificate.dns_names", ",").alias("dns_names")))
 register(
     "quic_server_names",
     f"SELECT page_id AS flow_index, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1798521807 ELSE 4278190109 END AS version, CASE WHEN page_id % 7 <> 3 THEN {HOST_SQL} END AS server_name FROM pages WHERE page_id IS NOT NULL",

@@ -204,3 +204,18 @@ def layered_frames(spark: SparkSession, folder: str) -> DataFrame:
     made = packets.select("packet_index", "ts_us", link.alias("data_link_type"), found.alias("bytes"))
     length = F.octet_length("bytes").cast("long")
     return made.select("packet_index", "ts_us", length.alias("captured_length"), length.alias("original_length"), "data_link_type", "bytes")
+
+
+def icmp_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """An ICMP message for each event, of six kinds in turn, the last one cut."""
+    packets = packets_from_events(spark, folder)
+    index = F.col("packet_index")
+    kind = index % 6
+    hexed = lambda digits: F.unhex(F.lit(digits))
+    quote = hexed("45" + "00" * 27)
+    message = F.when(kind == 0, F.concat(hexed("08000000"), be(index % 65536, 2), be(index % 100, 2), hexed("61" * 8))).when(kind == 1, F.concat(hexed("030400000000"), be(index % 1500, 2), quote)).when(kind == 2, F.concat(hexed("0b00000000000000"), quote))
+    message = message.when(kind == 3, F.concat(hexed("05010000"), F.col("dst_addr"), quote)).when(kind == 4, F.concat(hexed("0c000000"), be(index % 40, 1), hexed("000000"), quote)).otherwise(hexed("00000000"))
+    size = F.when(kind == 0, 16).when(kind == 5, 4).otherwise(36)
+    ip = F.concat(hexed("02" * 12 + "08004500"), be(size + 20, 2), hexed("0001000040010000"), F.col("src_addr"), F.col("dst_addr"), message)
+    length = (size + 34).cast("long")
+    return packets.select("packet_index", "ts_us", length.alias("captured_length"), length.alias("original_length"), F.lit(1).alias("data_link_type"), ip.alias("bytes"))
