@@ -51,7 +51,7 @@ def url_sql() -> str:
     return f"""WITH weights(bucket, weight) AS (VALUES {table}),
 u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{UPPER.lower()}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 g AS ({grams("h", "host")} UNION ALL {grams("p", "path")}),
-s AS (SELECT page_id, {bias} + CAST(coalesce(sum(weight), 0) AS BIGINT) AS score FROM g LEFT JOIN weights ON bucket = ('0x' || substr(md5(g), 1, 3))::INTEGER GROUP BY 1),
+s AS (SELECT page_id, {bias} + CAST(coalesce(sum(weight), 0) AS BIGINT) AS score FROM g LEFT JOIN weights ON bucket = ('0x' || substr(md5(g), 1, 4))::INTEGER >> 2 GROUP BY 1),
 j AS (SELECT u.*, {rule} AS rule, score FROM u JOIN s USING (page_id))
 SELECT page_id, host, path, rule, {verdict} AS verdict, score FROM j"""
 

@@ -33,8 +33,14 @@ NEUTRAL_WORDS = """station leather northern mountain river apple carpenter broth
  maison jardin chemin lumiere fontaine marche atelier voyage montagne soleil
  casa camino ciudad libro mercado estrella fuente madera puente cocina""".split()
 LOWER = str.maketrans(UPPER, UPPER.lower())
-TRAINING_DOMAINS = ["example.com", "example.net", "example.org"]
-TRAINING_PREFIXES = ["", "www.", "m.", "blog."]
+#: Endings and prefixes meet names of both labels, so that they say little themselves.
+TRAINING_DOMAINS = """example.com com example.net net example.org org io de fr es edu gov co.uk info eu dev it nl ch ca""".split()
+TRAINING_PREFIXES = ["", "www.", "m.", "blog.", "", "en.", "shop.", "mail.", "docs.", ""]
+#: Parts of names that the web has many of, and numbers in place of names; like the everyday words they say nothing.
+WEB_WORDS = """code stack hub data cloud times post mail search photo video stream social chat game store ticket hotel flight bank card
+ tech soft ware byte pixel graph node cache server proxy kernel parse query index table column spark flow batch cluster
+ daily herald tribune gazette observer weekly review digest press media channel broadcast""".split()
+NUMBERED = [f"{a}.{b}.{c}.{d}" for a, b, c, d in zip(range(1, 255, 17), range(0, 255, 16), range(0, 60, 4), range(1, 150, 10), strict=False)]
 #: Paths of either label; every path meets hosts of both labels, so its n-grams are learned apart from the host's.
 BLOCKED_PATHS = """casino casino-win/free-bets online-casino/bonus free-bets/today sports-bets/odds best-bets.html bets-now
  cheap-pills/viagra-shop pills-online/order pills-shop viagra/buy cheap-meds/no-prescription free-poker/download poker-win
@@ -59,12 +65,14 @@ def labelled_urls() -> list[tuple[str, int]]:
     def pair(names: list[str], paths: list[str], label: int, times: int) -> None:
         for i, name in enumerate(names):
             for j in range(times):
-                host = f"{TRAINING_PREFIXES[(i + j) % 4]}{name}.{TRAINING_DOMAINS[(i + j) % 3]}"
+                host = f"{TRAINING_PREFIXES[(3 * i + j) % len(TRAINING_PREFIXES)]}{name}.{TRAINING_DOMAINS[(i + 7 * j) % len(TRAINING_DOMAINS)]}"
+                host = name if name[0].isdigit() else host
                 path = paths[(i * times + j) % len(paths)]
                 rows.append((f"https://{host}/{(path, path, path.title(), path.upper())[(i + 3 * j) % 4]}", label))
 
-    k = len(NEUTRAL_WORDS)
-    neutral = [NEUTRAL_WORDS[i % k] + ("-", "", "")[i % 3] + (NEUTRAL_WORDS[(7 * i + i // k + 1) % k] if i % 3 < 2 else "") for i in range(5 * k)]
+    words = NEUTRAL_WORDS + WEB_WORDS
+    k = len(words)
+    neutral = [words[i % k] + ("-", "", "")[i % 3] + (words[(7 * i + i // k + 1) % k] if i % 3 < 2 else "") for i in range(5 * k)] + NUMBERED
     pair(BLOCKED_NAMES, ALLOWED_PATHS, 1, 5)
     pair(ALLOWED_NAMES, BLOCKED_PATHS, 1, 2)
     pair(neutral[: 3 * k], BLOCKED_PATHS, 1, 1)
@@ -82,13 +90,13 @@ def url_path(url: Column) -> Column:
 
 
 def ngram_buckets(host: Column, path: Column, n: int = 4) -> Column:
-    """Bucket numbers 0..4095 (three hex digits of md5) of the character n-grams of host and of path, each marked at its ends."""
+    """Bucket numbers 0..16383 (the first 14 bits of md5) of the character n-grams of host and of path, each marked at its ends."""
 
     def grams(mark: str, part: Column) -> Column:
         padded = F.concat(F.lit("^"), part, F.lit("$"))
         starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
-        hashed = lambda i: F.conv(F.substring(F.md5(F.concat(F.lit(mark), F.substring(padded, i, F.lit(n)))), F.lit(1), F.lit(3)), 16, 10)
-        return F.transform(starts, lambda i: hashed(i).cast("int"))
+        hashed = lambda i: F.conv(F.substring(F.md5(F.concat(F.lit(mark), F.substring(padded, i, F.lit(n)))), F.lit(1), F.lit(4)), 16, 10)
+        return F.transform(starts, lambda i: F.shiftright(hashed(i).cast("int"), 2))
 
     return F.concat(grams("h", host), grams("p", path))
 
@@ -100,11 +108,11 @@ def url_buckets(url: str, n: int = 4) -> list[int]:
     for mark, part in zip("hp", found.groups() if found else ("", ""), strict=True):
         padded = f"^{part.translate(LOWER) if mark == 'h' else part}$"
         grams = [padded[i : i + n] for i in range(max(1, len(padded) - n + 1))]
-        out += [int(hashlib.md5(f"{mark}{g}".encode("utf-8", "surrogatepass")).hexdigest()[:3], 16) for g in grams]
+        out += [int(hashlib.md5(f"{mark}{g}".encode("utf-8", "surrogatepass")).hexdigest()[:4], 16) >> 2 for g in grams]
     return out
 
 
-def fit_url_model(labelled, buckets: int = 4096, max_rows: int = 20_000, steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> tuple[list[int], int]:
+def fit_url_model(labelled, buckets: int = 1 << 14, max_rows: int = 20_000, steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> tuple[list[int], int]:
     """Weights and bias, in millionths, of a logistic regression fitted to (url, label) rows.
 
     ``labelled`` is a list or a DataFrame, of which at most ``max_rows`` rows are taken; the
@@ -113,14 +121,15 @@ def fit_url_model(labelled, buckets: int = 4096, max_rows: int = 20_000, steps:
     if isinstance(labelled, DataFrame):
         labelled = [tuple(r) for r in labelled.where("url is not null and label is not null").select("url", "label").limit(max_rows).collect()]
     rows = list(labelled)[:max_rows]
-    x = np.zeros((len(rows), buckets))
-    for i, (url, _) in enumerate(rows):
-        np.add.at(x[i], url_buckets(url), 1.0)
+    if not rows:
+        return [0] * buckets, 0
+    grams = [url_buckets(url) for url, _ in rows]
+    column, row = np.array([g for r in grams for g in r]), np.repeat(np.arange(len(rows)), [len(r) for r in grams])
     y = np.array([label for _, label in rows], float)
     w, b = np.zeros(buckets), 0.0
-    for _ in range(steps if rows else 0):
-        error = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= rate * (x.T @ error / len(rows) + ridge * w)
+    for _ in range(steps):
+        error = 1 / (1 + np.exp(-(np.bincount(row, w[column], len(rows)) + b))) - y
+        w -= rate * (np.bincount(column, error[row], buckets) / len(rows) + ridge * w)
         b -= rate * error.mean()
     return [int(round(v * 1e6)) for v in w], int(round(b * 1e6))
 
