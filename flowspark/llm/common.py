@@ -127,6 +127,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds ``name``: the row's number from 0 in ``order`` over the whole table.
+
+    Rows are sorted in ranges and numbered in each; the counts of the ranges before, one row a
+    range, are added. With a last key that differs between equal rows no key fills a range.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "ranked").withColumns({"__range": F.shiftright("__at", 33), "__in": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    counts = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    return ranged.join(F.broadcast(counts), "__range").withColumn(name, F.col("__before") + F.col("__in")).drop("__at", "__range", "__in", "__before")
+
+
 def with_earlier(counts: DataFrame, by: list[str], at: str, n: str = "n", earlier: str = "earlier") -> DataFrame:
     """Adds how many rows the smaller values of ``at`` have before each, within ``by``.
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, with_earlier
+from .common import materialize, ranked
 
-KEY_BITS = 60
+KEY_BITS, PARTS = 60, 64
 
 
 def shuffle_key(seed: str, column):
@@ -16,13 +16,14 @@ def shuffle_key(seed: str, column):
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
-def interleave_shards(docs: DataFrame, n_shards: int = 8, seed: str = "mix-1", carry: tuple[str, ...] = (), rows_per_bucket: int = 2_000) -> DataFrame:
+def interleave_shards(docs: DataFrame, n_shards: int = 8, seed: str = "mix-1", carry: tuple[str, ...] = ()) -> DataFrame:
     """Give each row a shard and a slot so that every shard has the mixture of all sources.
 
     Rows of a source are ranked in a seeded shuffle; (rank - 0.5) / rows of the source orders
     all rows, and the sequence is cut into ``n_shards`` runs whose row counts are at most one
-    apart (law ``rows``). Ranks come from counts of hash ranges and a row number inside each
-    range, so neither a hot source nor the whole table is ever sorted in one task.
+    apart (law ``rows``). Ranks come from two sorts in sampled ranges and the ranges' counts; equal
+    rows are told apart by a number of their own, so neither a hot source, nor a hot doc_id, nor
+    many sources of one row (which share one rank) are ever sorted in one task.
 
     Null source counts as the source ''; null text has size 1 and crc 0; null doc_id hashes as
     ''. Repeated rows take neighbouring ranks; ties in every key are between equal rows. An
@@ -37,25 +38,18 @@ def interleave_shards(docs: DataFrame, n_shards: int = 8, seed: str = "mix-1", c
         shuffle_key(seed, F.col("doc_id")).alias("_key"),
         *[F.col(c).alias(f"_carry_{c}") for c in carry],
     )
-    own = materialize(own, "shard-keys")
+    # Rows that are equal in all keys may change places: a number of their own spreads them over ranges.
+    own = materialize(own.withColumn("_salt", F.monotonically_increasing_id()), "shard-keys")
+    ties = ["_key", "doc_id", "text_crc32", "size", "_salt"]
     total = own.count()
-    buckets = max(1, -(-total // rows_per_bucket))
-    own = own.withColumn("_range", F.shiftright(F.shiftright("_key", KEY_BITS - 24) * buckets, 24))
-
-    by_range = own.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
-    of_source = by_range.groupBy("_source").agg(F.sum("_n").alias("_of_source"))
-    by_range = with_earlier(by_range, ["_source"], "_range", "_n", "_before").drop("_n").join(of_source, "_source")
-    ties = ["_key", "doc_id", "text_crc32", "size"]
-    inside = F.row_number().over(Window.partitionBy("_source", "_range").orderBy(*ties))
-    ranked = own.withColumn("_inside", inside).join(by_range, ["_source", "_range"])
-    share = (F.col("_before") + F.col("_inside") - F.lit(0.5)) / F.col("_of_source")
-    ranked = ranked.select("doc_id", "size", "text_crc32", "_source", "_key", *[f"_carry_{c}" for c in carry], share.alias("_share"))
-    ranked = materialize(ranked.withColumn("_cell", F.floor(F.col("_share") * buckets).cast("long")), "shard-ranks")
-
-    by_cell = ranked.groupBy("_cell").agg(F.count("*").alias("_n"))
-    by_cell = with_earlier(by_cell.withColumn("_all", F.lit(0)), ["_all"], "_cell", "_n", "_before").drop("_n", "_all")
-    at = F.row_number().over(Window.partitionBy("_cell").orderBy("_share", "_source", *ties))
-    placed = ranked.withColumn("_at", at).join(by_cell, "_cell").withColumn("_position", F.col("_before") + F.col("_at") - 1)
+    by_source = ranked(own, ["_source", *ties], "_n")
+    # One row a source, for each of 64 parts of its rows: a source with many rows is joined in as many tasks.
+    first = by_source.groupBy("_source").agg(F.min("_n").alias("_first"), F.count("*").alias("_of_source"))
+    first = first.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    by_source = by_source.withColumn("_part", (F.col("_salt") % PARTS).cast("int"))
+    share = (F.col("_n") - F.col("_first") + F.lit(0.5)) / F.col("_of_source")
+    shared = by_source.join(first, ["_source", "_part"]).withColumn("_share", share).drop("_n", "_first", "_of_source", "_part")
+    placed = ranked(shared, ["_share", "_source", *ties], "_position")
     shard = F.expr(f"(_position * {n_shards}) div {max(total, 1)}")
     first = F.expr(f"(_shard * {total} + {n_shards - 1}) div {n_shards}")
     return placed.withColumn("_shard", shard).select(

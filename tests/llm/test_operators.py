@@ -421,9 +421,31 @@ def test_url_model_judges_host_and_path_apart(spark):
     assert [r.verdict for r in found] == ["block"] * len(blocked) + ["allow"] * len(allowed)
 
 
+def test_shards_of_hot_keys(spark):
+    """Nine tenths of the rows are one row over and over, the others sources of their own: no task gets much more than others, and shards stay even."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(7, "same", "hot") if i % 10 else (i, f"t{i}", f"s{i}") for i in range(4000)]
+    found = sharding.interleave_shards(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4))
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    frame = found.toPandas()
+    assert frame.groupby("shard").slot.apply(lambda s: sorted(s) == list(range(500))).all() and sorted(frame.shard.unique()) == list(range(8))
+    assert (frame[frame.doc_id == 7].groupby("shard").size() >= 300).all() and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_urls_of_a_list_made_otherwise():
+    """Hosts of words and endings that the labelled table does not pair; ordinary addresses are not blocked."""
+    weights, bias = url_filter.fit_url_model(url_filter.labelled_urls())
+    score = lambda url: bias + sum(weights[g] for g in url_filter.url_buckets(url))
+    ordinary = """https://github.com/apache/spark https://stackoverflow.com/questions/1 https://www.nytimes.com/2023/01/01/world http://127.0.0.1/ http://192.168.1.1/admin https://docs.python.org/3/library https://www.bbc.co.uk/news
+     https://en.wikipedia.org/wiki/River https://www.lemonde.fr/culture https://www.heise.de/newsticker https://www.elpais.es/deportes https://kernel.org/ https://www.gutenberg.org/ebooks/84 https://arxiv.org/abs/1706.03762""".split()
+    bad = """https://mega-casino.biz/ https://casinoroyal.xyz/win https://bestpokerbets.top/ https://cheappillsnow.ru/viagra https://town-hall.se/viagra-shop/order http://payday-loans.click/apply https://xxxvideos.me/free https://lottery-jackpot.pw/claim""".split()
+    assert [u for u in ordinary if score(u) > 0] == [] and sum(score(u) > 0 for u in bad) >= 7
+
+
 def test_shards_are_even_and_proportional(spark, docs, empty):
     rows = [(i, f"t{i}", "big" if i % 3 else f"s{i % 7}") for i in range(3001)]
-    found = sharding.interleave_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows_per_bucket=100).toPandas()
+    found = sharding.interleave_shards(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
     sizes = found.groupby("shard").size()
     assert len(sizes) == 8 and sizes.max() - sizes.min() <= 1
     for _, g in found.groupby("shard"):
