@@ -81,11 +81,12 @@ def fit_languages(docs: DataFrame, max_languages: int = 250) -> tuple[list[str],
     return langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
 
-def mixture(loglik: np.ndarray, chosen: np.ndarray, of: np.ndarray, docs: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+def mixture(loglik: np.ndarray, chosen: np.ndarray, of: np.ndarray, docs: int, steps: int, gain: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """EM for many documents at once: proportions (docs x languages) and log-likelihoods.
 
     loglik: segments x languages; of: each segment's document; chosen: docs x languages, the
-    languages that a document may use.
+    languages that a document may use. It ends when a step gains no document more than ``gain`` of
+    log-likelihood, or after ``steps``.
     """
     share = chosen / np.maximum(chosen.sum(1, keepdims=True), 1)
     sizes = np.maximum(np.bincount(of, minlength=docs), 1)[:, None]
@@ -93,19 +94,21 @@ def mixture(loglik: np.ndarray, chosen: np.ndarray, of: np.ndarray, docs: int, s
     raised = np.exp(np.maximum(loglik - top, -700))
     starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
     total = np.zeros(docs)
-    for _ in range(steps):
+    for step in range(steps):
         weighted = raised * share[of]
         sums = np.maximum(weighted.sum(1, keepdims=True), 1e-300)
         new = np.zeros_like(share)
+        before, total = total, np.zeros(docs)
         if len(of):
             new[of[starts]] = np.add.reduceat(weighted / sums, starts)
-            total = np.zeros(docs)
             total[of[starts]] = np.add.reduceat(np.log(sums[:, 0]) + top[:, 0], starts)
         share = new / sizes
+        if step and (total - before).max(initial=0.0) < gain:
+            break
     return share, total
 
 
-def infer(texts: list[str | None], langs: list[str], table: np.ndarray, steps: int = 8, penalty: float = 1.0, most: int | None = None, segment: int = SEGMENT_CHARS, slice_cells: int = 4_000_000) -> list[tuple[str, float, str]]:
+def infer(texts: list[str | None], langs: list[str], table: np.ndarray, steps: int = 1000, penalty: float = 1.0, most: int | None = None, segment: int = SEGMENT_CHARS, slice_cells: int = 4_000_000) -> list[tuple[str, float, str]]:
     """(language, its proportion, all proportions as text) for each text.
 
     A text is cut into runs of ``segment`` trigrams. For k = 1, 2, ... the k languages that a full

@@ -421,6 +421,47 @@ def test_url_model_judges_host_and_path_apart(spark):
     assert [r.verdict for r in found] == ["block"] * len(blocked) + ["allow"] * len(allowed)
 
 
+def test_language_sets_against_every_subset():
+    """The set that the criterion picks, and its proportions, are those of plain expectation-maximisation over all subsets."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    langs = ["de", "en", "es", "fr"]
+    words = {x: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 7), p=rng.dirichlet(np.full(26, 0.3)))) for _ in range(60)] for x in langs}
+    write = lambda x, n: " ".join(rng.choice(words[x], n))
+    table = np.full((4, language_id.BUCKETS), 0.5)
+    for i, x in enumerate(langs):
+        np.add.at(table[i], language_id.trigram_buckets(language_id.code_points(write(x, 4000))), 1)
+    table = np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+    texts = [write(x, n) for x in langs for n in (3, 40, 400)]
+    texts += [" ".join(write(x, n) for x, n in zip(mix, sizes)) for mix in itertools.permutations(langs, 3) for sizes in ((200, 100, 60), (90, 90, 90), (300, 20, 5))]
+    texts += [" ".join(write(x, 120) for x in langs)]
+
+    def plain(text):
+        grams = language_id.trigram_buckets(language_id.code_points(text))
+        runs = [table[:, grams[at : at + language_id.SEGMENT_CHARS]].astype(float).sum(1) for at in range(0, len(grams), language_id.SEGMENT_CHARS)]
+        found = []
+        for size in range(1, 5):
+            for members in itertools.combinations(range(4), size):
+                share, before = {m: 1 / size for m in members}, -math.inf
+                while True:
+                    weights = [{m: share[m] * math.exp(max(r[m] - max(r), -700)) for m in members} for r in runs]
+                    total = sum(math.log(max(sum(w.values()), 1e-300)) + max(r) for w, r in zip(weights, runs))
+                    share = {m: sum(w[m] / max(sum(w.values()), 1e-300) for w in weights) / len(runs) for m in members}
+                    if total - before < 1e-9:
+                        break
+                    before = total
+                found.append(((2 * size - 1) / 2 * math.log(max(len(runs), 2)) - total, share))
+        return min(found, key=lambda f: f[0])[1]
+
+    for text, (lang, score, proportions) in zip(texts, language_id.infer(texts, langs, table), strict=True):
+        wanted = plain(text)
+        found = {p.split(":")[0]: float(p.split(":")[1]) for p in proportions.split(",")}
+        assert set(found) == {langs[m] for m, v in wanted.items() if v > 0.0005}, (wanted, found)
+        assert all(abs(found[langs[m]] - v) < 0.01 for m, v in wanted.items() if v > 0.0005)
+        assert found[lang] == max(found.values()) and abs(score - found[lang]) < 0.001
+
+
 def test_shards_of_hot_keys(spark):
     """Nine tenths of the rows are one row over and over, the others sources of their own: no task gets much more than others, and shards stay even."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
