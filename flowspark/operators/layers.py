@@ -43,6 +43,7 @@ class Machine:
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, links: np.ndarray, originals: np.ndarray):
         n = len(starts)
+        self.begin = starts
         self.data = np.concatenate([data, np.zeros(64, np.uint8)])
         self.at, self.cap = starts.astype(np.int64), (starts + lengths).astype(np.int64)
         self.end = self.at + np.maximum(lengths, originals)  # where the packet ends as it was sent
@@ -77,14 +78,14 @@ class Machine:
     def text(self, text: str) -> int:
         return self.texts.setdefault(text, len(self.texts))
 
-    def layer(self, i: np.ndarray, name: str, values: np.ndarray | None = None) -> None:
-        """Add a layer to the paths; ``values`` fill the name's pattern."""
+    def layer(self, i: np.ndarray, name: str, values: np.ndarray | None = None, at: np.ndarray | None = None) -> None:
+        """Add a layer, whose header begins at the cursor unless ``at`` says where, to the paths; ``values`` fill the name's pattern."""
         if values is None:
             number = np.full(len(i), self.text(name), np.int32)
         else:
             different, place = np.unique(values, return_inverse=True)
             number = np.array([self.text(name.format(int(v))) for v in different], np.int32)[place] if len(i) else np.zeros(0, np.int32)
-        self.layers.append((i, number))
+        self.layers.append((i, number, self.at[i] if at is None else at))
         self.n_labels[i] += 1
 
     def go(self, i: np.ndarray, size, kind) -> None:
@@ -211,7 +212,7 @@ class Machine:
         self.fail(i[~good & ~np.isin(protocol, list(PPP_CONTROL))], "Unknown PPP protocol")
         i, protocol = i[good], protocol[good]
         self.layer(i, "PPPoE")
-        self.layer(i, "PPP")
+        self.layer(i, "PPP", at=self.at[i] + 6)
         self.go(i, 8, np.where(protocol == 0x21, IPV4, IPV6))
 
     def mpls(self, i: np.ndarray) -> None:
@@ -408,6 +409,7 @@ class Machine:
         self.go(i, header, INNER_ETHERNET)
 
     def gtpu(self, i: np.ndarray) -> None:
+        start = self.at.copy()
         i = self.split(i, self.has(i, 8), UNSUPPORTED)
         flags, size = self.number(i, 0, 1), self.number(i, 2, 2)
         good = (flags >> 5 == 1) & ((flags & 0x10) != 0) & (self.number(i, 1, 1) == 0xFF) & self.has(i, 8 + size)
@@ -437,7 +439,7 @@ class Machine:
         good = self.has(i, 1) & np.isin(version, (4, 6))
         version, teid = version[good], teid[good]
         i = self.split(i, good, UNSUPPORTED)
-        self.layer(i, "GTP-U(teid=0x{:08x})", teid)
+        self.layer(i, "GTP-U(teid=0x{:08x})", teid, start[i])
         self.kind[i] = np.where(version == 4, IPV4, IPV6)
 
     def gre(self, i: np.ndarray) -> None:
@@ -494,17 +496,20 @@ class Machine:
 
     # What was found, as Arrow arrays.
 
-    def paths(self) -> pa.Array:
+    def in_order(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets of the packets' layers in flat arrays of their texts' numbers and of where their headers begin."""
         n = len(self.kind)
-        rows = np.concatenate([i for i, _ in self.layers] or [np.zeros(0, np.int64)])
-        numbers = np.concatenate([k for _, k in self.layers] or [np.zeros(0, np.int32)])
-        order = np.argsort(rows, kind="stable")
-        rows, numbers = rows[order], numbers[order]
+        columns = [np.concatenate([x[k] for x in self.layers] or [np.zeros(0, np.int64)]) for k in range(3)]
+        order = np.argsort(columns[0], kind="stable")
+        rows, numbers, places = (c[order] for c in columns)
         first = np.searchsorted(rows, np.arange(n))
         kept = np.arange(len(rows)) - first[rows] < self.n_labels[rows]
         offsets = np.concatenate([[0], np.cumsum(np.bincount(rows[kept], minlength=n))]).astype(np.int32)
-        names = pa.array(list(self.texts), pa.string())
-        return pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(numbers[kept])))
+        return offsets, numbers[kept], places[kept]
+
+    def paths(self) -> pa.Array:
+        offsets, numbers, _ = self.in_order()
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(list(self.texts), pa.string()).take(pa.array(numbers, pa.int32())))
 
     def bytes_at(self, starts: np.ndarray, sizes: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
         """Pieces of the batch's bytes as a binary array, copied in one go."""
@@ -563,8 +568,8 @@ SELECTORS = {
 SCHEMA = "family string, src_addr binary, dst_addr binary, src_port int, dst_port int, protocol int, path array<string>, tcp_flags int, sequence long, acknowledgement long, is_ip_fragmented boolean, payload_length long, payload binary, control binary, reason string, " + hints.SCHEMA
 
 
-def walk_layers(packets: pa.Array, links: pa.Array, originals: pa.Array | None = None) -> dict[str, pa.Array]:
-    """The columns of ``SCHEMA`` for packets given as bytes (none null), link types and, if known, lengths as sent."""
+def machine_over(packets: pa.Array, links: pa.Array, originals: pa.Array | None = None) -> Machine:
+    """A machine that has walked packets given as bytes (none null), link types and, if known, lengths as sent."""
     if packets.type != pa.binary():
         packets = packets.cast(pa.binary())
     n = len(packets)
@@ -575,6 +580,12 @@ def walk_layers(packets: pa.Array, links: pa.Array, originals: pa.Array | None =
     # One byte before all packets: an offset of 0 means that nothing was found.
     machine = Machine(np.concatenate([np.zeros(1, np.uint8), data]), offsets[:-1] - offsets[0] + 1, lengths, links.fill_null(0).to_numpy(zero_copy_only=False), sent)
     machine.run()
+    return machine
+
+
+def walk_layers(packets: pa.Array, links: pa.Array, originals: pa.Array | None = None) -> dict[str, pa.Array]:
+    """The columns of ``SCHEMA`` for packets as ``machine_over`` takes them."""
+    machine = machine_over(packets, links, originals)
     found = machine.columns()
     sizes = found["payload_length"].to_numpy()
     ports = (found[c].to_numpy() for c in ("src_port", "dst_port"))
