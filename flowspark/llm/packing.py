@@ -18,6 +18,9 @@ BROADCAST_PLACES = 500_000
 class WordIds(dict):
     """Token ids of a run without blanks as little-endian uint32 bytes, remembered for up to ``limit`` runs.
 
+    Half of these are young: when that many are, they become the old ones and the old ones that
+    were not used since are forgotten. So a vocabulary beyond the limit loses rare runs only.
+
     Words that differ in capitals or in one stop behind them are looked up once. The vocabulary's pre-tokenizer never joins across a blank, so a text's ids are those of its runs in turn.
     """
 
@@ -25,11 +28,15 @@ class WordIds(dict):
 
     def __init__(self, tokenizer, limit: int = 500_000):
         super().__init__()
-        self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
+        self.tokenizer, self.model, self.limit, self.old = tokenizer, tokenizer.model, limit, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
+        if 2 * len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
+        if (found := self.old.get(word)) is not None:
+            self[word] = found
+            return found
         core, last = word[:-1], word[-1:]
         if word.isascii() and word.isalpha():
             # The normalizer only lower-cases such a run, and it is one piece to the pre-tokenizer.
