@@ -109,6 +109,23 @@ def layer_kind(layer: Column) -> Column:
     return F.regexp_replace(layer, "\\(.*$", "")
 
 
+# Full names of layers where they differ from a path's, and how identifiers are called.
+FULL_LAYERS = {"EthernetII": "Ethernet II", "LinuxSll": "Linux SLL", "LinuxSll2": "Linux SLL2"}
+IDENTIFIERS = {"vid": "VID", "label": "label", "isid": "I-SID", "vni": "VNI", "teid": "TEID", "key": "key", "spi": "SPI"}
+
+
+def display_layer(layer: Column) -> Column:
+    """A layer as it is shown: its full name and, in brackets, what identifies it, hexadecimal digits in capitals."""
+    name, value = F.regexp_extract(layer, "\\((\\w+)=", 1), F.regexp_extract(layer, "=(.*)\\)$", 1)
+    value = F.when(value.startswith("0x"), F.concat(F.lit("0x"), F.upper(F.substring(value, 3, 16)))).otherwise(value)
+    full = choose(layer_kind(layer), FULL_LAYERS, layer_kind(layer))
+    return F.when(name == "", full).otherwise(F.concat(full, F.lit(" ("), choose(name, IDENTIFIERS, name), F.lit(" "), value, F.lit(")")))
+
+
+def display_path(path: Column) -> Column:
+    return F.array_join(F.transform(path, display_layer), " -> ")
+
+
 def compact_path(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda x: choose(layer_kind(x), SHORT_LAYERS, layer_kind(x))), "|")
 

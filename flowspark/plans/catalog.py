@@ -562,6 +562,14 @@ def capture_scan(spark, folder):
     return found.groupBy(F.col("protocol").cast("long").alias("protocol")).agg(F.count("*").alias("packet_count"), F.sum("payload_length").alias("payload_bytes"), F.min("ts_us").alias("first_ts_us"), F.max("ts_us").alias("last_ts_us"))
 
 
+SHOWN_SQL = "protocol_path"
+for name, shown in {**X.FULL_LAYERS, **{f"({k}=": f" ({v} " for k, v in X.IDENTIFIERS.items()}}.items():
+    SHOWN_SQL = f"replace({SHOWN_SQL}, '{name}', '{shown}')" if name != "LinuxSll" else f"regexp_replace({SHOWN_SQL}, 'LinuxSll( |$)', '{shown}\\1')"
+# Hexadecimal digits follow 0x to the closing bracket.
+SHOWN_SQL = f"list_reduce(list_prepend('', list_transform(string_split({SHOWN_SQL}, '0x'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '0x' || upper(split_part(x, ')', 1)) || substr(x, length(split_part(x, ')', 1)) + 1) END)), lambda a, b: a || b)"
+register("path_display_text", f"WITH {LAYERED_SQL} SELECT packet_index, {SHOWN_SQL} AS shown FROM layered WHERE kind < 27", layered)(lambda f: dissect.recognized(f).select("packet_index", X.display_path(F.col("path")).alias("shown")))
+
+
 # Control messages, panel, references and lookups ------------------------------------------------------
 
 register(
