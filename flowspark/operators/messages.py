@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from .flows import flow_key, with_key
 from .hints import hello_name
 from .streams import HTTP_METHODS, client_hello, number_bytes, page_host
 
@@ -626,6 +627,29 @@ def quic_server_names(packets: DataFrame, group: list[str], payload: str = "payl
     return crypto.mapInArrow(read, f"{schema}, server_name string")
 
 
+def with_quic_names(packets: DataFrame) -> DataFrame:
+    """Dissected packets whose QUIC connections have their server's name as service, as far as their Initials tell it.
+
+    Initials of a flow are put together from all its packets; only the UDP payloads of QUIC flows are read again.
+    """
+    keyed = with_key(packets).withColumn("_flow", flow_key())
+    names = quic_server_names(keyed.where("hint = 'quic'").select("_flow", "payload"), ["_flow"])
+    known = names.where("server_name is not null").groupBy("_flow").agg(F.min("server_name").alias("_name"))
+    joined = keyed.join(known, "_flow", "left")
+    return joined.withColumn("service", F.when(F.col("hint") == "quic", F.coalesce("service", "_name")).otherwise(F.col("service"))).select(packets.columns)
+
+
+def quic_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """The datagrams of ``quic_datagrams`` as frames, one client address for each page."""
+    made = quic_datagrams(spark, folder).withColumn("packet_index", F.monotonically_increasing_id())
+    hexed = lambda digits: F.unhex(F.lit(digits))
+    size = F.octet_length("payload")
+    udp = F.concat(hexed("c35001bb"), number_bytes(size + 8, 2), hexed("0000"), F.col("payload"))
+    ip = F.concat(hexed("4500"), number_bytes(size + 28, 2), hexed("0001000040110000"), number_bytes(F.lit(0x0A000000) + F.col("flow_index"), 4), hexed("c0a80001"), udp)
+    length = (size + 42).cast("long")
+    return made.select("packet_index", F.col("packet_index").alias("ts_us"), length.alias("captured_length"), length.alias("original_length"), F.lit(1).alias("data_link_type"), F.concat(hexed("02" * 12 + "0800"), ip).alias("bytes"))
+
+
 def quic_datagrams(spark: SparkSession, folder: str) -> DataFrame:
     """Protected Initials for each page: a ClientHello in two CRYPTO frames of two packets, the later one first, one of them sent twice.
 
