@@ -14,7 +14,8 @@ def in_blocks(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Rows in ranges of (group, order), with the number of each row's range. A large group is cut into several ranges."""
     if BLOCK in rows.columns:
         return rows
-    return stored(rows.repartitionByRange(by, *order).withColumn(BLOCK, F.spark_partition_id()), "blocks")
+    # Stored first, as ranges are made of a sample and then of the rows themselves.
+    return stored(stored(rows, "rows").repartitionByRange(by, *order).withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
 
 def with_running(rows: DataFrame, by: str, order: list[str], sums: dict[str, Column] | None = None, previous: dict[str, Column] | None = None, first: dict[str, Column] | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ def per_second(amount: Column, duration_us: Column) -> Column:
 
 def inter_arrival(owned: DataFrame) -> DataFrame:
     """Number, sum, mean and largest of each flow's gaps."""
-    gaps = with_gaps(owned).groupBy("flow_index").agg(F.count("gap_us").alias("gap_count"), F.coalesce(F.sum("gap_us"), F.lit(0)).alias("gap_sum_us"), F.coalesce(F.max("gap_us"), F.lit(0)).alias("largest_gap_us"))
+    gaps = with_gaps(owned.select("flow_index", *IN_TIME)).groupBy("flow_index").agg(F.count("gap_us").alias("gap_count"), F.coalesce(F.sum("gap_us"), F.lit(0)).alias("gap_sum_us"), F.coalesce(F.max("gap_us"), F.lit(0)).alias("largest_gap_us"))
     return gaps.withColumn("mean_gap_us", F.when(F.col("gap_count") > 0, F.round(F.col("gap_sum_us") / F.col("gap_count"), 6)).otherwise(0.0))
 
 
@@ -41,7 +41,7 @@ def rates(flows: DataFrame) -> DataFrame:
 def bursts(owned: DataFrame) -> DataFrame:
     """Runs of two packets or more with gaps below 1 ms: how many, most packets, most bytes."""
     starts = F.when(F.col("gap_us") < BURST_GAP_US, 0).otherwise(1)
-    runs = with_running(with_gaps(owned), "flow_index", IN_TIME, sums={"_before": starts}).withColumn("_run", F.col("_before") + starts)
+    runs = with_running(with_gaps(owned.select("flow_index", *IN_TIME, "original_length")), "flow_index", IN_TIME, sums={"_before": starts}).withColumn("_run", F.col("_before") + starts)
     runs = runs.groupBy("flow_index", "_run").agg(F.count("*").alias("n"), F.sum("original_length").alias("bytes"))
     burst = lambda c: F.when(F.col("n") >= 2, F.col(c))
     found = runs.groupBy("flow_index").agg(F.count(burst("n")).alias("burst_count"), F.coalesce(F.max(burst("n")), F.lit(0)).alias("max_burst_packets"), F.coalesce(F.max(burst("bytes")), F.lit(0)).alias("max_burst_bytes"))
@@ -50,7 +50,7 @@ def bursts(owned: DataFrame) -> DataFrame:
 
 def idle_gaps(owned: DataFrame) -> DataFrame:
     idle = F.when(F.col("gap_us") >= IDLE_GAP_US, F.col("gap_us"))
-    return with_gaps(owned).groupBy("flow_index").agg(F.count(idle).alias("idle_gap_count"), F.coalesce(F.max(idle), F.lit(0)).alias("largest_idle_gap_us"))
+    return with_gaps(owned.select("flow_index", *IN_TIME)).groupBy("flow_index").agg(F.count(idle).alias("idle_gap_count"), F.coalesce(F.max(idle), F.lit(0)).alias("largest_idle_gap_us"))
 
 
 def three_way(rows: DataFrame, bucket: Column, names: list[str]) -> DataFrame:
@@ -62,7 +62,7 @@ def three_way(rows: DataFrame, bucket: Column, names: list[str]) -> DataFrame:
 
 
 def inter_arrival_histogram(owned: DataFrame) -> DataFrame:
-    return three_way(with_gaps(owned).where("gap_us is not null"), bucket_of(F.col("gap_us"), INTER_ARRIVAL), INTER_ARRIVAL_LABELS)
+    return three_way(with_gaps(owned.select("flow_index", *IN_TIME, "direction")).where("gap_us is not null"), bucket_of(F.col("gap_us"), INTER_ARRIVAL), INTER_ARRIVAL_LABELS)
 
 
 def size_histogram(owned: DataFrame) -> DataFrame:
@@ -87,7 +87,8 @@ def rate_graph(owned: DataFrame, flows: DataFrame) -> DataFrame:
 
 def preview(owned: DataFrame, packets: int = PREVIEW_PACKETS) -> DataFrame:
     """The first packets of each flow in time, with the gap before each."""
-    ranked = with_running(with_gaps(owned), "flow_index", IN_TIME, sums={"_before": F.lit(1)}).withColumn("number", (F.col("_before") + 1).cast("int")).where(F.col("number") <= packets)
+    shown = ["flow_index", *IN_TIME, "direction", "captured_length", "original_length"]
+    ranked = with_running(with_gaps(owned.select(shown)), "flow_index", IN_TIME, sums={"_before": F.lit(1)}).withColumn("number", (F.col("_before") + 1).cast("int")).where(F.col("number") <= packets)
     return ranked.select("flow_index", "number", "packet_index", "direction", F.coalesce("gap_us", F.lit(0)).alias("delta_us"), "captured_length", "original_length")
 
 

@@ -105,9 +105,11 @@ def flow_key() -> Column:
     return F.struct(F.xxhash64(*KEY).alias("k1"), F.xxhash64(F.lit(1), *KEY).alias("k2"))
 
 
-def by_key(packets: DataFrame) -> DataFrame:
-    """Packets with their flow's key as flow_index and their direction, by the source of the flow's first packet."""
+def by_key(packets: DataFrame, directed: bool = True) -> DataFrame:
+    """Packets with their flow's key as flow_index and, if ``directed``, their direction by the source of the flow's first packet."""
     keyed = with_key(packets).withColumn("flow_index", flow_key())
+    if not directed:
+        return keyed
     first = keyed.groupBy("flow_index").agg(F.min_by("ep_src", "packet_index").alias("_first"))
     return keyed.join(first, "flow_index").withColumn("direction", F.when(F.col("ep_src") == F.col("_first"), "A->B").otherwise("B->A")).drop("_first")
 

@@ -120,9 +120,9 @@ def keyed(spark: SparkSession, folder: str) -> DataFrame:
     return flow_ops.by_key(packets(spark, folder))
 
 
-def measured_by_key(measure):
-    """A measure of each flow's packets, taken by flow key and numbered afterwards: the packets are shuffled once."""
-    return lambda spark, folder: flow_ops.with_numbers(measure(keyed(spark, folder)), listed(spark, folder))
+def measured_by_key(measure, directed: bool = True):
+    """A measure of each flow's packets, taken by flow key and numbered afterwards."""
+    return lambda spark, folder: flow_ops.with_numbers(measure(flow_ops.by_key(packets(spark, folder), directed)), listed(spark, folder))
 
 
 def rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,7 +222,7 @@ register(
 register(
     "flow_interarrival",
     f"WITH {OWNED_SQL} SELECT flow_index, count(gap_us) AS gap_count, CAST(coalesce(sum(gap_us), 0) AS BIGINT) AS gap_sum_us, coalesce(max(gap_us), 0) AS largest_gap_us, CASE WHEN count(gap_us) > 0 THEN round(sum(gap_us)::DOUBLE / count(gap_us), 6) ELSE 0.0 END AS mean_gap_us FROM gaps GROUP BY 1",
-)(measured_by_key(analysis.inter_arrival))
+)(measured_by_key(analysis.inter_arrival, directed=False))
 register(
     "flow_rates",
     f"WITH {FLOWS_SQL}, d AS (SELECT *, last_ts_us - first_ts_us AS duration_us FROM flows) SELECT flow_index, duration_us, CASE WHEN duration_us > 0 THEN round(packet_count * 1000000.0::DOUBLE / duration_us, 6) ELSE 0.0 END AS packets_per_second, CASE WHEN duration_us > 0 THEN round(total_bytes * 1000000.0::DOUBLE / duration_us, 6) ELSE 0.0 END AS bytes_per_second FROM d",
@@ -231,8 +231,8 @@ register(
 register(
     "flow_bursts",
     f"WITH {OWNED_SQL}, r AS (SELECT *, sum(CASE WHEN gap_us < 1000 THEN 0 ELSE 1 END) OVER (PARTITION BY flow_index ORDER BY ts_us, packet_index ROWS UNBOUNDED PRECEDING) AS run FROM gaps), s AS (SELECT flow_index, run, count(*) AS n, CAST(sum(original_length) AS BIGINT) AS bytes FROM r GROUP BY 1, 2) SELECT flow_index, count(*) FILTER (n >= 2) AS burst_count, coalesce(max(n) FILTER (n >= 2), 0) AS max_burst_packets, coalesce(max(bytes) FILTER (n >= 2), 0) AS max_burst_bytes FROM s GROUP BY 1",
-)(measured_by_key(analysis.bursts))
-register("flow_idle_gaps", f"WITH {OWNED_SQL} SELECT flow_index, count(*) FILTER (gap_us >= 100000) AS idle_gap_count, coalesce(max(gap_us) FILTER (gap_us >= 100000), 0) AS largest_idle_gap_us FROM gaps GROUP BY 1")(measured_by_key(analysis.idle_gaps))
+)(measured_by_key(analysis.bursts, directed=False))
+register("flow_idle_gaps", f"WITH {OWNED_SQL} SELECT flow_index, count(*) FILTER (gap_us >= 100000) AS idle_gap_count, coalesce(max(gap_us) FILTER (gap_us >= 100000), 0) AS largest_idle_gap_us FROM gaps GROUP BY 1")(measured_by_key(analysis.idle_gaps, directed=False))
 
 
 def three_way_sql(value: str, bounds: list[int], names: list[str]) -> str:
@@ -277,7 +277,7 @@ register(
     f"WITH {FLOWS_SQL} SELECT flow_index, {ratio_sql(PA, PB)} AS packet_ratio, {ratio_sql(BA, BB)} AS byte_ratio, {verdict_sql(PA, PB)} AS packet_verdict, {verdict_sql(BA, BB)} AS data_verdict FROM flows",
     listed,
 )(analysis.directions)
-register("tcp_control_counts", f"WITH {OWNED_SQL} SELECT flow_index, count(*) FILTER (tcp_flags & 2 <> 0) AS syn_count, count(*) FILTER (tcp_flags & 1 <> 0) AS fin_count, count(*) FILTER (tcp_flags & 4 <> 0) AS rst_count FROM owned WHERE protocol = 6 GROUP BY 1")(measured_by_key(analysis.control_counts))
+register("tcp_control_counts", f"WITH {OWNED_SQL} SELECT flow_index, count(*) FILTER (tcp_flags & 2 <> 0) AS syn_count, count(*) FILTER (tcp_flags & 1 <> 0) AS fin_count, count(*) FILTER (tcp_flags & 4 <> 0) AS rst_count FROM owned WHERE protocol = 6 GROUP BY 1")(measured_by_key(analysis.control_counts, directed=False))
 LIMITS_SQL = ", ".join(f"coalesce({f}(original_length) FILTER (direction = '{d}'), 0) AS {f}_{n}" for d, n in (("A->B", "a_to_b"), ("B->A", "b_to_a")) for f in ("min", "max"))
 register("flow_size_limits", f"WITH {OWNED_SQL} SELECT flow_index, min(original_length) AS min_length, max(original_length) AS max_length, max(captured_length) AS max_captured, {LIMITS_SQL} FROM owned GROUP BY 1")(measured_by_key(analysis.size_limits))
 
