@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..functions.scan import BLOCK, with_running
 from .flows import flow_key, with_key
 from .hints import hello_name
 from .streams import HTTP_METHODS, client_hello, number_bytes, page_host
@@ -317,6 +318,15 @@ def items_page(items: DataFrame, flow_index: int, after: tuple | None = None, li
     return found[:limit], tuple(found[limit - 1][c] for c in order) if len(found) > limit else None
 
 
+def paged(items: DataFrame, size: int) -> DataFrame:
+    """Items with the page of their flow that they are on, and whether another follows; for all flows at once."""
+    order = ["first_packet", "direction", "item"]
+    placed = with_running(items, "flow_index", order, sums={"_place": F.lit(1)}).drop(BLOCK)
+    whole = items.groupBy("flow_index").agg(F.count("*").alias("_total"))
+    page = F.expr(f"_place div {size}")
+    return placed.join(whole, "flow_index").withColumns({"page": page, "more": (page + 1) * size < F.col("_total")}).drop("_place", "_total")
+
+
 # DNS ---------------------------------------------------------------------------------------------------
 
 

@@ -703,16 +703,21 @@ SELECT flow_index, direction, CAST(strlen(data) AS BIGINT) AS byte_count, md5(da
     streams.overlapping_segments,
 )(lambda s: streams.reassembled_by_contribution(s, max_packets=6, max_bytes=250))
 HOST_SQL = "'host-' || page_id % 50 || '.example.org'"
-register(
-    "http_messages",
-    """WITH p AS (SELECT page_id, page_id % 6 AS k, '/p/' || page_id AS target, strlen(coalesce(html, '')) AS n FROM pages WHERE page_id IS NOT NULL),
+HTTP_SQL = """p AS (SELECT page_id, page_id % 6 AS k, '/p/' || page_id AS target, strlen(coalesce(html, '')) AS n FROM pages WHERE page_id IS NOT NULL),
 m AS (SELECT page_id, 'request' AS direction, 0 AS item, 'request' AS kind, 'HTTP GET ' || target AS label, 40 + length(target) AS header_bytes, 0 AS body_bytes FROM p
 UNION ALL SELECT page_id, 'response', 0, 'response', 'HTTP 200 OK', CASE WHEN k IN (1, 2) THEN 47 ELSE 37 + length(CAST(n + CASE WHEN k = 3 THEN 10 ELSE 0 END AS VARCHAR)) END, CASE WHEN k = 3 OR k = 2 THEN 0 WHEN k = 1 THEN n + length(printf('%x', n)) + CASE WHEN n = 0 THEN 4 ELSE 9 END ELSE n END FROM p
 UNION ALL SELECT page_id, 'response', 1, 'response', 'HTTP 404 Not Found', 26, 0 FROM p WHERE k IN (0, 1, 4)
-UNION ALL SELECT page_id, 'response', CASE WHEN k = 4 THEN 2 ELSE 1 END, 'partial', 'HTTP Payload (partial)', 0, CASE WHEN k = 4 THEN 8 WHEN k = 2 THEN n + 9 ELSE n END FROM p WHERE k IN (2, 4) OR (k = 3 AND n > 0))
-SELECT page_id AS flow_index, direction, CAST(item AS INTEGER) AS item, kind, label, CAST(header_bytes AS BIGINT) AS header_bytes, CAST(body_bytes AS BIGINT) AS body_bytes FROM m""",
+UNION ALL SELECT page_id, 'response', CASE WHEN k = 4 THEN 2 ELSE 1 END, 'partial', 'HTTP Payload (partial)', 0, CASE WHEN k = 4 THEN 8 WHEN k = 2 THEN n + 9 ELSE n END FROM p WHERE k IN (2, 4) OR (k = 3 AND n > 0))"""
+register(
+    "http_messages",
+    f"WITH {HTTP_SQL} SELECT page_id AS flow_index, direction, CAST(item AS INTEGER) AS item, kind, label, CAST(header_bytes AS BIGINT) AS header_bytes, CAST(body_bytes AS BIGINT) AS body_bytes FROM m",
     streams.http_segments,
 )(lambda s: messages.http_messages(s).drop("first_packet", "last_packet"))
+register(
+    "stream_item_pages",
+    f"WITH {HTTP_SQL}, p2 AS (SELECT *, coalesce(sum(header_bytes + body_bytes) OVER (PARTITION BY page_id, direction ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 700 AS first_packet FROM m), n2 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY first_packet, direction, item) - 1 AS place, count(*) OVER (PARTITION BY page_id) AS total FROM p2) SELECT page_id AS flow_index, CAST(place // 2 AS BIGINT) AS page, direction, CAST(item AS INTEGER) AS item, label, (place // 2 + 1) * 2 < total AS more FROM n2",
+    streams.http_segments,
+)(lambda s: messages.paged(messages.http_messages(s).select("flow_index", "first_packet", "direction", "item", "label"), 2).select("flow_index", "page", "direction", "item", "label", "more"))
 DNS_TYPES = {0: (1, "'192.0.2.' || page_id % 250"), 1: (2, "'ns.example.org'"), 2: (5, "'www.example.org'"), 3: (12, "'host.example.org'"), 4: (15, "page_id % 100 || ' mail.example.org'"), 5: (16, "'v=' || page_id"), 6: (28, "'2001:0db8:0000:0000:0000:0000:0000:' || printf('%04x', page_id % 60000)"), 7: (33, "'1 2 ' || page_id % 1000 || ' srv.example.org'")}
 register(
     "dns_messages",
