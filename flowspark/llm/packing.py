@@ -26,7 +26,7 @@ class WordIds(dict):
 
     stops = frozenset(".,;:!?")
 
-    def __init__(self, tokenizer, limit: int = 500_000):
+    def __init__(self, tokenizer, limit: int = 800_000):
         super().__init__()
         self.tokenizer, self.model, self.limit, self.old = tokenizer, tokenizer.model, limit, {}
 
