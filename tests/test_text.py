@@ -1,8 +1,10 @@
 """Texts of values, and what is left when the optional subpackage is gone."""
 
+import base64
 import os
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from flowspark.functions import text as X
 from flowspark.functions.buckets import CAPTURE_SIZE, FLOW_PACKETS, labels
+from flowspark.operators import reports
 
 
 def one(spark, value, kind, make):
@@ -54,3 +57,18 @@ def test_tree_percent_and_hex_dump(spark):
     assert [r[0] for r in found] == [t for _, t in values]
     row = spark.createDataFrame([(bytearray(b"GET / HTTP/1.1\r\nHost"),), (bytearray(),)], "b binary").select(X.hex_dump(F.col("b"))).collect()
     assert row[0][0].split("\n") == ["00000000  47 45 54 20 2f 20 48 54 54 50 2f 31 2e 31 0d 0a  GET / HTTP/1.1..", "00000010  48 6f 73 74" + " " * 36 + "  Host"] and row[1][0] == ""
+
+
+def test_byte_texts_of_any_length_in_linear_time(spark):
+    def texts(sizes):
+        data = [bytes((7 * i + n) % 256 for i in range(n)) for n in sizes]
+        began = time.monotonic()
+        rows = spark.createDataFrame([(n, x) for n, x in enumerate(data)], "n int, b binary").select("n", *[c.alias(n) for n, c in reports.byte_texts(F.col("b")).items()]).orderBy("n").collect()
+        return data, rows, time.monotonic() - began
+
+    for x, r in zip(*texts([0, 1, 15, 16, 17, 31, 32, 33, 57, 300])[:2], strict=True):
+        pairs = [f"{b:02X}" for b in x]
+        lines = [", ".join(f"0x{p}" for p in pairs[i : i + 16]) for i in range(0, len(pairs), 16)]
+        assert (r.hex, r.hex_spaced, r.base64, r.c_list, r.escaped) == ("".join(pairs), " ".join(pairs), base64.b64encode(x).decode(), "\n".join(lines), "".join(f"\\x{p}" for p in pairs))
+    short, long = texts([2000] * 64)[2], texts([128_000])[2]
+    assert long < 5 * short + 2
