@@ -31,3 +31,8 @@ def equal(spark, name: str, folder: str) -> None:
 def test_bytes_by_reference_on_copies(spark, tmp_path, steps):
     """Cut ARP frames have the SQL's size; the packets of a file are counted without the gaps of their numbers."""
     equal(spark, "packet_bytes_by_reference", copies(tmp_path, "events", "event_id", steps))
+
+
+def test_quic_services_of_many_pages(spark, tmp_path):
+    """Pages beyond 65535 have clients outside 10.0.0.0/16, which the SQL names by their number."""
+    equal(spark, "quic_flow_services", copies(tmp_path, "pages", "page_id", [0, 65_500, 200_000]))
