@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import layers
@@ -32,24 +34,81 @@ FIELDS = {
     "GTP-U": [("version", 0, 3, "number"), ("flags", 0, 8, "hex"), ("message", 8, 8, "number"), ("length", 16, 16, "number"), ("teid", 32, 32, "hex")],
 }
 FLAGS = ["FIN", "SYN", "RST", "PSH", "ACK", "URG", "ECE", "CWR"]
+FLAG_TEXTS = pa.array(["|".join(n for i, n in enumerate(FLAGS) if x >> i & 1) for x in range(256)])
+BYTE_TEXTS = pa.array([str(x) for x in range(256)])
+DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
 SCHEMA = "layers array<struct<name:string,offset:int,fields:map<string,string>>>"
 
 
-def field_text(data: bytes, first: int, bits: int, form: str) -> str | None:
-    """A field's value as text; null where its bytes were not captured."""
+def digit_texts(head: str, nibbles: np.ndarray, every: int = 0) -> pa.Array:
+    """Rows of hexadecimal digits as texts after ``head``, with a colon after ``every`` so many."""
+    rows, n = nibbles.shape
+    digits = DIGITS[nibbles]
+    if every:
+        groups = np.full((rows, n // every, every + 1), ord(":"), np.uint8)
+        groups[:, :, :every] = digits.reshape(rows, n // every, every)
+        digits = groups.reshape(rows, -1)[:, :-1]
+    chars = np.concatenate([np.broadcast_to(np.frombuffer(head.encode(), np.uint8), (rows, len(head))), digits], axis=1)
+    return pa.Array.from_buffers(pa.string(), rows, [None, pa.py_buffer((np.arange(rows + 1) * chars.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(chars))])
+
+
+def field_texts(data: np.ndarray, at: np.ndarray, first: int, bits: int, form: str) -> pa.Array:
+    """A field's values as texts, for headers that begin at ``at`` and whose bytes up to the field's end are in ``data``."""
     low, high = first // 8, -(-(first + bits) // 8)
-    if high > len(data):
-        return None
-    if form == "mac":
-        return ":".join(f"{x:02x}" for x in data[low:high])
+    own = data[at[:, None] + np.arange(low, high)]
+    if form in ("mac", "ipv6"):
+        return digit_texts("", np.stack([own >> 4, own & 15], axis=2).reshape(len(own), -1), 2 if form == "mac" else 4)
     if form == "ipv4":
-        return ".".join(map(str, data[low:high]))
-    if form == "ipv6":
-        return ":".join(data[i : i + 2].hex() for i in range(low, high, 2))
-    value = int.from_bytes(data[low:high], "big") >> (8 * high - first - bits) & ((1 << bits) - 1)
+        return pc.binary_join_element_wise(*[BYTE_TEXTS.take(pa.array(own[:, k])) for k in range(4)], ".")
+    value = np.zeros(len(own), np.int64)
+    for k in range(high - low):
+        value = value << 8 | own[:, k]
+    value = value >> (8 * high - first - bits) & ((1 << bits) - 1)
     if form == "flags":
-        return "|".join(n for i, n in enumerate(FLAGS) if value >> i & 1)
-    return f"0x{value:0{-(-bits // 4)}x}" if form == "hex" else str(value)
+        return FLAG_TEXTS.take(pa.array(value))
+    if form == "hex":
+        return digit_texts("0x", value[:, None] >> 4 * np.arange(-(-bits // 4))[::-1] & 15)
+    return pa.array(value).cast(pa.string())
+
+
+def layer_fields(data: np.ndarray, kinds: np.ndarray, kind_names: list[str], starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The header fields of each layer as a map of texts, without those whose bytes were not captured.
+
+    Every field is read for all headers of its kind at once; the texts are then put in the layers' order.
+    """
+    rows, fields, names, texts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [pa.array([], pa.string())]
+    for k, kind in enumerate(kind_names):
+        own = np.flatnonzero(kinds == k)
+        for name, first, bits, form in FIELDS.get(kind, []):
+            held = own[starts[own] + -(-(first + bits) // 8) <= ends[own]]
+            if not len(held):
+                continue
+            rows.append(held)
+            fields.append(np.full(len(held), len(names)))
+            names.append(name)
+            texts.append(field_texts(data, starts[held], first, bits, form))
+    rows, fields = np.concatenate(rows), np.concatenate(fields)
+    # Fields were read in the order that a header has them, so a stable sort by layer keeps it.
+    order = np.argsort(rows, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(kinds)))]).astype(np.int32)
+    keys = pa.array(names, pa.string()).take(pa.array(fields[order]))
+    return pa.MapArray.from_arrays(pa.array(offsets), keys, pa.concat_arrays(texts).take(pa.array(order)))
+
+
+def layer_rows(packets: pa.Array, links: pa.Array) -> pa.Array:
+    """The layers of packets given as bytes (none null) and link types, as rows of ``SCHEMA``."""
+    machine = layers.machine_over(packets, links)
+    offsets, numbers, places = machine.in_order()
+    names = list(machine.texts)
+    kinds = [n.partition("(")[0] for n in names]
+    different = {k: n for n, k in enumerate(dict.fromkeys(kinds))}
+    packet = np.repeat(np.arange(len(packets)), np.diff(offsets))
+    begins = machine.begin[packet]
+    ends = begins + pc.binary_length(packets).to_numpy(zero_copy_only=False)[packet]
+    fields = layer_fields(machine.data, np.array([different[k] for k in kinds], np.int64)[numbers], list(different), places, ends)
+    texts = pa.array(names, pa.string()).take(pa.array(numbers))
+    each = pa.StructArray.from_arrays([texts, pa.array(places - begins, pa.int32()), fields], ["name", "offset", "fields"])
+    return pa.ListArray.from_arrays(pa.array(offsets), each)
 
 
 def packet_details(packets: DataFrame) -> DataFrame:
@@ -66,16 +125,6 @@ def packet_details(packets: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             batch = batch.filter(batch.column(1).is_valid())
-            machine = layers.machine_over(batch.column(1), batch.column(2))
-            offsets, numbers, places = machine.in_order()
-            names, found = list(machine.texts), []
-            for i, data in enumerate(batch.column(1).to_pylist()):
-                rows = []
-                for k in range(offsets[i], offsets[i + 1]):
-                    name, at = names[numbers[k]], int(places[k] - machine.begin[i])
-                    fields = [(f, field_text(data[at:], first, bits, form)) for f, first, bits, form in FIELDS.get(name.partition("(")[0], [])]
-                    rows.append({"name": name, "offset": at, "fields": [(f, v) for f, v in fields if v is not None]})
-                found.append(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["packet_index", "layers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), layer_rows(batch.column(1), batch.column(2)).cast(kind)], names=["packet_index", "layers"])
 
     return own.mapInArrow(read, f"packet_index {dict(own.dtypes)['packet_index']}, {SCHEMA}")
