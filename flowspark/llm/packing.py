@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,39 +21,47 @@ class WordIds(dict):
     """Token ids of a run without blanks as little-endian uint32 bytes, remembered for up to ``limit`` runs.
 
     Half of these are young: when that many are, they become the old ones and the old ones that
-    were not used since are forgotten. So a vocabulary beyond the limit loses rare runs only.
+    were not used since are forgotten. So a vocabulary beyond the limit loses rare runs only. Runs
+    of more than ``longest`` characters are not remembered.
 
-    Words that differ in capitals or in one stop behind them are looked up once. The vocabulary's pre-tokenizer never joins across a blank, so a text's ids are those of its runs in turn.
+    Words that differ in capitals or in marks behind them are looked up once. The vocabulary's pre-tokenizer never joins across a blank, so a text's ids are those of its runs in turn.
     """
 
-    stops = frozenset(".,;:!?")
+    #: Latin letters that stand for themselves in NFC and have one lower-case letter each, then ASCII marks.
+    word = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+)([!-/:-@\[-`{-~]*)")
+    #: The byte-level alphabet: bytes that show nothing stand for the characters from 256 on.
+    shown = {byte: 256 + i for i, byte in enumerate([*range(33), *range(127, 161), 173])}
+    longest = 100
 
-    def __init__(self, tokenizer, limit: int = 800_000):
+    def __init__(self, tokenizer, limit: int = 1_200_000):
         super().__init__()
         self.tokenizer, self.model, self.limit, self.old = tokenizer, tokenizer.model, limit, {}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, run: str) -> bytes:
         if 2 * len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        if (found := self.old.get(word)) is not None:
-            self[word] = found
-            return found
-        core, last = word[:-1], word[-1:]
-        if word.isascii() and word.isalpha():
-            # The normalizer only lower-cases such a run, and it is one piece to the pre-tokenizer.
-            low = word.lower()
-            found = self[low] if low != word else self.ids_of(t.id for t in self.model.tokenize(word))
-        elif last in self.stops and core.isascii() and core.isalpha():
-            found = self[core] + self[last]
-        else:
-            found = self.ids_of(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        self[word] = found
+        if (found := self.old.get(run)) is None:
+            found = self.make(run)
+        if len(run) <= self.longest:
+            self[run] = found
         return found
 
+    def make(self, run: str) -> bytes:
+        match = self.word.fullmatch(run)
+        if not match:
+            return self.ids_of(self.tokenizer.encode(run, add_special_tokens=False).ids)
+        letters, marks = match.groups()
+        low = letters.lower()
+        if low != run:
+            # Letters and the marks behind them are one piece each to the pre-tokenizer.
+            return self[low] + self[marks] if marks else self[low]
+        # The normalizer leaves such a word alone.
+        return self.ids_of([t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.shown))])
+
     @staticmethod
-    def ids_of(numbers) -> bytes:
-        return np.fromiter(numbers, "<u4").tobytes()
+    def ids_of(numbers: list[int]) -> bytes:
+        return np.array(numbers, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))

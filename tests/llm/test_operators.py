@@ -92,6 +92,34 @@ def test_packing_word_ids_equal_the_tokenizer():
         assert ids.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_packing_looks_up_words_once():
+    """Words with accents or several marks go to the whole tokenizer no more than plain ones; long runs are not remembered."""
+    tokenizers = pytest.importorskip("tokenizers")
+    tokenizer = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
+
+    class Counting:
+        model, asked = tokenizer.model, []
+
+        def encode(self, run, add_special_tokens):
+            self.asked.append(run)
+            return tokenizer.encode(run, add_special_tokens=add_special_tokens)
+
+    ids = packing.WordIds(Counting())
+    letters = "".join(c for c in map(chr, range(0x41, 0x180)) if c.isalpha())
+    random = np.random.default_rng(5)
+    words = ["".join(random.choice(list(letters), n)) for n in random.integers(1, 9, 2000)]
+    marks = [*"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "", "$$$", "!!", "...", "'\"", "<|", "|>", "'."]
+    texts = ["Straße ÉTÉ, été été. Été!! ñandú$$$ the%%% The,"]
+    texts += [" ".join(w + marks[(i + j) % len(marks)] for j, w in enumerate(words)) for i in range(0, len(marks), 7)]
+    texts += [" ".join(a + c + marks[i % len(marks)] for i, a in enumerate(letters)) for c in ["", "b", "'s", "\u0301", "5", "<|endoftext|>"]]
+    texts += ["y" * 200 + " " + "É" * 101 + "!"]
+    for n, text in enumerate(texts):
+        assert ids.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not n:
+            assert sorted(Counting.asked) == sorted({"!!", "$$$", "%%%", ",", "."})
+    assert max(map(len, ids)) <= 100
+
+
 @pytest.mark.parametrize("step", [1, 4])
 def test_window_plan_places_each_length(step):
     counts = {2048: 3, 2000: 2, 48: 5, 1024: 1, 700: 3, 512: 9, 300: 4, 256: 35, 1: 9}
