@@ -272,6 +272,11 @@ def packets_in(w: Piece, row: dict, head: bytes) -> Iterator[tuple]:
     return Blocks(row["order"] or "<", zip(row["links"], row["resolutions"], strict=True)).walk(w, row["start"], row["stop"])
 
 
+def sorted_when_joined(packets: DataFrame) -> DataFrame:
+    """Packets that joins sort and never broadcast: Spark takes their size from the few rows of the ranges that hold them."""
+    return packets.hint("merge")
+
+
 def read_ranges(spark: SparkSession, ranges: DataFrame, range_bytes: int, rows_per_batch: int = 5_000) -> DataFrame:
     """The packets of the ranges of ``capture_ranges``, in columns of ``SCHEMA``."""
     order = Window.partitionBy("file").orderBy("part")
@@ -337,7 +342,7 @@ def read_ranges(spark: SparkSession, ranges: DataFrame, range_bytes: int, rows_p
     own = stored(spread.mapInArrow(counts, "file string, part long, n long"), "capture-counts")
     base = F.sum("n").over(order) - F.col("n")
     numbered = spread.join(own.withColumn("base", base).drop("n"), ["file", "part"])
-    return numbered.repartition("file", "part").mapInArrow(packets, SCHEMA)
+    return sorted_when_joined(numbered.repartition("file", "part").mapInArrow(packets, SCHEMA))
 
 
 def read_captures(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -388,7 +393,7 @@ def fetch_bytes(packets: DataFrame, gap: int = 64 << 10, most: int = 4 << 20) ->
             source.close()
 
     ordered = packets.select(names).repartitionByRange("file", "byte_offset").sortWithinPartitions("file", "byte_offset")
-    return ordered.mapInArrow(fetch, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "bytes binary"]))
+    return sorted_when_joined(ordered.mapInArrow(fetch, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "bytes binary"])))
 
 
 def records(name: str, data: bytes) -> Iterator[tuple]:
